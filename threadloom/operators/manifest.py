@@ -58,7 +58,7 @@ def decode_payloads(payloads: DataFrame, data_schema: str) -> DataFrame:
     )
     return parsed.select(
         *[c for c in payloads.columns if c not in ("body", "content_encoding")],
-        F.coalesce("_e.status", F.lit("")).alias("status"),
+        F.when(error.isin("", "bad_status"), F.coalesce("_e.status", F.lit(""))).otherwise("").alias("status"),
         error.alias("error"),
         F.when(error == "", F.from_json("_e.data", data_schema)).alias("data"),
     )

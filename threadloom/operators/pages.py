@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +14,6 @@ from threadloom.functions.text import filled, unicode_trim
 from threadloom.page_profile import FORUM, PageProfile
 from threadloom.sources.tables import POST_NODES
 
-# Executors need nothing installed: the two helper modules travel with the function that uses them.
-cloudpickle.register_pickle_by_value(dom)
-cloudpickle.register_pickle_by_value(markdown_text)
-
 PARSED_FIELDS = T.StructType(
     [
         T.StructField("title_text", T.StringType()),

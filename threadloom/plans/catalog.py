@@ -599,5 +599,5 @@ def ingest_pages_stream(spark, sf_dir):
     run = ingest.ingest_pages_stream(spark, arriving, path, progress, inputs.timestamp(inputs.FALLBACK), max_files_per_trigger=2)
     run.awaitTermination()
     heads = store.stored_threads(spark, path).select("tid", "title", "total_floors")
-    ids = store.stored_posts(spark, path).groupBy("tid").agg(F.count(F.lit(1)).alias("n_posts"), F.max("post_id").alias("max_post_id"))
+    ids = store.stored_posts(spark, path).groupBy("tid").agg(F.count(F.lit(1)).alias("n_posts"), F.min("post_id").alias("min_post_id"))
     return heads.join(ids, "tid")
