@@ -7,13 +7,14 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.operators.spread import hash_block, lookup
 
 MAX_RETRIES = 3
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _gunzip(bodies: pd.Series) -> pd.Series:
     """Unpacked bytes; NULL where the data is damaged."""
 

@@ -11,6 +11,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.urls import host_port
 from threadloom.operators.spread import hash_block, lookup
@@ -338,7 +339,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _gzipped(texts: pd.Series) -> pd.Series:
     def pack(text):
         stream = zlib.compressobj(wbits=31)
