@@ -283,9 +283,26 @@ def _under(node, chain):
     return True
 
 
-def select(nodes, selector):
-    """Those of ``nodes`` (document order) that fit the selector."""
-    alternatives = compile_selector(selector)
-    if alternatives is None:
-        return []
-    return [n for n in nodes if any(_fits(n, alt[-1]) and _under(n, alt[:-1]) for alt in alternatives)]
+class Scope:
+    """The elements below a node, in document order, with those of each tag at hand."""
+
+    __slots__ = ("by_tag", "nodes")
+
+    def __init__(self, root):
+        self.nodes, self.by_tag = list(root.walk()), {}
+        for node in self.nodes:
+            self.by_tag.setdefault(node.tag, []).append(node)
+
+    def select(self, selector):
+        """Elements that fit the selector."""
+        alternatives = compile_selector(selector)
+        if alternatives is None:
+            return []
+        if len(alternatives) == 1:
+            chain = alternatives[0]
+            last, above = chain[-1], chain[:-1]
+            nodes = self.nodes
+            if last[0]["tag"] not in (None, "*"):
+                nodes, last = self.by_tag.get(last[0]["tag"].lower(), ()), last[1:]
+            return [n for n in nodes if (not last or _fits(n, last)) and (not above or _under(n, above))]
+        return [n for n in self.nodes if any(_fits(n, alt[-1]) and _under(n, alt[:-1]) for alt in alternatives)]

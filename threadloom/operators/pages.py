@@ -32,52 +32,52 @@ PARSED_FIELDS = T.StructType(
 def _page_reader(profile: PageProfile, keep: list[str], with_html: bool, with_markdown: bool):
     """Function over pandas batches that turns the html column into the fields above."""
 
-    def first_attr(nodes, selector, attr):
-        found = dom.select(nodes, selector)
+    def first_attr(scope, selector, attr):
+        found = scope.select(selector)
         return found[0].attrs.get(attr, "") if found else ""
 
-    def joined_text(nodes, selector):
-        return "".join(node.text() for node in dom.select(nodes, selector))
+    def joined_text(scope, selector):
+        return "".join(node.text() for node in scope.select(selector))
 
-    def first_text(nodes, selector):
-        found = dom.select(nodes, selector)
+    def first_text(scope, selector):
+        found = scope.select(selector)
         return found[0].text() if found else None
 
     def post_of(ord_, table):
-        nodes = list(table.walk())
-        content = dom.select(nodes, profile.post_content)
+        scope = dom.Scope(table)
+        content = scope.select(profile.post_content)
         # Where the author block keeps its fields.
         return {
             "ord": ord_,
-            "user_link_strong": joined_text(nodes, 'a[href*="u.php"] strong'),
-            "has_user_link_strong": bool(dom.select(nodes, 'a[href*="u.php"] strong')),
-            "any_strong": joined_text(nodes, "strong"),
-            "user_href": first_attr(nodes, 'a[href*="u.php"]', "href"),
-            "avatar_src": first_attr(nodes, 'img[loading="lazy"]', "src"),
-            "infos": [node.text() for node in dom.select(nodes, ".user-info")],
-            "sign_text": joined_text(nodes, ".bianji"),
-            "time_text": first_text(nodes, profile.post_time),
+            "user_link_strong": joined_text(scope, 'a[href*="u.php"] strong'),
+            "has_user_link_strong": bool(scope.select('a[href*="u.php"] strong')),
+            "any_strong": joined_text(scope, "strong"),
+            "user_href": first_attr(scope, 'a[href*="u.php"]', "href"),
+            "avatar_src": first_attr(scope, 'img[loading="lazy"]', "src"),
+            "infos": [node.text() for node in scope.select(".user-info")],
+            "sign_text": joined_text(scope, ".bianji"),
+            "time_text": first_text(scope, profile.post_time),
             "has_content": bool(content),
             "content_html": content[0].inner_html() if content and with_html else "",
             "content_md": markdown_text.to_markdown(content[0], profile.site_root) if content and with_markdown else "",
-            "td_id": first_attr(nodes, 'th[id^="td_"]', "id"),
-            "read_id": first_attr(nodes, '[id^="read_"]', "id"),
-            "hash_href": first_attr(nodes, 'a[href*="#"]', "href"),
+            "td_id": first_attr(scope, 'th[id^="td_"]', "id"),
+            "read_id": first_attr(scope, '[id^="read_"]', "id"),
+            "hash_href": first_attr(scope, 'a[href*="#"]', "href"),
         }
 
     def page_of(html):
-        nodes = list(dom.parse(html).walk())
-        tables = dom.select(nodes, profile.post_table)
+        scope = dom.Scope(dom.parse(html))
+        tables = scope.select(profile.post_table)
         return {
-            "title_text": first_text(nodes, profile.title),
-            "page_title_text": first_text(nodes, "title") or "",
+            "title_text": first_text(scope, profile.title),
+            "page_title_text": first_text(scope, "title") or "",
             # Only needed to tell why a page has no post table.
-            "body_text": "" if tables else joined_text(nodes, "body"),
-            "base_href": first_attr(nodes, "base", "href"),
-            "forum_text": first_text(nodes, profile.forum),
-            "pages_text": first_text(nodes, ".pagesone") or "",
-            "tid_links": [node.attrs["href"] for node in dom.select(nodes, "a[href*='tid-']")],
-            "page_links": [node.attrs["href"] for node in dom.select(nodes, "a[href*='page-']")],
+            "body_text": "" if tables else joined_text(scope, "body"),
+            "base_href": first_attr(scope, "base", "href"),
+            "forum_text": first_text(scope, profile.forum),
+            "pages_text": first_text(scope, ".pagesone") or "",
+            "tid_links": [node.attrs["href"] for node in scope.select("a[href*='tid-']")],
+            "page_links": [node.attrs["href"] for node in scope.select("a[href*='page-']")],
             "posts": [post_of(i, table) for i, table in enumerate(tables)],
         }
 
@@ -122,7 +122,7 @@ def select_nodes(df: DataFrame, selector: str) -> DataFrame:
             rows = []
             for record in batch.itertuples(index=False):
                 carried = [getattr(record, name) for name in names]
-                for i, node in enumerate(dom.select(list(dom.parse(record.html).walk()), selector)):
+                for i, node in enumerate(dom.Scope(dom.parse(record.html)).select(selector)):
                     rows.append([*carried, i, node.tag, node.attrs, node.text(), node.inner_html()])
             yield pd.DataFrame(rows, columns=names + NODE_FIELDS.names)
 
@@ -135,7 +135,7 @@ def register_select_nodes(spark) -> None:
     @F.udtf(returnType="ord int, tag string, attrs map<string,string>, text string, inner_html string")
     class SelectNodes:
         def eval(self, html: str, selector: str):
-            for i, node in enumerate(dom.select(list(dom.parse(html).walk()), selector)):
+            for i, node in enumerate(dom.Scope(dom.parse(html)).select(selector)):
                 yield i, node.tag, node.attrs, node.text(), node.inner_html()
 
     spark.udtf.register("select_nodes", SelectNodes)

@@ -47,14 +47,21 @@ def read_pages(spark, sf_dir):
     )
 
 
+def _stored_pages(spark, sf_dir):
+    """The pages table; as it is one file, it is dealt out before it is parsed."""
+    read = inputs.table(spark, sf_dir, "pages")
+    stored = read.select("page_id", "html")
+    return readers.dealt_out(stored, "page_id") if len(read.inputFiles()) == 1 else stored
+
+
 @query
 def select_nodes(spark, sf_dir):
-    found = pages.select_nodes(inputs.table(spark, sf_dir, "pages").select("page_id", "html"), "nav a")
+    found = pages.select_nodes(_stored_pages(spark, sf_dir), "nav a")
     return found.select("page_id", F.col("ord").cast("bigint").alias("ord"), F.col("attrs")["href"].alias("href"), "text")
 
 
 def _article_pages(spark, sf_dir, **options):
-    return pages.parse_pages(inputs.table(spark, sf_dir, "pages").select("page_id", "html"), ARTICLE, **options)
+    return pages.parse_pages(_stored_pages(spark, sf_dir), ARTICLE, **options)
 
 
 @query
@@ -73,7 +80,7 @@ def _forum(spark, sf_dir, repeats=True, extras=True, with_html=True, with_markdo
     source = inputs.forum_pages(spark, sf_dir, repeats, extras).select("tid", "page", "html")
     if kept:
         source = inputs.kept_pages(source)
-    parsed = pages.parse_pages(source, with_html=with_html, with_markdown=with_markdown)
+    parsed = pages.parse_pages(readers.dealt_out(source, "tid", "page"), with_html=with_html, with_markdown=with_markdown)
     return pages.with_page_fields(parsed)
 
 
@@ -590,14 +597,13 @@ def load_threads(spark, sf_dir):
 @query
 def ingest_pages_stream(spark, sf_dir):
     """Pages arriving in several files; the store then holds what a batch run would give."""
-
-
     inputs.configure(spark)
     arriving, path, progress = (fresh_path(spark, name) for name in ("arriving", "store", "progress"))
     source = inputs.kept_pages(inputs.forum_pages(spark, sf_dir)).select("tid", "page", "html")
     source.repartitionByRange(3, "page", "tid").write.parquet(arriving)
-    run = ingest.ingest_pages_stream(spark, arriving, path, progress, inputs.timestamp(inputs.FALLBACK), max_files_per_trigger=2)
+    run = ingest.ingest_pages_stream(spark, arriving, path, progress, max_files_per_trigger=2)
     run.awaitTermination()
+    ingest.publish(spark, path, 0, inputs.timestamp(inputs.FALLBACK))
     heads = store.stored_threads(spark, path).select("tid", "title", "total_floors")
     ids = store.stored_posts(spark, path).groupBy("tid").agg(F.count(F.lit(1)).alias("n_posts"), F.min("post_id").alias("min_post_id"))
     return heads.join(ids, "tid")

@@ -16,6 +16,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def dealt_out(pages: DataFrame, *keys: str) -> DataFrame:
+    """Pages spread over all cores by ``keys``, for inputs with fewer tasks than cores.
+
+    Parsing is bound by CPU, and a small file is one task whatever it costs. A corpus of many files needs no such
+    shuffle and should not get one.
+    """
+    spark = pages.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pages.repartition(tasks, *keys)
+
+
 def read_rule_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of rule files with their number: (source, seq, line). Each file is a rule set of its own."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)

@@ -2,7 +2,7 @@
 
 A run writes only what it changed, as generation N of each table; the header row of a thread names the generation its
 posts live in. Threads are written last, so a failed run leaves nothing visible, and repeating it overwrites the same
-generation. Tables are laid out by a hash bucket of tid, which lets a look-up of a few threads skip the rest.
+generation. Files are sorted by tid, which lets a look-up of a few threads skip most row groups.
 """
 
 from __future__ import annotations
@@ -16,27 +16,19 @@ from pyspark.sql import types as T
 from threadloom.operators.spread import lookup
 from threadloom.sources import tables
 
-BUCKETS = 64
 GENERATION_STEP = 1 << 40
 
 
-def tid_bucket(tid: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(tid), F.lit(buckets)).cast("int")
-
-
-def _layout(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("gen", T.LongType()), T.StructField("bucket", T.IntegerType())])
-
-
-def _write(df: DataFrame, schema: T.StructType, path: str) -> None:
-    # rebalance lets adaptive execution split a bucket that one huge thread fills and merge small ones.
+def _write(df: DataFrame, schema: T.StructType, path: str, order: str) -> None:
+    # rebalance lets adaptive execution split a partition that one huge thread fills and merge small ones.
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-    laid = df.select(*columns, tid_bucket(F.col("tid")).alias("bucket")).hint("rebalance", "bucket")
-    laid.sortWithinPartitions("bucket", "tid").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    laid = df.select(*columns).hint("rebalance", "tid").sortWithinPartitions("tid", order)
+    laid.write.mode("overwrite").parquet(path)
 
 
 def _read(spark: SparkSession, store: str, name: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(_layout(schema)).parquet(f"{store}/{name}")
+    layout = T.StructType([*schema.fields, T.StructField("gen", T.LongType())])
+    return spark.read.schema(layout).parquet(f"{store}/{name}")
 
 
 def store_threads(
@@ -47,39 +39,36 @@ def store_threads(
     spark = threads.sparkSession
     assets = spark.createDataFrame([], tables.ASSETS) if assets is None else assets
     shares = spark.createDataFrame([], tables.SHARES) if shares is None else shares
-    _write(posts, tables.POSTS, f"{store}/posts/gen={gen}")
-    _write(assets, tables.ASSETS, f"{store}/assets/gen={gen}")
-    _write(shares, tables.SHARES, f"{store}/shares/gen={gen}")
-    _write(threads, tables.THREADS, f"{store}/threads/gen={gen}")
+    _write(posts, tables.POSTS, f"{store}/posts/gen={gen}", "position")
+    _write(assets, tables.ASSETS, f"{store}/assets/gen={gen}", "seq")
+    _write(shares, tables.SHARES, f"{store}/shares/gen={gen}", "seq")
+    _write(threads, tables.THREADS, f"{store}/threads/gen={gen}", "created_at")
 
 
 def _only(df: DataFrame, tids: Iterable[str] | None) -> DataFrame:
     if tids is None:
         return df
-    tids = list(tids)
-    return df.where(F.col("bucket").isin([tid_bucket(F.lit(t)) for t in tids]) & F.col("tid").isin(tids))
+    return df.where(F.col("tid").isin(list(tids)))
 
 
 def stored_threads(spark: SparkSession, store: str, tids: Iterable[str] | None = None) -> DataFrame:
     """Current header of each thread, with ``gen``."""
     rows = _only(_read(spark, store, "threads", tables.THREADS), tids)
     fields = [f.name for f in tables.THREADS.fields if f.name != "tid"]
-    return rows.groupBy("tid", "bucket").agg(F.max_by(F.struct(*fields, "gen"), "gen").alias("_t")).select(
-        "tid", "bucket", "_t.*"
-    )
+    return rows.groupBy("tid").agg(F.max_by(F.struct(*fields, "gen"), "gen").alias("_t")).select("tid", "_t.*")
 
 
 def stored_posts(spark: SparkSession, store: str, tids: Iterable[str] | None = None) -> DataFrame:
     """Posts of the current body of each thread."""
-    current = stored_threads(spark, store, tids).select("bucket", "tid", "gen")
+    current = stored_threads(spark, store, tids).select("tid", "gen")
     rows = _only(_read(spark, store, "posts", tables.POSTS), tids)
-    return lookup(rows, current, ["bucket", "tid", "gen"], F.floor(F.col("position") / 100_000)).drop("gen", "bucket")
+    return lookup(rows, current, ["tid", "gen"], F.floor(F.col("position") / 100_000)).drop("gen")
 
 
 def stored_assets(spark: SparkSession, store: str, tids: Iterable[str] | None = None) -> DataFrame:
     """All asset records; ``seq`` runs on over generations."""
     rows = _only(_read(spark, store, "assets", tables.ASSETS), tids)
-    return rows.withColumn("seq", F.col("gen") * GENERATION_STEP + F.col("seq")).drop("gen", "bucket")
+    return rows.withColumn("seq", F.col("gen") * GENERATION_STEP + F.col("seq")).drop("gen")
 
 
 def stored_shares(spark: SparkSession, store: str, tids: Iterable[str] | None = None) -> DataFrame:
@@ -94,12 +83,12 @@ def stored_shares(spark: SparkSession, store: str, tids: Iterable[str] | None =
 
 def load_threads(spark: SparkSession, store: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found, missing) for a table of tids. An empty tid is missing."""
-    asked = wanted.select("tid").distinct().withColumn("bucket", tid_bucket(F.col("tid")))
-    found = stored_threads(spark, store).join(asked.where(F.col("tid") != ""), ["bucket", "tid"], "left_semi")
-    missing = asked.join(found.select("bucket", "tid"), ["bucket", "tid"], "left_anti").select(
+    asked = wanted.select("tid").distinct()
+    found = stored_threads(spark, store).join(asked.where(F.col("tid") != ""), "tid", "left_semi")
+    missing = asked.join(found.select("tid"), "tid", "left_anti").select(
         "tid", F.when(F.col("tid") == "", "tid is empty").otherwise("thread not found in store").alias("error")
     )
-    return found.drop("bucket", "gen"), missing
+    return found.drop("gen"), missing
 
 
 def merge_threads(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -116,7 +105,7 @@ def carry_records(stored: DataFrame, new: DataFrame) -> DataFrame:
 def compact_store(spark: SparkSession, store: str, target: str) -> None:
     """Write the current state as the only generation of a new store."""
     store_threads(
-        target, 0, stored_threads(spark, store).drop("gen", "bucket"), stored_posts(spark, store),
+        target, 0, stored_threads(spark, store).drop("gen"), stored_posts(spark, store),
         stored_assets(spark, store), stored_shares(spark, store),
     )
 

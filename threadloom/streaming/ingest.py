@@ -11,44 +11,50 @@ from threadloom.operators.pages import parse_pages, with_page_fields
 from threadloom.operators.spread import PAGE_BLOCK, lookup
 from threadloom.page_profile import FORUM, PageProfile
 from threadloom.session import written
-from threadloom.sources.store import store_threads, tid_bucket
+from threadloom.sources.store import store_threads
 
 
-def ingest_batch(
-    batch: DataFrame, batch_id: int, store: str, fallback_ts: Column, profile: PageProfile = FORUM,
-    strict: bool = False, mode: str = "reference", repeats_main_post: bool = True,
-) -> None:
-    """Take in pages (tid, page, html) and bring the threads they belong to up to date.
+def ingest_batch(batch: DataFrame, batch_id: int, store: str, profile: PageProfile = FORUM) -> None:
+    """Parse arrived pages (tid, page, html) and keep them as generation ``batch_id`` of the page state.
 
-    A thread's pages may come in different batches, so parsed pages are the state: this batch's are written as its
-    generation, and only threads it touches are put together again, each from the newest version of its pages. Doing a
-    batch twice writes the same files.
+    A thread's pages may come in different batches, so pages, not threads, are the state. A batch costs what its own
+    pages cost: there is no shuffle and no look at earlier state. Doing a batch twice writes the same files.
     """
-    spark = batch.sparkSession
-    pages_path = f"{store}/pages"
     parsed = parse_pages(batch.select("tid", "page", "html"), profile, with_markdown=True)
-    (
-        parsed.withColumn("bucket", tid_bucket(F.col("tid")))
-        .hint("rebalance", "bucket")
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{pages_path}/gen={batch_id}")
-    )
-    state = spark.read.parquet(pages_path)
-    touched = spark.read.parquet(f"{pages_path}/gen={batch_id}").select("bucket", "tid").distinct()
-    block = F.floor(F.col("page") / PAGE_BLOCK)
-    newest = (
-        lookup(state.select("bucket", "tid", "page", "gen"), touched, ["bucket", "tid"], block)
-        .groupBy("bucket", "tid", "page")
-        .agg(F.max("gen").alias("gen"))
-    )
-    current = state.join(newest, ["bucket", "tid", "page", "gen"]).drop("bucket", "gen")
-    pages = written(usable_pages(with_page_fields(current), strict), "ingest-pages")
-    posts = written(assemble_posts(pages, fallback_ts, mode, repeats_main_post), "ingest-posts")
-    store_threads(store, batch_id, assemble_threads(pages, posts), posts)
+    parsed.sortWithinPartitions("tid", "page").write.mode("overwrite").parquet(f"{store}/pages/gen={batch_id}")
+
+
+def current_pages(spark: SparkSession, store: str, since: int = 0) -> DataFrame:
+    """Newest version of each page of the threads that generations from ``since`` on have touched.
+
+    The choice is made on ids alone; page contents are then fetched by their exact (tid, page, gen).
+    """
+    state = spark.read.parquet(f"{store}/pages")
+    ids = state.select("tid", "page", "gen")
+    if since > 0:
+        touched = ids.where(F.col("gen") >= since).select("tid").distinct()
+        ids = lookup(ids, touched, ["tid"], F.floor(F.col("page") / PAGE_BLOCK))
+    newest = ids.groupBy("tid", "page").agg(F.max("gen").alias("gen"))
+    return state.join(newest, ["tid", "page", "gen"])
+
+
+def publish(
+    spark: SparkSession, store: str, since: int, fallback_ts: Column, strict: bool = False, mode: str = "reference",
+    repeats_main_post: bool = True,
+) -> None:
+    """Put the threads touched since generation ``since`` together again and store them.
+
+    Run it as often as readers need fresh threads; it reads the state once for all batches in between.
+    """
+    latest = spark.read.parquet(f"{store}/pages").agg(F.max("gen")).first()[0]
+    pages = written(usable_pages(with_page_fields(current_pages(spark, store, since).drop("gen")), strict), "pages")
+    posts = written(assemble_posts(pages, fallback_ts, mode, repeats_main_post), "posts")
+    store_threads(store, latest, assemble_threads(pages, posts), posts)
 
 
 def ingest_pages_stream(
-    spark: SparkSession, source: str, store: str, checkpoint: str, fallback_ts: Column,
-    max_files_per_trigger: int = 1000, **options,
+    spark: SparkSession, source: str, store: str, checkpoint: str, profile: PageProfile = FORUM,
+    max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
     """Run ingest_batch() over Parquet files of pages as they arrive; this run ends when all present files are in."""
     arriving = (
@@ -57,9 +63,7 @@ def ingest_pages_stream(
         .parquet(source)
     )
     return (
-        arriving.writeStream.foreachBatch(
-            lambda batch, batch_id: ingest_batch(batch, batch_id, store, fallback_ts, **options)
-        )
+        arriving.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, store, profile))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
