@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that count as white space when whole strings are trimmed, and when a content body is.
-_SPACE = r"[\s\x{0B}\x{85}\x{A0}\p{Z}]"
+SPACE = r"[\s\x{0B}\x{85}\x{A0}\p{Z}]"
 BODY_SPACE = " \n\r\t"
 
 # Fixed value: characters that get a backslash in titles.
@@ -14,12 +14,12 @@ _MARKDOWN_SPECIAL = r"([\\`*_{}\[\]()#+\-.!|])"
 
 
 def unicode_trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+\z", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def unicode_fields(text: Column) -> Column:
     """Split on runs of white space, without empty first or last parts."""
-    return F.filter(F.split(text, rf"{_SPACE}+"), lambda part: part != "")
+    return F.filter(F.split(text, rf"{SPACE}+"), lambda part: part != "")
 
 
 def body_trim(text: Column) -> Column:
@@ -30,41 +30,16 @@ def escape_markdown(text: Column) -> Column:
     return F.regexp_replace(text, _MARKDOWN_SPECIAL, r"\\$1")
 
 
-def filled(text: Column) -> Column:
-    """NULL for the empty string, which is how a missing text is kept."""
-    return F.nullif(text, F.lit(""))
-
-
-def first_filled(*texts: Column) -> Column:
-    return F.coalesce(*[filled(text) for text in texts], F.lit(""))
-
-
-def first_match(texts: Column, pattern: str) -> Column:
-    """Group 1 of the first array element that matches; '' if none does."""
-    hits = F.filter(F.transform(texts, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
-    return F.coalesce(F.get(hits, F.lit(0)), F.lit(""))
+# The formats of post times. Seconds may carry a fraction.
+TIME_FORMATS = ("yyyy-M-d H:mm:ss", "yyyy-M-d H:mm:ss[.SSSSSS][.SSS]", "yyyy-M-d H:mm")
 
 
 def post_time(text: Column, fallback: Column) -> Column:
     """Read a post time. NULL stays NULL; an unreadable text becomes ``fallback``; a year 0 gets the fallback's year."""
     trimmed = unicode_trim(text)
-    # The accepted formats. Seconds may carry a fraction.
-    parsed = F.coalesce(
-        F.try_to_timestamp(trimmed, F.lit("yyyy-M-d H:mm:ss")),
-        F.try_to_timestamp(trimmed, F.lit("yyyy-M-d H:mm:ss[.SSSSSS][.SSS]")),
-        F.try_to_timestamp(trimmed, F.lit("yyyy-M-d H:mm")),
-    )
-    # try_to_timestamp has no year 0, so such a text is read with the year already replaced.
-    shifted = F.try_to_timestamp(
-        F.concat(F.date_format(fallback, "yyyy"), F.substring(trimmed, 5, 40)), F.lit("yyyy-M-d H:mm:ss")
-    )
-    shifted = F.coalesce(
-        shifted,
-        F.try_to_timestamp(
-            F.concat(F.date_format(fallback, "yyyy"), F.substring(trimmed, 5, 40)), F.lit("yyyy-M-d H:mm")
-        ),
-    )
-    parsed = F.when(trimmed.startswith("0000-"), shifted).otherwise(parsed)
+    # Time parsing knows no year 0, so such a text is read with the year already replaced.
+    dated = F.when(trimmed.startswith("0000-"), F.concat(F.date_format(fallback, "yyyy"), F.substring(trimmed, 5, 40))).otherwise(trimmed)
+    parsed = F.coalesce(*[F.try_to_timestamp(dated, F.lit(form)) for form in TIME_FORMATS])
     return F.when(text.isNotNull(), F.coalesce(parsed, fallback))
 
 

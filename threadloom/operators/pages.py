@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions import dom, markdown_text
-from threadloom.functions.text import filled, unicode_trim
+from threadloom.functions.text import unicode_trim
 from threadloom.page_profile import FORUM, PageProfile
 from threadloom.sources.tables import POST_NODES
 
@@ -150,39 +150,31 @@ def page_title() -> Column:
 
 def forum_name() -> Column:
     """Last part of the breadcrumb."""
-    text = F.coalesce("forum_text", F.lit(""))
-    return unicode_trim(F.element_at(F.split(text, "»"), -1))
+    return unicode_trim(F.expr("element_at(split(coalesce(forum_text, ''), '»'), -1)"))
 
 
 def base_url() -> Column:
-    href = F.col("base_href")
-    return F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(href)
-
-
-def _digits_after(text: Column, marker: str) -> Column:
-    """First digits between the first and the second marker."""
-    return F.regexp_extract(F.split_part(text, F.lit(marker), F.lit(2)), "([0-9]+)", 1)
+    return F.expr("CASE WHEN startswith(base_href, '//') THEN 'https:' || base_href ELSE base_href END")
 
 
 def thread_id() -> Column:
-    """From the page title, else the base URL, else the first link that has one."""
-    links = F.transform("tid_links", lambda href: _digits_after(href, "tid-"))
-    link = F.get(F.filter(links, lambda digits: digits != ""), F.lit(0))
-    return F.coalesce(
-        filled(_digits_after(F.col("page_title_text"), "read.php?tid-")),
-        filled(_digits_after(base_url(), "tid-")),
-        link,
-        F.lit(""),
+    """From the page title, else the base URL, else the first link that has one.
+
+    In each it is the first run of digits between the first and the second marker.
+    """
+    digits = "regexp_extract(split_part({}, '{}', 2), '([0-9]+)', 1)".format
+    return F.expr(
+        f"""coalesce(nullif({digits("page_title_text", "read.php?tid-")}, ''), nullif({digits("base_href", "tid-")}, ''),
+          get(filter(transform(tid_links, href -> {digits("href", "tid-")}), d -> d <> ''), 0), '')"""
     )
 
 
 def total_pages() -> Column:
     """Stated page count, else the highest linked page; at least 1."""
-    stated = F.regexp_extract("pages_text", r"Pages:[\t\n\f\r ]*[0-9]+/([0-9]+)", 1).try_cast("bigint")
-    linked = F.array_max(
-        F.transform("page_links", lambda href: F.regexp_extract(href, "page-([0-9]+)", 1).try_cast("bigint"))
+    return F.expr(
+        r"""greatest(1L, coalesce(try_cast(regexp_extract(pages_text, r'Pages:[\t\n\f\r ]*[0-9]+/([0-9]+)', 1) AS BIGINT),
+          array_max(transform(page_links, href -> try_cast(regexp_extract(href, 'page-([0-9]+)', 1) AS BIGINT))), 0L))"""
     )
-    return F.greatest(F.lit(1).cast("bigint"), F.coalesce(stated, linked, F.lit(0).cast("bigint")))
 
 
 # Words by which a page without posts is told apart.
@@ -194,27 +186,19 @@ LOGIN_BODY = ("登录", "log in", "please login", "winduser")
 def page_error() -> Column:
     """NULL for a page with a usable first post, else struct(type, code, message)."""
 
-    def any_of(text: Column, words: tuple[str, ...]) -> Column:
-        test = F.lit(False)
-        for word in words:
-            test = test | text.contains(word)
-        return test
-
-    def error(kind: str, code: str, message: str) -> Column:
-        return F.struct(F.lit(kind).alias("type"), F.lit(code).alias("code"), F.lit(message).alias("message"))
-
-    title = F.lower("page_title_text")
-    body = F.lower("body_text")
-    first_has_content = F.coalesce(F.get("posts", F.lit(0))["has_content"], F.lit(False))
-    return (
-        F.when((F.size("posts") > 0) & first_has_content, F.lit(None))
-        .when(F.size("posts") > 0, error("validation_error", "VALID001", "no post content"))
-        .when(
-            any_of(title, CHALLENGE_TITLES) | any_of(body, CHALLENGE_BODY),
-            error("auth_error", "AUTH001", "challenge page"),
-        )
-        .when(any_of(body, LOGIN_BODY), error("auth_error", "AUTH001", "not logged in"))
-        .otherwise(error("validation_error", "VALID001", "no post table"))
+    def any_of(text: str, words: tuple[str, ...]) -> str:
+        return "(" + " OR ".join(f"contains(lower({text}), '{word}')" for word in words) + ")"
+
+    def error(kind: str, code: str, message: str) -> str:
+        return f"named_struct('type', '{kind}', 'code', '{code}', 'message', '{message}')"
+
+    return F.expr(
+        f"""CASE WHEN get(posts, 0).has_content THEN NULL
+          WHEN size(posts) > 0 THEN {error("validation_error", "VALID001", "no post content")}
+          WHEN {any_of("page_title_text", CHALLENGE_TITLES)} OR {any_of("body_text", CHALLENGE_BODY)}
+            THEN {error("auth_error", "AUTH001", "challenge page")}
+          WHEN {any_of("body_text", LOGIN_BODY)} THEN {error("auth_error", "AUTH001", "not logged in")}
+          ELSE {error("validation_error", "VALID001", "no post table")} END"""
     )
 
 

@@ -75,9 +75,9 @@ def html_to_markdown_pages(spark, sf_dir):
     return parsed.select("page_id", F.get("posts", F.lit(0))["content_md"].alias("markdown"))
 
 
-def _forum(spark, sf_dir, repeats=True, extras=True, with_html=True, with_markdown=False, kept=False):
+def _forum(spark, sf_dir, repeats=True, with_html=True, with_markdown=False, kept=False):
     """Forum pages, parsed and with page-level fields."""
-    source = inputs.forum_pages(spark, sf_dir, repeats, extras).select("tid", "page", "html")
+    source = inputs.forum_pages(spark, sf_dir, repeats).select("tid", "page", "html")
     if kept:
         source = inputs.kept_pages(source)
     parsed = pages.parse_pages(readers.dealt_out(source, "tid", "page"), with_html=with_html, with_markdown=with_markdown)

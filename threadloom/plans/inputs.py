@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.urls import host_port
-from threadloom.operators.spread import hash_block, lookup
+from threadloom.operators.spread import lookup
 from threadloom.session import configure
 
 START = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -34,208 +34,147 @@ def timestamp(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
-def escaped(text: Column) -> Column:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
-        text = F.replace(text, F.lit(char), F.lit(entity))
-    return text
-
-
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations with thread fields: tid, post_id, uid, ts, page."""
-    c, t = F.col("conv_id"), F.col("turn")
-    return table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").selectExpr(
         "conv_id",
         "turn",
         "role",
         "text",
-        c.cast("string").alias("tid"),
-        F.when(t == 0, "tpc").otherwise((c * 100_000 + t).cast("string")).alias("post_id"),
-        (c * 10 + F.length("role")).cast("string").alias("uid"),
-        F.timestamp_seconds(START + c * 3600 + t * 60).alias("ts"),
-        F.when(t == 0, 1).otherwise(F.floor((t - 1) / REPLIES_PER_PAGE) + 1).cast("bigint").alias("page"),
+        "string(conv_id) AS tid",
+        "CASE WHEN turn = 0 THEN 'tpc' ELSE string(conv_id * 100000 + turn) END AS post_id",
+        "string(conv_id * 10 + length(role)) AS uid",
+        f"timestamp_seconds({START} + conv_id * 3600 + turn * 60) AS ts",
+        f"CASE WHEN turn = 0 THEN 1L ELSE (turn - 1) div {REPLIES_PER_PAGE} + 1 END AS page",
     )
 
 
-def _post_table(extras: bool) -> Column:
-    c, t = F.col("conv_id"), F.col("turn")
-    s = lambda x: x.cast("string")
-    user = (
-        F.when(F.col("role") == "system", F.lit("<strong>system</strong>"))
-        .when(
-            F.col("role") == "assistant",
-            F.lit('<a href="u.php?action-show.html"><strong>assistant</strong></a>'),
-        )
-        .otherwise(F.concat(F.lit('<a href="u.php?uid-'), "uid", F.lit('.html"><strong>'), "role", F.lit("</strong></a>")))
-    )
-    day = F.lpad(s(c % 28 + 1), 2, "0")
-    info = F.concat(
-        F.lit('<div class="user-info">UID: '), "uid", F.lit('</div><div class="user-info">发帖: '), s(t * 37 % 500),
-        F.lit(" 注册时间: 2020-01-"), day, F.lit(" 最后登录: 2024-02-"), day, F.lit("</div>"),
-    )
-    sign = F.when(t % 2 == 0, F.concat(F.lit('<div class="bianji"> （by '), "role", F.lit("） </div>"))).otherwise("")
-    clock = F.when(t % 2 == 0, F.date_format("ts", "yyyy-M-d H:mm:ss")).otherwise(F.date_format("ts", "yyyy-M-d H:mm"))
-    clock = F.when((c % 10 == 7) & (t == 1), "yesterday").otherwise(clock)
-    time = F.when((c % 10 == 8) & (t == 1), "").otherwise(
-        F.concat(F.lit('<div class="tiptop"><span class="gray"> '), clock, F.lit("</span></div>"))
-    )
-    body = F.replace(escaped(F.col("text")), F.lit("\n"), F.lit("<br>"))
-    if extras:
-        body = F.concat(
-            body,
-            F.when(
-                t % 3 == 1,
-                F.concat(F.lit('<br><img src="//img.example.com/'), s(c % 20), F.lit('.png" alt="pic" loading="lazy">')),
-            ).otherwise(""),
-            F.when(t % 4 == 2, F.concat(F.lit("<br>https://gofile.io/d/s"), s(c % 20))).otherwise(""),
-        )
-    empty = ((c % 20 == 18) & (t == 0)) | ((c % 20 == 8) & (t == 2))
-    content = F.when(
-        empty, F.concat(F.lit('<a href="read.php?tid-0.html#'), "post_id", F.lit('">link</a>'))
-    ).otherwise(F.concat(F.lit('<div id="read_'), "post_id", F.lit('">\n'), body, F.lit(" </div>")))
-    cell = F.when(empty | (c % 3 == 1), F.lit("<th>")).otherwise(F.concat(F.lit('<th class="r_two" id="td_'), "post_id", F.lit('">')))
-    return F.concat(
-        F.lit('<table class="t5 js-post"><tr>'), cell, user, F.lit('<img src="face/'), "uid",
-        F.lit('.png" loading="lazy">'), info, sign, F.lit("</th><td>"), time, content, F.lit("</td></tr></table>"),
-    )
-
-
-def forum_pages(spark: SparkSession, sf_dir: str, repeats: bool = True, extras: bool = True) -> DataFrame:
+# A post as forum markup. Some posts have no content, no time, no cell id or an unreadable time.
+_NO_CONTENT = "((conv_id % 20 = 18 AND turn = 0) OR (conv_id % 20 = 8 AND turn = 2))"
+_USER = """CASE role WHEN 'system' THEN '<strong>system</strong>'
+  WHEN 'assistant' THEN '<a href="u.php?action-show.html"><strong>assistant</strong></a>'
+  ELSE '<a href="u.php?uid-' || uid || '.html"><strong>' || role || '</strong></a>' END"""
+_INFO = """'<div class="user-info">UID: ' || uid || '</div><div class="user-info">发帖: ' || turn * 37 % 500
+  || ' 注册时间: 2020-01-' || lpad(conv_id % 28 + 1, 2, '0') || ' 最后登录: 2024-02-' || lpad(conv_id % 28 + 1, 2, '0') || '</div>'"""
+_SIGN = """CASE WHEN turn % 2 = 0 THEN '<div class="bianji"> （by ' || role || '） </div>' ELSE '' END"""
+_TIME = """CASE WHEN conv_id % 10 = 8 AND turn = 1 THEN '' ELSE '<div class="tiptop"><span class="gray"> '
+  || CASE WHEN conv_id % 10 = 7 AND turn = 1 THEN 'yesterday' WHEN turn % 2 = 0 THEN date_format(ts, 'yyyy-M-d H:mm:ss')
+    ELSE date_format(ts, 'yyyy-M-d H:mm') END || '</span></div>' END"""
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '\\'', '&#39;')"
+_BODY = f"""replace({_ESCAPED}, '\\n', '<br>')
+  || CASE WHEN turn % 3 = 1 THEN '<br><img src="//img.example.com/' || conv_id % 20 || '.png" alt="pic" loading="lazy">' ELSE '' END
+  || CASE WHEN turn % 4 = 2 THEN '<br>https://gofile.io/d/s' || conv_id % 20 ELSE '' END"""
+_POST_TABLE = f"""'<table class="t5 js-post"><tr>'
+  || CASE WHEN {_NO_CONTENT} OR conv_id % 3 = 1 THEN '<th>' ELSE '<th class="r_two" id="td_' || post_id || '">' END
+  || {_USER} || '<img src="face/' || uid || '.png" loading="lazy">' || {_INFO} || {_SIGN} || '</th><td>' || {_TIME}
+  || CASE WHEN {_NO_CONTENT} THEN '<a href="read.php?tid-0.html#' || post_id || '">link</a>'
+    ELSE '<div id="read_' || post_id || '">\\n' || {_BODY} || ' </div>' END || '</td></tr></table>'"""
+
+# A page around its post tables.
+_GOOD_PAGE = """'<!DOCTYPE html><html><head><meta charset="utf-8"><title>'
+  || CASE WHEN conv_id % 3 = 0 THEN 'Topic read.php?tid-' || tid || '.html - Board' ELSE 'Topic' END || '</title><base href="'
+  || CASE WHEN conv_id % 3 = 1 THEN '//forum.example.org/read.php?tid-' || tid || '.html' ELSE 'https://forum.example.org/' END
+  || '"></head><body><div id="breadcrumbs"><a class="crumbs-item">Home</a><a class="crumbs-item gray3">All</a><a class="crumbs-item gray3"> '
+  || CASE WHEN conv_id % 4 = 0 THEN '' ELSE 'Home » ' END || 'Board ' || conv_id % 7 || ' </a></div><h1 id="subject_tpc">&nbsp; Topic #' || tid
+  || ' (a_b) &amp; more!\\n</h1><a href="index.php">i</a><a href="read.php?tid-x.html">x</a><a href="read.php?tid-' || tid || '-fpage-1.html">t</a>'
+  || CASE WHEN conv_id % 2 = 0 THEN '<span class="pagesone">Pages: ' || page || '/' || n_pages || '</span>'
+    ELSE '<a href="read.php?tid-' || tid || '-page-' || page || '.html">this</a><a href="read.php?tid-' || tid || '-page-' || n_pages || '.html">last</a>' END
+  || tables || '</body></html>'"""
+_BAD_PAGE = """CASE conv_id div 10 % 3
+  WHEN 0 THEN '<html><head><title>Just a moment...</title></head><body><p>Checking</p></body></html>'
+  WHEN 1 THEN '<html><head><title>Notice</title></head><body><div>请先登录</div></body></html>'
+  ELSE '<html><head><title>Notice</title></head><body>nothing here</body></html>' END"""
+
+
+def forum_pages(spark: SparkSession, sf_dir: str, repeats: bool = True) -> DataFrame:
     """Forum pages (tid, page, url, html), three replies each.
 
     With ``repeats``, later pages show the main post first as well. Threads with conv_id % 10 = 9 have no posts on their
     pages: a challenge, a login notice or a plain text instead.
     """
     posts = turns(spark, sf_dir)
-    heads = posts.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    heads = posts.groupBy("conv_id").agg(F.expr(f"greatest((max(turn) - 1) div {REPLIES_PER_PAGE} + 1, 1L)").alias("n_pages"))
     rows = lookup(
-        posts.withColumn("post_html", _post_table(extras)), heads, ["conv_id"], F.floor(F.col("turn") / THREAD_BLOCK)
+        posts.selectExpr("conv_id", "tid", "page", "turn", f"{_POST_TABLE} AS post_html"), heads, ["conv_id"], F.expr(f"turn div {THREAD_BLOCK}")
     )
-    pages = rows.groupBy("conv_id", "tid", "page", "last_turn").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("turn", "post_html"))), lambda r: r["post_html"]), "\n"
-        ).alias("tables")
+    pages = rows.groupBy("conv_id", "tid", "page", "n_pages").agg(
+        F.expr("array_join(transform(array_sort(collect_list(struct(turn, post_html))), r -> r.post_html), '\\n')").alias("tables")
     )
     if repeats:
-        mains = posts.where("turn = 0").select("conv_id", _post_table(extras).alias("main_html"))
-        pages = lookup(pages, mains, ["conv_id"], F.floor(F.col("page") / THREAD_BLOCK), "left").withColumn(
-            "tables", F.when(F.col("page") > 1, F.concat("main_html", "tables")).otherwise(F.col("tables"))
-        )
-    c, tid = F.col("conv_id"), F.col("tid")
-    n = F.greatest(F.floor((F.col("last_turn") - 1) / REPLIES_PER_PAGE) + 1, F.lit(1).cast("bigint")).cast("string")
-    name = F.when(c % 3 == 0, F.concat(F.lit("Topic read.php?tid-"), tid, F.lit(".html - Board"))).otherwise("Topic")
-    base = F.when(c % 3 == 1, F.concat(F.lit("//forum.example.org/read.php?tid-"), tid, F.lit(".html"))).otherwise(
-        "https://forum.example.org/"
-    )
-    crumb = F.concat(F.when(c % 4 == 0, "").otherwise("Home » "), F.lit("Board "), (c % 7).cast("string"))
-    pager = F.when(
-        c % 2 == 0, F.concat(F.lit('<span class="pagesone">Pages: '), F.col("page").cast("string"), F.lit("/"), n, F.lit("</span>"))
-    ).otherwise(
-        F.concat(
-            F.lit('<a href="read.php?tid-'), tid, F.lit('-page-'), F.col("page").cast("string"), F.lit('.html">this</a><a href="read.php?tid-'),
-            tid, F.lit("-page-"), n, F.lit('.html">last</a>'),
+        mains = posts.where("turn = 0").selectExpr("conv_id", f"{_POST_TABLE} AS main_html")
+        pages = lookup(pages, mains, ["conv_id"], F.expr(f"page div {THREAD_BLOCK}"), "left").selectExpr(
+            "conv_id", "tid", "page", "n_pages", "CASE WHEN page > 1 THEN main_html || tables ELSE tables END AS tables"
         )
-    )
-    good = F.concat(
-        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), name, F.lit('</title><base href="'), base,
-        F.lit('"></head><body><div id="breadcrumbs"><a class="crumbs-item">Home</a><a class="crumbs-item gray3">All</a>'
-              '<a class="crumbs-item gray3"> '),
-        crumb, F.lit(' </a></div><h1 id="subject_tpc">&nbsp; Topic #'), tid,
-        F.lit(' (a_b) &amp; more!\n</h1><a href="index.php">i</a><a href="read.php?tid-x.html">x</a><a href="read.php?tid-'),
-        tid, F.lit('-fpage-1.html">t</a>'), pager, "tables", F.lit("</body></html>"),
-    )
-    kind = F.floor(c / 10) % 3
-    bad = (
-        F.when(kind == 0, "<html><head><title>Just a moment...</title></head><body><p>Checking</p></body></html>")
-        .when(kind == 1, "<html><head><title>Notice</title></head><body><div>请先登录</div></body></html>")
-        .otherwise("<html><head><title>Notice</title></head><body>nothing here</body></html>")
-    )
-    return pages.select(
-        "tid",
-        "page",
-        F.concat(F.lit("https://forum.example.org/read.php?tid-"), tid, F.lit("-page-"), F.col("page").cast("string")).alias("url"),
-        F.when(c % 10 == 9, bad).otherwise(good).alias("html"),
+    return pages.selectExpr(
+        "tid", "page", "'https://forum.example.org/read.php?tid-' || tid || '-page-' || page AS url",
+        f"CASE WHEN conv_id % 10 = 9 THEN {_BAD_PAGE} ELSE {_GOOD_PAGE} END AS html",
     )
 
 
 def kept_pages(pages: DataFrame) -> DataFrame:
     """Pages that arrived: some later ones are lost."""
-    return pages.where(~((F.col("page") > 1) & ((F.col("tid").cast("bigint") * 7 + F.col("page")) % 11 == 0)))
+    return pages.where("NOT (page > 1 AND (bigint(tid) * 7 + page) % 11 = 0)")
 
 
 def linked_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with image and share links added: (doc_id, tid, position, md)."""
-    d = F.col("doc_id")
-    s = lambda x: x.cast("string")
-    image = F.concat(F.lit("https://cdn.example.com/"), s(d % 50), F.lit(".jpg"))
-    share = F.concat(F.lit("https://gofile.io/d/c"), s(d % 20))
-    md = F.concat(
-        F.col("text"), F.lit("\n\n![a]("), image, F.lit(")\n[plain]("), image, F.lit(") ![rel](pics/"), s(d % 9),
-        F.lit('.png "t")'),
-        F.when(
-            d % 2 == 0,
-            F.concat(F.lit("\n![b]( <https://cdn.example.com/b/"), s(d % 30), F.lit('.gif?x=1> "title")\nsee '), share),
-        ).otherwise(""),
-        F.when(
-            d % 3 == 0,
-            F.concat(F.lit(" and http://www.gofile.io/d/c"), s(d % 20), F.lit(" again "), share, F.lit(" ![a]("), image, F.lit(")")),
-        ).otherwise(""),
-    )
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.floor(d / 5).cast("string").alias("tid"), (d % 5).alias("position"), md.alias("md")
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id",
+        "string(doc_id div 5) AS tid",
+        "doc_id % 5 AS position",
+        """text || '\\n\\n![a](https://cdn.example.com/' || doc_id % 50 || '.jpg)\\n[plain](https://cdn.example.com/' || doc_id % 50
+          || '.jpg) ![rel](pics/' || doc_id % 9 || '.png "t")'
+          || CASE WHEN doc_id % 2 = 0 THEN '\\n![b]( <https://cdn.example.com/b/' || doc_id % 30 || '.gif?x=1> "title")\\nsee https://gofile.io/d/c'
+            || doc_id % 20 ELSE '' END
+          || CASE WHEN doc_id % 3 = 0 THEN ' and http://www.gofile.io/d/c' || doc_id % 20 || ' again https://gofile.io/d/c' || doc_id % 20
+            || ' ![a](https://cdn.example.com/' || doc_id % 50 || '.jpg)' ELSE '' END AS md""",
     )
 
 
 def asset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asset records for some of those images; some unusable, some superseded."""
-    d = F.col("doc_id")
-    s = lambda x: x.cast("string")
     docs = table(spark, sf_dir, "documents").select("doc_id")
 
-    def records(where: Column, url: Column, local: Column, downloaded: Column, seq: Column) -> DataFrame:
-        return docs.where(where).select(
-            F.floor(d / 5).cast("string").alias("tid"), url.alias("url"), local.alias("local"), F.lit("").alias("alt"),
-            (d * 3).alias("file_size"), downloaded.alias("downloaded"), seq.alias("seq"),
+    def records(where: str, url: str, local: str, downloaded: str, seq: str) -> DataFrame:
+        return docs.where(where).selectExpr(
+            "string(doc_id div 5) AS tid", f"{url} AS url", f"{local} AS local", "'' AS alt", "doc_id * 3 AS file_size",
+            f"{downloaded} AS downloaded", f"{seq} AS seq",
         )
 
-    a = F.concat(F.lit("https://cdn.example.com/"), s(d % 50), F.lit(".jpg"))
-    b = F.concat(F.lit("https://cdn.example.com/b/"), s(d % 30), F.lit(".gif?x=1"))
-    late = F.lit(10**12)
+    a = "'https://cdn.example.com/' || doc_id % 50 || '.jpg'"
+    b = "'https://cdn.example.com/b/' || doc_id % 30 || '.gif?x=1'"
     return (
-        records(d % 3 != 2, a, F.when(d % 11 == 0, "").otherwise(F.concat(F.lit("a"), s(d % 50), F.lit(".jpg"))), d % 7 != 0, d)
-        .unionByName(records(d % 4 == 0, b, F.concat(F.lit("b"), s(d % 30), F.lit(".gif")), F.lit(True), d))
-        .unionByName(records(d % 6 == 0, a, F.concat(F.lit("late"), s(d % 50), F.lit(".jpg")), d % 12 == 0, d + late))
+        records("doc_id % 3 <> 2", a, "CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'a' || doc_id % 50 || '.jpg' END", "doc_id % 7 <> 0", "doc_id")
+        .unionByName(records("doc_id % 4 = 0", b, "'b' || doc_id % 30 || '.gif'", "true", "doc_id"))
+        .unionByName(records("doc_id % 6 = 0", a, "'late' || doc_id % 50 || '.jpg'", "doc_id % 12 = 0", "doc_id + 1000000000000"))
     )
 
 
 def share_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(old, new) share records for some of those share links."""
-    d = F.col("doc_id")
-    s = lambda x: x.cast("string")
     docs = table(spark, sf_dir, "documents").select("doc_id")
 
-    def records(where: Column, downloaded: Column, folder: str) -> DataFrame:
-        cid = F.concat(F.lit("c"), s(d % 20))
-        return docs.where(where).select(
-            F.floor(d / 5).cast("string").alias("tid"),
-            F.concat(F.lit("https://gofile.io/d/"), cid).alias("url"),
-            cid.alias("content_id"),
-            F.concat(F.lit(f"{folder}/"), cid).alias("local_dir"),
-            F.when(downloaded, d % 4 + 1).otherwise(0).cast("bigint").alias("n_files"),
-            downloaded.alias("downloaded"),
-            F.when(downloaded, "").otherwise("download_failed").alias("error"),
-            d.alias("seq"),
+    def records(where: str, downloaded: str, folder: str) -> DataFrame:
+        return docs.where(where).selectExpr(
+            "string(doc_id div 5) AS tid",
+            "'https://gofile.io/d/c' || doc_id % 20 AS url",
+            "'c' || doc_id % 20 AS content_id",
+            f"'{folder}/c' || doc_id % 20 AS local_dir",
+            f"CASE WHEN {downloaded} THEN doc_id % 4 + 1 ELSE 0L END AS n_files",
+            f"{downloaded} AS downloaded",
+            f"CASE WHEN {downloaded} THEN '' ELSE 'download_failed' END AS error",
+            "doc_id AS seq",
         )
 
-    return records(d % 2 == 0, d % 5 != 0, "shares"), records(d % 4 == 0, d % 8 == 0, "new")
+    return records("doc_id % 2 = 0", "doc_id % 5 <> 0", "shares"), records("doc_id % 4 = 0", "doc_id % 8 = 0", "new")
 
 
 def share_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local files of shared content: (tid, content_id, path); partial files among them."""
-    d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").where(d % 3 != 1).select(
-        F.col("source").alias("tid"),
-        F.concat(F.lit("c"), (d % 20).cast("string")).alias("content_id"),
-        F.concat("lang", F.lit("/"), d.cast("string"), F.when(d % 9 == 0, ".part").otherwise(".txt")).alias("path"),
+    return table(spark, sf_dir, "documents").where("doc_id % 3 <> 1").selectExpr(
+        "source AS tid",
+        "'c' || doc_id % 20 AS content_id",
+        "lang || '/' || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.part' ELSE '.txt' END AS path",
     )
 
 
