@@ -213,14 +213,14 @@ def compile_selector(selector):
     """List of alternatives, each a list of compound selectors joined by descent; None if not understood."""
     if selector not in _compiled:
         try:
-            _compiled[selector] = [[_compound(part) for part in _parts(alt)] for alt in selector.split(",")]
+            _compiled[selector] = [[_compound(part) for part in _parts(alt)] for alt in re.split(r",(?![^\[]*\])", selector)]
         except ValueError:
             _compiled[selector] = None
     return _compiled[selector]
 
 
 def _parts(text):
-    parts = re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", text)
+    parts = re.findall(r"(?:\[[^\]]*\]|\S)+", text)
     if not parts:
         raise ValueError(text)
     return parts
