@@ -56,21 +56,20 @@ def test_strict_and_lenient(threads):
 
 
 def test_reference_mode(threads):
-    posts = assemble.assemble_posts(assemble.usable_pages(threads, strict=False), fallback())
+    heads, posts = assemble.assemble(threads, fallback(), strict=False)
     assert ids(posts) == {
         "a": [(0, "GF", "m"), (1, "B1F", "1"), (2, "B2F", "2"), (3, "B1F", "3"), (4, "B1F", "4"), (5, "B2F", "5")],
         "b": [(0, "GF", "m"), (1, "B1F", "1"), (2, "B1F", "2")],
         "e": [(0, "GF", "m")],
     }
-    heads = assemble.assemble_threads(threads, posts).orderBy("tid").collect()
-    assert [(r.tid, r.title, r.total_floors) for r in heads] == [("a", "T", 6), ("b", "T", 3), ("e", "T", 1)]
+    assert [(r.tid, r.title, r.total_floors) for r in heads.orderBy("tid").collect()] == [("a", "T", 6), ("b", "T", 3), ("e", "T", 1)]
 
 
 def test_continuous_mode(spark):
     pages = pages_of(spark, [("a", 1, page(["m", 1], 2)), ("a", 2, page([2, 3], 2))])
-    posts = assemble.assemble_posts(pages, fallback(), "continuous", repeats_main_post=False)
+    _, posts = assemble.assemble(pages, fallback(), mode="continuous", repeats_main_post=False)
     assert ids(posts) == {"a": [(0, "GF", "m"), (1, "B1F", "1"), (2, "B2F", "2"), (3, "B3F", "3")]}
-    lossy = assemble.assemble_posts(pages, fallback())
+    _, lossy = assemble.assemble(pages, fallback())
     assert ids(lossy) == {"a": [(0, "GF", "m"), (1, "B1F", "1"), (2, "B1F", "3")]}
 
 
@@ -90,11 +89,10 @@ def test_a_huge_thread_is_cut_into_parts(spark):
     """One thread of 400 pages among small ones: positions run on, parts join to the whole text."""
     rows = [("hot", p, page(["m", f"{p}x", f"{p}y"], 400)) for p in range(1, 401)] + [(str(t), 1, page(["m"], 1)) for t in range(50)]
     pages = pages_of(spark, rows)
-    posts = written(assemble.assemble_posts(assemble.usable_pages(pages), fallback()), "test-posts")
+    threads, posts = assemble.assemble(pages, fallback())
     hot = posts.where("tid = 'hot'").orderBy("position").select("position", "post_id").collect()
     assert [r.position for r in hot] == list(range(801))
     assert [r.post_id for r in hot[:4]] == ["m", "1x", "1y", "2x"] and hot[-1].post_id == "400y"
-    threads = assemble.assemble_threads(pages, posts)
     made = F.lit("2024-05-06 07:08:09").cast("timestamp")
     whole = {r.tid: r.markdown for r in render_threads(threads, render_posts(posts), made, part_posts=10**6).collect()}
     parts = render_threads(threads, render_posts(posts), made, part_posts=37).orderBy("tid", "part").collect()
@@ -110,6 +108,6 @@ def test_a_huge_thread_is_cut_into_parts(spark):
 
 
 def test_reply_blocks(threads):
-    posts = assemble.assemble_posts(assemble.usable_pages(threads), fallback())
+    _, posts = assemble.assemble(threads, fallback())
     blocks = assemble.reply_blocks(posts, block=2).where("tid = 'a'").orderBy("block").collect()
     assert [[r.post_id for r in b.replies] for b in blocks] == [["1", "2"], ["3", "4"], ["5"]]

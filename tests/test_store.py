@@ -106,7 +106,7 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.ingest_pages_stream(spark, source, path, progress).awaitTermination()
     last = spark.read.parquet(f"{path}/pages").agg(F.max("gen")).first()[0]
     assert last == 2
-    assert {r.tid for r in ingest.current_pages(spark, path, last).collect()} == {"a"}
+    assert {r.tid for r in ingest.newest_pages(spark, path, last).collect()} == {"a"}
     ingest.publish(spark, path, last, fallback())
     assert state(spark, path) == [("a", 0, "m"), ("a", 1, "1"), ("a", 2, "3"), ("b", 0, "m")]
 
@@ -116,4 +116,4 @@ def test_a_batch_can_be_repeated(spark, tmp_path):
     batch = spark.createDataFrame([("a", 1, page(["m", 1], 1))], "tid string, page bigint, html string")
     for _ in range(2):
         ingest.ingest_batch(batch, 0, path)
-    assert ingest.current_pages(spark, path).count() == 1
+    assert ingest.newest_pages(spark, path).count() == 1

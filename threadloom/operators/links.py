@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.urls import extension, is_remote
 from threadloom.operators.spread import lookup, number_within
+from threadloom.session import written
 
 _WS = r"[\t\n\f\r ]"
 
@@ -66,7 +67,7 @@ def annotate_share_links(markdown: Column, dir_by_url: Column) -> Column:
     return F.when(dir_by_url.isNull(), markdown).otherwise(rewritten)
 
 
-def link_rows(posts: DataFrame, links: Column, block: int = 100_000) -> DataFrame:
+def link_rows(posts: DataFrame, links: Column) -> DataFrame:
     """One row per post and link: (tid, position, url)."""
     return posts.select("tid", "position", F.explode(links).alias("url"))
 
@@ -99,28 +100,32 @@ def pending_assets(links: DataFrame, assets: DataFrame) -> DataFrame:
     return links.select("tid", "url").distinct().join(usable_assets(assets), ["tid", "url"], "left_anti")
 
 
-def link_maps(resolved: DataFrame, target: str, name: str) -> DataFrame:
-    """(tid, position, map url -> target), one row per post that has any hit. Bounded by the links of one post."""
-    return resolved.groupBy("tid", "position").agg(
-        F.map_from_entries(F.collect_list(F.struct("url", target))).alias(name)
-    )
+def link_maps(resolved: DataFrame) -> DataFrame:
+    """(tid, position, _images, _shares): maps from URL to ``image`` or ``share`` of each post that has a hit.
+
+    Bounded by the links of one post.
+    """
+
+    def mapped(target: str) -> Column:
+        pairs = F.collect_list(F.when(F.col(target).isNotNull(), F.struct("url", target)))
+        return F.when(F.count(target) > 0, F.map_from_entries(pairs))
+
+    return resolved.groupBy("tid", "position").agg(mapped("image").alias("_images"), mapped("share").alias("_shares"))
 
 
 def localise_posts(posts: DataFrame, assets: DataFrame, shares: DataFrame, body: str = "content_md") -> DataFrame:
     """Posts with image links rewritten first and share links annotated after that.
 
-    ``posts`` is read for its links as well as its text: give a written table when it comes from a parse. Only posts
-    with a hit take part in a look-up; text is shuffled once, by (tid, position).
+    ``posts`` should be a written table when it comes from a parse. Texts are read twice: once for their links, which
+    are written as a small table that the look-ups work on, and once to be rewritten. They are shuffled once, by
+    (tid, position); the link maps of a partition are small beside its texts, so they are hashed and texts not sorted.
     """
-    images = link_maps(
-        resolve_links(link_rows(posts, image_links(F.col(body))), usable_assets(assets), "inner"), "local", "_images"
-    )
-    shared = link_maps(
-        resolve_links(link_rows(posts, share_links(F.col(body))), usable_shares(shares), "inner"),
-        "local_dir",
-        "_shares",
-    )
-    joined = posts.join(images, ["tid", "position"], "left").join(shared, ["tid", "position"], "left")
+    found = posts.select("tid", "position", image_links(F.col(body)).alias("images"), share_links(F.col(body)).alias("shares"))
+    found = written(found.where((F.size("images") > 0) | (F.size("shares") > 0)), "links")
+    images = resolve_links(link_rows(found, F.col("images")), usable_assets(assets), "inner")
+    shared = resolve_links(link_rows(found, F.col("shares")), usable_shares(shares), "inner")
+    maps = link_maps(images.withColumnRenamed("local", "image").unionByName(shared.withColumnRenamed("local_dir", "share"), allowMissingColumns=True))
+    joined = posts.join(maps.hint("shuffle_hash"), ["tid", "position"], "left")
     text = annotate_share_links(rewrite_image_links(F.col(body), F.col("_images")), F.col("_shares"))
     return joined.withColumn(body, text).drop("_images", "_shares")
 

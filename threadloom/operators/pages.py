@@ -24,6 +24,10 @@ PARSED_FIELDS = T.StructType(
         T.StructField("pages_text", T.StringType()),
         T.StructField("tid_links", T.ArrayType(T.StringType())),
         T.StructField("page_links", T.ArrayType(T.StringType())),
+        # Kept beside the posts, so that checks and positions can be worked out without reading them.
+        T.StructField("n_posts", T.IntegerType()),
+        T.StructField("first_has_content", T.BooleanType()),
+        T.StructField("first_time_text", T.StringType()),
         T.StructField("posts", T.ArrayType(POST_NODES)),
     ]
 )
@@ -67,18 +71,21 @@ def _page_reader(profile: PageProfile, keep: list[str], with_html: bool, with_ma
 
     def page_of(html):
         scope = dom.Scope(dom.parse(html))
-        tables = scope.select(profile.post_table)
+        posts = [post_of(i, table) for i, table in enumerate(scope.select(profile.post_table))]
         return {
             "title_text": first_text(scope, profile.title),
             "page_title_text": first_text(scope, "title") or "",
             # Only needed to tell why a page has no post table.
-            "body_text": "" if tables else joined_text(scope, "body"),
+            "body_text": "" if posts else joined_text(scope, "body"),
             "base_href": first_attr(scope, "base", "href"),
             "forum_text": first_text(scope, profile.forum),
             "pages_text": first_text(scope, ".pagesone") or "",
             "tid_links": [node.attrs["href"] for node in scope.select("a[href*='tid-']")],
             "page_links": [node.attrs["href"] for node in scope.select("a[href*='page-']")],
-            "posts": [post_of(i, table) for i, table in enumerate(tables)],
+            "n_posts": len(posts),
+            "first_has_content": bool(posts) and posts[0]["has_content"],
+            "first_time_text": posts[0]["time_text"] if posts else None,
+            "posts": posts,
         }
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,8 +200,8 @@ def page_error() -> Column:
         return f"named_struct('type', '{kind}', 'code', '{code}', 'message', '{message}')"
 
     return F.expr(
-        f"""CASE WHEN get(posts, 0).has_content THEN NULL
-          WHEN size(posts) > 0 THEN {error("validation_error", "VALID001", "no post content")}
+        f"""CASE WHEN first_has_content THEN NULL
+          WHEN n_posts > 0 THEN {error("validation_error", "VALID001", "no post content")}
           WHEN {any_of("page_title_text", CHALLENGE_TITLES)} OR {any_of("body_text", CHALLENGE_BODY)}
             THEN {error("auth_error", "AUTH001", "challenge page")}
           WHEN {any_of("body_text", LOGIN_BODY)} THEN {error("auth_error", "AUTH001", "not logged in")}

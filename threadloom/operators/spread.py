@@ -27,23 +27,25 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], block: Column, how:
     return blocked.join(hits, [*on, "_block"], how).drop("_block")
 
 
-def running_offsets(counts: DataFrame, key: str, step: str, value: str, block: int = PAGE_BLOCK) -> DataFrame:
+def running_offsets(
+    counts: DataFrame, key: str, step: str, value: str, block: int = PAGE_BLOCK, count: str | None = None
+) -> DataFrame:
     """Add ``offset``: the sum of ``value`` over smaller ``step`` values of the same key.
 
     ``step`` is a non-negative integer, unique within its key. Sums are taken inside blocks of ``block`` steps and
-    then over block totals, so the largest sort is over ``block`` rows or over max(step) / block totals.
+    then over block totals, so the largest sort is over ``block`` rows or over max(step) / block totals. ``count`` names
+    a further column for the number of rows of the key.
     """
     rows = counts.withColumn("_block", F.floor(F.col(step) / block).cast("bigint"))
     inside = Window.partitionBy(key, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        rows.groupBy(key, "_block")
-        .agg(F.sum(value).alias("_total"))
-        .select(key, "_block", F.coalesce(F.sum("_total").over(along), F.lit(0)).alias("_before"))
-    )
+    totals = rows.groupBy(key, "_block").agg(F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_n"))
+    before = [F.coalesce(F.sum("_total").over(along), F.lit(0)).alias("_before")]
+    if count:
+        before.append(F.sum("_n").over(Window.partitionBy(key)).alias(count))
     return (
         rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(before, [key, "_block"])
+        .join(totals.select(key, "_block", *before), [key, "_block"])
         .withColumn("offset", F.col("_before") + F.col("_inside"))
         .drop("_block", "_before", "_inside")
     )

@@ -186,26 +186,24 @@ def page_completeness_lenient(spark, sf_dir):
     return assemble.page_completeness(assemble.thread_checks(_lossy(spark, sf_dir)), strict=False)
 
 
-def _assembled(spark, sf_dir, mode, repeats, kept=False, strict=True, **options):
-    usable = assemble.usable_pages(_written_forum(spark, sf_dir, repeats=repeats, kept=kept, **options), strict)
-    placed = assemble.assemble_posts(usable, inputs.timestamp(inputs.FALLBACK), mode, repeats)
-    return usable, placed
+def _assembled(spark, sf_dir, mode="reference", repeats=True, kept=False, strict=True, **options):
+    """(threads, posts) of the forum pages."""
+    source = _written_forum(spark, sf_dir, repeats=repeats, kept=kept, **options)
+    return assemble.assemble(source, inputs.timestamp(inputs.FALLBACK), strict, mode, repeats)
 
 
-def _thread_rows(usable, placed):
-    return assemble.assemble_threads(usable, placed).select(
-        "tid", "title", "url", "forum", "total_floors", _clock("created_at").alias("created_at")
-    )
+def _thread_rows(threads):
+    return threads.select("tid", "title", "url", "forum", "total_floors", _clock("created_at").alias("created_at"))
 
 
 @query
 def assemble_threads(spark, sf_dir):
-    return _thread_rows(*_assembled(spark, sf_dir, "reference", True, with_html=False))
+    return _thread_rows(_assembled(spark, sf_dir, with_html=False)[0])
 
 
 @query
 def assemble_threads_lenient(spark, sf_dir):
-    return _thread_rows(*_assembled(spark, sf_dir, "reference", True, kept=True, strict=False, with_html=False))
+    return _thread_rows(_assembled(spark, sf_dir, kept=True, strict=False, with_html=False)[0])
 
 
 def _post_rows(placed):
@@ -227,7 +225,7 @@ def assemble_posts_continuous(spark, sf_dir):
 
 @query
 def reply_blocks(spark, sf_dir):
-    blocks = assemble.reply_blocks(_assembled(spark, sf_dir, "reference", True, with_html=False)[1], block=2)
+    blocks = assemble.reply_blocks(_assembled(spark, sf_dir, with_html=False)[1], block=2)
     ids = F.transform("replies", lambda r: F.concat(r["position"].cast("string"), F.lit(":"), r["post_id"]))
     return blocks.select("tid", "block", F.array_join(ids, ",").alias("replies"))
 
@@ -267,9 +265,9 @@ def escape_markdown(spark, sf_dir):
     return docs.select("doc_id", text_fn.escape_markdown(F.col("text")).alias("escaped"))
 
 
-def _forum_records(placed):
-    """Asset and share records for every other thread that has links."""
-    even = placed.select("tid").distinct().where("CAST(tid AS BIGINT) % 2 = 0")
+def _forum_records(threads):
+    """Asset and share records for every other thread."""
+    even = threads.select("tid").where("CAST(tid AS BIGINT) % 2 = 0")
     number = (F.col("tid").cast("bigint") % 20).cast("string")
     zero = F.lit(0).cast("bigint").alias("seq")
     assets = even.select(
@@ -285,10 +283,9 @@ def _forum_records(placed):
 
 def _rendered_forum(spark, sf_dir):
     """The whole way: pages, parse, assembly, links, Markdown."""
-    usable, placed = _assembled(spark, sf_dir, "reference", True, with_html=False, with_markdown=True)
+    threads, placed = _assembled(spark, sf_dir, with_html=False, with_markdown=True)
     placed = written(placed, "posts")
-    local = links.localise_posts(placed, *_forum_records(placed))
-    threads = assemble.assemble_threads(usable, placed)
+    local = links.localise_posts(placed, *_forum_records(threads))
     return markdown.render_threads(threads, markdown.render_posts(local), inputs.timestamp(inputs.GENERATED_AT))
 
 
@@ -330,7 +327,9 @@ def extract_share_links(spark, sf_dir):
 
 
 def _image_rows(spark, sf_dir):
-    return links.link_rows(inputs.linked_posts(spark, sf_dir), links.image_links(F.col("md")))
+    """Image links as a table of their own, so that texts are searched once."""
+    found = links.link_rows(inputs.linked_posts(spark, sf_dir), links.image_links(F.col("md")))
+    return written(found, "image-links")
 
 
 @query
@@ -347,7 +346,7 @@ def pending_assets(spark, sf_dir):
 
 @query
 def resolve_shares(spark, sf_dir):
-    wanted = links.link_rows(inputs.linked_posts(spark, sf_dir), links.share_links(F.col("md")))
+    wanted = written(links.link_rows(inputs.linked_posts(spark, sf_dir), links.share_links(F.col("md"))), "share-links")
     known = links.usable_shares(links.share_upsert(*inputs.share_records(spark, sf_dir)))
     return links.resolve_links(wanted, known).select("tid", "position", "url", F.coalesce("local_dir", F.lit("")).alias("local_dir"))
 

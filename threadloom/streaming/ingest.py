@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from threadloom.operators.assemble import assemble_posts, assemble_threads, usable_pages
+from threadloom.operators.assemble import assemble_posts, assemble_threads, page_index
 from threadloom.operators.pages import parse_pages, with_page_fields
 from threadloom.operators.spread import PAGE_BLOCK, lookup
 from threadloom.page_profile import FORUM, PageProfile
@@ -24,18 +24,20 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: str, profile: PageProfi
     parsed.sortWithinPartitions("tid", "page").write.mode("overwrite").parquet(f"{store}/pages/gen={batch_id}")
 
 
-def current_pages(spark: SparkSession, store: str, since: int = 0) -> DataFrame:
-    """Newest version of each page of the threads that generations from ``since`` on have touched.
+def newest_pages(spark: SparkSession, store: str, since: int = 0) -> DataFrame:
+    """Newest version (tid, page, gen, ...) of each page of the threads that generations from ``since`` on have touched.
 
-    The choice is made on ids alone; page contents are then fetched by their exact (tid, page, gen).
+    Holds what page_index() and headers need, and no post contents: those are fetched later by exact (tid, page, gen).
     """
-    state = spark.read.parquet(f"{store}/pages")
-    ids = state.select("tid", "page", "gen")
+    state = with_page_fields(spark.read.parquet(f"{store}/pages"))
+    light = state.select(
+        "tid", "page", "gen", "title", "forum", "base_url", "total_pages", "error", "n_posts", "first_time_text"
+    )
     if since > 0:
-        touched = ids.where(F.col("gen") >= since).select("tid").distinct()
-        ids = lookup(ids, touched, ["tid"], F.floor(F.col("page") / PAGE_BLOCK))
-    newest = ids.groupBy("tid", "page").agg(F.max("gen").alias("gen"))
-    return state.join(newest, ["tid", "page", "gen"])
+        touched = light.where(F.col("gen") >= since).select("tid").distinct()
+        light = lookup(light, touched, ["tid"], F.floor(F.col("page") / PAGE_BLOCK))
+    rest = [c for c in light.columns if c not in ("tid", "page")]
+    return light.groupBy("tid", "page").agg(F.max_by(F.struct(*rest), "gen").alias("_p")).select("tid", "page", "_p.*")
 
 
 def publish(
@@ -46,10 +48,13 @@ def publish(
 
     Run it as often as readers need fresh threads; it reads the state once for all batches in between.
     """
-    latest = spark.read.parquet(f"{store}/pages").agg(F.max("gen")).first()[0]
-    pages = written(usable_pages(with_page_fields(current_pages(spark, store, since).drop("gen")), strict), "pages")
-    posts = written(assemble_posts(pages, fallback_ts, mode, repeats_main_post), "posts")
-    store_threads(store, latest, assemble_threads(pages, posts), posts)
+    state = spark.read.parquet(f"{store}/pages")
+    latest = state.agg(F.max("gen")).first()[0]
+    newest = written(newest_pages(spark, store, since), "newest-pages")
+    index = written(page_index(newest, strict, mode, repeats_main_post, carry=("gen",)), "page-index")
+    contents = state.select("tid", "page", "gen", "posts")
+    posts = assemble_posts(contents, index, fallback_ts, mode)
+    store_threads(store, latest, assemble_threads(newest, index, fallback_ts), posts)
 
 
 def ingest_pages_stream(
