@@ -30,7 +30,7 @@ def test_no_query_compares_all_pairs(spark, capsys, name):
 @pytest.mark.parametrize("name", ["verify_manifest", "audit_transfers", "render_threads", "resolve_assets", "match_rules", "flatten_tree", "dedupe_names"])
 def test_no_python_in_relational_queries(spark, capsys, name):
     text = plan(QUERIES[name](spark, SF_DIR), capsys)
-    assert not re.search(r"(MapInPandas|ArrowEvalPython|BatchEvalPython)", text)
+    assert not re.search(r"(MapInArrow|ArrowEvalPython|BatchEvalPython)", text)
 
 
 def test_scans_read_only_the_columns_they_need(spark, capsys):
@@ -61,4 +61,4 @@ def test_rendering_moves_post_text_once(spark, capsys):
 def test_parsing_is_not_repeated(spark, capsys):
     """Assembly reads the written parse; its plan has no parser in it."""
     text = plan(QUERIES["assemble_threads"](spark, SF_DIR), capsys)
-    assert "MapInPandas" not in text
+    assert "MapInArrow" not in text

@@ -227,48 +227,52 @@ def _parts(text):
 
 
 def _compound(text):
+    """(tag, class, attribute, tests): what an element must have, and predicates for the rest."""
+    tag = cls = attr = None
     tests, at = [], 0
     while at < len(text):
         match = _SIMPLE.match(text, at)
         if not match or (match["tag"] and at):
             raise ValueError(text)
-        tests.append(match.groupdict())
         at = match.end()
-    return tests
-
-
-def _fits(node, tests):
-    for test in tests:
-        if test["tag"]:
-            if test["tag"] != "*" and node.tag != test["tag"].lower():
-                return False
-        elif test["id"]:
-            if node.attrs.get("id") != test["id"]:
-                return False
-        elif test["cls"]:
-            if test["cls"] not in node.attrs.get("class", "").split():
-                return False
-        elif test["nth"]:
-            elements = [child for child in node.parent.children if not isinstance(child, str)]
-            nth = int(test["nth"])
-            if nth < 1 or nth > len(elements) or elements[nth - 1] is not node:
-                return False
+        if match["tag"]:
+            tag = match["tag"].lower() if match["tag"] != "*" else None
+        elif match["nth"]:
+            tests.append(_nth_test(int(match["nth"])))
+        elif match["cls"]:
+            cls = cls or match["cls"]
+            tests.append(_attr_test("class", "~=", match["cls"]))
         else:
-            have, want = node.attrs.get(test["attr"]), test["val"]
-            if have is None:
-                return False
-            op = test["op"]
-            if op and not (
-                (op == "=" and have == want)
-                or (op != "=" and want and (
-                    (op == "*=" and want in have)
-                    or (op == "^=" and have.startswith(want))
-                    or (op == "$=" and have.endswith(want))
-                    or (op == "~=" and want in have.split())
-                ))
-            ):
-                return False
-    return True
+            name, op, value = ("id", "=", match["id"]) if match["id"] else (match["attr"], match["op"], match["val"])
+            attr = attr or name
+            tests.append(_attr_test(name, op, value))
+    return tag, cls, attr, tests
+
+
+def _attr_test(name, op, want):
+    # As in CSS, an empty value matches nothing but equality.
+    compare = {
+        None: lambda have: True,
+        "=": lambda have: have == want,
+        "*=": lambda have: want != "" and want in have,
+        "^=": lambda have: want != "" and have.startswith(want),
+        "$=": lambda have: want != "" and have.endswith(want),
+        "~=": lambda have: want in have.split(),
+    }[op]
+    return lambda node: name in node.attrs and compare(node.attrs[name])
+
+
+def _nth_test(nth):
+    def test(node):
+        elements = [child for child in node.parent.children if not isinstance(child, str)]
+        return 1 <= nth <= len(elements) and elements[nth - 1] is node
+
+    return test
+
+
+def _fits(node, compound):
+    tag, _, _, tests = compound
+    return (tag is None or node.tag == tag) and all(test(node) for test in tests)
 
 
 def _under(node, chain):
@@ -284,14 +288,27 @@ def _under(node, chain):
 
 
 class Scope:
-    """The elements below a node, in document order, with those of each tag at hand."""
+    """The elements below a node, in document order, with those of a tag, class or attribute at hand."""
 
-    __slots__ = ("by_tag", "nodes")
+    __slots__ = ("by_attr", "by_class", "by_tag", "nodes")
 
     def __init__(self, root):
-        self.nodes, self.by_tag = list(root.walk()), {}
+        self.nodes, self.by_tag, self.by_class, self.by_attr = list(root.walk()), {}, {}, {}
         for node in self.nodes:
             self.by_tag.setdefault(node.tag, []).append(node)
+            for name in node.attrs:
+                self.by_attr.setdefault(name, []).append(node)
+            if "class" in node.attrs:
+                for name in set(node.attrs["class"].split()):
+                    self.by_class.setdefault(name, []).append(node)
+
+    def _candidates(self, compound):
+        tag, cls, attr, _ = compound
+        if cls:
+            return self.by_class.get(cls, ())
+        if attr and not tag:
+            return self.by_attr.get(attr, ())
+        return self.by_tag.get(tag, ()) if tag else self.nodes
 
     def select(self, selector):
         """Elements that fit the selector."""
@@ -299,10 +316,6 @@ class Scope:
         if alternatives is None:
             return []
         if len(alternatives) == 1:
-            chain = alternatives[0]
-            last, above = chain[-1], chain[:-1]
-            nodes = self.nodes
-            if last[0]["tag"] not in (None, "*"):
-                nodes, last = self.by_tag.get(last[0]["tag"].lower(), ()), last[1:]
-            return [n for n in nodes if (not last or _fits(n, last)) and (not above or _under(n, above))]
+            *above, last = alternatives[0]
+            return [n for n in self._candidates(last) if _fits(n, last) and (not above or _under(n, above))]
         return [n for n in self.nodes if any(_fits(n, alt[-1]) and _under(n, alt[:-1]) for alt in alternatives)]

@@ -15,6 +15,8 @@ _WS = r"[\t\n\f\r ]"
 IMAGE_LINK = rf"(!\[[^\]]*\]\({_WS}*<?)([^)>\t\n\f\r ]+)(>?[^)]*\))"
 # Fixed value: a share link; group 1 is its content id.
 SHARE_LINK = r"https?://(?:www\.)?gofile\.io/d/([A-Za-z0-9]+)"
+# Every share link holds this text.
+SHARE_MARK = "gofile.io/d/"
 
 IMAGE_DIR = "images"
 SHARE_DIR = "shares"
@@ -120,8 +122,11 @@ def localise_posts(posts: DataFrame, assets: DataFrame, shares: DataFrame, body:
     are written as a small table that the look-ups work on, and once to be rewritten. They are shuffled once, by
     (tid, position); the link maps of a partition are small beside its texts, so they are hashed and texts not sorted.
     """
-    found = posts.select("tid", "position", image_links(F.col(body)).alias("images"), share_links(F.col(body)).alias("shares"))
-    found = written(found.where((F.size("images") > 0) | (F.size("shares") > 0)), "links")
+    may_link = F.col(body).contains("![") | F.col(body).contains(SHARE_MARK)
+    found = posts.where(may_link).select(
+        "tid", "position", image_links(F.col(body)).alias("images"), share_links(F.col(body)).alias("shares")
+    )
+    found = written(found, "links")
     images = resolve_links(link_rows(found, F.col("images")), usable_assets(assets), "inner")
     shared = resolve_links(link_rows(found, F.col("shares")), usable_shares(shares), "inner")
     maps = link_maps(images.withColumnRenamed("local", "image").unionByName(shared.withColumnRenamed("local_dir", "share"), allowMissingColumns=True))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from threadloom.functions import dom, markdown_text
 from threadloom.functions.text import unicode_trim
@@ -33,8 +34,16 @@ PARSED_FIELDS = T.StructType(
 )
 
 
+def _with_carried(batch: pa.RecordBatch, names: list[str], fields: pa.RecordBatch) -> pa.RecordBatch:
+    """Carried columns as they came, followed by the new ones."""
+    return pa.RecordBatch.from_arrays(
+        [batch.column(name) for name in names] + fields.columns, names=names + fields.schema.names
+    )
+
+
 def _page_reader(profile: PageProfile, keep: list[str], with_html: bool, with_markdown: bool):
-    """Function over pandas batches that turns the html column into the fields above."""
+    """Function over Arrow batches that turns the html column into the fields above."""
+    schema = to_arrow_schema(PARSED_FIELDS)
 
     def first_attr(scope, selector, attr):
         found = scope.select(selector)
@@ -50,11 +59,12 @@ def _page_reader(profile: PageProfile, keep: list[str], with_html: bool, with_ma
     def post_of(ord_, table):
         scope = dom.Scope(table)
         content = scope.select(profile.post_content)
+        linked = scope.select('a[href*="u.php"] strong')
         # Where the author block keeps its fields.
         return {
             "ord": ord_,
-            "user_link_strong": joined_text(scope, 'a[href*="u.php"] strong'),
-            "has_user_link_strong": bool(scope.select('a[href*="u.php"] strong')),
+            "user_link_strong": "".join(node.text() for node in linked),
+            "has_user_link_strong": bool(linked),
             "any_strong": joined_text(scope, "strong"),
             "user_href": first_attr(scope, 'a[href*="u.php"]', "href"),
             "avatar_src": first_attr(scope, 'img[loading="lazy"]', "src"),
@@ -88,12 +98,10 @@ def _page_reader(profile: PageProfile, keep: list[str], with_html: bool, with_ma
             "posts": posts,
         }
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pd.DataFrame([page_of(html) for html in batch["html"]], columns=PARSED_FIELDS.names)
-            for name in reversed(keep):
-                out.insert(0, name, batch[name].to_numpy())
-            yield out
+            pages = [page_of(html) for html in batch.column("html").to_pylist()]
+            yield _with_carried(batch, keep, pa.RecordBatch.from_pylist(pages, schema))
 
     return read
 
@@ -105,7 +113,7 @@ def parse_pages(
     keep = [field for field in df.schema.fields if field.name != "html"]
     schema = T.StructType(keep + PARSED_FIELDS.fields)
     reader = _page_reader(profile, [field.name for field in keep], with_html, with_markdown)
-    return df.mapInPandas(reader, schema)
+    return df.mapInArrow(reader, schema)
 
 
 NODE_FIELDS = T.StructType(
@@ -124,16 +132,21 @@ def select_nodes(df: DataFrame, selector: str) -> DataFrame:
     keep = [field for field in df.schema.fields if field.name != "html"]
     names = [field.name for field in keep]
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(NODE_FIELDS)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for record in batch.itertuples(index=False):
-                carried = [getattr(record, name) for name in names]
-                for i, node in enumerate(dom.Scope(dom.parse(record.html)).select(selector)):
-                    rows.append([*carried, i, node.tag, node.attrs, node.text(), node.inner_html()])
-            yield pd.DataFrame(rows, columns=names + NODE_FIELDS.names)
-
-    return df.mapInPandas(find, T.StructType(keep + NODE_FIELDS.fields))
+            rows, source = [], []
+            for at, html in enumerate(batch.column("html").to_pylist()):
+                for i, node in enumerate(dom.Scope(dom.parse(html)).select(selector)):
+                    source.append(at)
+                    rows.append(
+                        {"ord": i, "tag": node.tag, "attrs": list(node.attrs.items()), "text": node.text(), "inner_html": node.inner_html()}
+                    )
+            taken = batch.take(pa.array(source, pa.int64()))
+            yield _with_carried(taken, names, pa.RecordBatch.from_pylist(rows, schema))
+
+    return df.mapInArrow(find, T.StructType(keep + NODE_FIELDS.fields))
 
 
 def register_select_nodes(spark) -> None:
