@@ -1,13 +1,13 @@
 """One page to nodes: the only step that HTML forces out of built-in expressions.
 
-Small on purpose: html.parser reads the tags, the tree repairs what forum and article pages get wrong (unclosed
+Small on purpose: one pattern finds tags, the tree repairs what forum and article pages get wrong (unclosed
 paragraphs, cells, list items and inline marks), and selectors cover what page profiles use.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 # Fixed values from the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,15 +87,57 @@ def escape(text):
     return text
 
 
-class TreeBuilder(HTMLParser):
+# A comment, a declaration, an end tag, or a start tag with its attributes. A quote counts only after "=".
+_TAG = re.compile(
+    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>"""
+    r"""|([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>)""",
+    re.DOTALL,
+)
+_ATTR = re.compile(r"""([^\s=/>][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+# In attributes, a reference without ";" that runs on into a word or "=" is plain text, as in query strings.
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(?:;|(?![=A-Za-z0-9]))")
+# Elements whose content is text up to their end tag; references count in the last two.
+_TEXT_ONLY = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in ("script", "style", "title", "textarea")}
+
+
+def _attributes(text):
+    values = {}
+    for name, double, single, bare in _ATTR.findall(text):
+        value = double or single or bare
+        if "&" in value:
+            value = _REFERENCE.sub(lambda found: unescape(found[0]), value)
+        values.setdefault(name.lower(), value)
+    return values
+
+
+class TreeBuilder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#document", {}, None)
         self.html = self.add("html", {}, self.root)
         self.head = self.add("head", {}, self.html)
         self.body = self.add("body", {}, self.html)
         self.open, self.in_body, self.reopen = [self.head], False, []
 
+    def feed(self, text):
+        at = 0
+        while found := _TAG.search(text, at):
+            if found.start() > at:
+                self.data(unescape(text[at : found.start()]))
+            at = found.end()
+            if found[1]:
+                self.end(found[1].lower())
+            elif found[2]:
+                tag = found[2].lower()
+                self.start(tag, _attributes(found[3]) if found[3] else {})
+                if tag in _TEXT_ONLY:
+                    close = _TEXT_ONLY[tag].search(text, at)
+                    stop = close.start() if close else len(text)
+                    if stop > at:
+                        self.data(text[at:stop] if tag in RAW else unescape(text[at:stop]))
+                    at = stop
+        if at < len(text):
+            self.data(unescape(text[at:]))
+
     @staticmethod
     def add(tag, attrs, parent):
         node = Node(tag, attrs, parent)
@@ -124,10 +166,7 @@ class TreeBuilder(HTMLParser):
         for tag, attrs in marks:
             self.open.append(self.add(tag, dict(attrs), self.open[-1]))
 
-    def handle_starttag(self, tag, attrs):
-        values = {}
-        for key, value in attrs:
-            values.setdefault(key, value or "")
+    def start(self, tag, values):
         if tag in ("html", "head", "body"):
             target = {"html": self.html, "head": self.head, "body": self.body}[tag]
             for key, value in values.items():
@@ -156,13 +195,7 @@ class TreeBuilder(HTMLParser):
         if tag not in VOID:
             self.open.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        # "<div/>" opens a div in HTML.
-        self.handle_starttag(tag, attrs)
-        if tag in RAW or tag == "title":
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+    def end(self, tag):
         if tag == "head":
             self.enter_body()
         if tag in ("html", "head", "body") or tag in VOID:
@@ -181,7 +214,7 @@ class TreeBuilder(HTMLParser):
             self.add("p", {}, self.open[-1])
         return None
 
-    def handle_data(self, data):
+    def data(self, data):
         if not self.in_body and self.open[-1] is self.head:
             if not data.strip():
                 return
@@ -198,7 +231,6 @@ class TreeBuilder(HTMLParser):
 def parse(text):
     builder = TreeBuilder()
     builder.feed(text or "")
-    builder.close()
     return builder.root
 
 
