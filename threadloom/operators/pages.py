@@ -41,7 +41,7 @@ def _with_carried(batch: pa.RecordBatch, names: list[str], fields: pa.RecordBatc
     )
 
 
-def _page_reader(profile: PageProfile, keep: list[str], with_html: bool, with_markdown: bool):
+def _page_reader(profile: PageProfile, keep: list[str], with_posts: bool, with_html: bool, with_markdown: bool):
     """Function over Arrow batches that turns the html column into the fields above."""
     schema = to_arrow_schema(PARSED_FIELDS)
 
@@ -81,21 +81,22 @@ def _page_reader(profile: PageProfile, keep: list[str], with_html: bool, with_ma
 
     def page_of(html):
         scope = dom.Scope(dom.parse(html))
-        posts = [post_of(i, table) for i, table in enumerate(scope.select(profile.post_table))]
+        tables = scope.select(profile.post_table)
+        posts = [post_of(i, table) for i, table in enumerate(tables if with_posts else tables[:1])]
         return {
             "title_text": first_text(scope, profile.title),
             "page_title_text": first_text(scope, "title") or "",
             # Only needed to tell why a page has no post table.
-            "body_text": "" if posts else joined_text(scope, "body"),
+            "body_text": "" if tables else joined_text(scope, "body"),
             "base_href": first_attr(scope, "base", "href"),
             "forum_text": first_text(scope, profile.forum),
             "pages_text": first_text(scope, ".pagesone") or "",
             "tid_links": [node.attrs["href"] for node in scope.select("a[href*='tid-']")],
             "page_links": [node.attrs["href"] for node in scope.select("a[href*='page-']")],
-            "n_posts": len(posts),
+            "n_posts": len(tables),
             "first_has_content": bool(posts) and posts[0]["has_content"],
             "first_time_text": posts[0]["time_text"] if posts else None,
-            "posts": posts,
+            "posts": posts if with_posts else None,
         }
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +108,16 @@ def _page_reader(profile: PageProfile, keep: list[str], with_html: bool, with_ma
 
 
 def parse_pages(
-    df: DataFrame, profile: PageProfile = FORUM, with_html: bool = True, with_markdown: bool = False
+    df: DataFrame, profile: PageProfile = FORUM, with_html: bool = True, with_markdown: bool = False, with_posts: bool = True
 ) -> DataFrame:
-    """Parse the ``html`` column once per page. Other columns are carried along; keep them few and small."""
+    """Parse the ``html`` column once per page. Other columns are carried along; keep them few and small.
+
+    Spark cannot see into the parser, so what is not needed is switched off here: post bodies as HTML or Markdown, or
+    the posts altogether when only page-level fields are wanted.
+    """
     keep = [field for field in df.schema.fields if field.name != "html"]
     schema = T.StructType(keep + PARSED_FIELDS.fields)
-    reader = _page_reader(profile, [field.name for field in keep], with_html, with_markdown)
+    reader = _page_reader(profile, [field.name for field in keep], with_posts, with_html, with_markdown)
     return df.mapInArrow(reader, schema)
 
 
@@ -152,7 +157,7 @@ def select_nodes(df: DataFrame, selector: str) -> DataFrame:
 def register_select_nodes(spark) -> None:
     """Make ``LATERAL select_nodes(html, selector)`` available in SQL."""
 
-    @F.udtf(returnType="ord int, tag string, attrs map<string,string>, text string, inner_html string")
+    @F.udtf(useArrow=True, returnType="ord int, tag string, attrs map<string,string>, text string, inner_html string")
     class SelectNodes:
         def eval(self, html: str, selector: str):
             for i, node in enumerate(dom.Scope(dom.parse(html)).select(selector)):

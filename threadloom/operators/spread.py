@@ -92,7 +92,7 @@ def number_within(
     """
     if bounds is None:
         if buckets is None:
-            buckets = min(256, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+            buckets = min(SPLIT_SAMPLE // 2, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         bounds = split_points(df, order, buckets)
     if not bounds:
         plain = Window.partitionBy(*keys).orderBy(order)

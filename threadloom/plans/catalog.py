@@ -64,9 +64,19 @@ def _article_pages(spark, sf_dir, **options):
     return pages.parse_pages(_stored_pages(spark, sf_dir), ARTICLE, **options)
 
 
+@query
+def select_nodes_sql(spark, sf_dir):
+    """The same from SQL, through the table function."""
+    pages.register_select_nodes(spark)
+    _stored_pages(spark, sf_dir).createOrReplaceTempView("threadloom_pages")
+    return spark.sql(
+        "SELECT page_id, CAST(n.ord AS BIGINT) AS ord, n.attrs['href'] AS href, n.text FROM threadloom_pages, LATERAL select_nodes(html, 'nav a') n"
+    )
+
+
 @query
 def page_title(spark, sf_dir):
-    return _article_pages(spark, sf_dir, with_html=False).select("page_id", pages.page_title().alias("title"))
+    return _article_pages(spark, sf_dir, with_posts=False).select("page_id", pages.page_title().alias("title"))
 
 
 @query
@@ -75,12 +85,12 @@ def html_to_markdown_pages(spark, sf_dir):
     return parsed.select("page_id", F.get("posts", F.lit(0))["content_md"].alias("markdown"))
 
 
-def _forum(spark, sf_dir, repeats=True, with_html=True, with_markdown=False, kept=False):
+def _forum(spark, sf_dir, repeats=True, kept=False, **options):
     """Forum pages, parsed and with page-level fields."""
     source = inputs.forum_pages(spark, sf_dir, repeats).select("tid", "page", "html")
     if kept:
         source = inputs.kept_pages(source)
-    parsed = pages.parse_pages(readers.dealt_out(source, "tid", "page"), with_html=with_html, with_markdown=with_markdown)
+    parsed = pages.parse_pages(readers.dealt_out(source, "tid", "page"), **options)
     return pages.with_page_fields(parsed)
 
 
@@ -91,22 +101,22 @@ def _written_forum(spark, sf_dir, **options):
 
 @query
 def forum_name(spark, sf_dir):
-    return _forum(spark, sf_dir, with_html=False).select("tid", "page", "forum", "title")
+    return _forum(spark, sf_dir, with_posts=False).select("tid", "page", "forum", "title")
 
 
 @query
 def page_ids(spark, sf_dir):
-    return _forum(spark, sf_dir, with_html=False).select("tid", "page", "base_url", F.col("page_tid").alias("thread_id"))
+    return _forum(spark, sf_dir, with_posts=False).select("tid", "page", "base_url", F.col("page_tid").alias("thread_id"))
 
 
 @query
 def total_pages(spark, sf_dir):
-    return _forum(spark, sf_dir, with_html=False).select("tid", "page", "total_pages")
+    return _forum(spark, sf_dir, with_posts=False).select("tid", "page", "total_pages")
 
 
 @query
 def classify_page(spark, sf_dir):
-    return _forum(spark, sf_dir, with_html=False).select(
+    return _forum(spark, sf_dir, with_posts=False).select(
         "tid", "page", F.coalesce("error.type", F.lit("")).alias("error_type"), F.coalesce("error.code", F.lit("")).alias("error_code"),
         F.coalesce("error.message", F.lit("")).alias("message"),
     )
@@ -114,7 +124,7 @@ def classify_page(spark, sf_dir):
 
 @query
 def page_error_report(spark, sf_dir):
-    errors = _forum(spark, sf_dir, with_html=False).where("error IS NOT NULL")
+    errors = _forum(spark, sf_dir, with_posts=False).where("error IS NOT NULL")
     return errors.groupBy(F.col("error.type").alias("error_type")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
@@ -155,12 +165,12 @@ def parse_post_time(spark, sf_dir):
 
 @query
 def page_plan(spark, sf_dir):
-    firsts = _forum(spark, sf_dir, with_html=False).where("page = 1 AND error IS NULL")
+    firsts = _forum(spark, sf_dir, with_posts=False).where("page = 1 AND error IS NULL")
     return pages.page_plan(firsts.select("tid", "total_pages"), "https://forum.example.org/")
 
 
 def _lossy(spark, sf_dir):
-    return _written_forum(spark, sf_dir, with_html=False, kept=True)
+    return _written_forum(spark, sf_dir, with_posts=False, kept=True)
 
 
 @query
@@ -310,6 +320,17 @@ def export_shards(spark, sf_dir):
     return store.read_export(spark, out, layout="shards")
 
 
+@query
+def list_assets(spark, sf_dir):
+    """Files of an export, listed without reading them: document part and size."""
+    inputs.configure(spark)
+    out = fresh_path(spark, "export")
+    store.export_threads(render_threads(spark, sf_dir), out, layout="files")
+    return readers.list_assets(spark, out).select(
+        F.regexp_extract("path", "tid=([^/]*)/", 1).alias("tid"), F.regexp_extract("path", "part=([0-9]+)/", 1).cast("bigint").alias("part"), "size"
+    )
+
+
 # Links
 
 
@@ -388,6 +409,19 @@ def content_address(spark, sf_dir):
     return _addressed(spark, sf_dir)
 
 
+@query
+def append_assets(spark, sf_dir):
+    return links.append_assets(inputs.asset_records(spark, sf_dir), _addressed(spark, sf_dir))
+
+
+@query
+def carry_records(spark, sf_dir):
+    """Stored asset records stay; records of a new run follow where no usable one was there."""
+    old = inputs.asset_records(spark, sf_dir)
+    new = inputs.linked_images(spark, sf_dir)
+    return store.carry_records(old, new)
+
+
 @query
 def asset_files(spark, sf_dir):
     return links.asset_files(_addressed(spark, sf_dir))
@@ -580,6 +614,17 @@ def upsert_threads(spark, sf_dir):
     )
 
 
+@query
+def merge_threads(spark, sf_dir):
+    """Header rows of an upsert, without a store."""
+    turns = inputs.turns(spark, sf_dir)
+
+    def heads(rows, title):
+        return rows.groupBy("tid").agg(F.count(F.lit(1)).alias("total_floors")).select("tid", F.lit(title).alias("title"), "total_floors")
+
+    return store.merge_threads(heads(turns, "old"), heads(turns.where("role <> 'system' AND conv_id % 3 = 0"), "new"))
+
+
 @query
 def load_threads(spark, sf_dir):
     """Stored threads asked for by id, with those not found."""

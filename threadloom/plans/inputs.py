@@ -1,4 +1,7 @@
-"""Inputs of the registered queries, derived by Spark from the given tables; every table is used whole.
+"""Inputs of the registered queries, derived by Spark from the given tables.
+
+Every table goes in whole. Where records are left out by a rule (an asset never fetched, a page lost), the operator under
+test is the one that has to find that out.
 
 Forum markup is written from ``conversations`` and read back by the operators; the check SQL works on ``conversations``
 directly and never sees HTML.
@@ -150,6 +153,14 @@ def asset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def linked_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An asset record for the first image of each post, as a new run would make it."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "string(doc_id div 5) AS tid", "'https://cdn.example.com/' || doc_id % 50 || '.jpg' AS url", "md5(text) || '.jpg' AS local", "'' AS alt",
+        "bigint(octet_length(text)) AS file_size", "true AS downloaded", "doc_id AS seq",
+    )
+
+
 def share_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(old, new) share records for some of those share links."""
     docs = table(spark, sf_dir, "documents").select("doc_id")

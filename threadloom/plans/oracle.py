@@ -341,6 +341,7 @@ WHERE {_GOOD} AND NOT ({_KEPT}) GROUP BY 1, 2""",
 SELECT tid, (t - 1) // 2 AS block, string_agg(t || ':' || post_id, ',' ORDER BY t) AS replies FROM own
 WHERE t > 0 AND {_ASSEMBLED} GROUP BY 1, 2""",
     "render_threads": _RENDER,
+    "list_assets": "SELECT tid, part, CAST(strlen(markdown) AS BIGINT) AS size FROM (" + _RENDER + ")",
     "render_entry_headers": _BASE + f"SELECT tid, t AS position, {_PLAIN_HEADER} AS header FROM f",
     "escape_markdown": f"SELECT doc_id, {_escape_markdown('text')} AS escaped FROM documents",
     "render_forum_threads": _BASE + _document(
@@ -349,7 +350,7 @@ WHERE t > 0 AND {_ASSEMBLED} GROUP BY 1, 2""",
     "export_threads": _RENDER,
     "export_shards": _RENDER,
     "extract_image_links": _LINKED + f"""
-SELECT doc_id, CASE WHEN d % 2 = 0 THEN 2 ELSE 1 END AS n_urls, image || CASE WHEN d % 2 = 0 THEN {NL} || image2 ELSE '' END AS urls FROM d""",
+SELECT doc_id, CAST(CASE WHEN d % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_urls, image || CASE WHEN d % 2 = 0 THEN {NL} || image2 ELSE '' END AS urls FROM d""",
     "extract_share_links": _LINKED + f"""
 , l AS (SELECT doc_id, 'c' || d % 20 AS cid, CASE WHEN d % 3 = 0 THEN [share2, share] WHEN d % 2 = 0 THEN [share] ELSE [] END AS urls FROM d)
 SELECT doc_id, array_to_string(urls, {NL}) AS urls, array_to_string(list_transform(urls, lambda u: cid), ',') AS content_ids FROM l""",
@@ -368,6 +369,13 @@ FROM d LEFT JOIN usable a ON d.tid = a.tid AND image = a.url LEFT JOIN usable b
     "annotate_share_links": _LINKED + _SHARES + f"""
 SELECT doc_id, {_md("image", "image2", "share || coalesce(' (local: ' || local_dir || ')', '')", "share2")} AS md
 FROM d LEFT JOIN kept ON d.tid = kept.tid AND share = kept.url AND downloaded""",
+    "append_assets": _LINKED.rstrip() + _ASSETS.rstrip() + _ADDRESSED.replace("WITH a AS", ", a AS").rstrip() + """
+SELECT tid, url, local, '' AS alt, (seq % 1000000000000) * 3 AS file_size, downloaded, seq FROM asset
+UNION ALL SELECT tid, url, local, alt, file_size, downloaded, seq FROM a""",
+    "carry_records": _LINKED.rstrip() + _ASSETS + """
+SELECT tid, url, local, '' AS alt, (seq % 1000000000000) * 3 AS file_size, downloaded, seq FROM asset
+UNION ALL
+SELECT tid, image, md5(text) || '.jpg', '', CAST(strlen(text) AS BIGINT), true, d FROM d WHERE (tid, image) NOT IN (SELECT (tid, url) FROM usable)""",
     "content_address": _ADDRESSED + "SELECT * FROM a",
     "asset_files": _ADDRESSED + "SELECT tid, local, min(file_size) AS file_size, count(*) AS n_records FROM a GROUP BY tid, local",
     "share_manifest": _SHARE_MANIFEST.format(keep="true"),
@@ -428,6 +436,11 @@ SELECT 'r' || r AS root_id, 'c' || c_custkey AS id, 'r' || r || '/' || name || C
   c_custkey % 900 + 1 AS size, md5(c_name) AS md5, n_name || '/' || c_custkey AS walk_key
 FROM c JOIN h ON c_nationkey = k WHERE r <> 2""",
     "upsert_threads": _STORE + "SELECT tid, title, total_floors, created_at, total_floors AS n_posts, 'first.png' AS local FROM gen",
+    "merge_threads": """
+WITH n AS (
+  SELECT CAST(conv_id AS VARCHAR) AS tid, count(*) AS a, count(*) FILTER (role <> 'system' AND conv_id % 3 = 0) AS b FROM conversations GROUP BY conv_id
+)
+SELECT tid, CASE WHEN b > 0 THEN 'new' ELSE 'old' END AS title, CASE WHEN b > 0 THEN b ELSE a END AS total_floors FROM n""",
     "load_threads": _STORE + """
 , w AS (SELECT DISTINCT CASE WHEN c % 5 = 4 THEN 'x' || tid WHEN c % 50 = 10 THEN '' ELSE tid END AS tid FROM f)
 SELECT w.tid, coalesce(title, '') AS title, coalesce(total_floors, 0) AS total_floors,
@@ -436,3 +449,5 @@ SELECT w.tid, coalesce(title, '') AS title, coalesce(total_floors, 0) AS total_f
 SELECT tid, {_TITLE} AS title, count(*) AS total_floors, count(*) AS n_posts, min(post_id) AS min_post_id FROM own
 WHERE {_ASSEMBLED} AND {_KEPT} GROUP BY tid, c""",
 }
+
+ORACLE["select_nodes_sql"] = ORACLE["select_nodes"]
