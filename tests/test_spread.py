@@ -30,10 +30,17 @@ def test_number_within_splits_the_hot_key(skewed):
     assert max(r["count"] for r in cuts) < 3000 / 4
 
 
-def test_number_within_of_small_input_has_no_cuts(spark):
-    df = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z")], "key string, item string")
-    assert spread.split_points(df, "item", 8) == []
-    assert sorted(spread.number_within(df, ["key"], "item", "n").collect()) == [("a", "x", 0), ("a", "y", 1), ("b", "z", 0)]
+def test_groups_are_cut_only_when_one_is_large(spark, skewed, monkeypatch):
+    asked = []
+    real = spread.split_points
+    monkeypatch.setattr(spread, "split_points", lambda *a: asked.append(a) or real(*a))
+    whole = sorted(spread.number_within(skewed, ["key"], "item", "n").collect())
+    assert not asked
+    assert sorted(spread.number_within(skewed, ["key"], "item", "n", group_rows=500).collect()) == whole
+    assert len(asked) == 1
+    few = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z")], "key string, item string")
+    assert sorted(spread.number_within(few, ["key"], "item", "n", group_rows=1).collect()) == [("a", "x", 0), ("a", "y", 1), ("b", "z", 0)]
+    assert spread.number_within(few.where("false"), ["key"], "item", "n").collect() == []
 
 
 def test_running_offsets(spark):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Pages per block when counting along a thread.
 PAGE_BLOCK = 1024
+# Rows of one group that a single task may sort.
+GROUP_ROWS = 1_000_000
 # Distinct order values looked at to find split points.
 SPLIT_SAMPLE = 1024
 
@@ -64,8 +66,7 @@ def _bucket(value: Column, bounds: list, low: int = 0) -> Column:
 def split_points(df: DataFrame, order: str, buckets: int) -> list:
     """Values that cut ``order`` into similar shares.
 
-    Takes the SPLIT_SAMPLE distinct values with the smallest hashes, an even sample of bounded size. Returns nothing
-    when there are no more values than that, since groups of unique values are then small by themselves.
+    Takes the SPLIT_SAMPLE distinct values with the smallest hashes, an even sample of bounded size.
     """
     sample = (
         df.select(F.col(order).alias("v"))
@@ -75,25 +76,24 @@ def split_points(df: DataFrame, order: str, buckets: int) -> list:
         .limit(SPLIT_SAMPLE)
         .collect()
     )
-    if len(sample) < SPLIT_SAMPLE:
-        return []
     # Byte order of UTF-8 equals code point order, which is how both Spark and Python compare strings.
     values = sorted(row.v for row in sample)
     return values[:: max(1, len(values) // buckets)][1:]
 
 
 def number_within(
-    df: DataFrame, keys: list[str], order: str, name: str, buckets: int | None = None, bounds: list | None = None
+    df: DataFrame, keys: list[str], order: str, name: str, group_rows: int = GROUP_ROWS, bounds: list | None = None
 ) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... along ``order`` (non-NULL, unique within its group) inside each group of ``keys``.
 
-    Gives what row_number() - 1 gives. Groups are cut at split points, numbered inside each cut and shifted by the
-    number of rows in the cuts before it, so the work of a hot group is shared by all its cuts.
+    Gives what row_number() - 1 gives. The size of the largest group is looked up first, by a partial aggregate over
+    the keys alone; up to ``group_rows`` a plain window is safe. Beyond that, groups are cut at split points, numbered
+    inside each cut and shifted by the number of rows in the cuts before it, so a hot group is shared by all its cuts.
     """
     if bounds is None:
-        if buckets is None:
-            buckets = min(SPLIT_SAMPLE // 2, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-        bounds = split_points(df, order, buckets)
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bounds = split_points(df, order, min(SPLIT_SAMPLE // 2, max(8, partitions))) if largest > group_rows else []
     if not bounds:
         plain = Window.partitionBy(*keys).orderBy(order)
         return df.withColumn(name, F.row_number().over(plain).cast("bigint") - 1)

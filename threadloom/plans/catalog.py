@@ -644,7 +644,7 @@ def ingest_pages_stream(spark, sf_dir):
     inputs.configure(spark)
     arriving, path, progress = (fresh_path(spark, name) for name in ("arriving", "store", "progress"))
     source = inputs.kept_pages(inputs.forum_pages(spark, sf_dir)).select("tid", "page", "html")
-    source.repartitionByRange(3, "page", "tid").write.parquet(arriving)
+    source.repartition(3, "page").write.parquet(arriving)
     run = ingest.ingest_pages_stream(spark, arriving, path, progress, max_files_per_trigger=2)
     run.awaitTermination()
     ingest.publish(spark, path, 0, inputs.timestamp(inputs.FALLBACK))
