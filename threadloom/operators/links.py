@@ -45,17 +45,18 @@ def _woven(gaps: Column, pieces: Column) -> Column:
 
 
 def rewrite_image_links(markdown: Column, local_by_url: Column) -> Column:
-    """Point image links that ``local_by_url`` (a map column, may be NULL) knows at their local file."""
-    heads = F.regexp_extract_all(markdown, F.lit(IMAGE_LINK), F.lit(1))
-    urls = F.regexp_extract_all(markdown, F.lit(IMAGE_LINK), F.lit(2))
-    tails = F.regexp_extract_all(markdown, F.lit(IMAGE_LINK), F.lit(3))
-    target = lambda url: F.coalesce(
-        F.concat(F.lit(f"{IMAGE_DIR}/"), F.try_element_at(local_by_url, url)), url
-    )
-    links = F.zip_with(
-        F.zip_with(heads, urls, lambda head, url: F.concat(head, target(url))), tails, lambda a, b: F.concat(a, b)
-    )
-    rewritten = _woven(F.split(markdown, IMAGE_LINK, -1), links)
+    """Point image links that ``local_by_url`` (a map column, may be NULL) knows at their local file.
+
+    The text is searched for the links and split at them; head, URL and tail are then read from each link alone.
+    """
+
+    def moved(link: Column) -> Column:
+        url = F.regexp_extract(link, IMAGE_LINK, 2)
+        local = F.concat(F.lit(f"{IMAGE_DIR}/"), F.try_element_at(local_by_url, url))
+        return F.concat(F.regexp_extract(link, IMAGE_LINK, 1), F.coalesce(local, url), F.regexp_extract(link, IMAGE_LINK, 3))
+
+    found = F.regexp_extract_all(markdown, F.lit(IMAGE_LINK), F.lit(0))
+    rewritten = _woven(F.split(markdown, IMAGE_LINK, -1), F.transform(found, moved))
     return F.when(local_by_url.isNull(), markdown).otherwise(rewritten)
 
 
