@@ -89,14 +89,20 @@ def matched(spark, urls, rows, **options):
 
 def test_matching_equals_the_double_loop(spark):
     urls, rows = matching_case(5)
-    assert matched(spark, urls, rows, spread=3) == expected_matches(urls, rows)
+    assert matched(spark, urls, rows) == expected_matches(urls, rows)
+
+
+def test_matching_deals_out_hot_domains(spark):
+    urls, rows = matching_case(7)
+    assert matched(spark, urls, rows, hot_rows=5) == expected_matches(urls, rows)
 
 
 def test_matching_with_too_many_global_rules(spark, monkeypatch):
     monkeypatch.setattr(rules, "GLOBAL_RULE_LIMIT", 2)
+    monkeypatch.setattr(rules, "GLOBAL_DEALS", 3)
     urls, rows = matching_case(6)
     assert sum(row[2] == "" for row in rows) > 2
-    assert matched(spark, urls, rows, spread=3) == expected_matches(urls, rows)
+    assert matched(spark, urls, rows) == expected_matches(urls, rows)
 
 
 def test_escaped_paths(spark):

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import unicode_fields, unicode_trim
 from threadloom.functions.urls import decoded_path, host_port, scheme
+from threadloom.session import written
 
 # Rules without a domain apply to any host; up to this many are broadcast.
 GLOBAL_RULE_LIMIT = 10_000
+# Copies of such rules beyond that number.
+GLOBAL_DEALS = 256
+# URLs that may ask for one domain in one task, and the most domains that can be above that bar.
+HOT_ROWS = 20_000_000
+HOT_DOMAINS = 10_000
 SAME_SITE = {1: "Default", 2: "Lax", 3: "Strict", 4: "None"}
 
 
@@ -127,25 +133,28 @@ def url_parts(urls: DataFrame, url: str = "url") -> DataFrame:
     ).where(F.col("_path").isNotNull())
 
 
-def match_rules(urls: DataFrame, rules: DataFrame, now: Column, url: str = "url", spread: int = 16) -> DataFrame:
+def match_rules(urls: DataFrame, rules: DataFrame, now: Column, url: str = "url", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of ``urls`` with the fields of each rule that applies, one row per match.
 
     Instead of comparing all URLs with all rules, each URL unfolds into the few domains that can match its host and
-    meets the rules by equality; paths and the secure flag are checked on those candidates. Rules are copied ``spread``
-    times and URLs dealt out by hash, so a host with very many URLs is not one group.
+    meets the rules by equality; paths and the secure flag are checked on those candidates. Domains that more than
+    ``hot_rows`` URLs ask for are dealt out by hash, and their rules, and only those, are copied once per deal.
     Rules without a domain are few as a rule: their number is looked up, and only a small set is broadcast.
     """
     applicable = live_rules(rules, now)
     parts = url_parts(urls, url)
     checks = path_matches(F.col("path"), F.col("_path")) & (~F.col("secure") | (F.col("_scheme") == "https"))
-    scoped = applicable.where(F.col("domain") != "").withColumn(
-        "_deal", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-    )
-    dealt = parts.select(
-        "*", F.explode(host_keys(F.col("_host"))).alias("domain"), F.pmod(F.xxhash64(*urls.columns), spread).cast("int").alias("_deal")
-    )
-    output = [*urls.columns, *[c for c in rules.columns]]
-    matched = dealt.join(scoped, ["domain", "_deal"]).where(checks).select(*output)
+    output = [*urls.columns, *rules.columns]
+    asked = parts.select("*", F.explode(host_keys(F.col("_host"))).alias("domain"))
+    scoped = applicable.where(F.col("domain") != "")
+    deals = _hot_domains(asked, hot_rows)
+    if deals is None:
+        matched = asked.join(scoped, "domain").where(checks).select(*output)
+    else:
+        n = F.coalesce("deals", F.lit(1))
+        dealt = asked.join(F.broadcast(deals), "domain", "left").withColumn("_deal", F.pmod(F.xxhash64(*urls.columns), n))
+        copied = scoped.join(F.broadcast(deals), "domain", "left").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+        matched = dealt.drop("deals").join(copied.drop("deals"), ["domain", "_deal"]).where(checks).select(*output)
     everywhere = applicable.where(F.col("domain") == "")
     n_global = everywhere.limit(GLOBAL_RULE_LIMIT + 1).count()
     if n_global == 0:
@@ -158,11 +167,11 @@ def match_rules(urls: DataFrame, rules: DataFrame, now: Column, url: str = "url"
             F.col("path").startswith("/"), F.col("path")
         ).otherwise(F.concat(F.lit("/"), "path"))
         by_prefix = everywhere.withColumn("_prefix", rooted).withColumn(
-            "_deal", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+            "_deal", F.explode(F.sequence(F.lit(0), F.lit(GLOBAL_DEALS - 1)))
         )
         prefixes = F.transform(F.sequence(F.lit(0), F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
         anywhere = (
-            parts.withColumn("_deal", F.pmod(F.xxhash64(*urls.columns), spread).cast("int"))
+            parts.withColumn("_deal", F.pmod(F.xxhash64(*urls.columns), F.lit(GLOBAL_DEALS)).cast("int"))
             .withColumn("_prefix", F.explode(prefixes))
             .join(by_prefix, ["_prefix", "_deal"])
             .where(~F.col("secure") | (F.col("_scheme") == "https"))
@@ -170,6 +179,20 @@ def match_rules(urls: DataFrame, rules: DataFrame, now: Column, url: str = "url"
     return matched.unionByName(anywhere.select(*output))
 
 
+def _hot_domains(asked: DataFrame, hot_rows: int) -> DataFrame | None:
+    """(domain, deals) for domains asked for by very many URLs; None if there are none.
+
+    The bar rises with the number of rows, so that never more than HOT_DOMAINS domains are above it.
+    """
+    counts = written(asked.groupBy("domain").count(), "domain-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    bar = max(hot_rows, total // HOT_DOMAINS)
+    hot = counts.where(F.col("count") > bar)
+    if hot.isEmpty():
+        return None
+    return hot.select("domain", F.ceil(F.col("count") / bar).alias("deals"))
+
+
 def rule_headers(matches: DataFrame, key: list[str], block: int = 1000) -> DataFrame:
     """``name=value`` pairs joined by '; ' in rule order, with the list of names; nameless rules are left out.
 
