@@ -62,3 +62,12 @@ def test_parsing_is_not_repeated(spark, capsys):
     """Assembly reads the written parse; its plan has no parser in it."""
     text = plan(QUERIES["assemble_threads"](spark, SF_DIR), capsys)
     assert "MapInArrow" not in text
+
+
+def test_written_tables_go_to_the_shared_folder(spark):
+    from threadloom.session import fresh_path, written
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert fresh_path(spark, "x").startswith(shared + "/x-")
+    files = written(spark.range(3).toDF("n"), "numbers").inputFiles()
+    assert files and all(shared in file for file in files)

@@ -141,7 +141,8 @@ def match_rules(urls: DataFrame, rules: DataFrame, now: Column, url: str = "url"
     ``hot_rows`` URLs ask for are dealt out by hash, and their rules, and only those, are copied once per deal.
     Rules without a domain are few as a rule: their number is looked up, and only a small set is broadcast.
     """
-    applicable = live_rules(rules, now)
+    # Written, as it is read for the count, the domains and the rest, and is often the result of an upsert.
+    applicable = written(live_rules(rules, now), "live-rules")
     parts = url_parts(urls, url)
     checks = path_matches(F.col("path"), F.col("_path")) & (~F.col("secure") | (F.col("_scheme") == "https"))
     output = [*urls.columns, *rules.columns]
@@ -184,13 +185,12 @@ def _hot_domains(asked: DataFrame, hot_rows: int) -> DataFrame | None:
 
     The bar rises with the number of rows, so that never more than HOT_DOMAINS domains are above it.
     """
-    counts = written(asked.groupBy("domain").count(), "domain-counts")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    bar = max(hot_rows, total // HOT_DOMAINS)
-    hot = counts.where(F.col("count") > bar)
-    if hot.isEmpty():
+    counts = asked.groupBy("domain").count()
+    total, largest = counts.agg(F.sum("count"), F.max("count")).first()
+    bar = max(hot_rows, (total or 0) // HOT_DOMAINS)
+    if (largest or 0) <= bar:
         return None
-    return hot.select("domain", F.ceil(F.col("count") / bar).alias("deals"))
+    return counts.where(F.col("count") > bar).select("domain", F.ceil(F.col("count") / bar).alias("deals"))
 
 
 def rule_headers(matches: DataFrame, key: list[str], block: int = 1000) -> DataFrame:
