@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import lines, mixing
+from threadloom.llm import jaccard, lines, mixing
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -19,6 +19,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_jaccard_join(spark, sf_dir):
+    configure(spark)
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_line_dedup(spark, sf_dir):
     configure(spark)
