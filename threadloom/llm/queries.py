@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import jaccard, lines, mixing
+from threadloom.llm import jaccard, lines, mixing, toxicity
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -25,6 +25,12 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    configure(spark)
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_line_dedup(spark, sf_dir):
     configure(spark)
