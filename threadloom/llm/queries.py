@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import jaccard, lines, mixing, toxicity
+from threadloom.llm import jaccard, leaks, lines, mixing, toxicity
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -37,6 +37,12 @@ def op6_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query
+def op7_decontamination(spark, sf_dir):
+    configure(spark)
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_mixing(spark, sf_dir):
     configure(spark)

@@ -222,13 +222,14 @@ def fit_model(labelled: DataFrame) -> Model | None:
 
 
 def _with_features(rows: DataFrame, model: Model) -> DataFrame:
-    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    shipped = rows.sparkSession.sparkContext.broadcast(vars(model))
     names = [n for n in rows.columns if n != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**shipped.value)
         for batch in batches:
             for at, stop, data, offsets in pieces(batch.column("text")):
-                f = shipped.value.features(data, offsets)
+                f = model.features(data, offsets)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(at, stop - at) for n in names), *map(pa.array, f.T)], names=[*names, "per_word", "per_root", "peak"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
