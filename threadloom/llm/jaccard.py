@@ -8,8 +8,8 @@ by how many texts have them, rarest first; texts that link must share one of the
    is made up of n-grams of its own alone is out; the others are kept as rare-first arrays.
 2. Equal sets are one node. Nodes meet on prefix n-grams. In a first pass every node of a posting list is paired with one
    leader of that list only, so a list that a third of all texts are in gives a row per text, not all pairs. Linked nodes form
-   components; the next pass takes one node per component and list. At last, all pairs inside a list whose nodes are still
-   in different components are made, so that no link between components is lost.
+   components; the next pass takes one node per component and list. At last, nodes that still meet in different components
+   are compared block by block inside tasks, which give links only, so that no link between components is lost.
 3. Pairs pass the length, positional and suffix filters and are verified once, on the whole sets.
 """
 
@@ -31,15 +31,17 @@ from threadloom.llm.words import BY_SPACE, Words, grams, pieces
 WORDS, PERCENT = 5, 75
 # Text per hash bucket when n-grams are counted; the number of buckets follows the size of the input.
 BUCKET_BYTES = 4 << 20
-LEADER_PASSES = 3
+LEADER_PASSES = 2
+# n-grams of a block when what is left of a cluster is compared.
+MATCH_GRAMS = 500_000
 _PARTS = 4
 
 _PACKED = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _PACKED_SQL = "key long, chunk long, kind int, a binary, b binary, c binary"
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), *((f"q{i}", pa.int32()) for i in range(_PARTS)), ("own", pa.int32()), ("hashes", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), *((f"q{i}", pa.int32()) for i in range(_PARTS)), ("own", pa.int32()), ("central", pa.float64()), ("hashes", pa.list_(pa.int64()))]
 )
-_SETS_SQL = "doc_id long, node binary, n int, " + ", ".join(f"q{i} int" for i in range(_PARTS)) + ", own int, hashes array<long>"
+_SETS_SQL = "doc_id long, node binary, n int, " + ", ".join(f"q{i} int" for i in range(_PARTS)) + ", own int, central double, hashes array<long>"
 
 
 def prefix_length(n, percent: int):
@@ -148,6 +150,8 @@ def _collector(percent: int):
         size = facts[:, 0]
         shared = np.bincount(owner, minlength=len(ids))
         own = size - shared
+        # How many texts share an n-gram of this text on average: highest for the text that near copies are made from.
+        central = (np.bincount(owner, count, minlength=len(ids)) + own) / np.maximum(size, 1)
         alive = (own < prefix_length(size, percent)) & (size > 0)
         keep = alive[owner]
         owner, value, count = owner[keep], value[keep], count[keep]
@@ -160,6 +164,7 @@ def _collector(percent: int):
             pa.array([d if n else None for d, n in zip(nodes, size.tolist(), strict=True)], pa.binary()),
             *(pa.array(facts[:, i]) for i in range(1 + _PARTS)),
             pa.array(own.astype(np.int32)),
+            pa.array(central),
             hashes,
         ]
         return pa.Table.from_arrays(arrays, schema=_SETS)
@@ -214,47 +219,90 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
     return kept(checked.select("a", "b", linked.alias("linked")), name)
 
 
+def _matcher(percent: int):
+    def match(group: pa.Table) -> pa.Table:
+        """Links between two blocks of a cluster, or inside one: of those, only what joins components."""
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        nodes, comps = group.column("node").to_pylist(), group.column("comp").to_pylist()
+        block = np.array(group.column("block"))
+        sets = [np.asarray(h.values) for h in group.column("hashes")]
+        size = np.array(group.column("n"), np.int64)
+        right = np.flatnonzero(block == j)
+        owner = np.repeat(np.arange(len(right)), [len(sets[k]) for k in right])
+        value = np.concatenate([sets[k] for k in right]) if len(right) else np.empty(0, np.int64)
+        order = np.argsort(value)
+        value, owner = value[order], owner[order]
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        found = []
+        for k in np.flatnonzero(block == i).tolist():
+            low, high = np.searchsorted(value, sets[k], "left"), np.searchsorted(value, sets[k], "right")
+            times = high - low
+            at = np.repeat(low - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(times.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            for m in right[both * 100 >= (size[k] + size[right] - both) * percent].tolist():
+                x, y = root(comps[k]), root(comps[m])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((nodes[k], nodes[m]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return match
+
+
+def _links_between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that still meet in a list.
+
+    Nodes that lists connect form a cluster. A cluster is cut into blocks of about MATCH_GRAMS n-grams, and any two blocks are
+    compared in one task, which gives links and no other pairs. A cluster of one block costs a row per node.
+    """
+    first = members.groupBy("h").agg(F.min("node").alias("b"))
+    cluster = components(members.join(first, "h").select(F.col("node").alias("a"), "b"))
+    rows = members.select("node", "comp").distinct().join(cluster.withColumnRenamed("comp", "cluster"), "node").join(sets.select("node", "n", "hashes"), "node")
+    rows = kept(rows, "clusters")
+    cut = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / MATCH_GRAMS).alias("blocks"))
+    rows = rows.join(cut, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "hashes")
+    return kept(rows.groupBy("cluster", "i", "j").applyInArrow(_matcher(percent), "a binary, b binary"), "links-between")
+
+
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """``node`` and ``comp`` of all nodes that link with another. ``sets`` has one row per node that can link."""
     spark = sets.sparkSession
-    members = sets.where("own < n").select(
-        F.posexplode(F.expr(f"slice(hashes, 1, n - CAST(ceil(n * {percent} / 100.0D - 1e-9) AS INT) + 1 - own)")).alias("nth", "h"), "node", "n", "own", *(f"q{i}" for i in range(_PARTS))
-    )
-    fields = ["node", "n", "pos", *(f"q{i}" for i in range(_PARTS))]
-    members = members.select("h", F.struct("node", "n", (F.col("own") + F.col("nth")).alias("pos"), *(f"q{i}" for i in range(_PARTS))).alias("m"))
-    lists = members.groupBy("h").agg(F.min("m.node").alias("lo"), F.max("m.node").alias("hi")).where("lo != hi").select("h")
-    members = kept(members.join(lists, "h").select("h", "m.*").withColumn("comp", F.col("node")), "postings")
+    fields = ["node", "n", "pos", *(f"q{i}" for i in range(_PARTS)), "central"]
+    prefix = F.expr(f"slice(hashes, 1, n - CAST(ceil(n * {percent} / 100.0D - 1e-9) AS INT) + 1 - own)")
+    members = sets.where("own < n").select(F.posexplode(prefix).alias("pos", "h"), "node", "n", "own", *fields[3:])
+    members = members.withColumn("pos", F.col("own") + F.col("pos")).withColumn("comp", F.col("node")).select("h", "comp", *fields)
+    links = spark.createDataFrame([], "a binary, b binary")
     done = spark.createDataFrame([], "a binary, b binary, linked boolean")
-    links = done
-    ordered = [F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")]
-    member = F.struct(F.xxhash64("node").alias("deal"), *fields)
     for nth in range(LEADER_PASSES + 1):
         mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
-        members = kept(members.join(mixed, "h"), "postings") if nth else members
+        members = kept(members.join(mixed, "h"), "postings")
         if members.isEmpty():
             break
-        if nth < LEADER_PASSES:
-            one = members.groupBy("h", "comp").agg(F.min(member).alias("l"))
-            leader = one.groupBy("h").agg(F.min("l").alias("r"))
-            met = one.join(leader, "h").where(F.col("l.node") != F.col("r.node")).where(_can_link(percent))
-            counted = met.groupBy(F.col("l.node").alias("from"), F.col("r.node").alias("to")).agg(F.count(F.lit(1)).alias("times"))
-            best = counted.groupBy("from").agg(F.max(F.struct("times", "to")).alias("best"))
-            pairs = best.select(F.least("from", "best.to").alias("a"), F.greatest("from", "best.to").alias("b"))
-        else:
-            left, right = (members.select("h", "comp", F.struct(*fields).alias(side)) for side in ("l", "r"))
-            met = left.join(right.withColumnRenamed("comp", "other"), "h").where("comp < other").where(_can_link(percent))
-            pairs = met.select(*ordered)
-        pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
-        checked = _verified(pairs, sets, percent, "verified")
-        done = done.union(checked)
-        found = checked.where("linked").select("a", "b")
-        if found.isEmpty():
-            continue
-        links = links.select("a", "b").union(found)
-        if nth < LEADER_PASSES:
-            label = components(links).select("node", F.col("comp").alias("new"))
-            members = kept(members.join(label, "node", "left").withColumn("comp", F.coalesce("new", "comp")).select("h", *fields, "comp"), "postings")
-    return components(links.select("a", "b"))
+        if nth == LEADER_PASSES:
+            links = links.union(_links_between(members, sets, percent))
+            break
+        # The most central text leads a list first, then any.
+        deal = F.xxhash64("node", F.lit(nth)).alias("deal")
+        member = F.struct(F.col("central").alias("first") if nth == 0 else deal, deal, *fields)
+        one = members.groupBy("h", "comp").agg(F.max(member).alias("l"))
+        leader = one.groupBy("h").agg(F.max("l").alias("r"))
+        met = one.join(leader, "h").where(F.col("l.node") != F.col("r.node")).where(_can_link(percent))
+        counted = met.groupBy(F.col("l.node").alias("from"), F.col("r.node").alias("to")).agg(F.count(F.lit(1)).alias("times"))
+        best = counted.groupBy("from").agg(F.max(F.struct("times", "to")).alias("best"))
+        pairs = best.select(F.least("from", "best.to").alias("a"), F.greatest("from", "best.to").alias("b")).distinct()
+        checked = _verified(pairs.join(done, ["a", "b"], "left_anti"), sets, percent, "verified")
+        done, links = done.union(checked), links.union(checked.where("linked").select("a", "b"))
+        label = components(links).select("node", F.col("comp").alias("new"))
+        members = members.join(label, "node", "left").withColumn("comp", F.coalesce("new", "comp")).select("h", "comp", *fields)
+    return components(links)
 
 
 def jaccard_components(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
