@@ -24,11 +24,11 @@ from threadloom.llm.store import kept
 from threadloom.llm.words import BY_ALNUM, Words, pieces
 
 # Words of a passage and from one passage to the next.
-PASSAGE, STRIDE = 40, 20
+PASSAGE, STRIDE = 24, 12
 RANK = 96
 # Terms in more than this share of passages have no weight, unless an item has fewer than LEAST_TERMS others.
 COMMON, LEAST_TERMS = 0.05, 4
-COSINE = 0.36
+COSINE = 0.45
 # Share of an item's words found in order: enough alone; enough if the answer is there too, and for the words that have weight.
 # Share of the answer's words found.
 COVERED, PARAPHRASED, ANSWERED = 0.75, 0.6, 0.75
@@ -250,7 +250,7 @@ def _prepare(items: Items, docs: DataFrame, rank: int, seed: int) -> Items:
     queries = []
     for item, words in enumerate(items.words):
         term = items.find(words)
-        for low in range(0, max(len(words) - STRIDE, 1), STRIDE):
+        for low in range(0, len(words), PASSAGE):
             queries.append(items.vectors[term[low : low + PASSAGE]].sum(axis=0))
             items.query_item.append(item)
             items.query_at.append(low)
