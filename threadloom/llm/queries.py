@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import jaccard, leaks, lines, mixing, toxicity
+from threadloom.llm import jaccard, leaks, lines, mixing, tokens, toxicity
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -31,6 +31,12 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_token_counts(spark, sf_dir):
+    configure(spark)
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_line_dedup(spark, sf_dir):
     configure(spark)
