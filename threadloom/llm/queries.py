@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import jaccard, leaks, lines, mixing, tokens, toxicity
+from threadloom.llm import jaccard, leaks, licenses, lines, mixing, tokens, toxicity
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -37,6 +37,12 @@ def op4_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_license_scan(spark, sf_dir):
+    configure(spark)
+    return licenses.license_summary(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_line_dedup(spark, sf_dir):
     configure(spark)
