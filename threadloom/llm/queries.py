@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import jaccard, leaks, licenses, lines, mixing, tokens, toxicity
+from threadloom.llm import jaccard, leaks, licenses, lines, mixing, tokens, toxicity, vectors
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -19,6 +19,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_embedding_dedup(spark, sf_dir):
+    configure(spark)
+    return vectors.vector_components(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_jaccard_join(spark, sf_dir):
     configure(spark)
