@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import jaccard, leaks, licenses, lines, mixing, tokens, toxicity, vectors
+from threadloom.llm import jaccard, leaks, licenses, lines, mixing, privacy, tokens, toxicity, vectors
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -65,3 +65,9 @@ def op7_decontamination(spark, sf_dir):
 def op9_mixing(spark, sf_dir):
     configure(spark)
     return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_personal_data(spark, sf_dir):
+    configure(spark)
+    return privacy.personal_data_summary(table(spark, sf_dir, "documents"))
