@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import jaccard, leaks, licenses, lines, mixing, privacy, tokens, toxicity, vectors
+from threadloom.llm import chat, jaccard, leaks, licenses, lines, mixing, privacy, tokens, toxicity, vectors
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -61,6 +61,12 @@ def op7_decontamination(spark, sf_dir):
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_role_repair(spark, sf_dir):
+    configure(spark)
+    return chat.repaired(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "new_role", "action", "inserted", "rendered")
+
+
 @query
 def op9_mixing(spark, sf_dir):
     configure(spark)
