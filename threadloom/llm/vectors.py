@@ -28,13 +28,13 @@ from threadloom.llm.store import kept
 
 COSINE = 0.98
 BLOCKS = 8
-# Vectors of one label that a cell should hold on average, rows of a cell compared at once, and rows of a task's share.
-CELL_AIM, CELL_ROWS, SHARE_ROWS = 200, 4096, 20_000
+# Vectors of one label that a cell of the shuffle should hold, rows above which a task cuts a cell, and rows of a task's share.
+CELL_ROWS, CELL_AIM, SHARE_ROWS = 8192, 200, 4096
 
 _PLACED = pa.schema(
-    [("part", pa.int64()), ("label", pa.int64()), ("block", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("node", pa.binary()), ("n", pa.int64()), ("vec", pa.binary())]
+    [("label", pa.int64()), ("block", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("node", pa.binary()), ("n", pa.int64()), ("vec", pa.binary())]
 )
-_PLACED_SQL = "part long, label long, block int, cell long, home boolean, node binary, n long, vec binary"
+_PLACED_SQL = "label long, block int, cell long, home boolean, node binary, n long, vec binary"
 _FOUND_SQL = "a binary, b binary, n long"
 
 
@@ -91,7 +91,25 @@ def _scaled(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.abs(vectors).max(axis=1, keepdims=True)
 
 
-def _placer(width: int, blocks: int, grid: int, distance: float, parts: int, with_vectors: bool):
+def _cells(x: np.ndarray, radius: float, dims: int, seed: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Keys of the cells that vectors lie in (first, and marked) or are copied to; one cell for all if ``dims`` is 0."""
+    scaled = x[:, :dims] / (2 * radius)
+    own = np.floor(scaled).astype(np.int64)
+    side = np.where(scaled - own < 0.5, -1, 1)
+    for corner in range(1 << dims):
+        moved = own + side * np.array([corner >> d & 1 for d in range(dims)], np.int64)
+        key = np.full(len(x), seed, np.uint64)
+        for d in range(dims):
+            key = (key ^ moved[:, d].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        yield key.view(np.int64), corner == 0
+
+
+def _radius(width: int, low: int, high: int, distance: float) -> float:
+    return float(np.sqrt(distance * (high - low) / width)) * (1 + 1e-6)
+
+
+def _placer(width: int, blocks: int, grid: int, distance: float, with_vectors: bool):
     edges = _edges(width, blocks)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,36 +117,34 @@ def _placer(width: int, blocks: int, grid: int, distance: float, parts: int, wit
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
                 x = _rotated(_scaled(_unpack(piece.column("vec").to_pylist(), width)))
-                label = np.array(piece.column("label"), np.int64)
-                take, cells, block_of, home = [], [], [], []
                 for b, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    dims = min(grid, high - low)
-                    radius = np.sqrt(distance * (high - low) / width) * (1 + 1e-6)
-                    scaled = x[:, low : low + dims] / (2 * radius)
-                    own = np.floor(scaled).astype(np.int64)
-                    side = np.where(scaled - own < 0.5, -1, 1)
-                    for corner in range(1 << dims):
-                        moved = own + side * np.array([corner >> d & 1 for d in range(dims)])
-                        key = np.zeros(len(x), np.uint64) + np.uint64(b)
-                        for d in range(dims):
-                            key = (key ^ moved[:, d].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                            key ^= key >> np.uint64(29)
-                        take.append(np.arange(len(x)))
-                        cells.append(key.view(np.int64))
-                        block_of.append(np.full(len(x), b, np.int32))
-                        home.append(np.full(len(x), corner == 0))
-                take, cell = np.concatenate(take), np.concatenate(cells)
-                lab = label[take]
-                part = ((cell ^ (lab * np.int64(0x632BE5AB))) % parts).astype(np.int64)
-                rows = piece.take(pa.array(take))
-                vec = rows.column("vec") if with_vectors else pa.nulls(len(take), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), pa.array(lab), pa.array(np.concatenate(block_of)), pa.array(cell), pa.array(np.concatenate(home)), rows.column("node"), rows.column("n"), vec], schema=_PLACED
-                )
+                    for key, home in _cells(x[:, low:high], _radius(width, low, high, distance), min(grid, high - low), b + 1):
+                        vec = piece.column("vec") if with_vectors else pa.nulls(len(x), pa.binary())
+                        yield pa.RecordBatch.from_arrays(
+                            [piece.column("label"), pa.array(np.full(len(x), b, np.int32)), pa.array(key), pa.array(np.full(len(x), home)), piece.column("node"), piece.column("n"), vec], schema=_PLACED
+                        )
 
     return place
 
 
+def _near_cells(x: np.ndarray, at_home: np.ndarray, compared: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inside a task, the same grid again on more dimensions: home rows of each cell with the rows that lie in it or beside it."""
+    if len(at_home) == 0 or len(compared) == 0:
+        return
+    dims = min(x.shape[1], 3 if len(compared) > CELL_AIM else 0)
+    mine, _ = next(_cells(x[at_home], radius, dims, 0))
+    copies = [key for key, _ in _cells(x[compared], radius, dims, 0)]
+    theirs, rows = np.concatenate(copies), np.tile(compared, len(copies))
+    order, back = np.argsort(mine, kind="stable"), np.argsort(theirs, kind="stable")
+    mine, at_home, theirs, rows = mine[order], at_home[order], theirs[back], rows[back]
+    begin = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+    left, right = np.searchsorted(theirs, mine[begin], "left"), np.searchsorted(theirs, mine[begin], "right")
+    for low, high, a, b in zip(begin, np.append(begin[1:], len(mine)), left, right, strict=True):
+        for start in range(low, high, 512):
+            for other in range(a, b, 8192):
+                yield at_home[start : min(start + 512, high)], rows[other : min(other + 8192, b)]
+
+
 def _joiner(width: int, blocks: int, cosine: float, distance: float):
     edges = _edges(width, blocks)
     budgets = [distance * (high - low) / width * (1 + 1e-9) for low, high in zip(edges[:-1], edges[1:], strict=True)]
@@ -158,15 +174,10 @@ def _joiner(width: int, blocks: int, cosine: float, distance: float):
 
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             rows = order[low:high]
-            at_home, rows = rows[home[rows]], rows[compared[rows]]
-            if len(at_home) == 0 or len(rows) == 0:
-                continue
             b = int(keys[low, 1])
             dims = slice(edges[b], edges[b + 1])
-            far = turned[rows, dims]
-            for start in range(0, len(at_home), 512):
-                near_rows = at_home[start : start + 512]
-                near = turned[near_rows, dims]
+            for near_rows, rows in _near_cells(turned[:, dims], rows[home[rows]], rows[compared[rows]], _radius(width, dims.start, dims.stop, distance)):
+                near, far = turned[near_rows, dims], turned[rows, dims]
                 apart = (near**2).sum(axis=1)[:, None] + (far**2).sum(axis=1) - 2 * near @ far.T
                 i, j = np.nonzero(apart <= budgets[b] + 1e-6)
                 i, j = near_rows[i], rows[j]
@@ -201,15 +212,15 @@ def _links(nodes: DataFrame, width: int, cosine: float, blocks: int) -> DataFram
     """Links of nodes of one vector length: (a, null, n) how many vectors a links with, (a, b, 0) links that join components."""
     distance = 2 - 2 * cosine
     total, largest = nodes.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
-    # A cell side covers about a third of the values of one dimension of random unit vectors.
-    grid = 1 if largest <= CELL_AIM else min(-(-width // blocks), int(np.ceil(np.log(largest / CELL_AIM) / np.log(3))))
+    # A cell side covers about a third of the values of one dimension of random unit vectors. Tasks cut cells further.
+    grid = 0 if largest <= CELL_ROWS else min(-(-width // blocks), int(np.ceil(np.log(largest / CELL_ROWS) / np.log(3))))
     rows = total * min(blocks, width) << grid
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // SHARE_ROWS)
     key = ["label", "block", "cell"]
-    counted = nodes.mapInArrow(_placer(width, blocks, grid, distance, parts, False), _PLACED_SQL)
+    counted = nodes.mapInArrow(_placer(width, blocks, grid, distance, False), _PLACED_SQL)
     counted = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.sum(F.col("home").cast("long")).alias("homes"))
-    crowded = kept(counted.where(F.col("copies") > CELL_ROWS), "crowded-cells")
-    placed = nodes.mapInArrow(_placer(width, blocks, grid, distance, parts, True), _PLACED_SQL)
+    crowded = kept(counted.where(F.col("copies") > 2 * CELL_ROWS), "crowded-cells")
+    placed = nodes.mapInArrow(_placer(width, blocks, grid, distance, True), _PLACED_SQL)
     if crowded.isEmpty():
         placed = placed.withColumn("x", F.lit(0)).withColumn("y", F.lit(0))
     else:
@@ -223,9 +234,10 @@ def _links(nodes: DataFrame, width: int, cosine: float, blocks: int) -> DataFram
         cut = cut.withColumn("own_x", own_x).withColumn("own_y", own_y).withColumn("to", spread)
         cut = cut.where((F.col("to.x") == F.col("own_x")) | (F.col("to.y") == F.col("own_y")))
         cut = cut.withColumn("home", F.col("home") & (F.col("to.x") == F.col("own_x"))).withColumn("far", F.col("to.y") == F.col("own_y"))
-        placed = cut.withColumn("x", F.col("to.x")).withColumn("y", F.col("to.y")).withColumn("part", F.pmod(F.xxhash64("part", "x", "y", *key), F.lit(parts)))
+        placed = cut.withColumn("x", F.col("to.x")).withColumn("y", F.col("to.y"))
     if "far" not in placed.columns:
         placed = placed.withColumn("far", F.lit(True))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64(*key, "x", "y"), F.lit(parts)))
     return placed.select("part", *key, "x", "y", "home", "far", "node", "n", "vec").groupBy("part").applyInArrow(_joiner(width, blocks, cosine, distance), _FOUND_SQL)
 
 
