@@ -25,10 +25,12 @@ from threadloom.llm.words import BY_ALNUM, Words, pieces
 
 # Words of a passage and from one passage to the next.
 PASSAGE, STRIDE = 24, 12
-RANK = 96
+RANK = 64
 # Terms in more than this share of passages have no weight, unless an item has fewer than LEAST_TERMS others.
-COMMON, LEAST_TERMS = 0.05, 4
-COSINE = 0.45
+COMMON, LEAST_TERMS = 0.01, 4
+COSINE = 0.4
+# Share of a query's weighted words that a candidate passage must have.
+FILTER = 0.4
 # Share of an item's words found in order: enough alone; enough if the answer is there too, and for the words that have weight.
 # Share of the answer's words found.
 COVERED, PARAPHRASED, ANSWERED = 0.75, 0.6, 0.75
@@ -147,7 +149,7 @@ def _projector(shipped, random):
 
 
 def latent_vectors(product: np.ndarray, random: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Term vectors from Y = G R: Nystrom G ~ F F^T, then an SVD of F; directions are brought to equal variance."""
+    """Term vectors from Y = G R: Nystrom G ~ F F^T, then an SVD of F; directions count by the root of their spread."""
     shift = 1e-6 * max(float(np.linalg.norm(product)), 1e-12)
     moved = product + shift * random
     middle = random.T @ moved
@@ -156,7 +158,7 @@ def latent_vectors(product: np.ndarray, random: np.ndarray, weights: np.ndarray)
     factor = moved @ (basis[:, good] / np.sqrt(values[good]))
     directions, spread, _ = np.linalg.svd(factor, full_matrices=False)
     good = spread > (spread.max() if len(spread) else 0) * 1e-5
-    return (directions[:, good] / spread[good] * weights[:, None]).astype(np.float32)
+    return (directions[:, good] / np.sqrt(spread[good]) * weights[:, None]).astype(np.float32)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -179,6 +181,14 @@ def _searcher(shipped):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(**shipped.value)
+        # Which weighted terms a query has (and none in the last column), and how many of its words have weight.
+        own_term = np.zeros((len(items.queries), len(items.terms) + 1), np.int8)
+        query_weighed = np.zeros(len(items.queries))
+        for q, (item, low) in enumerate(zip(items.query_item, items.query_at, strict=True)):
+            own = items.find(items.words[item][low : low + PASSAGE])
+            own = own[items.weights[own] > 0]
+            own_term[q, own] = 1
+            query_weighed[q] = len(own)
         rare = [(items.weights[items.find(w)] > 0).tolist() for w in items.words]
         for batch in batches:
             ids = batch.column("doc_id")
@@ -192,6 +202,9 @@ def _searcher(shipped):
                     own = block[has]
                     begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                     sums[own[begin]] = np.add.reduceat(items.vectors[term[has]], begin)
+                first_word = np.zeros(len(sums), np.int64)
+                for_each = np.diff(first)
+                first_word[:-1] = np.repeat(words.bounds[:-1] - first[:-1] * STRIDE, for_each) + np.arange(first[-1]) * STRIDE
                 # A passage is two blocks of one text; the last block of a text also stands alone.
                 last = np.zeros(len(sums), bool)
                 last[first[1:][first[1:] > first[:-1]] - 1] = True
@@ -205,6 +218,14 @@ def _searcher(shipped):
                     like = _unit(passage[:-1]) @ items.queries.T
                     close = np.argwhere(like >= COSINE)
                     cosines = like[close[:, 0], close[:, 1]]
+                    # Of what a query weighs, a share must be in the passage, in any order: seen for all candidates at once.
+                    where = first_word[close[:, 0]]
+                    met = np.zeros(len(close), np.int32)
+                    for i in range(PASSAGE):
+                        at_word = np.minimum(where + i, len(term) - 1)
+                        met += own_term[close[:, 1], np.where(has[at_word], term[at_word], len(items.terms))]
+                    enough = met >= FILTER * query_weighed[close[:, 1]]
+                    close, cosines = close[enough], cosines[enough]
                 text = np.searchsorted(first, close[:, 0], "right") - 1
                 for k, (b, q) in enumerate(close.tolist()):
                     doc, item = int(text[k]), items.query_item[q]
