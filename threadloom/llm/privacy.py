@@ -82,6 +82,16 @@ def _listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["stop"].cast("string")))
 
 
+def _names(kind: str) -> Column:
+    """What the entities of a kind are counted by."""
+    return F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s["value"])))
+
+
+def _replaced(kind: str) -> Column:
+    name = "" if kind == TERM else f"[{kind.upper()}]"
+    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(name).alias("name")))
+
+
 def _masked(line: Column, spans: Column) -> Column:
     """The line with spans blanked, as long as before. Spans are of one kind and so do not overlap."""
     starts = F.transform(spans, lambda s: s["start"])
@@ -104,8 +114,7 @@ def _with_entities(lines: DataFrame) -> DataFrame:
     possible = lines.where(F.col("line").rlike("|".join(_HINTS.values())))
     for kind in KINDS:
         possible = possible.withColumn(kind, base_spans(F.col("line"), kind))
-    names = [F.transform(kind, lambda s, k=kind: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for kind in KINDS]
-    possible = possible.withColumn("entities", F.array_distinct(F.concat(*names))).where(F.size("entities") > 0)
+    possible = possible.withColumn("entities", F.array_distinct(F.concat(*map(_names, KINDS)))).where(F.size("entities") > 0)
     masked = F.col("line")
     for kind in KINDS:
         possible = possible.withColumn("line", _masked(masked, F.col(kind)))
@@ -185,8 +194,7 @@ def sanitised(documents: DataFrame, disclosure: float = DISCLOSURE, support: int
     found = personal_data(documents, disclosure, support).dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     rows = documents.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    named = [F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit("" if k == TERM else f"[{k.upper()}]").alias("name"))) for k in (*KINDS, TERM)]
-    spans = F.array_sort(F.concat(*named))
+    spans = F.array_sort(F.concat(*map(_replaced, (*KINDS, TERM))))
 
     def add(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
