@@ -141,7 +141,8 @@ def disclosing_terms(documents: DataFrame, entity_lines: DataFrame, disclosure:
     shared = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     return (
         both.join(entities, "entity")
-        .join(terms.join(both.select("term").distinct(), "term", "left_semi"), "term")
+        # All terms are added up in their tasks first; a semi-join would be moved below that and shuffle every occurrence.
+        .join(terms.join(both.select("term").distinct(), "term"), "term")
         .where(information > 0)
         .select("entity", "term", (shared / information).alias("disclosed"))
         .where(F.col("disclosed") >= disclosure)
