@@ -172,7 +172,7 @@ def test_license_markup():
     assert match("alpha beta gamma one q end") == [(0, 6)]
     assert not match("alpha gamma one q end") and not match("alpha one end") and not match("alpha two q end") and not match("alpha one a b c end")
     with pytest.raises(ValueError):
-        licenses.Automaton([("x", "[maybe] word")])
+        licenses.Automaton([("x", "<1-2> word")])
     with pytest.raises(ValueError):
         licenses.Automaton([("x", "word [maybe")])
 

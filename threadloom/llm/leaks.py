@@ -26,11 +26,12 @@ from threadloom.llm.words import BY_ALNUM, Words, pieces
 # Words of a passage and from one passage to the next.
 PASSAGE, STRIDE = 24, 12
 RANK = 64
-# Terms in more than this share of passages have no weight, unless an item has fewer than LEAST_TERMS others.
-COMMON, LEAST_TERMS = 0.01, 4
-COSINE = 0.4
+# Terms in more than these shares of passages and of items (SEVERAL items at least) have no weight, unless an item has fewer than
+# LEAST_TERMS others. What is common in the corpus but not in the benchmark may be so because it has leaked, and keeps its weight.
+COMMON, COMMON_ITEMS, SEVERAL, LEAST_TERMS = 0.01, 0.05, 3, 4
+COSINE = 0.45
 # Share of a query's weighted words that a candidate passage must have.
-FILTER = 0.4
+FILTER = 0.45
 # Share of an item's words found in order: enough alone; enough if the answer is there too, and for the words that have weight.
 # Share of the answer's words found.
 COVERED, PARAPHRASED, ANSWERED = 0.75, 0.6, 0.75
@@ -71,6 +72,11 @@ class Items:
     queries: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))
     query_item: list[int] = field(default_factory=list)
     query_at: list[int] = field(default_factory=list)
+    query_size: list[int] = field(default_factory=list)
+
+    @property
+    def code(self):
+        return np.uint16 if len(self.terms) < 65535 else np.uint32
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word's term, -1 for words that are not in the benchmark."""
@@ -91,11 +97,36 @@ def read_items(rows: list) -> Items:
     return Items(np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64), ids, found)
 
 
-def _blocks(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _encoder(shipped):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as the number of each word's term, plus one; 0 for words that are not in the benchmark."""
+        items = Items(**shipped.value)
+        for batch in batches:
+            for at, stop, data, offsets in pieces(batch.column("text")):
+                words = Words(data, offsets, BY_ALNUM)
+                codes = (items.find(words.hashes) + 1).astype(items.code)
+                cuts = pa.array(words.bounds * codes.itemsize, pa.int64())
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - at, [None, cuts.buffers()[1], pa.py_buffer(codes)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, stop - at), packed.cast(pa.binary())], names=["doc_id", "terms"])
+
+    return encode
+
+
+def _texts(batch: pa.RecordBatch, code, rows: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of encoded texts: first row, term of each word (-1 for none), and the range of each text's words."""
+    column = batch.column("terms")
+    for at in range(0, batch.num_rows, rows):
+        part = column.slice(at, rows)
+        raw = part.to_pylist()
+        term = np.frombuffer(b"".join(raw), code).astype(np.int64) - 1
+        yield at, term, np.append(0, np.cumsum([len(r) for r in raw])) // np.dtype(code).itemsize
+
+
+def _blocks(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of each word's block of ``size`` words, counted over all texts, and the first block of each text (and the end)."""
-    length = np.diff(words.bounds)
+    length = np.diff(bounds)
     first = np.append(0, np.cumsum(-(-length // size)))
-    nth = np.arange(len(words.hashes)) - np.repeat(words.bounds[:-1], length)
+    nth = np.arange(bounds[-1]) - np.repeat(bounds[:-1], length)
     return np.repeat(first[:-1], length) + nth // size, first
 
 
@@ -104,11 +135,9 @@ def _term_counter(shipped):
         items = Items(**shipped.value)
         many, passages = np.zeros(len(items.terms), np.int64), 0
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column("text")):
-                words = Words(data, offsets, BY_ALNUM)
-                block, first = _blocks(words, PASSAGE)
+            for _, term, bounds in _texts(batch, items.code):
+                block, first = _blocks(bounds, PASSAGE)
                 passages += int(first[-1])
-                term = items.find(words.hashes)
                 has = term >= 0
                 pair = np.sort(block[has] * len(items.terms) + term[has])
                 pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
@@ -126,10 +155,8 @@ def _projector(shipped, random):
         weighted = (random.value * items.weights[:, None]).astype(np.float32)
         total = np.zeros(weighted.shape)
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column("text")):
-                words = Words(data, offsets, BY_ALNUM)
-                block, _ = _blocks(words, PASSAGE)
-                term = items.find(words.hashes)
+            for _, term, bounds in _texts(batch, items.code):
+                block, _ = _blocks(bounds, PASSAGE)
                 has = (term >= 0) & (items.weights[term] > 0)
                 block, term = block[has], term[has]
                 if len(term) == 0:
@@ -150,14 +177,14 @@ def _projector(shipped, random):
 
 def latent_vectors(product: np.ndarray, random: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Term vectors from Y = G R: Nystrom G ~ F F^T, then an SVD of F; directions count by the root of their spread."""
-    shift = 1e-6 * max(float(np.linalg.norm(product)), 1e-12)
+    shift = 1e-9 * max(float(np.linalg.norm(product)), 1e-12)
     moved = product + shift * random
     middle = random.T @ moved
     values, basis = np.linalg.eigh((middle + middle.T) / 2)
     good = values > max(values.max(), 0) * 1e-10
     factor = moved @ (basis[:, good] / np.sqrt(values[good]))
     directions, spread, _ = np.linalg.svd(factor, full_matrices=False)
-    good = spread > (spread.max() if len(spread) else 0) * 1e-5
+    good = spread > (spread.max() if len(spread) else 0) * 1e-3
     return (directions[:, good] / np.sqrt(spread[good]) * weights[:, None]).astype(np.float32)
 
 
@@ -166,8 +193,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _searcher(shipped):
-    def judge(items: Items, item: int, region: list, rare: list) -> tuple[float, float, bool]:
-        words = items.words[item].tolist()
+    def judge(wanted: list, item: int, region: list, rare: list) -> tuple[float, float, bool]:
+        words = wanted[item]
         if len(words) < SHORT:
             found = contains(region, words)
             return float(found), float(found), found
@@ -185,17 +212,16 @@ def _searcher(shipped):
         own_term = np.zeros((len(items.queries), len(items.terms) + 1), np.int8)
         query_weighed = np.zeros(len(items.queries))
         for q, (item, low) in enumerate(zip(items.query_item, items.query_at, strict=True)):
-            own = items.find(items.words[item][low : low + PASSAGE])
+            own = items.find(items.words[item][low : low + items.query_size[q]])
             own = own[items.weights[own] > 0]
             own_term[q, own] = 1
             query_weighed[q] = len(own)
-        rare = [(items.weights[items.find(w)] > 0).tolist() for w in items.words]
+        wanted = [items.find(w).tolist() for w in items.words]
+        rare = [(items.weights[w] > 0).tolist() for w in wanted]
         for batch in batches:
             ids = batch.column("doc_id")
-            for at, stop, data, offsets in pieces(batch.column("text")):
-                words = Words(data, offsets, BY_ALNUM)
-                block, first = _blocks(words, STRIDE)
-                term = items.find(words.hashes)
+            for at, term, bounds in _texts(batch, items.code):
+                block, first = _blocks(bounds, STRIDE)
                 has = (term >= 0) & (items.weights[term] > 0) if len(items.weights) else term >= 0
                 sums = np.zeros((int(first[-1]) + 1, items.vectors.shape[1]), np.float32)
                 if has.any():
@@ -204,7 +230,7 @@ def _searcher(shipped):
                     sums[own[begin]] = np.add.reduceat(items.vectors[term[has]], begin)
                 first_word = np.zeros(len(sums), np.int64)
                 for_each = np.diff(first)
-                first_word[:-1] = np.repeat(words.bounds[:-1] - first[:-1] * STRIDE, for_each) + np.arange(first[-1]) * STRIDE
+                first_word[:-1] = np.repeat(bounds[:-1] - first[:-1] * STRIDE, for_each) + np.arange(first[-1]) * STRIDE
                 # A passage is two blocks of one text; the last block of a text also stands alone.
                 last = np.zeros(len(sums), bool)
                 last[first[1:][first[1:] > first[:-1]] - 1] = True
@@ -230,12 +256,12 @@ def _searcher(shipped):
                 for k, (b, q) in enumerate(close.tolist()):
                     doc, item = int(text[k]), items.query_item[q]
                     size = len(items.words[item])
-                    begin = int(words.bounds[doc]) + (b - int(first[doc])) * STRIDE - items.query_at[q]
-                    low, high = max(begin - STRIDE, int(words.bounds[doc])), min(begin + size + PASSAGE, int(words.bounds[doc + 1]))
-                    coverage, answered, leaked = judge(items, item, words.hashes[low:high].tolist(), rare[item])
+                    begin = int(bounds[doc]) + (b - int(first[doc])) * STRIDE - items.query_at[q]
+                    low, high = max(begin - STRIDE, int(bounds[doc])), min(begin + size + PASSAGE, int(bounds[doc + 1]))
+                    coverage, answered, leaked = judge(wanted, item, term[low:high].tolist(), rare[item])
                     if leaked:
                         old = best.get((doc, item))
-                        new = (coverage, answered, float(cosines[k]), low - int(words.bounds[doc]))
+                        new = (coverage, answered, float(cosines[k]), low - int(bounds[doc]))
                         if old is None or new > old:
                             best[doc, item] = new
                 for (doc, item), (coverage, answered, cosine, low) in sorted(best.items()):
@@ -254,8 +280,9 @@ def _prepare(items: Items, docs: DataFrame, rank: int, seed: int) -> Items:
     passages = int(n[term == -1].sum())
     many = np.zeros(len(items.terms), np.int64)
     many[term[term >= 0]] = n[term >= 0]
-    idf = np.log((1 + passages) / (1 + many)) + 1e-9
-    weighed = many <= COMMON * passages
+    own_items = np.bincount(np.concatenate([np.unique(items.find(words)) for words in items.words]), minlength=len(items.terms))
+    idf = np.log(np.maximum((1 + passages) / (1 + many), (1 + len(items.ids)) / (1 + own_items))) + 1e-9
+    weighed = (many <= COMMON * passages) | (own_items <= max(COMMON_ITEMS * len(items.ids), SEVERAL))
     for words in items.words:
         own = np.unique(items.find(words))
         if weighed[own].sum() < LEAST_TERMS:
@@ -271,8 +298,10 @@ def _prepare(items: Items, docs: DataFrame, rank: int, seed: int) -> Items:
     queries = []
     for item, words in enumerate(items.words):
         term = items.find(words)
-        for low in range(0, len(words), PASSAGE):
-            queries.append(items.vectors[term[low : low + PASSAGE]].sum(axis=0))
+        size = -(-len(words) // -(-len(words) // PASSAGE))
+        for low in range(0, len(words), size):
+            queries.append(items.vectors[term[low : low + size]].sum(axis=0))
+            items.query_size.append(size)
             items.query_item.append(item)
             items.query_at.append(low)
     items.queries = _unit(np.array(queries, np.float32).reshape(len(queries), -1)).astype(np.float32)
@@ -298,8 +327,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: in
         rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES of text
         items = read_items(sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text or "")))
         if items.ids:
-            items = _prepare(items, docs, rank, seed)
-            found = found.union(docs.mapInArrow(_searcher(spark.sparkContext.broadcast(vars(items))), _HITS_SQL))
+            # Texts are read once; what follows reads the terms.
+            coded = kept(docs.mapInArrow(_encoder(spark.sparkContext.broadcast(vars(items))), "doc_id long, terms binary"), "benchmark-terms")
+            items = _prepare(items, coded, rank, seed)
+            found = found.union(coded.mapInArrow(_searcher(spark.sparkContext.broadcast(vars(items))), _HITS_SQL))
     return found
 
 
