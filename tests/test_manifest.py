@@ -85,6 +85,8 @@ def test_payloads(spark):
         (gzip.compress(ok), "br, X-Gzip ", "ok", "", "abc"), (gzip.compress(ok[:20]) + gzip.compress(ok[20:]), "", "ok", "", "abc"),
         (ok, "gzip", "", "bad_gzip", None), (gzip.compress(ok)[:20], "", "", "bad_gzip", None), (b"{", "", "", "bad_json", None),
         (b'{"status":"no","data":{"id":"x"}}', "", "no", "bad_status", None), (b"[]", "", "", "bad_json", None), (b"{}", "", "", "bad_status", None),
+        (b'{"status":"ok","data":[1]}', "", "ok", "bad_data", None), (b'{"status":"ok","data":"x"}', "", "ok", "bad_data", None),
+        (b'{"status":"ok","data":{"id":"a\xff"}}', "", "ok", "", "a\ufffd"), (b'{"status":"ok"}', "", "ok", "", None),
     ]
     df = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, body binary, content_encoding string")
     got = manifest.decode_payloads(df, "id string").orderBy("i").collect()

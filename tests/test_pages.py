@@ -10,32 +10,29 @@ from threadloom.sources.readers import dealt_out, list_assets, read_pages
 
 FALLBACK = "2001-02-03 04:05:06"
 
-# Author, post and expected fields of a five-floor thread.
-GOLDEN = [
-    ("GF", "tpc", "路过之人", "1178845", "https://p.example.dev/a.jpg", 5178, "2019-07-26", "有什么有意思的事情吗？", "11:14",
-     '上回考了<img src="images/29.gif" loading="lazy"/>\n  <br/>\n <img src="//x.example/9.png" onclick="if(this.width&gt;=680) window.open(&#39;//x&#39;);"/>'),
-    ("B1F", "34668163", "364c6e34", "1982404", "images/face/none.gif", 29, "2024-01-24", "", "11:17",
-     '恭喜 <img src="images/face077.gif" loading="lazy"/>'),
-    ("B2F", "34668166", "稻妻", "925904", "images/face/8.gif", 1654, "2018-03-17", "", "11:18", "80分都不够，多少分才算及格"),
-    ("B3F", "34668171", "路过之人", "1178845", "https://p.example.dev/a.jpg", 5178, "2019-07-26", "有什么有意思的事情吗？", "11:19",
-     '90，因为满分180 <img src="images/face106.gif" loading="lazy"/>'),
-    ("B4F", "34668194", "勇敢牛牛", "1310667", "images/face/none.gif", 333, "2020-05-06", "勇敢牛牛不怕困难", "11:26",
-     '<img src="images/face113.jpg" loading="lazy"/>我n1也擦线过了102'),
+# An invented thread about a garden: floor, post id, author, uid, avatar, posts, registered, signature, clock, body.
+THREAD = [
+    ("GF", "tpc", "Marta 園丁", "41", "https://pics.garden.test/m.png", 12, "2021-03-02", "Compost is patience.", "08:30",
+     'Which beans grow in shade?<img src="pics/bean.png" loading="lazy"/>\n  <br/>\n <img src="//pics.garden.test/bed.jpg" onclick="show(&#39;bed&#39;)"/>'),
+    ("B1F", "7001", "oleander", "42", "pics/none.png", 0, "2022-11-30", "", "08:45", 'Try runner beans <img src="pics/smile.png"/>'),
+    ("B2F", "7002", "Élodie", "43", "pics/e.png", 310, "2019-01-15", "", "09:02", "3 hours of sun are enough, 5 are better"),
+    ("B3F", "7005", "Marta 園丁", "41", "https://pics.garden.test/m.png", 12, "2021-03-02", "Compost is patience.", "21:10",
+     'Thanks &amp; good night <img src="pics/moon.gif" loading="lazy"/>'),
 ]
 
 
-def golden_page():
+def thread_page():
     posts = "".join(
         f'<table class="js-post"><tr><th class="r_two" id="td_{pid}"><div><a href="u.php?action-show-uid-{uid}.html"><strong> {name} </strong></a></div>'
-        f'<img loading="lazy" src="{avatar}"><div class="user-info">发帖: {count}<br>注册时间: {registered}</div><div class="user-info">最后登录: 2025-08-25</div>'
-        f'{f"<div class=bianji>（{sign}）</div>" if sign else ""}</th><td><div class="tiptop"><span class="gray">2025-8-25 {clock}</span></div>'
+        f'<img loading="lazy" src="{avatar}"><div class="user-info">发帖: {count}<br>注册时间: {registered}</div><div class="user-info">最后登录: 2024-06-07</div>'
+        f'{f"<div class=bianji>（{sign}）</div>" if sign else ""}</th><td><div class="tiptop"><span class="gray">2024-6-7 {clock}</span></div>'
         f'<div id="read_{pid}">\n {html}\t</div></td></tr></table>'
-        for _, pid, name, uid, avatar, count, registered, sign, clock, html in GOLDEN
+        for _, pid, name, uid, avatar, count, registered, sign, clock, html in THREAD
     )
     return (
-        '<html><head><title>N2过了好耶～ - 茶馆</title><base href="//forum.example.org/"></head><body><div id="breadcrumbs"><a class="crumbs-item">a</a>'
-        '<a class="crumbs-item gray3">b</a><a class="crumbs-item gray3">论坛 » 茶馆 </a></div><h1 id="subject_tpc"> N2过了好耶～ </h1>'
-        f'<a href="read.php?tid-2636739-ds-1.html">only author</a><span class="pagesone">Pages: 1/1 &nbsp;</span>{posts}</body></html>'
+        '<html><head><title>Beans for a shady bed</title><base href="//board.garden.test/"></head><body><div id="breadcrumbs"><a class="crumbs-item">home</a>'
+        '<a class="crumbs-item gray3">growing</a><a class="crumbs-item gray3">论坛 » Vegetables </a></div><h1 id="subject_tpc"> Beans for a shady bed </h1>'
+        f'<a href="read.php?tid-908-ds-1.html">first author only</a><span class="pagesone">Pages: 1/1 &nbsp;</span>{posts}</body></html>'
     )
 
 
@@ -44,26 +41,26 @@ def parsed(spark, *htmls, **options):
     return with_page_fields(parse_pages(spark.createDataFrame(rows, "tid string, page bigint, html string"), **options))
 
 
-def test_golden_thread(spark):
-    pages = parsed(spark, golden_page())
+def test_whole_thread(spark):
+    pages = parsed(spark, thread_page())
     head = pages.select("title", "forum", "base_url", "page_tid", "total_pages", "error").first()
-    assert head == ("N2过了好耶～", "茶馆", "https://forum.example.org/", "2636739", 1, None)
+    assert head == ("Beans for a shady bed", "Vegetables", "https://board.garden.test/", "908", 1, None)
     posts = extract_posts(pages, F.lit(FALLBACK).cast("timestamp")).orderBy("ord").collect()
-    for post, (floor, pid, name, uid, avatar, count, registered, sign, clock, html) in zip(posts, GOLDEN, strict=True):
+    for post, (floor, pid, name, uid, avatar, count, registered, sign, clock, html) in zip(posts, THREAD, strict=True):
         assert (post.floor, post.post_id, post.content_html) == (floor, pid, html)
-        assert post.author == (name, uid, avatar, count, registered, "2025-08-25", sign)
-        assert post.post_time == dt.datetime.strptime(f"2025-08-25 {clock}", "%Y-%m-%d %H:%M")
+        assert post.author == (name, uid, avatar, count, registered, "2024-06-07", sign)
+        assert post.post_time == dt.datetime.strptime(f"2024-06-07 {clock}", "%Y-%m-%d %H:%M")
 
 
 @pytest.mark.parametrize(
     "html, kind, message",
     [
-        ("<!doctype html><html><head><title>Just a moment...</title></head><body><div>Cloudflare Ray ID: 1</div></body></html>", "auth_error", "challenge page"),
+        ("<title>Just a moment...</title><p>We check that you are a person.</p>", "auth_error", "challenge page"),
         ("<html><title>Attention Required! | x</title><body>y</body></html>", "auth_error", "challenge page"),
         ("<body>a <script>CF_CLEARANCE</script></body>", "auth_error", "challenge page"),
         ("<body>Please LOG IN first</body>", "auth_error", "not logged in"),
         ("<body>请先登录</body>", "auth_error", "not logged in"),
-        ("<!doctype html><html><head><title>Normal page</title></head><body>hello</body></html>", "validation_error", "no post table"),
+        ("<title>Opening hours</title><p>Mondays from nine.</p>", "validation_error", "no post table"),
         ("<table class=js-post><tr><td>log in</table>", "validation_error", "no post content"),
         ("", "validation_error", "no post table"),
     ],

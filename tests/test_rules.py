@@ -19,14 +19,14 @@ def rule_rows(spark, rows):
 
 def test_rule_file(spark):
     got = rules.parse_scope_rules(lines(
-        spark, "# Netscape HTTP Cookie File", ".example.com\tTRUE\t/\tTRUE\t2147483647\tsessionid\tabc",
-        "#HttpOnly_example.com\tFALSE\t/\tFALSE\t0\ttoken\txyz\r", "", "example.com\tTRUE\t/\tFALSE\tx9\tn\ta\tb", ".dot.com\tFALSE\t/p\tfalse\t+5\tn\tv",
-        "e.com TRUE / FALSE 0 spaced v", "e.com\tTRUE\t/\tFALSE\t0\tempty\t", "short line",
+        spark, "# Netscape HTTP Cookie File", ".shop.test\tTRUE\t/\tTRUE\t4000000000\tbasket\t12",
+        "#HttpOnly_api.shop.test\tFALSE\t/v1\tFALSE\t0\tkey\tk-9\r", "", "shop.test\tTRUE\t/\tFALSE\tsoon\tseen\tone\ttwo", ".news.test\tFALSE\t/a\tfalse\t+5\tlang\tde",
+        "w.test TRUE / FALSE 0 spaced v", "w.test\tTRUE\t/\tFALSE\t0\tempty\t", "too short",
     )).orderBy("seq").collect()
     assert [(r.name, r.value, r.domain, r.path, r.secure, r.http_only, r.expires and int(r.expires.timestamp())) for r in got] == [
-        ("sessionid", "abc", ".example.com", "/", True, False, 2147483647), ("token", "xyz", "example.com", "/", False, True, None),
-        ("n", "a\tb", ".example.com", "/", False, False, None), ("n", "v", "dot.com", "/p", False, False, 5),
-        ("spaced", "v", ".e.com", "/", False, False, None),
+        ("basket", "12", ".shop.test", "/", True, False, 4000000000), ("key", "k-9", "api.shop.test", "/v1", False, True, None),
+        ("seen", "one\ttwo", ".shop.test", "/", False, False, None), ("lang", "de", "news.test", "/a", False, False, 5),
+        ("spaced", "v", ".w.test", "/", False, False, None),
     ]
 
 
@@ -36,7 +36,7 @@ def test_rule_files_are_sets_of_their_own(spark, tmp_path):
     parsed = rules.parse_scope_rules(read_rule_lines(spark, str(tmp_path)))
     assert sorted(r.value for r in rules.latest_rules(parsed, ["source"]).collect()) == ["a.txt", "b.txt"]
     assert rules.latest_rules(parsed.drop("source")).count() == 1
-    assert {r.present for r in rules.required_rule(parsed, ["source"], "login").collect()} == {False}
+    assert {r.present for r in rules.required_rule(parsed, ["source"], "login", F.expr("timestamp'2020-01-01'")).collect()} == {False}
 
 
 def test_latest_keeps_the_first_place(spark):
@@ -92,17 +92,20 @@ def test_matching_equals_the_double_loop(spark):
     assert matched(spark, urls, rows) == expected_matches(urls, rows)
 
 
-def test_matching_deals_out_hot_domains(spark):
-    urls, rows = matching_case(7)
-    assert matched(spark, urls, rows, hot_rows=5) == expected_matches(urls, rows)
+def test_matching_with_many_rules_for_any_host(spark, capsys):
+    urls, rows = matching_case(6, n_rules=150)
+    rows = [(n, v, "" if i % 2 else d, p, s) for i, (n, v, d, p, s) in enumerate(rows)]
+    assert matched(spark, urls, rows) == expected_matches(urls, rows)
+    df = spark.createDataFrame([(1, "http://a.com/")], "page_id bigint, url string")
+    rules.match_rules(df, rule_rows(spark, rows), F.expr("timestamp'2025-01-01'")).explain()
+    assert "NestedLoop" not in capsys.readouterr().out
 
 
-def test_matching_with_too_many_global_rules(spark, monkeypatch):
-    monkeypatch.setattr(rules, "GLOBAL_RULE_LIMIT", 2)
-    monkeypatch.setattr(rules, "GLOBAL_DEALS", 3)
-    urls, rows = matching_case(6)
-    assert sum(row[2] == "" for row in rows) > 2
-    assert matched(spark, urls, rows) == expected_matches(urls, rows)
+def test_required_rule_is_live_and_latest(spark):
+    df = rule_rows(spark, [("login", "1", "d", "/", False), ("login", "2", "d", "/", False), ("x", "3", "e", "/", False), ("login", "4", "f", "/", False)])
+    df = df.withColumn("expires", F.expr("CASE seq WHEN 1 THEN timestamp'2019-01-01' END"))
+    got = rules.required_rule(df, ["domain"], "login", F.expr("timestamp'2020-01-01'"))
+    assert {r.domain: r.present for r in got.collect()} == {"d": False, "e": False, "f": True}
 
 
 def test_escaped_paths(spark):
@@ -112,6 +115,6 @@ def test_escaped_paths(spark):
 
 
 def test_headers(spark):
-    df = spark.createDataFrame([(1, 3, "b", "2"), (1, 1, "a", "abc%3D"), (1, 2, "", "x"), (1, 1500, "c", ""), (2, 0, "", "y")], "page_id int, seq bigint, name string, value string")
-    got = sorted(tuple(r) for r in rules.rule_headers(df, ["page_id"]).collect())
-    assert got == [(1, 0, "a=abc%3D; b=2", ["a", "b"]), (1, 1, "c=", ["c"])]
+    df = spark.createDataFrame([(1, 3, "b", "2"), (1, 1, "a", "x%20y"), (1, 2, "", "x"), (1, 5000, "c", ""), (2, 0, "", "y")], "page_id int, seq bigint, name string, value string")
+    got = [tuple(r) for r in rules.rule_headers(df, ["page_id"]).collect()]
+    assert got == [(1, "a=x%20y; b=2; c=", ["a", "b", "c"])]

@@ -38,7 +38,7 @@ def post_time(text: Column, fallback: Column) -> Column:
     """Read a post time. NULL stays NULL; an unreadable text becomes ``fallback``; a year 0 gets the fallback's year."""
     trimmed = unicode_trim(text)
     # Time parsing knows no year 0, so such a text is read with the year already replaced.
-    dated = F.when(trimmed.startswith("0000-"), F.concat(F.date_format(fallback, "yyyy"), F.substring(trimmed, 5, 40))).otherwise(trimmed)
+    dated = F.when(trimmed.startswith("0000-"), F.concat(F.date_format(fallback, "yyyy"), F.substr(trimmed, F.lit(5)))).otherwise(trimmed)
     parsed = F.coalesce(*[F.try_to_timestamp(dated, F.lit(form)) for form in TIME_FORMATS])
     return F.when(text.isNotNull(), F.coalesce(parsed, fallback))
 

@@ -42,26 +42,30 @@ def has_gzip_encoding(encoding: Column) -> Column:
 def decode_payloads(payloads: DataFrame, data_schema: str) -> DataFrame:
     """(body binary, content_encoding) to status, data and error; unpacks gzip by header or by its first two bytes.
 
-    Only packed bodies pass through Python. ``error`` is '', 'bad_gzip', 'bad_json' or 'bad_status'.
+    Only packed bodies pass through Python. ``error`` is '', 'bad_gzip', 'bad_json', 'bad_status' or 'bad_data' (not of the
+    given shape). Bytes that are no UTF-8 read as replacement characters.
     """
     packed = has_gzip_encoding(F.coalesce("content_encoding", F.lit(""))) | (
         F.hex(F.substring("body", 1, 2)) == "1F8B"
     )
     plain = payloads.withColumn("_packed", packed)
     opened = plain.withColumn("_raw", F.when(F.col("_packed"), _gunzip(F.when(F.col("_packed"), F.col("body")))).otherwise(F.col("body")))
-    text = F.decode("_raw", "UTF-8")
+    text = F.make_valid_utf8(F.col("_raw").cast("string"))
     parsed = opened.withColumn("_e", F.from_json(text, "status string, data string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    shaped = F.from_json(text, f"data struct<{data_schema}>, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = parsed.withColumn("_d", shaped)
     error = (
         F.when(F.col("_raw").isNull(), "bad_gzip")
         .when(F.col("_e").isNull() | F.col("_e._bad").isNotNull(), "bad_json")
         .when(F.coalesce("_e.status", F.lit("")) != "ok", "bad_status")
+        .when(F.col("_d._bad").isNotNull(), "bad_data")
         .otherwise("")
     )
     return parsed.select(
         *[c for c in payloads.columns if c not in ("body", "content_encoding")],
-        F.when(error.isin("", "bad_status"), F.coalesce("_e.status", F.lit(""))).otherwise("").alias("status"),
+        F.when(error.isin("", "bad_status", "bad_data"), F.coalesce("_e.status", F.lit(""))).otherwise("").alias("status"),
         error.alias("error"),
-        F.when(error == "", F.from_json("_e.data", data_schema)).alias("data"),
+        F.when(error == "", F.col("_d.data")).alias("data"),
     )
 
 

@@ -7,15 +7,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import unicode_fields, unicode_trim
 from threadloom.functions.urls import decoded_path, host_port, scheme
-from threadloom.session import written
-
-# Rules without a domain apply to any host; up to this many are broadcast.
-GLOBAL_RULE_LIMIT = 10_000
-# Copies of such rules beyond that number.
-GLOBAL_DEALS = 256
-# URLs that may ask for one domain in one task, and the most domains that can be above that bar.
-HOT_ROWS = 20_000_000
-HOT_DOMAINS = 10_000
+from threadloom.operators.spread import hash_block, lookup
+
 SAME_SITE = {1: "Default", 2: "Lax", 3: "Strict", 4: "None"}
 
 
@@ -133,86 +126,53 @@ def url_parts(urls: DataFrame, url: str = "url") -> DataFrame:
     ).where(F.col("_path").isNotNull())
 
 
-def match_rules(urls: DataFrame, rules: DataFrame, now: Column, url: str = "url", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows of ``urls`` with the fields of each rule that applies, one row per match.
-
-    Instead of comparing all URLs with all rules, each URL unfolds into the few domains that can match its host and
-    meets the rules by equality; paths and the secure flag are checked on those candidates. Domains that more than
-    ``hot_rows`` URLs ask for are dealt out by hash, and their rules, and only those, are copied once per deal.
-    Rules without a domain are few as a rule: their number is looked up, and only a small set is broadcast.
-    """
-    # Written, as it is read for the count, the domains and the rest, and is often the result of an upsert.
-    applicable = written(live_rules(rules, now), "live-rules")
-    parts = url_parts(urls, url)
-    checks = path_matches(F.col("path"), F.col("_path")) & (~F.col("secure") | (F.col("_scheme") == "https"))
-    output = [*urls.columns, *rules.columns]
-    asked = parts.select("*", F.explode(host_keys(F.col("_host"))).alias("domain"))
-    scoped = applicable.where(F.col("domain") != "")
-    deals = _hot_domains(asked, hot_rows)
-    if deals is None:
-        matched = asked.join(scoped, "domain").where(checks).select(*output)
-    else:
-        n = F.coalesce("deals", F.lit(1))
-        dealt = asked.join(F.broadcast(deals), "domain", "left").withColumn("_deal", F.pmod(F.xxhash64(*urls.columns), n))
-        copied = scoped.join(F.broadcast(deals), "domain", "left").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-        matched = dealt.drop("deals").join(copied.drop("deals"), ["domain", "_deal"]).where(checks).select(*output)
-    everywhere = applicable.where(F.col("domain") == "")
-    n_global = everywhere.limit(GLOBAL_RULE_LIMIT + 1).count()
-    if n_global == 0:
-        return matched
-    if n_global <= GLOBAL_RULE_LIMIT:
-        anywhere = parts.join(F.broadcast(everywhere), checks)
-    else:
-        # Too many to broadcast: meet on the leading part of the path instead, for each rule path length in use.
-        rooted = F.when(F.col("path").isin("", "/"), F.lit("")).when(
-            F.col("path").startswith("/"), F.col("path")
-        ).otherwise(F.concat(F.lit("/"), "path"))
-        by_prefix = everywhere.withColumn("_prefix", rooted).withColumn(
-            "_deal", F.explode(F.sequence(F.lit(0), F.lit(GLOBAL_DEALS - 1)))
-        )
-        prefixes = F.transform(F.sequence(F.lit(0), F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
-        anywhere = (
-            parts.withColumn("_deal", F.pmod(F.xxhash64(*urls.columns), F.lit(GLOBAL_DEALS)).cast("int"))
-            .withColumn("_prefix", F.explode(prefixes))
-            .join(by_prefix, ["_prefix", "_deal"])
-            .where(~F.col("secure") | (F.col("_scheme") == "https"))
-        )
-    return matched.unionByName(anywhere.select(*output))
+def _rooted(path: Column) -> Column:
+    """The beginning that a rule's path asks for; '' for any path."""
+    return F.when(path.isin("", "/"), F.lit("")).when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
-def _hot_domains(asked: DataFrame, hot_rows: int) -> DataFrame | None:
-    """(domain, deals) for domains asked for by very many URLs; None if there are none.
+def match_rules(urls: DataFrame, rules: DataFrame, now: Column, url: str = "url") -> DataFrame:
+    """Rows of ``urls`` with the fields of each rule that applies, one row per match.
 
-    The bar rises with the number of rows, so that never more than HOT_DOMAINS domains are above it.
+    A rule is met by equality on two keys: its domain, '' like any other, and the beginning of the path that it asks for. A URL
+    unfolds into the domains that can match its host, then into the beginnings of its path, but only of the lengths that rules of
+    that domain have. So only the secure flag is left to check, and a domain that owns many URLs and many rules gives no
+    candidates beyond its matches. Both look-ups spread hot keys over blocks of URLs.
     """
-    counts = asked.groupBy("domain").count()
-    total, largest = counts.agg(F.sum("count"), F.max("count")).first()
-    bar = max(hot_rows, (total or 0) // HOT_DOMAINS)
-    if (largest or 0) <= bar:
-        return None
-    return counts.where(F.col("count") > bar).select("domain", F.ceil(F.col("count") / bar).alias("deals"))
-
+    applicable = live_rules(rules, now).withColumn("_start", _rooted(F.col("path")))
+    parts = url_parts(urls, url)
+    asked = parts.withColumn("_domain", F.explode(F.array_union(host_keys(F.col("_host")), F.array(F.lit("")))))
+    lengths = applicable.groupBy(F.col("domain").alias("_domain")).agg(F.collect_set(F.length("_start")).alias("_lengths"))
+    block = hash_block(*urls.columns)
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    started = (
+        lookup(asked, lengths, ["_domain"], block)
+        .withColumn("_length", F.explode(fitting))
+        .withColumn("_start", F.substr("_path", F.lit(1), F.col("_length")))
+    )
+    packed = applicable.groupBy(F.col("domain").alias("_domain"), "_start").agg(F.collect_list(F.struct(*rules.columns)).alias("_rules"))
+    found = lookup(started, packed, ["_domain", "_start"], block).withColumn("_rule", F.explode("_rules"))
+    secure = ~F.col("_rule.secure") | (F.col("_scheme") == "https")
+    return found.where(secure).select(*urls.columns, *[F.col(f"_rule.{c}").alias(c) for c in rules.columns])
 
-def rule_headers(matches: DataFrame, key: list[str], block: int = 1000) -> DataFrame:
-    """``name=value`` pairs joined by '; ' in rule order, with the list of names; nameless rules are left out.
 
-    One row for each ``block`` rule numbers of a key (``header_block``), so the size of a row has a bound.
-    """
-    pair = F.struct("seq", "name", "value")
-    ordered = F.array_sort(F.collect_list(pair))
+def rule_headers(matches: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: ``name=value`` pairs joined by '; ' in rule order, with the list of names; nameless rules are left out."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "name", "value")))
     return (
         matches.where(F.col("name") != "")
-        .groupBy(*key, F.floor(F.col("seq") / block).cast("bigint").alias("header_block"))
+        .groupBy(*key)
         .agg(ordered.alias("_r"))
         .select(
             *key,
-            "header_block",
             F.array_join(F.transform("_r", lambda r: F.concat(r["name"], F.lit("="), r["value"])), "; ").alias("header"),
             F.transform("_r", lambda r: r["name"]).alias("names"),
         )
     )
 
 
-def required_rule(rules: DataFrame, key: list[str], required: str) -> DataFrame:
-    """Does each rule set hold a rule of this name?"""
-    return rules.groupBy(*key).agg(F.bool_or(F.col("name") == required).alias("present"))
+def required_rule(rules: DataFrame, key: list[str], required: str, now: Column) -> DataFrame:
+    """Does each rule set hold a rule of this name, once later rules have replaced earlier ones and expired ones are gone?"""
+    latest = latest_rules(rules, [c for c in key if c not in ("name", "domain", "path")])
+    live = F.col("expires").isNull() | (F.col("expires") >= now)
+    return latest.groupBy(*key).agg(F.bool_or((F.col("name") == required) & live).alias("present"))

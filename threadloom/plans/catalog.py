@@ -487,13 +487,13 @@ def match_rules(spark, sf_dir):
 @query
 def rule_headers(spark, sf_dir):
     return rules.rule_headers(_matches(spark, sf_dir), ["page_id"]).select(
-        "page_id", "header_block", "header", _joined("names", ",").alias("names")
+        "page_id", "header", _joined("names", ",").alias("names")
     )
 
 
 @query
 def required_rule(spark, sf_dir):
-    return rules.required_rule(_rules(spark, sf_dir), ["domain"], REQUIRED_RULE)
+    return rules.required_rule(_rules(spark, sf_dir), ["domain"], REQUIRED_RULE, inputs.timestamp(inputs.NOW))
 
 
 # Manifests

@@ -222,7 +222,7 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         line(host, "FALSE", "/", "FALSE", "-5", name, value, "more"),
         line(host, "FALSE", "/", "FALSE", "0", name, ""),
         F.concat(F.lit("  "), F.concat_ws(" ", host, F.lit("TRUE"), F.lit("/"), F.lit("FALSE"), F.lit("soon"), name, value), F.lit(" ")),
-        line(parent, "TRUE", F.substring(segment, 2, 100), "FALSE", "0", name, value),
+        line(parent, "TRUE", F.substr(segment, F.lit(2)), "FALSE", "0", name, value),
         line(F.concat(F.lit("."), parent), "FALSE", "/", "FALSE", "0", name, value),
         F.lit("   "),
     ]
@@ -302,12 +302,15 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as API bodies: half gzipped, with and without saying so; some with an error status, some damaged."""
     e = F.col("event_id")
     text = F.concat(F.lit('{"status":"'), F.when(e % 10 == 0, "error").otherwise("ok"), F.lit('","data":'), "props", F.lit("}"))
-    text = F.when(e % 45 == 1, F.substring(text, 1, 12)).otherwise(text)
+    text = F.when(e % 45 == 1, F.substring(text, 1, 12)).when(e % 45 == 7, F.lit('{"status":"ok","data":[1,2]}')).otherwise(text)
     packed = _gzipped(F.when(e % 2 == 0, text))
     packed = F.when(e % 50 == 2, F.substring(packed, 1, 15)).otherwise(packed)
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.when(e % 2 == 0, packed).otherwise(F.encode(text, "UTF-8")).alias("body"),
+        F.when(e % 2 == 0, packed)
+        .when(e % 45 == 3, F.concat(F.lit('{"note":"').cast("binary"), F.unhex(F.lit("FFC328")), F.encode(F.concat(F.lit('",'), F.substr(text, F.lit(2))), "UTF-8")))
+        .otherwise(F.encode(text, "UTF-8"))
+        .alias("body"),
         F.when(e % 4 == 0, "br, X-GZIP").otherwise("").alias("content_encoding"),
     )
 

@@ -164,8 +164,9 @@ _SHARES = """
   SELECT 1, tid, share, 'c' || d % 20, 'new/c' || d % 20, CASE WHEN d % 8 = 0 THEN d % 4 + 1 ELSE 0 END, d % 8 = 0, d FROM d WHERE d % 4 = 0
 ), kept AS (
   SELECT tid, url, arg_max(content_id, gen) AS content_id, arg_max(local_dir, gen) AS local_dir,
-    arg_max(n_files, gen) AS n_files, arg_max(downloaded, gen) AS downloaded, arg_min(seq, gen) AS seq
-  FROM rec GROUP BY tid, url
+    arg_max(n_files, gen) AS n_files, arg_max(downloaded, gen) AS downloaded,
+    min(CASE WHEN gen = 0 THEN seq ELSE seq + 1 + coalesce(last, -1) END) AS seq
+  FROM rec LEFT JOIN (SELECT tid, max(seq) AS last FROM rec WHERE gen = 0 GROUP BY tid) USING (tid) GROUP BY tid, url
 )
 """
 
@@ -371,11 +372,12 @@ SELECT doc_id, {_md("image", "image2", "share || coalesce(' (local: ' || local_d
 FROM d LEFT JOIN kept ON d.tid = kept.tid AND share = kept.url AND downloaded""",
     "append_assets": _LINKED.rstrip() + _ASSETS.rstrip() + _ADDRESSED.replace("WITH a AS", ", a AS").rstrip() + """
 SELECT tid, url, local, '' AS alt, (seq % 1000000000000) * 3 AS file_size, downloaded, seq FROM asset
-UNION ALL SELECT tid, url, local, alt, file_size, downloaded, seq FROM a""",
+UNION ALL SELECT tid, url, local, alt, file_size, downloaded, seq + 1 + coalesce((SELECT max(x.seq) FROM asset x WHERE x.tid = a.tid), -1) FROM a""",
     "carry_records": _LINKED.rstrip() + _ASSETS + """
 SELECT tid, url, local, '' AS alt, (seq % 1000000000000) * 3 AS file_size, downloaded, seq FROM asset
 UNION ALL
-SELECT tid, image, md5(text) || '.jpg', '', CAST(strlen(text) AS BIGINT), true, d FROM d WHERE (tid, image) NOT IN (SELECT (tid, url) FROM usable)""",
+SELECT tid, image, md5(text) || '.jpg', '', CAST(strlen(text) AS BIGINT), true, d + 1 + coalesce((SELECT max(x.seq) FROM asset x WHERE x.tid = d.tid), -1)
+FROM d WHERE (tid, image) NOT IN (SELECT (tid, url) FROM usable) QUALIFY row_number() OVER (PARTITION BY tid, image ORDER BY d) = 1""",
     "content_address": _ADDRESSED + "SELECT * FROM a",
     "asset_files": _ADDRESSED + "SELECT tid, local, min(file_size) AS file_size, count(*) AS n_records FROM a GROUP BY tid, local",
     "share_manifest": _SHARE_MANIFEST.format(keep="true"),
@@ -396,9 +398,9 @@ SELECT seq, name, 'v' || l AS value, domain, path, '' AS expires, CAST(l % 3 * 6
     "live_rules": _RULES + f"SELECT {_RULE_COLUMNS.format(e='epoch')} FROM r WHERE epoch IS NULL OR epoch >= {_NOW_EPOCH}",
     "match_rules": _RULES + _MATCHES + "SELECT page_id, seq, name, value FROM hit",
     "rule_headers": _RULES + _MATCHES + """
-SELECT page_id, seq // 1000 AS header_block, string_agg(name || '=' || value, '; ' ORDER BY seq) AS header,
-  string_agg(name, ',' ORDER BY seq) AS names FROM hit GROUP BY 1, 2""",
-    "required_rule": _RULES + "SELECT domain, bool_or(name = 'n3') AS present FROM r GROUP BY domain",
+SELECT page_id, string_agg(name || '=' || value, '; ' ORDER BY seq) AS header,
+  string_agg(name, ',' ORDER BY seq) AS names FROM hit GROUP BY 1""",
+    "required_rule": _RULES + f"SELECT domain, bool_or(name = 'n3' AND (e0 = 0 OR e0 >= {_NOW_EPOCH})) AS present FROM latest GROUP BY domain",
     "file_digest": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS md5 FROM documents",
     "verify_manifest": _MANIFEST.split("SELECT path, tid, CASE")[0] + "SELECT path, status FROM v",
     "sync_plan": _MANIFEST.format(skip="true"),
@@ -406,9 +408,9 @@ SELECT page_id, seq // 1000 AS header_block, string_agg(name || '=' || value, ';
     "decode_payloads": """
 WITH b AS (
   SELECT event_id, props, CASE WHEN event_id % 50 = 2 THEN 'bad_gzip' WHEN event_id % 45 = 1 THEN 'bad_json'
-    WHEN event_id % 10 = 0 THEN 'bad_status' ELSE '' END AS error FROM events
+    WHEN event_id % 45 = 7 THEN 'bad_data' WHEN event_id % 10 = 0 THEN 'bad_status' ELSE '' END AS error FROM events
 )
-SELECT event_id, CASE error WHEN '' THEN 'ok' WHEN 'bad_status' THEN 'error' ELSE '' END AS status, error,
+SELECT event_id, CASE error WHEN '' THEN 'ok' WHEN 'bad_data' THEN 'ok' WHEN 'bad_status' THEN 'error' ELSE '' END AS status, error,
   CASE WHEN error = '' THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) ELSE -1 END AS k FROM b""",
     "audit_transfers": _TRANSFERS + "SELECT event_id, coalesce(expected, -1) AS expected_size, reason = 'ok' AS accepted, reason FROM z",
     "transfer_report": _TRANSFERS + "SELECT reason, count(*) AS n_transfers FROM z GROUP BY reason",
