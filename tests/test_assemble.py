@@ -45,6 +45,8 @@ def ids(posts):
 
 def test_checks(threads):
     got = {r.tid: tuple(r)[1:] for r in assemble.thread_checks(threads).collect()}
+    lost = got.pop("c")
+    assert lost[-1] is False and lost[2] > 0
     assert got == {"a": (3, 3, 0, True), "b": (3, 2, 1, True), "d": (1, 1, 0, False), "e": (2, 2, 0, True)}
 
 

@@ -16,31 +16,24 @@ def skewed(spark):
 
 
 def test_number_within_equals_row_number(skewed):
-    bounds = spread.split_points(skewed, "item", 16)
-    assert len(bounds) >= 8
-    numbered = spread.number_within(skewed, ["key"], "item", "n", bounds=bounds)
+    numbered = spread.number_within(skewed, ["key"], "item", "n")
     plain = skewed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("item")) - 1)
     assert sorted(numbered.collect()) == sorted(plain.select("key", "item", "n").collect())
 
 
-def test_number_within_splits_the_hot_key(skewed):
-    bounds = spread.split_points(skewed, "item", 16)
-    cuts = skewed.where("key = 'hot'").groupBy(spread._bucket(F.col("item"), bounds).alias("cut")).count().collect()
-    assert len(cuts) == len(bounds) + 1
-    assert max(r["count"] for r in cuts) < 3000 / 4
-
-
-def test_groups_are_cut_only_when_one_is_large(spark, skewed, monkeypatch):
-    asked = []
-    real = spread.split_points
-    monkeypatch.setattr(spread, "split_points", lambda *a: asked.append(a) or real(*a))
-    whole = sorted(spread.number_within(skewed, ["key"], "item", "n").collect())
-    assert not asked
-    assert sorted(spread.number_within(skewed, ["key"], "item", "n", group_rows=500).collect()) == whole
-    assert len(asked) == 1
-    few = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z")], "key string, item string")
-    assert sorted(spread.number_within(few, ["key"], "item", "n", group_rows=1).collect()) == [("a", "x", 0), ("a", "y", 1), ("b", "z", 0)]
-    assert spread.number_within(few.where("false"), ["key"], "item", "n").collect() == []
+def test_number_within_cuts_hot_and_narrow_groups(spark, monkeypatch):
+    """A group that owns a third of all rows and one with few rows in a narrow range: no cut holds much more than its share."""
+    rows = [("hot" if i % 3 == 0 else "narrow" if i % 100 == 1 else f"k{i % 97}", f"{i:06d}" if i % 100 != 1 else f"zz{i:06d}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "key string, item string")
+    seen = []
+    real = spread.written
+    monkeypatch.setattr(spread, "written", lambda d, n: seen.append(real(d, n)) or seen[-1])
+    got = spread.number_within(df, ["key"], "item", "n").collect()
+    largest = max(r["count"] for r in seen[0].groupBy("key", "_cut").count().collect())
+    assert largest <= 1.5 * len(rows) / 4
+    assert sorted(r.n for r in got if r.key == "hot") == list(range(2000))
+    empty = spread.number_within(df.where("false"), ["key"], "item", "n")
+    assert empty.collect() == []
 
 
 def test_running_offsets(spark):

@@ -32,12 +32,19 @@ def _page_block() -> Column:
 
 
 def thread_checks(pages: DataFrame) -> DataFrame:
-    """(tid, total_pages, n_present, n_missing, has_first), counting only pages up to the count page 1 states."""
-    rows = lookup(pages.select("tid", "page"), _planned(pages), ["tid"], _page_block())
+    """(tid, total_pages, n_present, n_missing, has_first), counting only pages up to the count page 1 states.
+
+    A thread without page 1 states none; its last page stands in, and ``has_first`` is false.
+    """
+    rows = lookup(pages.select("tid", "page"), _planned(pages), ["tid"], _page_block(), "left")
     return (
-        rows.where(F.col("page") <= F.col("planned"))
+        rows.where(F.col("planned").isNull() | (F.col("page") <= F.col("planned")))
         .groupBy("tid")
-        .agg(F.first("planned").alias("total_pages"), F.count(F.lit(1)).alias("n_present"), F.first("has_first").alias("has_first"))
+        .agg(
+            F.coalesce(F.max("planned"), F.max("page")).alias("total_pages"),
+            F.count(F.lit(1)).alias("n_present"),
+            F.coalesce(F.bool_or("has_first"), F.lit(False)).alias("has_first"),
+        )
         .select("tid", "total_pages", "n_present", (F.col("total_pages") - F.col("n_present")).alias("n_missing"), "has_first")
     )
 
@@ -86,7 +93,7 @@ def assemble_posts(pages: DataFrame, index: DataFrame, fallback_ts: Column, mode
     Floor labels restart on each page in reference mode and number the thread in continuous mode. Keys of the join are
     unique on both sides, and an index partition is tiny beside its pages, so it is hashed and page contents are not sorted.
     """
-    joined = pages.join(index.hint("shuffle_hash"), _on(pages, index))
+    joined = pages.join(index, _on(pages, index))
     posts = extract_posts(joined, fallback_ts, ["tid", "page", "skipped", "offset"]).where(F.col("ord") >= F.col("skipped"))
     placed = posts.withColumn("position", F.col("offset") + F.col("ord") - F.col("skipped"))
     if mode == "continuous":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.urls import extension, is_remote
-from threadloom.operators.spread import lookup, number_within
+from threadloom.operators.spread import hash_block, lookup, number_within
 from threadloom.session import written
 
 _WS = r"[\t\n\f\r ]"
@@ -131,7 +131,7 @@ def localise_posts(posts: DataFrame, assets: DataFrame, shares: DataFrame, body:
     images = resolve_links(link_rows(found, F.col("images")), usable_assets(assets), "inner")
     shared = resolve_links(link_rows(found, F.col("shares")), usable_shares(shares), "inner")
     maps = link_maps(images.withColumnRenamed("local", "image").unionByName(shared.withColumnRenamed("local_dir", "share"), allowMissingColumns=True))
-    joined = posts.join(maps.hint("shuffle_hash"), ["tid", "position"], "left")
+    joined = posts.join(maps, ["tid", "position"], "left")
     text = annotate_share_links(rewrite_image_links(F.col(body), F.col("_images")), F.col("_shares"))
     return joined.withColumn(body, text).drop("_images", "_shares")
 
@@ -157,13 +157,19 @@ def asset_files(assets: DataFrame) -> DataFrame:
 
 
 def append_assets(assets: DataFrame, new: DataFrame) -> DataFrame:
-    """Old records first, new ones after them."""
-    return assets.unionByName(new)
+    """Old records first, new ones after them: new places count on from the last one of their thread."""
+    return assets.unionByName(_after(assets, new))
+
+
+def _after(old: DataFrame, new: DataFrame) -> DataFrame:
+    last = old.groupBy("tid").agg(F.max("seq").alias("_last"))
+    placed = lookup(new, last, ["tid"], hash_block("url"), "left")
+    return placed.withColumn("seq", F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("seq")).select(*new.columns)
 
 
 def share_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace the record of a URL within its thread, or append it; a replaced record keeps its place (``seq``)."""
-    rows = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)))
+    """Replace the record of a URL within its thread, or append it behind the thread's last one; a replaced record keeps its place."""
+    rows = old.withColumn("_gen", F.lit(0)).unionByName(_after(old, new).withColumn("_gen", F.lit(1)))
     others = [c for c in old.columns if c not in ("tid", "url", "seq")]
     return (
         rows.groupBy("tid", "url")

@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import written
+
 # Pages per block when counting along a thread.
 PAGE_BLOCK = 1024
-# Rows of one group that a single task may sort.
-GROUP_ROWS = 1_000_000
-# Distinct order values looked at to find split points.
-SPLIT_SAMPLE = 1024
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], block: Column, how: str = "inner") -> DataFrame:
@@ -53,51 +51,16 @@ def running_offsets(
     )
 
 
-def _bucket(value: Column, bounds: list, low: int = 0) -> Column:
-    """Index of the bucket of ``value`` among sorted ``bounds``, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(low)
-    middle = len(bounds) // 2
-    return F.when(value < F.lit(bounds[middle]), _bucket(value, bounds[:middle], low)).otherwise(
-        _bucket(value, bounds[middle + 1 :], low + middle + 1)
-    )
-
-
-def split_points(df: DataFrame, order: str, buckets: int) -> list:
-    """Values that cut ``order`` into similar shares.
-
-    Takes the SPLIT_SAMPLE distinct values with the smallest hashes, an even sample of bounded size.
-    """
-    sample = (
-        df.select(F.col(order).alias("v"))
-        .where(F.col("v").isNotNull())
-        .distinct()
-        .orderBy(F.xxhash64("v"), "v")
-        .limit(SPLIT_SAMPLE)
-        .collect()
-    )
-    # Byte order of UTF-8 equals code point order, which is how both Spark and Python compare strings.
-    values = sorted(row.v for row in sample)
-    return values[:: max(1, len(values) // buckets)][1:]
-
-
-def number_within(
-    df: DataFrame, keys: list[str], order: str, name: str, group_rows: int = GROUP_ROWS, bounds: list | None = None
-) -> DataFrame:
+def number_within(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... along ``order`` (non-NULL, unique within its group) inside each group of ``keys``.
 
-    Gives what row_number() - 1 gives. The size of the largest group is looked up first, by a partial aggregate over
-    the keys alone; up to ``group_rows`` a plain window is safe. Beyond that, groups are cut at split points, numbered
-    inside each cut and shifted by the number of rows in the cuts before it, so a hot group is shared by all its cuts.
+    Gives what row_number() - 1 gives, with one plan for every size: rows are range-partitioned by keys and order, numbered inside
+    (keys, partition), and shifted by the number of rows that earlier partitions hold of the group. A hot group is shared by as
+    many partitions as its rows fill; a small one, however narrow its range, lies in one or two. The partitioned rows are
+    written, so that a row stays in its partition however often they are read.
     """
-    if bounds is None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        bounds = split_points(df, order, min(SPLIT_SAMPLE // 2, max(8, partitions))) if largest > group_rows else []
-    if not bounds:
-        plain = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumn(name, F.row_number().over(plain).cast("bigint") - 1)
-    cut = df.withColumn("_cut", _bucket(F.col(order), bounds))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(df.repartitionByRange(partitions, *keys, order).withColumn("_cut", F.spark_partition_id()), "numbered")
     earlier = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         cut.groupBy(*keys, "_cut")

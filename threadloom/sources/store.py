@@ -1,18 +1,20 @@
 """The thread store: Parquet tables of threads, posts, assets and shares, added to in generations.
 
 A run writes only what it changed, as generation N of each table; the header row of a thread names the generation its
-posts live in. Threads are written last, so a failed run leaves nothing visible, and repeating it overwrites the same
-generation. Files are sorted by tid, which lets a look-up of a few threads skip most row groups.
+posts live in. A commit row is written last and all four tables are read through the commits, so a failed run leaves nothing
+visible, and repeating it overwrites the same generation. Files are sorted by tid, which lets a look-up of a few threads skip most row groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.operators.links import append_assets
 from threadloom.operators.spread import lookup
 from threadloom.sources import tables
 
@@ -28,7 +30,7 @@ def _write(df: DataFrame, schema: T.StructType, path: str, order: str) -> None:
 
 def _read(spark: SparkSession, store: str, name: str, schema: T.StructType) -> DataFrame:
     layout = T.StructType([*schema.fields, T.StructField("gen", T.LongType())])
-    return spark.read.schema(layout).parquet(f"{store}/{name}")
+    return spark.read.schema(layout).parquet(f"{store}/{name}").join(_committed(spark, store), "gen", "left_semi")
 
 
 def store_threads(
@@ -43,6 +45,21 @@ def store_threads(
     _write(assets, tables.ASSETS, f"{store}/assets/gen={gen}", "seq")
     _write(shares, tables.SHARES, f"{store}/shares/gen={gen}", "seq")
     _write(threads, tables.THREADS, f"{store}/threads/gen={gen}", "created_at")
+    # From here on the generation is visible, in all four tables.
+    spark.range(1).select(F.lit(gen).cast("long").alias("committed")).write.mode("overwrite").parquet(f"{store}/commits/of={gen}")
+
+
+def _committed(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema("committed long").parquet(f"{store}/commits").select(F.col("committed").alias("gen")).distinct()
+
+
+def next_generation(spark: SparkSession, store: str) -> int:
+    try:
+        return _committed(spark, store).agg(F.max("gen")).first()[0] + 1
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
 
 
 def _only(df: DataFrame, tids: Iterable[str] | None) -> DataFrame:
@@ -97,9 +114,12 @@ def merge_threads(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def carry_records(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Asset records after an upsert: stored ones stay, new ones follow unless (tid, url) has a usable record."""
+    """Asset records after an upsert: stored ones stay; of new ones the first of each (tid, url) follows, unless a usable one is there."""
     usable = stored.where(F.col("downloaded") & (F.col("url") != "") & (F.col("local") != ""))
-    return stored.unionByName(new.join(usable.select("tid", "url").distinct(), ["tid", "url"], "left_anti"))
+    rest = [c for c in new.columns if c not in ("tid", "url")]
+    first = new.groupBy("tid", "url").agg(F.min_by(F.struct(*rest), "seq").alias("_r"))
+    first = first.select("tid", "url", *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*new.columns)
+    return append_assets(stored, first.join(usable.select("tid", "url").distinct(), ["tid", "url"], "left_anti"))
 
 
 def compact_store(spark: SparkSession, store: str, target: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -11,7 +12,7 @@ from threadloom.operators.pages import parse_pages, with_page_fields
 from threadloom.operators.spread import PAGE_BLOCK, lookup
 from threadloom.page_profile import FORUM, PageProfile
 from threadloom.session import written
-from threadloom.sources.store import store_threads
+from threadloom.sources.store import next_generation, store_threads
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, store: str, profile: PageProfile = FORUM) -> None:
@@ -46,29 +47,53 @@ def publish(
 ) -> None:
     """Put the threads touched since generation ``since`` together again and store them.
 
-    Run it as often as readers need fresh threads; it reads the state once for all batches in between.
+    Run it as often as readers need fresh threads; it reads the state once for all batches in between. Every run is a generation
+    of its own in the store, so doing it twice adds the same threads again and replaces no others.
     """
     state = spark.read.parquet(f"{store}/pages")
-    latest = state.agg(F.max("gen")).first()[0]
     newest = written(newest_pages(spark, store, since), "newest-pages")
     index = written(page_index(newest, strict, mode, repeats_main_post, carry=("gen",)), "page-index")
     contents = state.select("tid", "page", "gen", "posts")
     posts = assemble_posts(contents, index, fallback_ts, mode)
-    store_threads(store, latest, assemble_threads(newest, index, fallback_ts), posts)
+    store_threads(store, next_generation(spark, store), assemble_threads(newest, index, fallback_ts), posts)
+
+
+def _largest(spark: SparkSession, path: str, column: str) -> int:
+    """Largest number in a table that may not be there yet; -1 if it is not."""
+    try:
+        found = spark.read.parquet(path).agg(F.max(column)).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return -1
+    return -1 if found is None else found
+
+
+def first_generation(spark: SparkSession, store: str, checkpoint: str) -> int:
+    named = _largest(spark, f"{checkpoint}/first_generation", "first")
+    if named < 0:
+        named = _largest(spark, f"{store}/pages", "gen") + 1
+        spark.range(1).select(F.lit(named).cast("long").alias("first")).write.mode("overwrite").parquet(f"{checkpoint}/first_generation")
+    return named
 
 
 def ingest_pages_stream(
     spark: SparkSession, source: str, store: str, checkpoint: str, profile: PageProfile = FORUM,
     max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
-    """Run ingest_batch() over Parquet files of pages as they arrive; this run ends when all present files are in."""
+    """Run ingest_batch() over Parquet files of pages as they arrive; this run ends when all present files are in.
+
+    Batches count from 0 with every new checkpoint, so a checkpoint is given the first page generation that was free when it was
+    new, and keeps it: a second source, or a fresh checkpoint, adds generations and overwrites none.
+    """
+    first = first_generation(spark, store, checkpoint)
     arriving = (
         spark.readStream.schema("tid string, page bigint, html string")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .parquet(source)
     )
     return (
-        arriving.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, store, profile))
+        arriving.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, first + batch_id, store, profile))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
