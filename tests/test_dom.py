@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from threadloom.functions import dom
@@ -92,3 +94,16 @@ def test_text_joins_all_matches_in_order():
 )
 def test_markdown(html, expected):
     assert to_markdown(body("<body>" + html), "https://f.org/") == expected
+
+
+@pytest.mark.parametrize(
+    "html, most_nodes",
+    [("<p><font>x" * 4000, 20_010), ("<a " * 40_000, 10), ("<div>" * 5000 + "x", 5010), ("<b><span>" * 2500 + "x", 5010), ("<ul><li>" * 1500 + "x", 3010), ("a<!-- b > c", 10)],
+)
+def test_faulty_and_deep_markup_stays_linear(html, most_nodes):
+    started = time.perf_counter()
+    root = dom.parse(html)
+    text = to_markdown(root, "")
+    assert time.perf_counter() - started < 20
+    assert sum(1 for _ in root.walk()) <= most_nodes
+    assert "x" in text or "x" not in html

@@ -1,11 +1,15 @@
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions import dom
 from threadloom.functions.text import escape_markdown, post_time, unicode_trim
+from threadloom.operators import pages as pages_module
 from threadloom.operators.pages import page_plan, parse_pages, register_select_nodes, select_nodes, with_page_fields
 from threadloom.operators.posts import extract_posts
+from threadloom.page_profile import FORUM
 from threadloom.sources.readers import dealt_out, list_assets, read_pages
 
 FALLBACK = "2001-02-03 04:05:06"
@@ -164,3 +168,19 @@ def test_read_pages_from_files(spark, tmp_path):
     assert dealt_out(read, "page_id").count() == 2
     listed = {(r.path, r["size"]) for r in list_assets(spark, str(tmp_path)).collect()}
     assert listed == {("a.html", 17), ("d/b.html", 16)}
+
+
+def test_a_page_that_fails_is_an_error_row(spark, monkeypatch):
+    real = dom.parse
+
+    def breaking(text):
+        if "boom" in text:
+            raise ValueError("broken")
+        return real(text)
+
+    monkeypatch.setattr(dom, "parse", breaking)
+    reader = pages_module._page_reader(FORUM, ["page"], True, True, False)
+    batch = pa.RecordBatch.from_pydict({"page": [1, 2], "html": ["<p>boom", "<title>fine</title>"]})
+    rows = next(reader(iter([batch]))).to_pylist()
+    assert rows[0]["parse_error"] == "ValueError: broken" and rows[1]["parse_error"] is None
+    assert rows[1]["page_title_text"] == "fine"

@@ -120,11 +120,15 @@ class TreeBuilder:
 
     def feed(self, text):
         at = 0
-        while found := _TAG.search(text, at):
+        # Without a ">" ahead no tag ends any more, so the search stops at the last one.
+        last = text.rfind(">") + 1
+        while found := _TAG.search(text, at, last):
             if found.start() > at:
                 self.data(unescape(text[at : found.start()]))
             at = found.end()
-            if found[1]:
+            if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                at = len(text)
+            elif found[1]:
                 self.end(found[1].lower())
             elif found[2]:
                 tag = found[2].lower()
@@ -151,7 +155,10 @@ class TreeBuilder:
     def pop_through(self, index):
         """Close open elements down to ``index``; inline marks cut off that way start again in what follows."""
         closed, self.open = self.open[index:], self.open[:index]
-        self.reopen.extend((n.tag, n.attrs) for n in closed[1:] if n.tag in INLINE_MARKS)
+        for mark in ((n.tag, n.attrs) for n in closed[1:] if n.tag in INLINE_MARKS):
+            # Of equal marks no more than three start again, as the HTML standard has it.
+            if self.reopen.count(mark) < 3:
+                self.reopen.append(mark)
 
     def end_implied(self, tags, boundary):
         for index in range(len(self.open) - 1, 0, -1):

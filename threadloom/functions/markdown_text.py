@@ -34,8 +34,21 @@ def guard_line(line):
     return _NUMBERED.sub(r"\1\\\2", _LINE_START.sub(r"\\\1", line))
 
 
+def _completed(call):
+    """Result of a generator that yields the calls it waits for: recursion as deep as the page, without the stack's limit."""
+    waiting, result = [call], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as done:
+            waiting.pop()
+            result = done.value
+    return result
+
+
 def blocks_of(node, root):
-    """Blocks of an element, as Markdown strings. Text runs become paragraphs."""
+    """Blocks of an element, as Markdown strings. Text runs become paragraphs. Yields what it waits for."""
     done, run = [], []
 
     def flush():
@@ -53,7 +66,7 @@ def blocks_of(node, root):
             continue
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             flush()
-            title = " ".join(" ".join(blocks_of(child, root)).split())
+            title = " ".join(" ".join((yield blocks_of(child, root))).split())
             if title:
                 done.append("#" * int(tag[1]) + " " + title)
         elif tag in ("ul", "ol"):
@@ -62,13 +75,13 @@ def blocks_of(node, root):
             lines = []
             for number, item in enumerate(items, 1):
                 mark = "- " if tag == "ul" else f"{number}. "
-                body = re.sub(r"\n(?=[^\n])", "\n" + " " * len(mark), "\n\n".join(blocks_of(item, root)))
+                body = re.sub(r"\n(?=[^\n])", "\n" + " " * len(mark), "\n\n".join((yield blocks_of(item, root))))
                 lines.append(mark + body)
             if lines:
                 done.append("\n".join(lines))
         elif tag == "blockquote":
             flush()
-            inner = "\n\n".join(blocks_of(child, root))
+            inner = "\n\n".join((yield blocks_of(child, root)))
             if inner:
                 done.append("\n".join(("> " + line).rstrip() for line in inner.split("\n")))
         elif tag == "pre":
@@ -79,12 +92,12 @@ def blocks_of(node, root):
             done.append("* * *")
         elif tag in BLOCKS or tag in ("td", "th", "li"):
             flush()
-            done.extend(blocks_of(child, root))
+            done.extend((yield blocks_of(child, root)))
         elif has_block(child):
             flush()
-            done.extend(blocks_of(child, root))
+            done.extend((yield blocks_of(child, root)))
         else:
-            run.append(inline(child, root))
+            run.append((yield inline(child, root)))
     flush()
     return done
 
@@ -110,8 +123,11 @@ def inline(node, root, active=()):
         text = node.text()
         return f"`{text}`" if text else ""
     mark = WRAPS.get(tag)
-    within = (*active, mark)
-    inner = "".join(plain(c) if isinstance(c, str) else inline(c, root, within) for c in node.children)
+    within = active if mark is None or mark in active else (*active, mark)
+    parts = []
+    for c in node.children:
+        parts.append(plain(c) if isinstance(c, str) else (yield inline(c, root, within)))
+    inner = "".join(parts)
     if tag == "a":
         target = resolve(node.attrs.get("href", ""), root)
         return f"[{inner.strip()}]({target})" if target and inner.strip() else inner
@@ -124,4 +140,4 @@ def inline(node, root, active=()):
 
 
 def to_markdown(node, root):
-    return "\n\n".join(blocks_of(node, root))
+    return "\n\n".join(_completed(blocks_of(node, root)))

@@ -29,6 +29,7 @@ PARSED_FIELDS = T.StructType(
         T.StructField("n_posts", T.IntegerType()),
         T.StructField("first_has_content", T.BooleanType()),
         T.StructField("first_time_text", T.StringType()),
+        T.StructField("parse_error", T.StringType()),
         T.StructField("posts", T.ArrayType(POST_NODES)),
     ]
 )
@@ -99,9 +100,16 @@ def _page_reader(profile: PageProfile, keep: list[str], with_posts: bool, with_h
             "posts": posts if with_posts else None,
         }
 
+    def safe_page_of(html):
+        """One page that cannot be read is an error row, not the end of the job."""
+        try:
+            return page_of(html)
+        except Exception as error:  # noqa: BLE001
+            return {"tid_links": [], "page_links": [], "n_posts": 0, "first_has_content": False, "parse_error": f"{type(error).__name__}: {error}"}
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = [page_of(html) for html in batch.column("html").to_pylist()]
+            pages = [safe_page_of(html) for html in batch.column("html").to_pylist()]
             yield _with_carried(batch, keep, pa.RecordBatch.from_pylist(pages, schema))
 
     return read
@@ -218,7 +226,8 @@ def page_error() -> Column:
         return f"named_struct('type', '{kind}', 'code', '{code}', 'message', '{message}')"
 
     return F.expr(
-        f"""CASE WHEN first_has_content THEN NULL
+        f"""CASE WHEN parse_error IS NOT NULL THEN {error("validation_error", "VALID001", "page not readable")}
+          WHEN first_has_content THEN NULL
           WHEN n_posts > 0 THEN {error("validation_error", "VALID001", "no post content")}
           WHEN {any_of("page_title_text", CHALLENGE_TITLES)} OR {any_of("body_text", CHALLENGE_BODY)}
             THEN {error("auth_error", "AUTH001", "challenge page")}
