@@ -48,10 +48,8 @@ def read_pages(spark, sf_dir):
 
 
 def _stored_pages(spark, sf_dir):
-    """The pages table; as it is one file, it is dealt out before it is parsed."""
-    read = inputs.table(spark, sf_dir, "pages")
-    stored = read.select("page_id", "html")
-    return readers.dealt_out(stored, "page_id") if len(read.inputFiles()) == 1 else stored
+    """The pages table, dealt out before it is parsed, as a table may come in few files."""
+    return readers.dealt_out(inputs.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
 
 
 @query
@@ -82,7 +80,7 @@ def page_title(spark, sf_dir):
 @query
 def html_to_markdown_pages(spark, sf_dir):
     parsed = _article_pages(spark, sf_dir, with_html=False, with_markdown=True)
-    return parsed.select("page_id", F.get("posts", F.lit(0))["content_md"].alias("markdown"))
+    return parsed.select("page_id", _joined(F.transform("posts", lambda post: post["content_md"]), "\n\n").alias("markdown"))
 
 
 def _forum(spark, sf_dir, repeats=True, kept=False, **options):
@@ -643,11 +641,32 @@ def ingest_pages_stream(spark, sf_dir):
     """Pages arriving in several files; the store then holds what a batch run would give."""
     inputs.configure(spark)
     arriving, path, progress = (fresh_path(spark, name) for name in ("arriving", "store", "progress"))
-    source = inputs.kept_pages(inputs.forum_pages(spark, sf_dir)).select("tid", "page", "html")
+    source = inputs.forum_pages(spark, sf_dir).select("tid", "page", "html")
     source.repartition(3, "page").write.parquet(arriving)
     run = ingest.ingest_pages_stream(spark, arriving, path, progress, max_files_per_trigger=2)
     run.awaitTermination()
     ingest.publish(spark, path, 0, inputs.timestamp(inputs.FALLBACK))
+    return _published(spark, path)
+
+
+def _published(spark, path):
     heads = store.stored_threads(spark, path).select("tid", "title", "total_floors")
     ids = store.stored_posts(spark, path).groupBy("tid").agg(F.count(F.lit(1)).alias("n_posts"), F.min("post_id").alias("min_post_id"))
     return heads.join(ids, "tid")
+
+
+@query
+def publish_twice(spark, sf_dir):
+    """Pages from two sources with checkpoints of their own, published after each and once more; no thread is lost."""
+    inputs.configure(spark)
+    path = fresh_path(spark, "store")
+    source = inputs.forum_pages(spark, sf_dir).select("tid", "page", "html")
+    since = 0
+    for half in ("page % 2 = 1", "page % 2 = 0"):
+        arriving, progress = fresh_path(spark, "arriving"), fresh_path(spark, "progress")
+        source.where(half).write.parquet(arriving)
+        ingest.ingest_pages_stream(spark, arriving, path, progress).awaitTermination()
+        ingest.publish(spark, path, since, inputs.timestamp(inputs.FALLBACK))
+        since = spark.read.parquet(f"{path}/pages").agg(F.max("gen")).first()[0]
+    ingest.publish(spark, path, since, inputs.timestamp(inputs.FALLBACK))
+    return _published(spark, path)

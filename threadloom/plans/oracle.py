@@ -272,7 +272,7 @@ _FILES = """
 WITH s AS (
   SELECT source AS tid, 'c' || doc_id % 20 AS content_id,
     lang || '/' || doc_id || CASE WHEN doc_id % 9 = 0 THEN '.part' ELSE '.txt' END AS path
-  FROM documents WHERE doc_id % 3 <> 1
+  FROM documents
 ), w AS (
   SELECT source AS tid, 'c' || doc_id % 25 AS content_id, min(doc_id) AS seq FROM documents GROUP BY ALL
 ), n AS (SELECT tid, content_id, count(*) AS k FROM s WHERE {keep} GROUP BY ALL)
@@ -449,7 +449,8 @@ SELECT w.tid, coalesce(title, '') AS title, coalesce(total_floors, 0) AS total_f
   CASE WHEN title IS NOT NULL THEN '' WHEN w.tid = '' THEN 'tid is empty' ELSE 'thread not found in store' END AS error FROM w LEFT JOIN gen ON w.tid = gen.tid""",
     "ingest_pages_stream": _BASE + f"""
 SELECT tid, {_TITLE} AS title, count(*) AS total_floors, count(*) AS n_posts, min(post_id) AS min_post_id FROM own
-WHERE {_ASSEMBLED} AND {_KEPT} GROUP BY tid, c""",
+WHERE {_ASSEMBLED} GROUP BY tid, c""",
 }
 
 ORACLE["select_nodes_sql"] = ORACLE["select_nodes"]
+ORACLE["publish_twice"] = ORACLE["ingest_pages_stream"]
