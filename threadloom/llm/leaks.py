@@ -25,7 +25,7 @@ from threadloom.llm.words import BY_ALNUM, Words, pieces
 
 # Words of a passage and from one passage to the next.
 PASSAGE, STRIDE = 24, 12
-RANK = 64
+RANK = 48
 # Terms in more than these shares of passages and of items (SEVERAL items at least) have no weight, unless an item has fewer than
 # LEAST_TERMS others. What is common in the corpus but not in the benchmark may be so because it has leaked, and keeps its weight.
 COMMON, COMMON_ITEMS, SEVERAL, LEAST_TERMS = 0.01, 0.05, 3, 4
@@ -112,7 +112,7 @@ def _encoder(shipped):
     return encode
 
 
-def _texts(batch: pa.RecordBatch, code, rows: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _texts(batch: pa.RecordBatch, code, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of encoded texts: first row, term of each word (-1 for none), and the range of each text's words."""
     column = batch.column("terms")
     for at in range(0, batch.num_rows, rows):
