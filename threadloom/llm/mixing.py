@@ -25,8 +25,9 @@ WEIGHTS = (5, 2, 1)
 # 2^32 / golden ratio as an odd integer, so that points are exact integers below 2^32.
 STEP, RANGE = 2654435769, 4294967296
 CELL = 1 << 20
-# Slots per chunk when slots are ranked, and hash buckets (four hexadecimal digits) when documents are put in order.
-CHUNK, DIGITS = 65536, 4
+# Slots are numbered in two halves of HALF; slots per chunk when they are ranked; hash buckets (four hexadecimal digits) when
+# documents are put in order.
+HALF, CHUNK, DIGITS = 65536, 4096, 4
 
 
 def word_count(text: Column) -> Column:
@@ -75,7 +76,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOS
     total = sources.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     spark = sources.sparkSession
     k = F.col("id")
-    point = ((k % CHUNK) * STEP + (F.floor(k / CHUNK) % CHUNK) * ((STEP * CHUNK) % RANGE)) % RANGE
+    point = ((k % HALF) * STEP + (F.floor(k / HALF) % HALF) * ((STEP * HALF) % RANGE)) % RANGE
     slots = spark.range(-(-total // block_words)).select(k.alias("slot"), point.alias("point"), F.floor(k / CHUNK).alias("chunk"))
     cells = sources.where("hi > lo").select(
         "s",
