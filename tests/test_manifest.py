@@ -66,13 +66,13 @@ def test_verification_order(spark):
 
 def test_sync_plan(spark):
     verified = spark.createDataFrame(
-        [("p1", "full", "d", "n", "l", "md5_mismatch"), ("p2", "part", "d", "n", "l", "ok"), ("p3", "part", "d", "n", "l", "absent"), ("p4", "part", "", "n", "l", "ok")],
-        "path string, tid string, dir string, name string, link string, status string",
+        [("p1", "t", 0, "d", "n", "l", "md5_mismatch"), ("p2", "t", 1, "d", "n", "l", "ok"), ("p3", "t", 1, "d", "n", "l", "absent"), ("p4", "t", 1, "", "n", "l", "ok")],
+        "path string, tid string, position int, dir string, name string, link string, status string",
     )
-    contents = spark.createDataFrame([("full", "a"), ("part", "a"), ("part", "b")], "tid string, content_id string")
-    files = spark.createDataFrame([("full", "a"), ("part", "a"), ("part", "a")], "tid string, content_id string")
+    contents = spark.createDataFrame([("t", 0, "a"), ("t", 1, "a"), ("t", 1, "b")], "tid string, position int, content_id string")
+    files = spark.createDataFrame([("t", "a"), ("t", "a"), ("u", "b")], "tid string, content_id string")
     present = manifest.batches_present(contents, files)
-    assert {r.tid: r.present for r in present.collect()} == {"full": True, "part": False}
+    assert {r.position: r.present for r in present.collect()} == {0: True, 1: False}
     plan = lambda skip: {r.path: r.action for r in manifest.sync_plan(verified, present, skip).collect()}
     assert plan(True) == {"p1": "skip_batch", "p2": "skip_verified", "p3": "fetch", "p4": "reject"}
     assert plan(False)["p1"] == "fetch"

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.operators.spread import hash_block, lookup
 
 MAX_RETRIES = 3
 
@@ -105,12 +104,15 @@ def verify_manifest(remote: DataFrame, local: DataFrame, sidecars: DataFrame) ->
 
 
 def batches_present(contents: DataFrame, files: DataFrame) -> DataFrame:
-    """(tid, present): does every content id of a batch (tid, content_id) have a local file? files is (tid, content_id)."""
+    """(tid, position, present): does every content id that a post (tid, position, content_id) asks for have a local file?
+
+    ``files`` is (tid, content_id): content is kept by thread, and asked for by post.
+    """
     counts = files.groupBy("tid", "content_id").agg(F.count(F.lit(1)).alias("n_files"))
     return (
-        contents.select("tid", "content_id").distinct()
+        contents.select("tid", "position", "content_id").distinct()
         .join(counts, ["tid", "content_id"], "left")
-        .groupBy("tid")
+        .groupBy("tid", "position")
         .agg(F.bool_and((F.coalesce("n_files", F.lit(0)) > 0) & (F.col("content_id") != "")).alias("present"))
     )
 
@@ -118,11 +120,12 @@ def batches_present(contents: DataFrame, files: DataFrame) -> DataFrame:
 def sync_plan(verified: DataFrame, present: DataFrame, skip_existing: bool = True) -> DataFrame:
     """What to do with each remote file: skip_batch, skip_verified, reject or fetch.
 
-    ``verified`` has tid, path, name, link and verify_manifest()'s status. A batch with all its content in place is
-    left alone when ``skip_existing`` is set; files without path, name or link are refused.
+    ``verified`` has tid, position, path, name, link and verify_manifest()'s status. A post with all its content in place is
+    left alone when ``skip_existing`` is set; files without path, name or link are refused. A post's files are few, so no
+    key is hot and ``verified`` is read once.
     """
-    done = present.where(F.col("present") & F.lit(skip_existing)).select("tid", F.lit(True).alias("_done"))
-    rows = lookup(verified, done, ["tid"], hash_block("path"), "left")
+    done = present.where(F.col("present") & F.lit(skip_existing)).select("tid", "position", F.lit(True).alias("_done"))
+    rows = verified.join(done, ["tid", "position"], "left")
     lacks = (F.col("dir") == "") | (F.col("name") == "") | (F.col("link") == "")
     action = (
         F.when(F.col("_done"), "skip_batch")

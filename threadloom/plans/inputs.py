@@ -356,6 +356,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     remote = docs.select(
         path,
         F.col("source").alias("tid"),
+        (d % 60).alias("position"),
         F.concat(F.lit("c"), (d % 20).cast("string")).alias("content_id"),
         F.when(d % 40 == 7, "").otherwise(F.col("lang")).alias("dir"),
         F.concat(d.cast("string"), F.lit(".txt")).alias("name"),

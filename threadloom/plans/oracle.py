@@ -225,12 +225,12 @@ WITH m AS (
   SELECT *, CASE WHEN NOT here OR d % 35 = 0 OR n = 0 THEN 'absent' WHEN d % 7 = 1 THEN 'size_mismatch'
     WHEN d % 7 = 3 THEN 'md5_mismatch' WHEN d % 9 = 0 OR d % 12 = 0 THEN 'sidecar_mismatch' ELSE 'ok' END AS status FROM m
 ), ready AS (
-  SELECT tid, bool_and(n_files > 0) AS present FROM (
+  SELECT m.tid, m.d % 60 AS position, bool_and(n_files > 0) AS present FROM m JOIN (
     SELECT tid, content_id, count(*) FILTER (here AND (tid <> 'src1' OR content_id <> 'c3')) AS n_files FROM m GROUP BY tid, content_id
-  ) GROUP BY tid
+  ) n ON m.tid = n.tid AND m.content_id = n.content_id GROUP BY ALL
 )
-SELECT path, tid, CASE WHEN {skip} AND present THEN 'skip_batch' WHEN d % 40 IN (7, 9) THEN 'reject'
-  WHEN status = 'ok' THEN 'skip_verified' ELSE 'fetch' END AS action FROM v JOIN ready USING (tid)
+SELECT path, v.tid, CASE WHEN {skip} AND present THEN 'skip_batch' WHEN d % 40 IN (7, 9) THEN 'reject'
+  WHEN status = 'ok' THEN 'skip_verified' ELSE 'fetch' END AS action FROM v JOIN ready ON v.tid = ready.tid AND v.d % 60 = ready.position
 """
 _TRANSFERS = """
 WITH e AS (
@@ -402,7 +402,7 @@ SELECT page_id, string_agg(name || '=' || value, '; ' ORDER BY seq) AS header,
   string_agg(name, ',' ORDER BY seq) AS names FROM hit GROUP BY 1""",
     "required_rule": _RULES + f"SELECT domain, bool_or(name = 'n3' AND (e0 = 0 OR e0 >= {_NOW_EPOCH})) AS present FROM latest GROUP BY domain",
     "file_digest": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS md5 FROM documents",
-    "verify_manifest": _MANIFEST.split("SELECT path, tid, CASE")[0] + "SELECT path, status FROM v",
+    "verify_manifest": _MANIFEST.split("SELECT path, v.tid, CASE")[0] + "SELECT path, status FROM v",
     "sync_plan": _MANIFEST.format(skip="true"),
     "sync_plan_always_check": _MANIFEST.format(skip="false"),
     "decode_payloads": """
