@@ -45,9 +45,16 @@ def ids(posts):
 
 def test_checks(threads):
     got = {r.tid: tuple(r)[1:] for r in assemble.thread_checks(threads).collect()}
-    lost = got.pop("c")
-    assert lost[-1] is False and lost[2] > 0
-    assert got == {"a": (3, 3, 0, True), "b": (3, 2, 1, True), "d": (1, 1, 0, False), "e": (2, 2, 0, True)}
+    assert got == {
+        "a": (3, 3, 0, True, True), "b": (3, 2, 1, True, True), "c": (2, 1, 1, False, False), "d": (1, 1, 0, False, True), "e": (2, 2, 0, True, True)
+    }
+
+
+def test_rejected_threads(threads):
+    checks = assemble.thread_checks(threads)
+    reasons = lambda strict: {r.tid: r.reason for r in assemble.rejected_threads(checks, strict).collect()}
+    assert reasons(False) == {"c": "first page absent", "d": "first page in error"}
+    assert reasons(True) == reasons(False) | {"b": "pages missing"}
 
 
 def test_strict_and_lenient(threads):

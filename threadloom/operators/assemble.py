@@ -32,7 +32,7 @@ def _page_block() -> Column:
 
 
 def thread_checks(pages: DataFrame) -> DataFrame:
-    """(tid, total_pages, n_present, n_missing, has_first), counting only pages up to the count page 1 states.
+    """(tid, total_pages, n_present, n_missing, has_first, first_present), counting only pages up to the count page 1 states.
 
     A thread without page 1 states none; its last page stands in, and ``has_first`` is false.
     """
@@ -44,8 +44,9 @@ def thread_checks(pages: DataFrame) -> DataFrame:
             F.coalesce(F.max("planned"), F.max("page")).alias("total_pages"),
             F.count(F.lit(1)).alias("n_present"),
             F.coalesce(F.bool_or("has_first"), F.lit(False)).alias("has_first"),
+            (F.count("planned") > 0).alias("first_present"),
         )
-        .select("tid", "total_pages", "n_present", (F.col("total_pages") - F.col("n_present")).alias("n_missing"), "has_first")
+        .select("tid", "total_pages", "n_present", (F.col("total_pages") - F.col("n_present")).alias("n_missing"), "has_first", "first_present")
     )
 
 
@@ -55,6 +56,16 @@ def page_completeness(checks: DataFrame, strict: bool = True) -> DataFrame:
     return checks.select("tid", "total_pages", "n_present", "n_missing", (F.col("has_first") & complete).alias("accepted"))
 
 
+def rejected_threads(checks: DataFrame, strict: bool = True) -> DataFrame:
+    """Threads that page_completeness() does not accept, and why: (tid, reason, total_pages, n_missing)."""
+    reason = (
+        F.when(~F.col("first_present"), "first page absent")
+        .when(~F.col("has_first"), "first page in error")
+        .when(F.lit(strict) & (F.col("n_missing") > 0), "pages missing")
+    )
+    return checks.withColumn("reason", reason).where("reason IS NOT NULL").select("tid", "reason", "total_pages", "n_missing")
+
+
 def page_index(
     pages: DataFrame, strict: bool = True, mode: str = "reference", repeats_main_post: bool = True, carry: tuple[str, ...] = ()
 ) -> DataFrame:

@@ -194,6 +194,15 @@ def page_completeness_lenient(spark, sf_dir):
     return assemble.page_completeness(assemble.thread_checks(_lossy(spark, sf_dir)), strict=False)
 
 
+@query
+def rejected_threads(spark, sf_dir):
+    """Some threads have lost their first page, others later ones."""
+    source = inputs.kept_pages(inputs.forum_pages(spark, sf_dir)).select("tid", "page", "html")
+    source = source.where("NOT (page = 1 AND bigint(tid) % 11 = 5)")
+    parsed = pages.with_page_fields(pages.parse_pages(readers.dealt_out(source, "tid", "page"), with_posts=False))
+    return assemble.rejected_threads(assemble.thread_checks(written(parsed, "parsed-pages")))
+
+
 def _assembled(spark, sf_dir, mode="reference", repeats=True, kept=False, strict=True, **options):
     """(threads, posts) of the forum pages."""
     source = _written_forum(spark, sf_dir, repeats=repeats, kept=kept, **options)

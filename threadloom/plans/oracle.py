@@ -125,6 +125,19 @@ _CHECKS = _BASE + f"""
 SELECT tid, total_pages, n_present, total_pages - n_present AS n_missing,
   has_first AND {{}} AS accepted FROM checks
 """
+_REJECTED = _BASE + f"""
+, there AS (SELECT * FROM pg WHERE {_KEPT} AND NOT (page = 1 AND c % 11 = 5)),
+checks AS (
+  SELECT tid, c % 11 <> 5 AS first_present, {_ASSEMBLED} AS has_first,
+    CASE WHEN c % 11 = 5 THEN max(page) WHEN {_GOOD} THEN max(n_pages) ELSE 1 END AS total_pages,
+    CASE WHEN c % 11 = 5 OR {_GOOD} THEN count(*) ELSE 1 END AS n_present
+  FROM there GROUP BY tid, c
+), judged AS (
+  SELECT *, CASE WHEN NOT first_present THEN 'first page absent' WHEN NOT has_first THEN 'first page in error'
+    WHEN total_pages > n_present THEN 'pages missing' END AS reason FROM checks
+)
+SELECT tid, reason, total_pages, total_pages - n_present AS n_missing FROM judged WHERE reason IS NOT NULL
+"""
 _MISSING = f"""
 SELECT tid, page, CASE WHEN page = 1 THEN '{FORUM}read.php?tid-' || tid || '.html'
   ELSE '{FORUM}read.php?tid-' || tid || '-page-' || page || '.html' END AS url
@@ -331,6 +344,7 @@ SELECT tid, (page - 1) // 2 AS block, string_agg(CAST(page AS VARCHAR), ',' ORDE
 WHERE {_GOOD} AND NOT ({_KEPT}) GROUP BY 1, 2""",
     "page_completeness_strict": _CHECKS.format("total_pages = n_present"),
     "page_completeness_lenient": _CHECKS.format("true"),
+    "rejected_threads": _REJECTED,
     "assemble_threads": _BASE + f"{_THREADS} FROM own WHERE {_ASSEMBLED} GROUP BY tid, c",
     "assemble_threads_lenient": _BASE + f"{_THREADS} FROM own WHERE {_ASSEMBLED} AND {_KEPT} GROUP BY tid, c",
     "assemble_posts": _BASE + "SELECT " + _POSTS.format(
