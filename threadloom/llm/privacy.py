@@ -103,39 +103,41 @@ def _masked(line: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, line).otherwise(F.array_join(parts, ""))
 
 
-def _contexts(documents: DataFrame) -> DataFrame:
-    """Lines that are not blank: key, place of the line's first character, and the line."""
-    lines = F.split("text", "\n", -1)
-    return documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines"), F.posexplode(lines).alias("nth", "line"))
+def _entity_lines(documents: DataFrame) -> DataFrame:
+    """Lines that hold entities: key, place of the line's first character, the line without its entities, these (kind:value), and
+    ``copies``, how often the document is there.
 
-
-def _with_entities(lines: DataFrame) -> DataFrame:
-    """Lines that hold entities, with these (kind:value) and the line without them."""
-    possible = lines.where(F.col("line").rlike("|".join(_HINTS.values())))
+    Only texts that may hold entities are looked at; they meet their copies, and a line's place is a running sum over its text.
+    """
+    may_hold = "|".join(_HINTS.values())
+    texts = documents.where(F.col("text").rlike(may_hold)).groupBy("doc_id", F.xxhash64("text").alias("text_hash"))
+    texts = texts.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    lines = texts.select("doc_id", "text_hash", "copies", F.posexplode(F.split("text", "\n", -1)).alias("nth", "line"))
+    upto = Window.partitionBy("doc_id", "text_hash").orderBy("nth")
+    lines = lines.withColumn("offset", F.sum(F.length("line") + 1).over(upto) - F.length("line") - 1)
+    possible = lines.where(F.col("line").rlike(may_hold))
     for kind in KINDS:
         possible = possible.withColumn(kind, base_spans(F.col("line"), kind))
     possible = possible.withColumn("entities", F.array_distinct(F.concat(*map(_names, KINDS)))).where(F.size("entities") > 0)
-    masked = F.col("line")
     for kind in KINDS:
-        possible = possible.withColumn("line", _masked(masked, F.col(kind)))
-    before = F.aggregate(F.slice("lines", 1, F.col("nth")), F.lit(0), lambda n, line: n + F.length(line) + 1)
-    return possible.select("doc_id", "text_hash", before.alias("offset"), "line", "entities", F.col("nth"))
+        possible = possible.withColumn("line", _masked(F.col("line"), F.col(kind)))
+    return possible.select("doc_id", "text_hash", "copies", "nth", "offset", "line", "entities")
 
 
 def disclosing_terms(documents: DataFrame, entity_lines: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``entity``, ``term``, and ``disclosed``: the part of the entity's information that the term gives away."""
     distinct_words = lambda line: F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(_WORD), F.lit(0)))
-    lines = _contexts(documents).select("line")
+    lines = documents.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     total = lines.count()
     both = (
-        entity_lines.select(F.explode("entities").alias("entity"), distinct_words(F.col("line")).alias("words"))
-        .select("entity", F.explode("words").alias("term"))
+        entity_lines.select("copies", F.explode("entities").alias("entity"), distinct_words(F.col("line")).alias("words"))
+        .select("copies", "entity", F.explode("words").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_both"))
+        .agg(F.sum("copies").alias("n_both"))
         .where(F.col("n_both") >= support)
     )
     both = kept(both, "terms-by-entities")
-    entities = entity_lines.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = entity_lines.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     terms = lines.select(F.explode(distinct_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     information = -F.log(F.col("n_entity") / total)
     shared = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
@@ -154,7 +156,7 @@ def term_spans(entity_lines: DataFrame, disclosing: DataFrame) -> DataFrame:
     key = ["doc_id", "text_hash", "nth"]
     words = F.regexp_extract_all(F.col("line"), F.lit(_WORD), F.lit(0))
     parts = F.arrays_zip(F.slice(F.split("line", _WORD, -1), 1, F.size(words)).alias("gap"), words.alias("word"))
-    rows = entity_lines.dropDuplicates(key).select(*key, "offset", "entities", F.posexplode(parts).alias("i", "part"))
+    rows = entity_lines.select(*key, "offset", "entities", F.posexplode(parts).alias("i", "part"))
     upto = Window.partitionBy(*key).orderBy("i")
     rows = rows.withColumn("stop", F.col("offset") + F.sum(F.length("part.gap") + F.length("part.word")).over(upto))
     rows = rows.select("doc_id", "text_hash", "stop", F.length("part.word").alias("size"), F.lower("part.word").alias("term"), F.explode("entities").alias("entity"))
@@ -171,7 +173,7 @@ def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support:
     """
     base = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = kept(base.select("doc_id", F.xxhash64("text").alias("text_hash"), *(base_spans(F.col("text"), k).alias(k) for k in KINDS)), "pii-base")
-    lines = kept(_with_entities(_contexts(base)), "pii-lines")
+    lines = kept(_entity_lines(base), "pii-lines")
     terms = term_spans(lines, disclosing_terms(base, lines, disclosure, support))
     listed = terms.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(TERM))
     listed = listed.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
