@@ -303,3 +303,17 @@ def test_disclosing_terms(spark):
     assert terms == ["zorro"]
     cleaned = {r.doc_id: r.text for r in privacy.sanitised(spark.createDataFrame(one, DOCS)).collect()}
     assert cleaned[0] == "common words here\n lives by [EMAIL] common\nother words" and cleaned[100] == dict(one)[100]
+
+
+def test_disclosing_terms_with_capitals(spark):
+    line = "İl Contact Alice MCDONALD éva Éric at a@b.co Xray"
+    rows = [(i, f"First\n{line}\nlast") for i in range(8)] + [(50, "ray of a@b.co"), (51, "ray of a@b.co"), (52, "ray of a@b.co")]
+    rows += [(100 + i, "Contact at of İl Xray first last") for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in privacy.personal_data_summary(docs).collect()}
+    text = rows[0][1]
+    terms = [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[0].spans.split(",")) if k == "term"]
+    assert terms == ["Alice", "MCDONALD", "éva", "Éric"]
+    assert got[50].spans == "email:7:13,term:0:3"
+    cleaned = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
+    assert cleaned[0] == "First\nİl Contact     at [EMAIL] Xray\nlast" and cleaned[100] == dict(rows)[100]

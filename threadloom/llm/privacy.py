@@ -31,7 +31,8 @@ _PATTERNS = {
 }
 # Texts without these hold no match that counts.
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"(?:[0-9][\x20-]?){16}", "phone": r"\+[0-9]"}
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Words of text as it is; they are lower-cased one by one, so that both searches agree and offsets stay those of the text.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPANS = "array<struct<start:int,stop:int,value:string>>"
 
 
@@ -126,7 +127,7 @@ def _entity_lines(documents: DataFrame) -> DataFrame:
 
 def disclosing_terms(documents: DataFrame, entity_lines: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``entity``, ``term``, and ``disclosed``: the part of the entity's information that the term gives away."""
-    distinct_words = lambda line: F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(_WORD), F.lit(0)))
+    distinct_words = lambda line: F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)), F.lower))
     lines = documents.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     total = lines.count()
     both = (
