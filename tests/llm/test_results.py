@@ -317,3 +317,42 @@ def test_disclosing_terms_with_capitals(spark):
     assert got[50].spans == "email:7:13,term:0:3"
     cleaned = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
     assert cleaned[0] == "First\nİl Contact     at [EMAIL] Xray\nlast" and cleaned[100] == dict(rows)[100]
+
+
+def test_toxicity_models_grow_with_the_texts(spark):
+    """More words and bigrams that occur often enough than 2 ** 18, each rare in the whole: all have their own probability."""
+    n = 270_000
+    docs = [(i, " ".join(f"{'bad' if i % 2 else 'good'}{i // 8 * 450 + k} x" for k in range(450))) for i in range(8 * n // 450)]
+    labelled = spark.createDataFrame([(text, i % 2) for i, text in docs], "text string, toxic int").repartition(8)
+    model = toxicity.fit_tables(labelled, 100 << 20)
+    assert model.entries.where("toxic + other = 4").count() > 2 * 2 * n
+    odd = [(1, "x bad0 x"), (2, "x good7 x"), (3, f"x bad{n - 1} x"), (4, "x new x"), (None, None)]
+    got = {r.doc_id: r.per_word for r in toxicity._with_features(spark.createDataFrame(odd, DOCS), model).collect()}
+    assert got[1] > 1 and got[3] > 1 and got[2] < -1 and abs(got[4]) < 0.5 and got[None] == 0
+
+
+def test_toxicity_tables_against_arrays(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "_CHUNK", 500)
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(60)]
+    docs = [(i, " ".join(words(rng, rng.randint(0, 60), vocabulary + (["vile"] * 9 if i % 3 == 0 else [])))) for i in range(150)]
+    model = toxicity.fit_tables(spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in docs], "text string, toxic int"), 1)
+    every = [(Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), toxicity.BY_ALNUM).hashes, i % 3 != 0) for i, t in docs]
+    single, double = {}, {}
+    for hashes, c in every:
+        for k, h in enumerate(hashes.tolist()):
+            single.setdefault(h, [0, 0])[c] += 1
+            if k:
+                double.setdefault((int(hashes[k - 1]), h), [0, 0])[c] += 1
+    vocabulary = np.array(sorted(h for h, c in single.items() if sum(c) >= toxicity.LEAST), np.uint64)
+    place = {h: i + 1 for i, h in enumerate(vocabulary.tolist())}
+    counts, contexts = np.zeros((2, len(vocabulary) + 1)), np.zeros(len(vocabulary) + 1)
+    for h, c in single.items():
+        counts[:, place.get(h, 0)] += c
+    for _, h in double:
+        contexts[place.get(h, 0)] += 1
+    own = sorted(((place[a] << 32) | place[b], c) for (a, b), c in double.items() if sum(c) >= toxicity.LEAST)
+    plain_model = toxicity._model(vocabulary, counts, counts.sum(axis=1), contexts, np.array([k for k, _ in own]), np.array([c for _, c in own]).T)
+    got = {r.doc_id: (r.per_word, r.per_root, r.peak) for r in toxicity._with_features(spark.createDataFrame(docs, DOCS), model).collect()}
+    for i, text in docs:
+        assert got[i] == pytest.approx(plain_model.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0].tolist(), abs=1e-9)

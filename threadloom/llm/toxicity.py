@@ -6,10 +6,12 @@ classes together. An expression that neither class has often is thus about equal
 A text is scored by its log-likelihood ratio: per word over the whole text, per square root of its length, and per word in its
 most suspicious short window. A logistic curve, fitted on labelled texts kept out of the counts, turns these into a score.
 
-The counts come from all labelled texts up to MAX_LABELS rows (taken evenly by hash beyond that), which also bounds the broadcast
-of labels. The words and bigrams that the models keep make up a fixed share of all words or more, so there are at most KEPT of
-each however large the corpus is; rarer ones are counted in, but scored by backoff. Every task adds up its own counts before they
-are shuffled, packed by hash.
+The counts come from the texts of all labelled rows outside the folds HELD_OUT and CURVE. They stay in Spark tables, bucketed by
+hash, and grow with the corpus: every word and bigram that occurs LEAST times has a probability of its own, whatever the size; rarer
+words are one word together, which also stands for words never seen. Tasks add up their own counts before they are shuffled. To
+score, a task sends the distinct words and bigrams of a chunk of texts to their buckets, once each, and the counts come back to the
+chunk. No model is broadcast or collected, only a table of bits of fixed size: bigrams that it rules out have no entry and are not
+asked for. As it fills up, more is asked for; the results are the same.
 """
 
 from __future__ import annotations
@@ -19,25 +21,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.store import kept
 from threadloom.llm.words import BY_ALNUM, Words, _fmix, pieces
 
-# Labelled rows that the models are fitted on, and that the curve is fitted on, at most.
-MAX_LABELS, MAX_CURVE = 1_000_000, 50_000
-# A word or bigram is kept if it makes up 1 / KEPT of all words or more, and occurs LEAST times.
-KEPT, LEAST = 1 << 18, 4
+# Labelled rows that the curve is fitted on, at most, and labelled rows that are broadcast to meet their texts; more are joined by shuffle.
+MAX_CURVE, MAX_BROADCAST = 50_000, 1_000_000
+# A word or bigram has a probability of its own if it occurs LEAST times.
+LEAST = 4
 DISCOUNT, WINDOW = 0.75, 2
 FOLDS, HELD_OUT, CURVE = 5, 0, 1
 _BUCKET_BYTES = 16 << 20
 
-_COUNTS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("toxic", pa.binary()), ("other", pa.binary())])
-_COUNTS_SQL = "bucket long, keys binary, toxic binary, other binary"
-_SUMS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
-_SUMS_SQL = "kind int, key long, toxic long, other long"
-_TOTAL, _ENTRY, _CONTEXTS = 0, 1, 2
+# Words of texts that are scored together.
+_CHUNK = 3 << 19
+
+_COUNTS = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in ("keys", "before", "word", "toxic", "other"))])
+_COUNTS_SQL = "bucket long, keys binary, before binary, word binary, toxic binary, other binary"
+_SUMS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("before", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
+_SUMS_SQL = "kind int, key long, before long, toxic long, other long"
+_WORD, _BIGRAM, _CONTEXTS = 0, 1, 2
+_PACKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_PACKED_SQL = "bucket long, chunk long, kind int, a binary, b binary, c binary"
+_TEXTS = 2
+# The table of bits: its size and how many parts it is made in, as powers of two.
+_BITS, _BIT_PARTS = 27, 6
+_VALUES = ("toxic", "other", "contexts", "after_toxic", "after_other")
 
 
 def fold(doc_id: Column) -> Column:
@@ -62,82 +74,113 @@ def _pairs(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (before << 32) | ids, begins
 
 
-def _counter(buckets: int, vocabulary=None):
+def bigram_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _fmix(before * np.uint64(0xD6E8FEB86659FD93) + _fmix(word ^ np.uint64(0xA0761D6478BD642F)))
+
+
+def _begins(bounds: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` words begin a text."""
+    begins = np.zeros(n, bool)
+    begins[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    return begins
+
+
+def _buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _cuts(ranked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From where to where the values of a sorted array are equal."""
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])).tolist() if len(ranked) else []
+    return zip(begin, [*begin[1:], len(ranked)][: len(begin)], strict=True)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)]
+
+
+def _counter(buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words, or bigrams if there is a vocabulary, with their counts in toxic and other texts of the task."""
-        keys, toxic, other = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        """Words and bigrams with their counts in toxic and other texts of the task. A word's key is the word itself."""
+        none = [np.empty(0, np.uint64)] * 3 + [np.empty(0, np.uint32)] * 2
+        sums, waiting, held = none, [], 0
 
         def add() -> None:
-            nonlocal keys, toxic, other, waiting, held
-            every = np.concatenate([keys, *(k for k, _ in waiting)])
-            t = np.concatenate([toxic, *(f.astype(np.uint32) for _, f in waiting)])
-            o = np.concatenate([other, *((~f).astype(np.uint32) for _, f in waiting)])
-            order = np.argsort(every)
-            every = every[order]
-            begin = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
-            keys = every[begin]
-            toxic, other = (np.add.reduceat(x[order], begin, dtype=np.uint32) if len(begin) else x for x in (t, o))
-            waiting, held = [], 0
+            nonlocal sums, waiting, held
+            keys, before, word, toxic, other = (np.concatenate(c) for c in zip(sums, *waiting, strict=True))
+            order = np.argsort(keys)
+            ranked = keys[order]
+            begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, np.int64)
+            first = order[begin]
+            counts = (np.add.reduceat(x[order], begin, dtype=np.uint32) if len(begin) else x for x in (toxic, other))
+            sums, waiting, held = [keys[first], before[first], word[first], *counts], [], 0
 
         def flush() -> pa.RecordBatch:
-            group = keys if vocabulary is None else _fmix(keys & np.uint64(0xFFFFFFFF))
-            bucket = ((group >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            ranked = bucket[order]
-            cuts = np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])), len(ranked)).tolist() if len(ranked) else [0]
-            rows = [(int(ranked[x]), *(c[order[x:y]].tobytes() for c in (keys, toxic, other))) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_COUNTS)], schema=_COUNTS)
+            ranked = _buckets_of(sums[0], buckets)  # sums are sorted by key, and so by bucket
+            rows = [(int(ranked[x]), *(c[x:y].tobytes() for c in sums)) for x, y in _cuts(ranked)]
+            return pa.RecordBatch.from_arrays(_table(rows, _COUNTS), schema=_COUNTS)
 
         for batch in batches:
             flags = np.array(batch.column("toxic").cast(pa.int32())) == 1
             for at, stop, data, offsets in pieces(batch.column("text")):
                 words = Words(data, offsets, BY_ALNUM)
-                flag = np.repeat(flags[at:stop], np.diff(words.bounds))
-                key = words.hashes
-                if vocabulary is not None:
-                    key, begins = _pairs(words, word_ids(vocabulary.value, words.hashes))
-                    key, flag = key[~begins].astype(np.uint64), flag[~begins]
-                waiting.append((key, flag))
-                held += len(key)
+                h = words.hashes
+                flag = np.repeat(flags[at:stop], np.diff(words.bounds)).astype(np.uint32)
+                ends = np.flatnonzero(~_begins(words.bounds, len(h)))
+                waiting.append((h, h, h, flag, 1 - flag))
+                waiting.append((bigram_keys(h[ends - 1], h[ends]), h[ends - 1], h[ends], flag[ends], 1 - flag[ends]))
+                held += len(h) + len(ends)
                 if held > 1 << 20:
                     add()
-                    if len(keys) > 3 << 20:
+                    if len(sums[0]) > 2 << 20:
                         yield flush()
-                        keys, toxic, other = keys[:0], toxic[:0], other[:0]
+                        sums = none
         if waiting:
             add()
-        if len(keys):
+        if len(sums[0]):
             yield flush()
 
     return count
 
 
-def _adder(bigrams: bool):
-    def add(group: pa.Table) -> pa.Table:
-        """Sums of a bucket: its total, every key that occurs twice, and for bigrams in how many contexts a word stands."""
-        keys, toxic, other = (
-            np.frombuffer(b"".join(group.column(n).to_pylist()), t) for n, t in (("keys", np.uint64), ("toxic", np.uint32), ("other", np.uint32))
-        )
-        order = np.argsort(keys)
-        keys = keys[order]
-        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        keys = keys[begin]
-        toxic, other = (np.add.reduceat(x[order].astype(np.int64), begin) for x in (toxic, other))
-        many = toxic + other > 1
-        out = [(np.array([_TOTAL]), np.array([0]), toxic.sum(keepdims=True), other.sum(keepdims=True)), (np.full(many.sum(), _ENTRY), keys[many].view(np.int64), toxic[many], other[many])]
-        if bigrams:
-            words, contexts = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-            out.append((np.full(len(words), _CONTEXTS), words.view(np.int64), contexts, np.zeros_like(contexts)))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), _SUMS, strict=True)], schema=_SUMS)
-
-    return add
+def _add_bucket(group: pa.Table) -> pa.Table:
+    """Sums of a bucket: its words, its bigrams that occur LEAST times, and in how many contexts of the bucket a word stands."""
+    keys, before, word, toxic, other = (
+        np.frombuffer(b"".join(group.column(n).to_pylist()), t) for n, t in zip(_COUNTS.names[1:], (np.uint64, np.uint64, np.uint64, np.uint32, np.uint32), strict=True)
+    )
+    order = np.argsort(keys)
+    ranked = keys[order]
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    keys, before, word = (x[order[begin]].view(np.int64) for x in (keys, before, word))
+    toxic, other = (np.add.reduceat(x[order].astype(np.int64), begin) for x in (toxic, other))
+    single = keys == word
+    many = ~single & (toxic + other >= LEAST)
+    words, contexts = np.unique(word[~single], return_counts=True)
+    out = [(np.full(x.sum(), kind), keys[x], before[x], toxic[x], other[x]) for kind, x in ((_WORD, single), (_BIGRAM, many))]
+    out.append((np.full(len(words), _CONTEXTS), words, words, contexts, np.zeros_like(contexts)))
+    return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), _SUMS, strict=True)], schema=_SUMS)
+
+
+def text_features(ratios: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """[texts, 3]: ratio per word, per square root of the number of words, and per word in the highest window."""
+    out = np.zeros((len(bounds) - 1, 3))
+    if len(ratios) == 0:
+        return out
+    length = np.diff(bounds)
+    filled = length > 0
+    total = np.append(0.0, np.cumsum(ratios))
+    whole = (total[bounds[1:]] - total[bounds[:-1]])[filled]
+    out[filled, 0] = whole / length[filled]
+    out[filled, 1] = whole / np.sqrt(length[filled])
+    at = np.arange(len(total) - 1)
+    stop = np.minimum(at + WINDOW, np.repeat(bounds[1:], length))
+    out[filled, 2] = np.maximum.reduceat((total[stop] - total[:-1]) / WINDOW, bounds[:-1][filled])
+    return out
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios by word and bigram, as sorted arrays."""
+    """The models as sorted arrays, for what fits into memory; the tables hold the same by hash."""
 
     vocabulary: np.ndarray
     word_p: np.ndarray  # [2, words + 1]: probability by backoff under toxic, other
@@ -161,19 +204,7 @@ class Model:
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[texts, 3]: ratio per word, per square root of the number of words, and per word in the highest window."""
         words = Words(data, offsets, BY_ALNUM)
-        out = np.zeros((len(offsets) - 1, 3))
-        if len(words.hashes) == 0:
-            return out
-        total = np.append(0.0, np.cumsum(self.ratios(words)))
-        length = np.diff(words.bounds)
-        filled = length > 0
-        whole = (total[words.bounds[1:]] - total[words.bounds[:-1]])[filled]
-        out[filled, 0] = whole / length[filled]
-        out[filled, 1] = whole / np.sqrt(length[filled])
-        at = np.arange(len(total) - 1)
-        stop = np.minimum(at + WINDOW, np.repeat(words.bounds[1:], length))
-        out[filled, 2] = np.maximum.reduceat((total[stop] - total[:-1]) / WINDOW, words.bounds[:-1][filled])
-        return out
+        return text_features(self.ratios(words), words.bounds)
 
 
 def _model(vocabulary: np.ndarray, word_counts: np.ndarray, totals: np.ndarray, contexts: np.ndarray, bigrams: np.ndarray, bigram_counts: np.ndarray) -> Model:
@@ -189,51 +220,198 @@ def _model(vocabulary: np.ndarray, word_counts: np.ndarray, totals: np.ndarray,
     return Model(vocabulary, word_p, spare, bigrams, share)
 
 
-def _sums(rows: DataFrame, buckets: int, vocabulary, name: str) -> DataFrame:
-    counted = rows.mapInArrow(_counter(buckets, vocabulary), _COUNTS_SQL)
-    return kept(counted.groupBy("bucket").applyInArrow(_adder(vocabulary is not None), _SUMS_SQL), name)
-
+@dataclass
+class Tables:
+    """The models in Spark: ``entries`` (bucket, key and counts of words and bigrams), and what holds for all words."""
 
-def _kept_entries(sums: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (sorted) and [2, keys] counts of what makes up 1 / KEPT of all words; there are KEPT of them at most."""
-    least = max(LEAST, -(-words // KEPT))
-    found = sums.where((F.col("kind") == _ENTRY) & (F.col("toxic") + F.col("other") >= least)).select("key", "toxic", "other").toArrow()
-    keys = np.array(found.column("key"), np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.stack([np.array(found.column(n), np.int64)[order] for n in ("toxic", "other")]).reshape(2, -1)
+    entries: DataFrame
+    buckets: int
+    totals: list[float]  # words by class, toxic and other
+    left: list[float]  # share left for the common distribution, by class
+    contexts: float  # of all words, each with a half added
+    rest: list[float]  # values of the words that have no entry, as in _VALUES
+    bits: np.ndarray  # which bigrams can have an entry
 
 
-def fit_model(labelled: DataFrame) -> Model | None:
-    """The two models from ``text`` and ``toxic`` (0 or 1); None if a class has no words."""
-    total = labelled.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def fit_tables(labelled: DataFrame, total: int) -> Tables | None:
+    """The models of ``text`` and ``toxic`` (0 or 1) for ``total`` bytes of texts to score; None if a class has no words."""
     buckets = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET_BYTES)
-    sums = _sums(labelled, buckets, None, "toxic-words")
-    totals = np.array(sums.where(F.col("kind") == _TOTAL).agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first(), np.int64)
-    if not totals.all():
+    sums = kept(labelled.mapInArrow(_counter(buckets), _COUNTS_SQL).groupBy("bucket").applyInArrow(_add_bucket, _SUMS_SQL), "toxic-counts")
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(F.lit(0))).cast("double")
+    less = lambda n: F.greatest(F.col(n) - F.lit(DISCOUNT), F.lit(0.0))
+    words = sums.groupBy(F.when(F.col("kind") == _BIGRAM, F.col("before")).otherwise(F.col("key")).alias("key")).agg(
+        of(_WORD, F.col("toxic")).alias("toxic"), of(_WORD, F.col("other")).alias("other"), of(_CONTEXTS, F.col("toxic")).alias("contexts"),
+        of(_BIGRAM, less("toxic")).alias("after_toxic"), of(_BIGRAM, less("other")).alias("after_other"),
+    )
+    words = kept(words, "toxic-words")
+    own = F.col("toxic") + F.col("other") >= LEAST
+    known = words.where(own)
+    nothing = F.lit(0.0)
+    facts = words.agg(
+        *(F.coalesce(F.sum(n), nothing).alias(n) for n in ("toxic", "other", "contexts")),
+        *(F.coalesce(F.sum(F.when(~own, F.col(n))), nothing).alias(f"rest_{n}") for n in ("toxic", "other", "contexts")),
+        *(F.coalesce(F.sum(F.when(own, less(n))), nothing).alias(f"less_{n}") for n in ("toxic", "other")),
+        F.count(F.when(own, 1)).alias("n"),
+    ).first()
+    totals = [facts["toxic"], facts["other"]]
+    if not all(totals):
         return None
-    vocabulary, counts = _kept_entries(sums, int(totals.sum()))
-    counts = np.column_stack([totals - counts.sum(axis=1), counts])
-    shipped = labelled.sparkSession.sparkContext.broadcast(vocabulary)
-    sums = _sums(labelled, buckets, shipped, "toxic-bigrams")
-    bigrams, bigram_counts = _kept_entries(sums, int(totals.sum()))
-    found = sums.where(F.col("kind") == _CONTEXTS).select("key", "toxic").toArrow()
-    contexts = np.bincount(np.array(found.column("key"), np.int64), np.array(found.column("toxic"), np.float64), len(vocabulary) + 1)
-    return _model(vocabulary, counts, totals, contexts, bigrams.view(np.int64), bigram_counts)
-
-
-def _with_features(rows: DataFrame, model: Model) -> DataFrame:
-    shipped = rows.sparkSession.sparkContext.broadcast(vars(model))
-    names = [n for n in rows.columns if n != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(**shipped.value)
+    left = [1 - (facts[f"less_{n}"] + max(facts[f"rest_{n}"] - DISCOUNT, 0)) / t for n, t in zip(("toxic", "other"), totals, strict=True)]
+    bigrams = sums.where(F.col("kind") == _BIGRAM).select("key", F.col("toxic").cast("double"), F.col("other").cast("double"), *(nothing.alias(n) for n in _VALUES[2:]))
+    bucket = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets), 32)
+    entries = known.select("key", *_VALUES).union(bigrams).select(bucket.cast("long").alias("bucket"), "key", *_VALUES)
+    rest = [facts["rest_toxic"], facts["rest_other"], facts["rest_contexts"], 0.0, 0.0]
+    return Tables(entries, buckets, totals, left, facts["contexts"] + 0.5 * (facts["n"] + 1), rest, _bits(bigrams))
+
+
+def _bit_part(group: pa.Table) -> pa.Table:
+    at = np.array(group.column("at"), np.int64) & ((1 << _BITS - _BIT_PARTS) - 1)
+    bits = np.zeros(1 << _BITS - _BIT_PARTS, np.uint8)
+    bits[at] = 1
+    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _bits(bigrams: DataFrame) -> np.ndarray:
+    """Table of bits by the first _BITS bits of a key, set for keys that have an entry."""
+    at = bigrams.select(F.shiftrightunsigned("key", 64 - _BITS).alias("at")).distinct()
+    parts = at.withColumn("part", F.shiftright("at", _BITS - _BIT_PARTS).cast("int")).groupBy("part").applyInArrow(_bit_part, "part int, bits binary").collect()
+    bits = np.zeros((1 << _BIT_PARTS, 1 << _BITS - _BIT_PARTS - 3), np.uint8)
+    for row in parts:
+        bits[row.part] = np.frombuffer(row.bits, np.uint8)
+    return bits.ravel()
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed by planes of bytes: what is shuffled is mostly small numbers."""
+    if len(values) == 0:
+        return b""
+    return pa.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind, n: int) -> np.ndarray:
+    if n == 0:
+        return np.empty(0, kind)
+    planes = pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, n).T).view(kind).ravel()
+
+
+def _asker(buckets: int, shipped):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of texts: their ids and words by number, and their distinct words and bigrams, packed by bucket."""
+        chunk = TaskContext.get().partitionId() << 32
+        ids, hashes, lengths, held = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            words, code, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            often = np.argsort(-times, kind="stable")
+            words, code = words[often], np.argsort(often)[code]
+            length = np.concatenate(lengths)
+            may = ~_begins(np.append(0, np.cumsum(length)), len(code))
+            ends = np.flatnonzero(may)
+            place = bigram_keys(words[code[ends - 1]], words[code[ends]]) >> np.uint64(64 - _BITS)
+            may[ends] = (shipped.value[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1
+            ends = np.flatnonzero(may)
+            pairs = np.unique((code[ends - 1].astype(np.int64) << 32) | code[ends])
+            keys = bigram_keys(words[pairs >> 32], words[pairs & 0xFFFFFFFF])
+            sink = pa.BufferOutputStream()
+            column = pa.chunked_array(ids)
+            with pa.ipc.new_stream(sink, pa.schema([("doc_id", column.type)])) as stream:
+                stream.write_table(pa.table({"doc_id": column}))
+            facts = np.append(len(length), length).astype(np.int64).tobytes() + np.packbits(may).tobytes()
+            rows = [(chunk % buckets, chunk, _TEXTS, sink.getvalue().to_pybytes(), facts, _packed(code.astype(np.uint32)))]
+            for kind, asked in ((_WORD, words), (_BIGRAM, keys)):
+                bucket = _buckets_of(asked, buckets)
+                order = np.argsort(bucket, kind="stable")
+                ranked = bucket[order]
+                for x, y in _cuts(ranked):
+                    place = order[x:y].astype(np.uint32)
+                    rows.append((int(ranked[x]), chunk, kind, asked[order[x:y]].tobytes(), _packed(np.diff(place, prepend=np.uint32(0))), b""))
+            return pa.RecordBatch.from_arrays(_table(rows, _PACKED), schema=_PACKED)
+
         for batch in batches:
             for at, stop, data, offsets in pieces(batch.column("text")):
-                f = model.features(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(at, stop - at) for n in names), *map(pa.array, f.T)], names=[*names, "per_word", "per_root", "peak"])
+                words = Words(data, offsets, BY_ALNUM)
+                ids.append(batch.column("doc_id").slice(at, stop - at))
+                hashes.append(words.hashes)
+                lengths.append(np.diff(words.bounds))
+                held += len(words.hashes) + stop - at
+                if held > _CHUNK:
+                    yield flush()
+                    chunk += 1
+                    ids, hashes, lengths, held = [], [], [], 0
+        if ids:
+            yield flush()
+
+    return ask
+
+
+def _answer(asked: pa.Table, entries: pa.Table) -> pa.Table:
+    """What a bucket has of the words and bigrams that it is asked for, back to their chunks. Texts pass through."""
+    keys = np.array(entries.column("key"), np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    values = np.column_stack([np.array(entries.column(n), np.float64)[order] for n in _VALUES])
+    out = []
+    for row in zip(*(asked.column(n).to_pylist() for n in _PACKED.names), strict=True):
+        bucket, chunk, kind, a, b, _ = row
+        if kind == _TEXTS:
+            out.append(row)
+        elif len(keys):
+            wanted, place = np.frombuffer(a, np.uint64), np.cumsum(_unpacked(b, np.uint32, len(a) // 8), dtype=np.uint32)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[at] == wanted
+            if hit.any():
+                found = values[at[hit], : len(_VALUES) if kind == _WORD else 2]
+                out.append((bucket, chunk, kind, place[hit].tobytes(), _packed(found.ravel()), b""))
+    return pa.Table.from_arrays(_table(out, _PACKED), schema=_PACKED)
+
+
+def _scorer(totals: list[float], left: list[float], contexts: float, rest: list[float]):
+    def score(group: pa.Table) -> pa.Table:
+        """Features of the texts of a chunk."""
+        found = {_WORD: [], _BIGRAM: []}
+        for kind, a, b, c in zip(*(group.column(n).to_pylist() for n in ("kind", "a", "b", "c")), strict=True):
+            if kind == _TEXTS:
+                ids = pa.ipc.open_stream(a).read_all().column("doc_id")
+                texts = int(np.frombuffer(b, np.int64, 1)[0])
+                bounds = np.append(0, np.cumsum(np.frombuffer(b, np.int64, texts, 8)))
+                n = int(bounds[-1])
+                may = np.unpackbits(np.frombuffer(b, np.uint8, offset=8 + 8 * texts), count=n).astype(bool)
+                code = _unpacked(c, np.uint32, n).astype(np.int64)
+            else:
+                found[kind].append((np.frombuffer(a, np.uint32), _unpacked(b, np.float64, len(a) // 4 * (len(_VALUES) if kind == _WORD else 2))))
+        word = np.tile(np.array(rest), (int(code.max()) + 1 if n else 0, 1))
+        for place, values in found[_WORD]:
+            word[place] = values.reshape(len(place), -1)
+        begins = _begins(bounds, n)
+        ends = np.flatnonzero(~begins)
+        before = code[ends - 1]
+        met = np.flatnonzero(may)
+        pairs, pair = np.unique((code[met - 1] << 32) | code[met], return_inverse=True)
+        bigram = np.zeros((len(pairs), 2))
+        for place, values in found[_BIGRAM]:
+            bigram[place] = np.maximum(values.reshape(len(place), -1) - DISCOUNT, 0)
+        log = []
+        for k in (0, 1):
+            own = np.maximum(word[:, k] - DISCOUNT, 0) / totals[k] + left[k] * (word[:, 2] + 0.5) / contexts
+            times = np.maximum(word[:, k], 1)
+            spare = np.maximum(1 - word[:, 3 + k] / times, 1e-6)
+            p = own[code]
+            p[ends] *= spare[before]
+            p[met] += bigram[pair, k] / times[code[met - 1]]
+            log.append(np.log(p))
+        features = text_features(log[0] - log[1], bounds)
+        return pa.Table.from_arrays([ids, *map(pa.array, features.T.copy())], names=["doc_id", "per_word", "per_root", "peak"])
+
+    return score
+
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{kinds}, per_word double, per_root double, peak double")
+def _with_features(rows: DataFrame, model: Tables) -> DataFrame:
+    """Features of each of ``rows`` (``doc_id`` and ``text``)."""
+    asked = rows.mapInArrow(_asker(model.buckets, rows.sparkSession.sparkContext.broadcast(model.bits)), _PACKED_SQL)
+    answered = asked.groupBy("bucket").cogroup(model.entries.groupBy("bucket")).applyInArrow(_answer, _PACKED_SQL)
+    score = _scorer(model.totals, model.left, model.contexts, model.rest)
+    return answered.groupBy("chunk").applyInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, per_word double, per_root double, peak double")
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,16 +442,18 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     words get the curve's value for no evidence. If the labels are empty or name one class only, every score is the share of
     toxic labels (0 without labels). Repeated documents are scored alike; further columns are ignored.
     """
-    spark = documents.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("toxic"))
     known = kept(known.withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT), "toxic-labels")
     base = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    with_text = lambda rows: base.join(F.broadcast(rows), "doc_id")  # noqa: E731  rows are bounded by MAX_LABELS
-    model = fit_model(with_text(_evenly(known.where(F.col("fold") != CURVE), MAX_LABELS)).select("text", "toxic"))
+    train = known.where(F.col("fold") != CURVE)
+    train = F.broadcast(train) if train.count() <= MAX_BROADCAST else train
+    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    model = fit_tables(base.join(train, "doc_id").select("text", "toxic"), total)
     held_out = (fold(F.col("doc_id")) == HELD_OUT).alias("held_out")
     fitted = None
     if model is not None:
-        found = _with_features(with_text(_evenly(known.where(F.col("fold") == CURVE), MAX_CURVE)).select("toxic", "text"), model).toArrow()
+        features = kept(_with_features(base, model), "toxic-features")
+        found = features.join(F.broadcast(_evenly(known.where(F.col("fold") == CURVE), MAX_CURVE)), "doc_id").toArrow()
         y = np.array(found.column("toxic"), np.float64)
         if len(np.unique(y)) == 2:
             fitted = _curve(np.column_stack([np.array(found.column(n)) for n in ("per_word", "per_root", "peak")]), y)
@@ -283,5 +463,5 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
         return base.select("doc_id", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
     w, mean, spread = fitted
     line = F.lit(float(w[0])) + sum(((F.col(n) - float(m)) / float(s) * float(k) for n, m, s, k in zip(("per_word", "per_root", "peak"), mean, spread, w[1:], strict=True)), F.lit(0.0))
-    scored = _with_features(base, model).withColumn("score", 1 / (1 + F.exp(-line)))
+    scored = features.withColumn("score", 1 / (1 + F.exp(-line)))
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
