@@ -356,3 +356,23 @@ def test_toxicity_tables_against_arrays(spark, monkeypatch):
     got = {r.doc_id: (r.per_word, r.per_root, r.peak) for r in toxicity._with_features(spark.createDataFrame(docs, DOCS), model).collect()}
     for i, text in docs:
         assert got[i] == pytest.approx(plain_model.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0].tolist(), abs=1e-9)
+
+
+def test_leaks_finds_paraphrases(spark):
+    """Items of which 62 % of the words are left, all of the answer among them, others replaced or put between."""
+    rng = random.Random(13)
+    vocabulary = [f"t{i}" for i in range(4000)]
+    draw = lambda n: words(rng, n, vocabulary)
+    items = [draw(rng.randint(20, 70)) for _ in range(1500)]
+    docs = []
+    for i, item in enumerate(items):
+        part = list(item)
+        body = len(part) - max(3, len(part) // 4)
+        for at in rng.sample(range(body), int(0.38 * len(part))):
+            part[at] = f"other{rng.randrange(10**6)}"
+        if i % 3 == 0:
+            part.insert(rng.randrange(len(part)), "between")
+        docs.append((i, " ".join(draw(rng.randint(0, 60)) + part + draw(rng.randint(0, 60)))))
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert sum((i, i) in found for i in range(len(items))) >= 0.99 * len(items)
