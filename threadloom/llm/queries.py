@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import chat, jaccard, leaks, licenses, lines, mixing, privacy, tokens, toxicity, vectors
+from threadloom.llm import chat, jaccard, leaks, licenses, lines, mixing, periods, privacy, tokens, toxicity, vectors
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -77,3 +77,9 @@ def op9_mixing(spark, sf_dir):
 def op10_personal_data(spark, sf_dir):
     configure(spark)
     return privacy.personal_data_summary(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    configure(spark)
+    return periods.run_summary(table(spark, sf_dir, "documents"))
