@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import chat, jaccard, leaks, licenses, lines, mixing, periods, privacy, tokens, toxicity, vectors
+from threadloom.llm import chat, jaccard, leaks, licenses, lines, merkle, mixing, periods, privacy, tokens, toxicity, vectors
 from threadloom.llm.store import table
 from threadloom.session import configure
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-LLM_ORACLE: dict[str, str] = {"op6_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE}
+LLM_ORACLE: dict[str, str] = {"op6_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,6 +79,12 @@ def op10_personal_data(spark, sf_dir):
     return privacy.personal_data_summary(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    configure(spark)
+    return merkle.manifest_check(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_periodic_runs(spark, sf_dir):
     configure(spark)
