@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import chat, jaccard, leaks, licenses, lines, merkle, mixing, periods, privacy, tokens, toxicity, vectors
+from threadloom.llm import chat, edits, jaccard, leaks, licenses, lines, merkle, mixing, periods, privacy, tokens, toxicity, vectors
 from threadloom.llm.store import table
 from threadloom.session import configure
 
@@ -85,6 +85,12 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.manifest_check(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_edit_fingerprints(spark, sf_dir):
+    configure(spark)
+    return edits.edit_summary(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_periodic_runs(spark, sf_dir):
     configure(spark)
