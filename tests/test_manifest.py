@@ -144,7 +144,36 @@ def test_flatten_tree(spark):
     ]
 
 
-def test_tree_deeper_than_allowed(spark):
-    rows = [node("0", "", "", "folder", "n")] + [node(str(i), str(i - 1), "k", "folder", "n") for i in range(1, 4)]
-    with pytest.raises(ValueError, match="deeper"):
-        tree.flatten_tree(spark.createDataFrame(rows, TREE), max_depth=2)
+def test_a_folder_that_carries_its_id_twice_in_a_row(spark):
+    """B stays in the directory named B; C, named and placed alike, then sees that directory and not its own name."""
+    rows = [
+        node("A", "", "", "folder", "a"), node("x", "A", "k", "folder", "B"), node("B", "x", "k", "folder", "C"), node("C", "B", "k", "folder", "D"),
+        node("D", "C", "k", "folder", "D"), node("f", "C", "m", "file", "f"), node("g", "D", "m", "file", "g"),
+    ]
+    got = {r.id: r.path for r in tree.flatten_tree(spark.createDataFrame(rows, TREE)).collect()}
+    assert got == {"f": "A/B/D", "g": "A/B/D"}
+
+
+def test_a_tree_of_very_many_levels(spark):
+    depth = 5000
+    rows = [node("0", "", "", "folder", "top")] + [node(str(i), str(i - 1), "k", "folder", "n") for i in range(1, depth)]
+    rows += [node("f", str(depth - 1), "z", "file", "deep"), node("g", "2", "z", "file", "up")]
+    got = {r.id: (r.root_id, r.path, len(r.walk_key)) for r in tree.flatten_tree(spark.createDataFrame(rows, TREE)).collect()}
+    assert got == {"f": ("0", "/".join(["0"] + ["n"] * (depth - 1)), depth), "g": ("0", "0/n/n", 3)}
+
+
+def test_nodes_that_hang_on_no_root(spark):
+    rows = [node("R", "", "", "folder", "r"), node("ok", "R", "a", "file", "f"), node("in", "R", "b", "folder", "d"), node("ok2", "in", "a", "file", "f")]
+    rows += [node(f"c{i}", f"c{(i + 1) % 5}", "k", "folder", "n") for i in range(5)] + [node("self", "self", "k", "folder", "n")]
+    rows += [node("below", "c2", "a", "folder", "n"), node("file", "below", "a", "file", "n")]
+    rows += [node("lost", "gone", "a", "folder", "n"), node("lost2", "lost", "a", "folder", "n"), node("f2", "lost2", "a", "file", "n"), node("f3", "ok", "a", "file", "n")]
+    df = spark.createDataFrame(rows, TREE)
+    assert {r.id: r.reason for r in tree.tree_faults(df).collect()} == {n: "cycle" for n in ["c0", "c1", "c2", "c3", "c4", "self", "below", "file"]} | {n: "no parent" for n in ["lost", "lost2", "f2", "f3"]}
+    assert {r.id for r in tree.flatten_tree(df).collect()} == {"ok", "ok2"}
+    assert tree.tree_faults(df.limit(0)).collect() == [] and tree.flatten_tree(df.limit(0)).collect() == []
+
+
+def test_name_clashes(spark):
+    rows = [node(str(i), "p", str(i), "file", n) for i, n in enumerate(["a", "a", "a(1)", "b", "b"])] + [node("9", "q", "0", "file", "a")]
+    got = [tuple(r) for r in tree.name_clashes(spark.createDataFrame(rows, TREE)).collect()]
+    assert got == [("p", "a(1)", 2, "1")]

@@ -577,6 +577,23 @@ def flatten_tree(spark, sf_dir):
     )
 
 
+@query
+def tree_faults(spark, sf_dir):
+    """Nodes in cycles, below them, or without a parent."""
+    return tree.tree_faults(inputs.broken_tree(spark, sf_dir))
+
+
+@query
+def flatten_broken_tree(spark, sf_dir):
+    """What can be reached of a tree with faults."""
+    return tree.flatten_tree(inputs.broken_tree(spark, sf_dir)).select("root_id", "id", _joined("walk_key", "/").alias("walk_key"))
+
+
+@query
+def name_clashes(spark, sf_dir):
+    return tree.name_clashes(inputs.clashing_parts(spark, sf_dir))
+
+
 # Store
 
 

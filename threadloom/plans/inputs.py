@@ -315,6 +315,24 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def broken_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """content_tree with two folders in ten in a cycle of two and one whose parent is gone."""
+    k = F.substring("id", 2, 20).cast("bigint")
+    inner = (F.col("type") == "folder") & (F.col("parent_id") != "")
+    parent = (
+        F.when(inner & (k % 10 == 3), F.concat(F.lit("n"), k + 1)).when(inner & (k % 10 == 4), F.concat(F.lit("n"), k - 1))
+        .when(inner & (k % 10 == 5), "gone").otherwise(F.col("parent_id"))
+    )
+    return content_tree(spark, sf_dir).withColumn("parent_id", parent)
+
+
+def clashing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files of their brand's folder, named by type; some have a name that is numbered already."""
+    k = F.col("p_partkey")
+    name = F.concat("p_type", F.when(k % 40 == 7, "(1)").when(k % 40 == 9, "(2)").otherwise(""), F.lit(".bin"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("parent_id"), F.lpad(k.cast("string"), 12, "0").alias("key"), F.lit("file").alias("type"), name.alias("name"))
+
+
 def content_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region, nation and customer as folders and files; names repeat within folders, one region is protected."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

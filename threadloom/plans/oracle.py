@@ -451,6 +451,18 @@ SELECT 'r' || r AS root_id, 'c' || c_custkey AS id, 'r' || r || '/' || name || C
   c_mktsegment || CASE WHEN c.rep > 0 THEN '(' || c.rep || ')' ELSE '' END || '.txt' AS filename, 'https://files.example.com/' || c_custkey AS link,
   c_custkey % 900 + 1 AS size, md5(c_name) AS md5, n_name || '/' || c_custkey AS walk_key
 FROM c JOIN h ON c_nationkey = k WHERE r <> 2""",
+    "tree_faults": """
+WITH f AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 10 = 5 THEN 'no parent' ELSE 'cycle' END AS reason FROM nation WHERE n_nationkey % 10 IN (3, 4, 5))
+SELECT 'n' || k AS id, reason FROM f UNION ALL SELECT 'c' || c_custkey, reason FROM customer JOIN f ON c_nationkey = k""",
+    "flatten_broken_tree": """
+SELECT 'r' || n_regionkey AS root_id, 'c' || c_custkey AS id, n_name || '/' || c_custkey AS walk_key
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2 AND n_nationkey % 10 NOT IN (3, 4, 5)""",
+    "name_clashes": """
+WITH q AS (
+  SELECT p_brand AS parent_id, p_partkey AS k, p_type || CASE p_partkey % 40 WHEN 7 THEN '(1)' WHEN 9 THEN '(2)' ELSE '' END AS base FROM part
+), o AS (SELECT *, row_number() OVER (PARTITION BY parent_id, base ORDER BY k) - 1 AS repeat FROM q)
+SELECT parent_id, base || CASE WHEN repeat = 0 THEN '' ELSE '(' || repeat || ')' END || '.bin' AS final_name, count(*) AS n_nodes, min(lpad(CAST(k AS VARCHAR), 12, '0')) AS first_key
+FROM o GROUP BY ALL HAVING count(*) > 1""",
     "upsert_threads": _STORE + "SELECT tid, title, total_floors, created_at, total_floors AS n_posts, 'first.png' AS local FROM gen",
     "merge_threads": """
 WITH n AS (
