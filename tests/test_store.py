@@ -50,7 +50,10 @@ def test_load_and_missing(spark, path):
     found, missing = store.load_threads(spark, path, wanted)
     assert sorted(r.tid for r in found.collect()) == ["1", "2"]
     assert {r.tid: r.error for r in missing.collect()} == {"missing": "thread not found in store", "": "tid is empty"}
-    assert [r.title for r in store.stored_threads(spark, path, ["3"]).collect()] == ["three"]
+    some = spark.createDataFrame([("3",), ("3",), ("missing",)], "tid string")
+    assert [r.title for r in store.stored_threads(spark, path, some).collect()] == ["three"]
+    assert [r.content_md for r in store.stored_posts(spark, path, some).collect()] == ["new"]
+    assert store.stored_assets(spark, path, some).collect() == []
 
 
 def test_compaction_keeps_the_state(spark, path, tmp_path):
@@ -104,7 +107,7 @@ def test_stream_equals_batch(spark, tmp_path):
     # A page comes again with one reply less; only its thread is touched, and the newer page counts.
     arrivals(spark, source, [("a", 1, page(["m", 1], 2))])
     ingest.ingest_pages_stream(spark, source, path, progress).awaitTermination()
-    last = spark.read.parquet(f"{path}/pages").agg(F.max("gen")).first()[0]
+    last = ingest.last_page_generation(spark, path)
     assert last == 2
     assert {r.tid for r in ingest.newest_pages(spark, path, last).collect()} == {"a"}
     ingest.publish(spark, path, last, fallback())

@@ -83,10 +83,18 @@ def render_threads(
     )
 
 
-def render_posts(posts: DataFrame, body: str = "content_md") -> DataFrame:
-    """Posts with (tid, position, floor, post_id, post_time, author, body) to entries (tid, position, markdown)."""
+def frames(threads: DataFrame, generated_at: Column | None = None, generator: str = "threadloom", part_posts: int = PART_POSTS) -> DataFrame:
+    """``threads`` with a row for each document part: ``part``, ``opening`` (the title, on the first) and ``closing`` (the footer, on the last)."""
+    last = F.floor(F.greatest(F.coalesce("last_position", F.lit(0)), F.lit(0)) / part_posts).cast("bigint")
+    rows = threads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    closing = F.lit("") if generated_at is None else F.when(F.col("part") == last, footer(generated_at, generator)).otherwise("")
+    return rows.withColumns({"opening": F.when(F.col("part") == 0, title_line(F.col("title"))).otherwise(""), "closing": closing})
+
+
+def render_posts(posts: DataFrame, body: str = "content_md", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Posts with (tid, position, floor, post_id, post_time, author, body) to entries (tid, position, markdown), and columns to carry."""
     header = entry_header(
         F.col("post_id"), F.col("floor"), F.col("position"), F.col("post_time"),
         F.col("author.uid"), F.col("author.username"),
     )
-    return posts.select("tid", "position", entry(header, F.col(body)).alias("markdown"))
+    return posts.select("tid", "position", *carry, entry(header, F.col(body)).alias("markdown"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as text_fn
 from threadloom.operators import assemble, links, manifest, markdown, pages, posts, rules, tree
+from threadloom.operators.documents import render_localised
 from threadloom.page_profile import ARTICLE
 from threadloom.plans import inputs
 from threadloom.session import fresh_path, written
@@ -302,8 +303,12 @@ def _rendered_forum(spark, sf_dir):
     """The whole way: pages, parse, assembly, links, Markdown."""
     threads, placed = _assembled(spark, sf_dir, with_html=False, with_markdown=True)
     placed = written(placed, "posts")
-    local = links.localise_posts(placed, *_forum_records(threads))
-    return markdown.render_threads(threads, markdown.render_posts(local), inputs.timestamp(inputs.GENERATED_AT))
+    assets, shares = _forum_records(threads)
+    only = F.lit(0).cast("bigint").alias("gen")
+    return render_localised(
+        threads.select("tid", "title", "last_position", only), placed.select("*", only), links.usable_assets(assets), links.usable_shares(shares),
+        inputs.timestamp(inputs.GENERATED_AT),
+    )
 
 
 @query
@@ -693,6 +698,6 @@ def publish_twice(spark, sf_dir):
         source.where(half).write.parquet(arriving)
         ingest.ingest_pages_stream(spark, arriving, path, progress).awaitTermination()
         ingest.publish(spark, path, since, inputs.timestamp(inputs.FALLBACK))
-        since = spark.read.parquet(f"{path}/pages").agg(F.max("gen")).first()[0]
+        since = ingest.last_page_generation(spark, path)
     ingest.publish(spark, path, since, inputs.timestamp(inputs.FALLBACK))
     return _published(spark, path)

@@ -1,101 +1,111 @@
-"""The thread store: Parquet tables of threads, posts, assets and shares, added to in generations.
+"""The thread store: Parquet tables of threads, posts, assets, shares and their files, added to in generations.
 
 A run writes only what it changed, as generation N of each table; the header row of a thread names the generation its
-posts live in. A commit row is written last and all four tables are read through the commits, so a failed run leaves nothing
-visible, and repeating it overwrites the same generation. Files are sorted by tid, which lets a look-up of a few threads skip most row groups.
+posts live in. All tables are read through one commit list (sources/generations.py), so a failed run leaves nothing visible, repeating it
+overwrites the same generation, and compact_tiers() swaps generations for merged ones in one step. Files are sorted by tid, which lets
+a look-up of a few threads skip most row groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.operators import links
+from threadloom.operators.documents import render_localised
 from threadloom.operators.links import append_assets
-from threadloom.operators.spread import lookup
-from threadloom.sources import tables
+from threadloom.operators.spread import hash_block, lookup
+from threadloom.sources import generations, tables
+from threadloom.sources.generations import FANOUT, Part
 
 GENERATION_STEP = 1 << 40
+# Tables with the column that orders a thread's rows in a file.
+TABLES = {
+    "posts": (tables.POSTS, "position"), "assets": (tables.ASSETS, "seq"), "shares": (tables.SHARES, "seq"),
+    "share_files": (tables.SHARE_FILES, "block"), "threads": (tables.THREADS, "created_at"),
+}
 
 
-def _write(df: DataFrame, schema: T.StructType, path: str, order: str) -> None:
+def _write(df: DataFrame | None, spark: SparkSession, store: str, name: str, part: Part) -> None:
+    schema, order = TABLES[name]
+    df = spark.createDataFrame([], schema) if df is None else df
     # rebalance lets adaptive execution split a partition that one huge thread fills and merge small ones.
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     laid = df.select(*columns).hint("rebalance", "tid").sortWithinPartitions("tid", order)
-    laid.write.mode("overwrite").parquet(path)
+    laid.write.mode("overwrite").parquet(f"{store}/{name}/part={part.name}")
 
 
-def _read(spark: SparkSession, store: str, name: str, schema: T.StructType) -> DataFrame:
-    layout = T.StructType([*schema.fields, T.StructField("gen", T.LongType())])
-    return spark.read.schema(layout).parquet(f"{store}/{name}").join(_committed(spark, store), "gen", "left_semi")
+def _read(spark: SparkSession, store: str, name: str, parts: list[Part] | None = None) -> DataFrame:
+    return generations.read(spark, store, name, TABLES[name][0], parts)
 
 
 def store_threads(
     store: str, gen: int, threads: DataFrame, posts: DataFrame, assets: DataFrame | None = None,
-    shares: DataFrame | None = None,
+    shares: DataFrame | None = None, share_files: DataFrame | None = None,
 ) -> None:
-    """Write one generation. Threads replace their earlier body; asset and share records add to the earlier ones."""
-    spark = threads.sparkSession
-    assets = spark.createDataFrame([], tables.ASSETS) if assets is None else assets
-    shares = spark.createDataFrame([], tables.SHARES) if shares is None else shares
-    _write(posts, tables.POSTS, f"{store}/posts/gen={gen}", "position")
-    _write(assets, tables.ASSETS, f"{store}/assets/gen={gen}", "seq")
-    _write(shares, tables.SHARES, f"{store}/shares/gen={gen}", "seq")
-    _write(threads, tables.THREADS, f"{store}/threads/gen={gen}", "created_at")
-    # From here on the generation is visible, in all four tables.
-    spark.range(1).select(F.lit(gen).cast("long").alias("committed")).write.mode("overwrite").parquet(f"{store}/commits/of={gen}")
+    """Write one generation. Threads replace their earlier body; asset and share records add to the earlier ones.
 
-
-def _committed(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema("committed long").parquet(f"{store}/commits").select(F.col("committed").alias("gen")).distinct()
+    ``share_files`` has the files of the shares among ``shares``, as share_file_lists() gives them by URL.
+    """
+    spark = threads.sparkSession
+    part = generations.new_part(spark, store, gen)
+    given = {"posts": posts, "assets": assets, "shares": shares, "share_files": share_files, "threads": threads}
+    for name, rows in given.items():
+        _write(rows, spark, store, name, part)
+    # From here on the generation is visible, in all tables.
+    generations.add(spark, store, part)
 
 
 def next_generation(spark: SparkSession, store: str) -> int:
-    try:
-        return _committed(spark, store).agg(F.max("gen")).first()[0] + 1
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
+    return generations.last_generation(spark, store) + 1
 
 
-def _only(df: DataFrame, tids: Iterable[str] | None) -> DataFrame:
-    if tids is None:
-        return df
-    return df.where(F.col("tid").isin(list(tids)))
+def _only(df: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Rows of the threads in ``wanted`` (tid)."""
+    return df if wanted is None else lookup(df, wanted.select("tid").distinct(), ["tid"], hash_block(*df.columns), "inner")
 
 
-def stored_threads(spark: SparkSession, store: str, tids: Iterable[str] | None = None) -> DataFrame:
+def stored_threads(spark: SparkSession, store: str, wanted: DataFrame | None = None, parts: list[Part] | None = None) -> DataFrame:
     """Current header of each thread, with ``gen``."""
-    rows = _only(_read(spark, store, "threads", tables.THREADS), tids)
+    rows = _read(spark, store, "threads", parts)
+    rows = rows if wanted is None else rows.join(wanted.select("tid").distinct(), "tid", "left_semi")
     fields = [f.name for f in tables.THREADS.fields if f.name != "tid"]
     return rows.groupBy("tid").agg(F.max_by(F.struct(*fields, "gen"), "gen").alias("_t")).select("tid", "_t.*")
 
 
-def stored_posts(spark: SparkSession, store: str, tids: Iterable[str] | None = None) -> DataFrame:
+def stored_posts(spark: SparkSession, store: str, wanted: DataFrame | None = None, parts: list[Part] | None = None) -> DataFrame:
     """Posts of the current body of each thread."""
-    current = stored_threads(spark, store, tids).select("tid", "gen")
-    rows = _only(_read(spark, store, "posts", tables.POSTS), tids)
+    parts = generations.live_parts(spark, store) if parts is None else parts
+    current = stored_threads(spark, store, wanted, parts).select("tid", "gen")
+    rows = _read(spark, store, "posts", parts)
     return lookup(rows, current, ["tid", "gen"], F.floor(F.col("position") / 100_000)).drop("gen")
 
 
-def stored_assets(spark: SparkSession, store: str, tids: Iterable[str] | None = None) -> DataFrame:
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("seq", F.col("gen") * GENERATION_STEP + F.col("seq"))
+
+
+def stored_assets(spark: SparkSession, store: str, wanted: DataFrame | None = None, parts: list[Part] | None = None) -> DataFrame:
     """All asset records; ``seq`` runs on over generations."""
-    rows = _only(_read(spark, store, "assets", tables.ASSETS), tids)
-    return rows.withColumn("seq", F.col("gen") * GENERATION_STEP + F.col("seq")).drop("gen")
+    return _placed(_only(_read(spark, store, "assets", parts), wanted)).drop("gen")
 
 
-def stored_shares(spark: SparkSession, store: str, tids: Iterable[str] | None = None) -> DataFrame:
+def stored_shares(spark: SparkSession, store: str, wanted: DataFrame | None = None, parts: list[Part] | None = None) -> DataFrame:
     """Share records, the last one of each URL at the place of the first."""
-    rows = _only(_read(spark, store, "shares", tables.SHARES), tids)
+    rows = _placed(_only(_read(spark, store, "shares", parts), wanted))
     others = [f.name for f in tables.SHARES.fields if f.name not in ("tid", "url", "seq")]
-    seq = F.col("gen") * GENERATION_STEP + F.col("seq")
     return rows.groupBy("tid", "url").agg(
-        F.min(seq).alias("seq"), F.max_by(F.struct(*others), seq).alias("_s")
-    ).select("tid", "url", "_s.*", "seq")
+        F.min("seq").alias("place"), F.max_by(F.struct(*others), "seq").alias("_s")
+    ).select("tid", "url", "_s.*", F.col("place").alias("seq"))
+
+
+def stored_share_files(spark: SparkSession, store: str, wanted: DataFrame | None = None, parts: list[Part] | None = None) -> DataFrame:
+    """Files of each share, in blocks: those of the generation that its last record is of. An upsert replaces the whole list."""
+    parts = generations.live_parts(spark, store) if parts is None else parts
+    last = _only(_read(spark, store, "shares", parts), wanted).groupBy("tid", "url").agg(F.max("gen").alias("gen"))
+    rows = _read(spark, store, "share_files", parts)
+    return lookup(rows, last, ["tid", "url", "gen"], F.floor(F.col("block") / 1000)).drop("gen")
 
 
 def load_threads(spark: SparkSession, store: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,14 +132,70 @@ def carry_records(stored: DataFrame, new: DataFrame) -> DataFrame:
     return append_assets(stored, first.join(usable.select("tid", "url").distinct(), ["tid", "url"], "left_anti"))
 
 
+def compact_tiers(spark: SparkSession, store: str, fanout: int = FANOUT) -> list[Part]:
+    """Merge generations in tiers; the parts made. What readers see does not change, and a failed run changes nothing.
+
+    Of the merged generations the last body of each thread and all asset and share records stay. Merged rows count as of the part's last
+    generation; a record's ``seq`` is shifted by as much, so that its place among all generations stays.
+    """
+
+    def merge(parts: list[Part], into: Part) -> None:
+        def shifted(rows: DataFrame) -> DataFrame:
+            return _placed(rows).withColumn("seq", F.col("seq") - F.lit(into.last) * F.lit(GENERATION_STEP)).drop("gen")
+
+        merged = {
+            "posts": stored_posts(spark, store, None, parts),
+            "assets": shifted(_read(spark, store, "assets", parts)),
+            "shares": shifted(_read(spark, store, "shares", parts)),
+            "share_files": stored_share_files(spark, store, None, parts),
+            "threads": stored_threads(spark, store, None, parts).drop("gen"),
+        }
+        for name, rows in merged.items():
+            _write(rows, spark, store, name, into)
+
+    return generations.compact(spark, store, merge, fanout)
+
+
+def expire_store(spark: SparkSession, store: str) -> list[str]:
+    """Delete what the newest commit list does not name; see generations.expire()."""
+    return generations.expire(spark, store, list(TABLES))
+
+
 def compact_store(spark: SparkSession, store: str, target: str) -> None:
     """Write the current state as the only generation of a new store."""
     store_threads(
         target, 0, stored_threads(spark, store).drop("gen"), stored_posts(spark, store),
-        stored_assets(spark, store), stored_shares(spark, store),
+        stored_assets(spark, store), stored_shares(spark, store), stored_share_files(spark, store),
     )
 
 
+def render_stored(spark: SparkSession, store: str, wanted: DataFrame | None = None, generated_at=None) -> DataFrame:
+    """Documents (tid, part, markdown) of stored threads, with links to the assets and shares that the store has.
+
+    Post text is shuffled once, to where it is rendered.
+    """
+    parts = generations.live_parts(spark, store)
+    images = links.usable_assets(stored_assets(spark, store, wanted, parts))
+    shares = links.usable_shares(stored_shares(spark, store, wanted, parts))
+    threads = stored_threads(spark, store, wanted, parts)
+    return render_localised(threads, _read(spark, store, "posts", parts), images, shares, generated_at)
+
+
+def export_stored(spark: SparkSession, store: str, out: str, wanted: DataFrame | None = None, generated_at=None, layout: str = "shards") -> DataFrame:
+    """Export stored threads, or those in ``wanted`` (tid): documents under ``documents``, and their metadata beside them, as tables
+    ``threads``, ``assets``, ``shares`` and ``share_files``. Needs the store only. Gives the (tid, error) rows of ``wanted`` that it lacks.
+    """
+    export_threads(render_stored(spark, store, wanted, generated_at), f"{out}/documents", layout)
+    metadata = {
+        "threads": stored_threads(spark, store, wanted).drop("gen"), "assets": stored_assets(spark, store, wanted),
+        "shares": stored_shares(spark, store, wanted), "share_files": stored_share_files(spark, store, wanted),
+    }
+    for name, rows in metadata.items():
+        order = TABLES[name][1]
+        rows.hint("rebalance", "tid").sortWithinPartitions("tid", order).write.mode("overwrite").parquet(f"{out}/{name}")
+    return load_threads(spark, store, spark.createDataFrame([], "tid string") if wanted is None else wanted)[1]
+
+
 EXPORT = "value string, tid string, part bigint"
 
 

@@ -44,6 +44,8 @@ ASSETS = _struct(tid=_S, url=_S, local=_S, alt=_S, file_size=_L, downloaded=_B,
 SHARES = _struct(
     tid=_S, url=_S, content_id=_S, local_dir=_S, n_files=_L, downloaded=_B, error=_S, seq=_L
 )
+# The files of a share, in blocks: lists have no bound.
+SHARE_FILES = _struct(tid=_S, url=_S, block=_L, files=T.ArrayType(_S))
 RULES = _struct(
     seq=_L, name=_S, value=_S, domain=_S, path=_S, expires=_TS, max_age=_I, secure=_B, http_only=_B, same_site=_S
 )
