@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadloom.plans import inputs
 from threadloom.plans.catalog import QUERIES
 from threadloom.operators import manifest
+from threadloom.sources import store, tables
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="needs the test tables")
@@ -20,7 +21,7 @@ def plan(df, capsys):
     return capsys.readouterr().out
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"ingest_pages_stream", "publish_twice"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_compares_all_pairs(spark, capsys, name):
     text = plan(QUERIES[name](spark, SF_DIR), capsys)
     assert "CartesianProduct" not in text
@@ -58,6 +59,24 @@ def test_rendering_moves_post_text_once(spark, capsys):
     assert len([m for m in moves if "part#" in m]) == 1
 
 
+def test_stored_threads_are_rendered_where_their_posts_meet_their_links(spark, capsys, tmp_path):
+    """Post text is shuffled by (tid, part, gen) only, once: the join and the render aggregate share it."""
+    wide = "tid string, title string, url string, forum string, total_floors bigint, last_position bigint, created_at timestamp"
+    threads = spark.createDataFrame([], wide)
+    store.store_threads(str(tmp_path), 0, threads, spark.createDataFrame([], tables.POSTS))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(store.render_stored(spark, str(tmp_path)), capsys)
+        forum = plan(QUERIES["render_forum_threads"](spark, SF_DIR), capsys)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for found in (text, forum):
+        moves = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*?)\]\nArguments: (.*)", found)
+        texts = [arguments for columns, arguments in moves if "content_md" in columns]
+        assert len(texts) == 1 and re.match(r"hashpartitioning\(tid#\d+, part#\d+L, gen#\d+L", texts[0])
+
+
 def test_parsing_is_not_repeated(spark, capsys):
     """Assembly reads the written parse; its plan has no parser in it."""
     text = plan(QUERIES["assemble_threads"](spark, SF_DIR), capsys)

@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.sources import store
+from threadloom.sources import generations, store, tables
 from threadloom.streaming import ingest
 
 from test_assemble import fallback, page
@@ -120,3 +122,134 @@ def test_a_batch_can_be_repeated(spark, tmp_path):
     for _ in range(2):
         ingest.ingest_batch(batch, 0, path)
     assert ingest.newest_pages(spark, path).count() == 1
+
+
+def commit_files(where):
+    return sorted(p.name for p in Path(where).glob("commits/version=*"))
+
+
+def snapshot(spark, path):
+    """All that readers can see."""
+    reads = (store.stored_threads, store.stored_posts, store.stored_assets, store.stored_shares, store.stored_share_files)
+    return [sorted(str(r.asDict() | {"gen": 0}) for r in read(spark, path).collect()) for read in reads]
+
+
+def share_rows(spark, *rows):
+    return spark.createDataFrame([(t, u, "c", "shares/c", n, ok, "" if ok else "download_failed", i) for i, (t, u, n, ok) in enumerate(rows)], tables.SHARES)
+
+
+def file_rows(spark, *rows):
+    return spark.createDataFrame(list(rows), tables.SHARE_FILES)
+
+
+@pytest.fixture
+def grown(spark, tmp_path):
+    """Nine generations of three threads in turn."""
+    where = str(tmp_path / "grown")
+    for gen in range(9):
+        heads = thread_rows(spark, (str(gen % 3), 1 + gen % 2, f"title {gen}"))
+        assets = asset_rows(spark, (str(gen % 3), f"u{gen}", f"{gen}.png", True), (str(gen % 3), "again", f"{gen}", True))
+        shares = share_rows(spark, (str(gen % 3), "s", gen, gen != 7), ("0", f"only{gen}", 1, True))
+        store.store_threads(where, gen, heads, post_rows(heads, f"text {gen}"), assets, shares, file_rows(spark, (str(gen % 3), "s", 0, [f"f{gen}"]), ("0", f"only{gen}", 0, ["x"])) if gen != 7 else None)
+    return where
+
+
+def test_compaction_in_tiers_changes_nothing_that_is_read(spark, grown):
+    before = snapshot(spark, grown)
+    assert [f[0] for f in before if not f] == [] and "f4" not in str(before[4]) and "f8" in str(before[4])
+    made = store.compact_tiers(spark, grown, fanout=2)
+    assert [p.name for p in generations.live_parts(spark, grown)] == ["0-7", "8-8"] and len(made) == 7
+    assert snapshot(spark, grown) == before
+    # Readers that began before go on with their own list.
+    assert len(commit_files(grown)) == 9 + 7
+    gone = store.expire_store(spark, grown)
+    assert "threads/part=0-0" in gone and len(commit_files(grown)) == 1
+    assert {p.name for p in Path(grown).glob("posts/part=*")} == {"part=0-7", "part=8-8"}
+    assert snapshot(spark, grown) == before
+    heads = thread_rows(spark, ("0", 1, "later"))
+    store.store_threads(grown, store.next_generation(spark, grown), heads, post_rows(heads, "later"))
+    assert {r.tid: r.title for r in store.stored_threads(spark, grown).collect()} == {"0": "later", "1": "title 7", "2": "title 8"}
+    with pytest.raises(ValueError, match="merged"):
+        store.store_threads(grown, 3, heads, post_rows(heads, "late"))
+
+
+def test_a_failed_compaction_leaves_the_store_as_it_was(spark, grown, monkeypatch):
+    before, lists = snapshot(spark, grown), commit_files(grown)
+    write = store._write
+
+    def failing(df, spark, path, name, part):
+        if name == "threads":
+            raise OSError("disk full")
+        write(df, spark, path, name, part)
+
+    monkeypatch.setattr(store, "_write", failing)
+    with pytest.raises(OSError):
+        store.compact_tiers(spark, grown, fanout=3)
+    assert commit_files(grown) == lists and snapshot(spark, grown) == before
+    monkeypatch.undo()
+    store.compact_tiers(spark, grown, fanout=3)
+    assert [p.name for p in generations.live_parts(spark, grown)] == ["0-8"] and snapshot(spark, grown) == before
+
+
+def test_live_parts_stay_logarithmic(spark, tmp_path):
+    where, merged = str(tmp_path / "parts"), []
+    for gen in range(40):
+        generations.add(spark, where, generations.new_part(spark, where, gen))
+        generations.compact(spark, where, lambda parts, into: merged.append(into), fanout=3)
+        parts = generations.live_parts(spark, where)
+        assert len(parts) <= 2 * 4 and [p.first for p in parts] == [0, *[p.last + 1 for p in parts[:-1]]] and parts[-1].last == gen
+
+
+def test_share_lists_are_replaced_by_url(spark, tmp_path):
+    where = str(tmp_path / "shares")
+    heads = thread_rows(spark, ("1", 1, "one"))
+    store.store_threads(where, 0, heads, post_rows(heads, "t"), None, share_rows(spark, ("1", "a", 2, True), ("1", "b", 1, True)), file_rows(spark, ("1", "a", 0, ["x", "y"]), ("1", "b", 0, ["z"])))
+    store.store_threads(where, 1, thread_rows(spark), post_rows(heads, "t").limit(0), None, share_rows(spark, ("1", "c", 0, False), ("1", "a", 1, True)), file_rows(spark, ("1", "a", 0, ["w"])))
+    assert [(r.url, r.n_files, r.downloaded) for r in store.stored_shares(spark, where).orderBy("seq").collect()] == [("a", 1, True), ("b", 1, True), ("c", 0, False)]
+    assert sorted((r.url, r.files) for r in store.stored_share_files(spark, where).collect()) == [("a", ["w"]), ("b", ["z"])]
+
+
+def test_export_of_wanted_threads(spark, tmp_path):
+    where, out = str(tmp_path / "store"), str(tmp_path / "out")
+    heads = thread_rows(spark, ("1", 2, "one"), ("2", 1, "two"), ("3", 0, "empty"))
+    body = "![p](https://img.example.com/p.png) https://gofile.io/d/k"
+    images = asset_rows(spark, ("1", "https://img.example.com/p.png", "p.png", True), ("2", "https://img.example.com/p.png", "", True))
+    shares = share_rows(spark, ("1", "https://gofile.io/d/k", 1, True))
+    store.store_threads(where, 0, heads, post_rows(heads, body), images, shares, file_rows(spark, ("1", "https://gofile.io/d/k", 0, ["f"])))
+    wanted = spark.createDataFrame([("1",), ("3",), ("9",)], "tid string")
+    lacking = store.export_stored(spark, where, out, wanted, fallback())
+    assert [(r.tid, r.error) for r in lacking.collect()] == [("9", "thread not found in store")]
+    docs = {r.tid: r.markdown for r in store.read_export(spark, f"{out}/documents").collect()}
+    assert set(docs) == {"1", "3"} and docs["1"].count("![p](images/p.png) https://gofile.io/d/k (local: shares/c)") == 2
+    assert docs["3"].startswith("## empty") and docs["3"].endswith("*\n")
+    assert [spark.read.parquet(f"{out}/{t}").count() for t in ("threads", "assets", "shares", "share_files")] == [2, 1, 1, 1]
+
+
+def test_pages_are_merged_and_published_with_records(spark, tmp_path):
+    source, path, progress = (str(tmp_path / n) for n in ("in", "store", "progress"))
+    arrivals(spark, source, *[[("a", 1, page(["m", 1], 2)), ("b", 1, page(["m"], 1))], [("a", 2, page(["m", 2], 2))], [("a", 1, page(["m", 3], 2))], [("c", 1, page(["m"], 1))]])
+    ingest.ingest_pages_stream(spark, source, path, progress, max_files_per_trigger=1).awaitTermination()
+    before = sorted(map(str, ingest.newest_pages(spark, path).drop("gen").collect()))
+    assert [p.name for p in ingest.compact_pages(spark, path, fanout=2)] == ["0-1", "2-3", "0-3"]
+    assert sorted(map(str, ingest.newest_pages(spark, path).drop("gen").collect())) == before
+    assert ingest.page_state(spark, path).count() == 4 and ingest.expire_pages(spark, path)
+    shares = share_rows(spark, ("a", "https://gofile.io/d/k", 1, True))
+    ingest.publish(spark, path, 0, fallback(), assets=asset_rows(spark, ("a", "u", "l.png", True)), shares=shares, share_files=file_rows(spark, ("a", "https://gofile.io/d/k", 0, ["f"])))
+    assert state(spark, path) == [("a", 0, "m"), ("a", 1, "3"), ("a", 2, "2"), ("b", 0, "m"), ("c", 0, "m")]
+    assert [r.local for r in store.stored_assets(spark, path).collect()] == ["l.png"]
+    assert [r.files for r in store.stored_share_files(spark, path).collect()] == [["f"]]
+
+
+def test_publishing_reads_the_buckets_of_touched_threads_only(spark, tmp_path, capsys):
+    path = str(tmp_path / "store")
+    for gen, tids in enumerate((["a", "b", "c", "d"], ["b"])):
+        ingest.ingest_batch(spark.createDataFrame([(t, 1, page(["m", gen], 1)) for t in tids], "tid string, page bigint, html string"), gen, path)
+    touched = ingest.touched_threads(spark, path, 1)
+    bucket = spark.sql(f"SELECT pmod(xxhash64('b'), {ingest.PAGE_BUCKETS})").first()[0]
+    assert [r.tid for r in touched[0].collect()] == ["b"] and touched[1] == [bucket]
+    capsys.readouterr()
+    ingest.page_state(spark, path, buckets=touched[1]).explain("formatted")
+    filters = [line for line in capsys.readouterr().out.splitlines() if "PartitionFilters" in line]
+    assert len(filters) == 1 and f"(bucket#" in filters[0] and f"= {bucket})" in filters[0]
+    files = ingest.page_state(spark, path, buckets=touched[1]).select(F.input_file_name()).distinct().collect()
+    assert len(files) == 2 and all(f"bucket={bucket}/" in f[0] for f in files)

@@ -204,6 +204,12 @@ def share_manifest(links: DataFrame, files: DataFrame, exclude_aux: bool = False
     )
 
 
+def files_of_shares(shares: DataFrame, lists: DataFrame) -> DataFrame:
+    """share_file_lists() rows by URL: (tid, url, block, files) for each share record that is downloaded."""
+    wanted = shares.where("downloaded").select("tid", "content_id", "url").distinct()
+    return lists.join(wanted, ["tid", "content_id"]).select("tid", "url", "block", "files")
+
+
 def share_file_lists(files: DataFrame, block: int = 1000, base: str = SHARE_DIR) -> DataFrame:
     """Sorted relative file lists per content id, at most ``block`` files to an array: (tid, content_id, block, files)."""
     full = F.concat(F.lit(f"{base}/"), "content_id", F.lit("/"), "path")

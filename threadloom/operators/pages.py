@@ -249,6 +249,16 @@ def with_page_fields(parsed: DataFrame) -> DataFrame:
     )
 
 
+def resolve_thread_id(pages: DataFrame) -> DataFrame:
+    """with_page_fields() rows with ``tid`` as the page itself states it, else as given; ``tid_error`` is set where neither does.
+
+    A page stays one row in either case, so that what cannot be assigned to a thread is seen and not lost.
+    """
+    tid = F.coalesce(F.nullif(F.col("page_tid"), F.lit("")), F.nullif(F.col("tid"), F.lit("")), F.lit(""))
+    rows = pages.withColumn("tid", tid)
+    return rows.withColumn("tid_error", F.when(F.col("tid") == "", "thread id unknown").otherwise(""))
+
+
 def page_plan(threads: DataFrame, base: Column | str, block: int = 10_000) -> DataFrame:
     """Rows (tid, page, url) for pages 1..total_pages of each thread.
 

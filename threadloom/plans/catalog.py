@@ -108,6 +108,15 @@ def page_ids(spark, sf_dir):
     return _forum(spark, sf_dir, with_posts=False).select("tid", "page", "base_url", F.col("page_tid").alias("thread_id"))
 
 
+@query
+def resolve_thread_ids(spark, sf_dir):
+    """Pages whose given thread id is missing or wrong."""
+    c = F.col("tid").cast("bigint")
+    given = F.when(c % 4 == 1, "").when(c % 4 == 3, F.concat(F.lit("x"), "tid")).otherwise(F.col("tid"))
+    found = _forum(spark, sf_dir, with_posts=False).select("page", "page_tid", F.col("tid").alias("asked"), given.alias("tid"))
+    return pages.resolve_thread_id(found).select("asked", "page", "tid", "tid_error")
+
+
 @query
 def total_pages(spark, sf_dir):
     return _forum(spark, sf_dir, with_posts=False).select("tid", "page", "total_pages")
@@ -654,6 +663,77 @@ def merge_threads(spark, sf_dir):
     return store.merge_threads(heads(turns, "old"), heads(turns.where("role <> 'system' AND conv_id % 3 = 0"), "new"))
 
 
+def _forum_store(spark, sf_dir):
+    """Assembled forum threads in two generations: first their main posts only, with all records; then whole, some shares once more."""
+    path = fresh_path(spark, "store")
+    threads, placed = _assembled(spark, sf_dir, with_html=False, with_markdown=True)
+    threads, placed = written(threads, "threads"), written(placed, "posts")
+    assets, shares = _forum_records(threads)
+    nothing = F.lit("").alias
+    assets = assets.select("tid", "url", "local", nothing("alt"), F.lit(7).cast("bigint").alias("file_size"), "downloaded", "seq")
+    content = links.share_content_id(F.col("url"))
+    shares = shares.select("tid", "url", content.alias("content_id"), "local_dir", F.lit(2).cast("bigint").alias("n_files"), "downloaded", nothing("error"), "seq")
+    files = lambda rows, names: links.files_of_shares(
+        rows, links.share_file_lists(rows.select("tid", "content_id", F.explode(F.array(*map(F.lit, names))).alias("path")), block=1)
+    )
+    early = threads.withColumns({"title": F.concat(F.lit("old "), "title"), "last_position": F.lit(0).cast("bigint")})
+    store.store_threads(path, 0, early, placed.where("position = 0"), assets, shares, files(shares, ["b.txt", "a.txt"]))
+    again = shares.where("CAST(tid AS BIGINT) % 4 = 0").withColumn("n_files", F.lit(1).cast("bigint"))
+    store.store_threads(path, 1, threads, placed, None, again, files(again, ["c.txt"]))
+    return path
+
+
+@query
+def export_stored_threads(spark, sf_dir):
+    """Stored threads with their cached links, exported as documents and read back; nothing but the store is read."""
+    inputs.configure(spark)
+    path, out = _forum_store(spark, sf_dir), fresh_path(spark, "export")
+    store.export_stored(spark, path, out, generated_at=inputs.timestamp(inputs.GENERATED_AT))
+    return store.read_export(spark, f"{out}/documents")
+
+
+@query
+def export_stored_metadata(spark, sf_dir):
+    """What the export holds beside its documents."""
+    inputs.configure(spark)
+    path, out = _forum_store(spark, sf_dir), fresh_path(spark, "export")
+    store.export_stored(spark, path, out)
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    names = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "files"))), lambda b: b["files"])), ",")
+    files = read("share_files").groupBy("tid", "url").agg(names.alias("files"))
+    shares = read("shares").select("tid", "url", "n_files").join(files, ["tid", "url"], "left")
+    assets = read("assets").select("tid", F.col("local").alias("image"))
+    return read("threads").select("tid", "title", "total_floors").join(assets, "tid", "left").join(shares, "tid", "left").select(
+        "tid", "title", "total_floors", F.coalesce("image", F.lit("")).alias("image"), F.coalesce("url", F.lit("")).alias("share"),
+        F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("files", F.lit("")).alias("files"),
+    )
+
+
+@query
+def compacted_store(spark, sf_dir):
+    """Six generations, each of a sixth of the threads and of those of the first sixth again, merged in tiers of two."""
+    inputs.configure(spark)
+    path = fresh_path(spark, "store")
+    turns = _flagship_posts(spark, sf_dir).withColumns({"page": F.lit(1).cast("bigint"), "content_html": F.lit("")})
+    author = F.struct("author.username", "author.uid", *[F.lit(v).alias(n) for n, v in (("avatar", ""), ("post_count", 0), ("register_date", ""), ("last_login", ""), ("signature", ""))])
+    everything = written(turns.withColumn("author", author), "posts")
+    c = F.col("tid").cast("bigint")
+    for gen in range(6):
+        some = everything.where((c % 6 == gen) | ((c % 6 == 0) & (F.col("position") <= gen)))
+        heads = some.groupBy("tid").agg(
+            F.count(F.lit(1)).alias("total_floors"), F.max("position").alias("last_position"), F.min("post_time").alias("created_at")
+        ).select("*", F.lit(f"generation {gen}").alias("title"), F.lit("").alias("url"), F.lit("").alias("forum"))
+        assets = heads.select(
+            "tid", F.lit(f"https://img.example.com/{gen}.png").alias("url"), F.lit(f"{gen}.png").alias("local"), F.lit("").alias("alt"),
+            F.lit(1).cast("bigint").alias("file_size"), F.lit(True).alias("downloaded"), F.lit(0).cast("bigint").alias("seq"),
+        )
+        store.store_threads(path, gen, heads, some, assets)
+        store.compact_tiers(spark, path, fanout=2)
+    kept = store.stored_posts(spark, path).groupBy("tid").agg(F.count(F.lit(1)).alias("n_posts"))
+    images = store.stored_assets(spark, path).groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "local"))), lambda a: a["local"]), ",").alias("images"))
+    return store.stored_threads(spark, path).select("tid", "title").join(kept, "tid").join(images, "tid")
+
+
 @query
 def load_threads(spark, sf_dir):
     """Stored threads asked for by id, with those not found."""

@@ -317,6 +317,9 @@ SELECT page_id, ord, {_ENTITIES.format("regexp_extract(a, 'href=\"([^\"]*)\"', 1
     "page_title": f"SELECT page_id, trim({_ENTITIES.format('regexp_extract(html, ' + chr(39) + '<h1>(.*?)</h1>' + chr(39) + ', 1)')}) AS title FROM pages",
     "forum_name": _BASE + f"SELECT tid, page, CASE WHEN {_GOOD} THEN 'Board ' || c % 7 ELSE '' END AS forum, CASE WHEN {_GOOD} THEN {_TITLE} ELSE '' END AS title FROM pg",
     "page_ids": _BASE + f"SELECT tid, page, CASE WHEN {_GOOD} THEN {_URL} ELSE '' END AS base_url, CASE WHEN {_GOOD} THEN tid ELSE '' END AS thread_id FROM pg",
+    "resolve_thread_ids": _BASE + f"""
+SELECT tid AS asked, page, CASE WHEN {_GOOD} THEN tid WHEN c % 4 = 1 THEN '' WHEN c % 4 = 3 THEN 'x' || tid ELSE tid END AS tid,
+  CASE WHEN NOT ({_GOOD}) AND c % 4 = 1 THEN 'thread id unknown' ELSE '' END AS tid_error FROM pg""",
     "total_pages": _BASE + f"SELECT tid, page, CASE WHEN {_GOOD} THEN n_pages ELSE 1 END AS total_pages FROM pg",
     "classify_page": _BASE + """
 SELECT tid, page, CASE WHEN c % 20 = 18 THEN 'validation_error' WHEN c % 10 <> 9 THEN '' WHEN c // 10 % 3 = 2 THEN 'validation_error' ELSE 'auth_error' END AS error_type,
@@ -469,6 +472,15 @@ WITH n AS (
   SELECT CAST(conv_id AS VARCHAR) AS tid, count(*) AS a, count(*) FILTER (role <> 'system' AND conv_id % 3 = 0) AS b FROM conversations GROUP BY conv_id
 )
 SELECT tid, CASE WHEN b > 0 THEN 'new' ELSE 'old' END AS title, CASE WHEN b > 0 THEN b ELSE a END AS total_floors FROM n""",
+    "export_stored_metadata": _BASE + f"""
+SELECT tid, {_TITLE} AS title, count(*) AS total_floors, CASE WHEN c % 2 = 0 THEN 'i' || c % 20 || '.png' ELSE '' END AS image,
+  CASE WHEN c % 2 = 0 THEN 'https://gofile.io/d/s' || c % 20 ELSE '' END AS share, CASE WHEN c % 4 = 0 THEN 1 WHEN c % 2 = 0 THEN 2 ELSE 0 END AS n_files,
+  CASE WHEN c % 4 = 0 THEN 'shares/s' || c % 20 || '/c.txt' WHEN c % 2 = 0 THEN 'shares/s' || c % 20 || '/a.txt,shares/s' || c % 20 || '/b.txt' ELSE '' END AS files
+FROM own WHERE {_ASSEMBLED} GROUP BY tid, c""",
+    "compacted_store": _BASE + """
+SELECT tid, 'generation ' || CASE WHEN c % 6 = 0 THEN 5 ELSE c % 6 END AS title, count(*) FILTER (c % 6 <> 0 OR t <= 5) AS n_posts,
+  CASE WHEN c % 6 = 0 THEN '0.png,1.png,2.png,3.png,4.png,5.png' ELSE (c % 6) || '.png' END AS images
+FROM f GROUP BY tid, c""",
     "load_threads": _STORE + """
 , w AS (SELECT DISTINCT CASE WHEN c % 5 = 4 THEN 'x' || tid WHEN c % 50 = 10 THEN '' ELSE tid END AS tid FROM f)
 SELECT w.tid, coalesce(title, '') AS title, coalesce(total_floors, 0) AS total_floors,
@@ -480,3 +492,4 @@ WHERE {_ASSEMBLED} GROUP BY tid, c""",
 
 ORACLE["select_nodes_sql"] = ORACLE["select_nodes"]
 ORACLE["publish_twice"] = ORACLE["ingest_pages_stream"]
+ORACLE["export_stored_threads"] = ORACLE["render_forum_threads"]

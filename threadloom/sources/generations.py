@@ -78,16 +78,32 @@ def add(spark: SparkSession, base: str, part: Part) -> None:
 
 
 def read(spark: SparkSession, base: str, table: str, schema: T.StructType, parts: list[Part] | None = None, extra: list[T.StructField] | None = None) -> DataFrame:
-    """Rows of the live (or the given) parts, with ``gen``, the last generation of their part; other parts' files are not read."""
+    """Rows of the live (or the given) parts, with ``gen``, the last generation of their part; other parts' files are not read.
+
+    A part without files of this table has no rows.
+    """
     parts = live_parts(spark, base) if parts is None else parts
-    if not parts:
-        layout = T.StructType([*schema.fields, *(extra or []), T.StructField("gen", T.LongType())])
-        return spark.createDataFrame([], layout)
     layout = T.StructType([*schema.fields, T.StructField("part", T.StringType()), *(extra or [])])
-    rows = spark.read.schema(layout).parquet(f"{base}/{table}").where(F.col("part").isin([p.name for p in parts]))
+    folder, files = _folder(spark, f"{base}/{table}")
+    if parts and files.exists(folder):
+        rows = spark.read.schema(layout).parquet(f"{base}/{table}").where(F.col("part").isin([p.name for p in parts]))
+    else:
+        rows = spark.createDataFrame([], layout)
     return rows.withColumn("gen", _last("part")).drop("part")
 
 
+def _folder(spark: SparkSession, path: str):
+    """The path and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def clear(spark: SparkSession, base: str, table: str, part: Part) -> None:
+    """Drop what an earlier try may have written of a table."""
+    folder, files = _folder(spark, f"{base}/{table}/part={part.name}")
+    files.delete(folder, True)
+
+
 def _last(part: str) -> Column:
     return F.substring_index(part, "-", -1).cast("long")
 
@@ -122,11 +138,9 @@ def expire(spark: SparkSession, base: str, tables: list[str]) -> list[str]:
     """
     version, parts = _listed(spark, base)
     wanted = {f"part={p.name}" for p in parts} | {f"version={version}"}
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     gone = []
     for table in [*tables, "commits"]:
-        folder = jvm_path(f"{base}/{table}")
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        folder, files = _folder(spark, f"{base}/{table}")
         for entry in files.listStatus(folder) if files.exists(folder) else []:
             name = entry.getPath().getName()
             if entry.isDirectory() and name.startswith(("part=", "version=")) and name not in wanted:

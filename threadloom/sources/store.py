@@ -29,7 +29,8 @@ TABLES = {
 
 def _write(df: DataFrame | None, spark: SparkSession, store: str, name: str, part: Part) -> None:
     schema, order = TABLES[name]
-    df = spark.createDataFrame([], schema) if df is None else df
+    if df is None:
+        return generations.clear(spark, store, name, part)
     # rebalance lets adaptive execution split a partition that one huge thread fills and merge small ones.
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     laid = df.select(*columns).hint("rebalance", "tid").sortWithinPartitions("tid", order)
