@@ -60,7 +60,7 @@ def test_rendering_moves_post_text_once(spark, capsys):
 
 
 def test_stored_threads_are_rendered_where_their_posts_meet_their_links(spark, capsys, tmp_path):
-    """Post text is shuffled by (tid, part, gen) only, once: the join and the render aggregate share it."""
+    """Post text is shuffled by (tid, part) only, once: the join and the render aggregate share it."""
     wide = "tid string, title string, url string, forum string, total_floors bigint, last_position bigint, created_at timestamp"
     threads = spark.createDataFrame([], wide)
     store.store_threads(str(tmp_path), 0, threads, spark.createDataFrame([], tables.POSTS))
@@ -74,7 +74,7 @@ def test_stored_threads_are_rendered_where_their_posts_meet_their_links(spark, c
     for found in (text, forum):
         moves = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*?)\]\nArguments: (.*)", found)
         texts = [arguments for columns, arguments in moves if "content_md" in columns]
-        assert len(texts) == 1 and re.match(r"hashpartitioning\(tid#\d+, part#\d+L, gen#\d+L", texts[0])
+        assert len(texts) == 1 and re.match(r"hashpartitioning\(tid#\d+, part#\d+L", texts[0])
 
 
 def test_parsing_is_not_repeated(spark, capsys):
