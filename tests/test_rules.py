@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from threadloom.operators import rules
-from threadloom.sources.readers import read_rule_lines
+from threadloom.sources import readers
 
 SCHEMA = "seq bigint, name string, value string, domain string, path string, expires timestamp, max_age int, secure boolean, http_only boolean, same_site string"
 
@@ -33,7 +33,7 @@ def test_rule_file(spark):
 def test_rule_files_are_sets_of_their_own(spark, tmp_path):
     for name in ("a.txt", "b.txt"):
         (tmp_path / name).write_text(f"# x\ne.com\tFALSE\t/\tFALSE\t0\tn\t{name}\n")
-    parsed = rules.parse_scope_rules(read_rule_lines(spark, str(tmp_path)))
+    parsed = rules.parse_scope_rules(readers.read_rule_lines(spark, str(tmp_path)))
     assert sorted(r.value for r in rules.latest_rules(parsed, ["source"]).collect()) == ["a.txt", "b.txt"]
     assert rules.latest_rules(parsed.drop("source")).count() == 1
     assert {r.present for r in rules.required_rule(parsed, ["source"], "login", F.expr("timestamp'2020-01-01'")).collect()} == {False}
@@ -118,3 +118,19 @@ def test_headers(spark):
     df = spark.createDataFrame([(1, 3, "b", "2"), (1, 1, "a", "x%20y"), (1, 2, "", "x"), (1, 5000, "c", ""), (2, 0, "", "y")], "page_id int, seq bigint, name string, value string")
     got = [tuple(r) for r in rules.rule_headers(df, ["page_id"]).collect()]
     assert got == [(1, "a=x%20y; b=2; c=", ["a", "b", "c"])]
+
+
+def test_lines_of_a_file_in_splits_are_numbered_as_in_the_file(spark, tmp_path):
+    one = [f"host{i}.example\tFALSE\t/\tFALSE\t0\tn{i}\t{'v' * (i % 90)}" if i % 7 else "" for i in range(6000)]
+    (tmp_path / "a.txt").write_bytes(("\n".join(one) + "\n").encode())
+    (tmp_path / "b.txt").write_bytes(b"first\r\nsecond")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        lines = readers.read_rule_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).select("_metadata.file_path", "_metadata.file_block_start").distinct().count() > 5
+        got = {(r.source.rsplit("/", 1)[1], r.seq): r.line for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a.txt", i): line for i, line in enumerate(one)} | {("b.txt", 0): "first\r", ("b.txt", 1): "second"}

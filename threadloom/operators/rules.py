@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import unicode_fields, unicode_trim
 from threadloom.functions.urls import decoded_path, host_port, scheme
 from threadloom.operators.spread import hash_block, lookup
+from threadloom.session import written
 
 SAME_SITE = {1: "Default", 2: "Lax", 3: "Strict", 4: "None"}
 
@@ -134,24 +135,34 @@ def _rooted(path: Column) -> Column:
 def match_rules(urls: DataFrame, rules: DataFrame, now: Column, url: str = "url") -> DataFrame:
     """Rows of ``urls`` with the fields of each rule that applies, one row per match.
 
-    A rule is met by equality on two keys: its domain, '' like any other, and the beginning of the path that it asks for. A URL
-    unfolds into the domains that can match its host, then into the beginnings of its path, but only of the lengths that rules of
-    that domain have. So only the secure flag is left to check, and a domain that owns many URLs and many rules gives no
-    candidates beyond its matches. Both look-ups spread hot keys over blocks of URLs.
+    A rule is met by equality on two keys: its domain, '' like any other, and the beginning of the path that it asks for. Each distinct
+    host unfolds into the domains that can match it and the lengths of beginnings that rules of these domains ask for; a URL then
+    unfolds into the beginnings of its path of those lengths only. So only the secure flag is left to check, and a domain that owns many
+    URLs and many rules gives no candidates beyond its matches. Hot hosts and keys are spread over blocks of URLs, and rules are rows
+    of their own on the way: no list of them is built, however many share a domain and path.
     """
-    applicable = live_rules(rules, now).withColumn("_start", _rooted(F.col("path")))
-    parts = url_parts(urls, url)
-    asked = parts.withColumn("_domain", F.explode(F.array_union(host_keys(F.col("_host")), F.array(F.lit("")))))
-    lengths = applicable.groupBy(F.col("domain").alias("_domain")).agg(F.collect_set(F.length("_start")).alias("_lengths"))
     block = hash_block(*urls.columns)
-    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
-    started = (
-        lookup(asked, lengths, ["_domain"], block)
-        .withColumn("_length", F.explode(fitting))
-        .withColumn("_start", F.substr("_path", F.lit(1), F.col("_length")))
+    applicable = live_rules(rules, now).withColumn("_start", _rooted(F.col("path"))).withColumnRenamed("domain", "_domain")
+    lengths = applicable.groupBy("_domain").agg(F.collect_set(F.length("_start")).alias("_lengths"))
+    parts = url_parts(urls, url)
+    hosts = parts.select("_host").distinct()
+    asked = hosts.withColumn("_domain", F.explode(F.array_union(host_keys(F.col("_host")), F.array(F.lit("")))))
+    # As many entries as a host has labels and their rules have lengths.
+    fitting = lookup(asked, lengths, ["_domain"], hash_block("_host")).groupBy("_host").agg(F.collect_list(F.struct("_domain", "_lengths")).alias("_fits"))
+    beginnings = F.flatten(
+        F.transform(
+            "_fits",
+            lambda fit: F.transform(
+                F.filter(fit["_lengths"], lambda n: n <= F.length("_path")),
+                lambda n: F.struct(fit["_domain"].alias("_domain"), F.substr("_path", F.lit(1), n).alias("_start")),
+            ),
+        )
     )
-    packed = applicable.groupBy(F.col("domain").alias("_domain"), "_start").agg(F.collect_list(F.struct(*rules.columns)).alias("_rules"))
-    found = lookup(started, packed, ["_domain", "_start"], block).withColumn("_rule", F.explode("_rules"))
+    met = lookup(parts, written(fitting, "host-domains"), ["_host"], block).withColumn("_key", F.explode(beginnings))
+    started = met.select(*urls.columns, "_scheme", F.col("_key._domain").alias("_domain"), F.col("_key._start").alias("_start"))
+    fields = [F.col(c if c != "domain" else "_domain").alias(c) for c in rules.columns]
+    rows = applicable.select("_domain", "_start", F.struct(*fields).alias("_rule"))
+    found = lookup(started, rows, ["_domain", "_start"], block)
     secure = ~F.col("_rule.secure") | (F.col("_scheme") == "https")
     return found.where(secure).select(*urls.columns, *[F.col(f"_rule.{c}").alias(c) for c in rules.columns])
 

@@ -16,7 +16,7 @@ PAGE_BLOCK = 1024
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], block: Column, how: str = "inner") -> DataFrame:
-    """Join ``rows`` to ``table``, which holds at most one row per key.
+    """Join ``rows`` to ``table``, which should hold one row or few per key.
 
     ``block`` numbers the rows within a key (position // size, or a hash). The table row is copied once for each block
     that its key really has, so the final join is on (key, block) and a hot key is spread over its blocks. A key with one
