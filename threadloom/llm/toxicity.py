@@ -362,7 +362,9 @@ def _answer(asked: pa.Table, entries: pa.Table) -> pa.Table:
             hit = keys[at] == wanted
             if hit.any():
                 found = values[at[hit], : len(_VALUES) if kind == _WORD else 2]
-                out.append((bucket, chunk, kind, place[hit].tobytes(), _packed(found.ravel()), b""))
+                # Places ascend within a bucket, so their steps are small.
+                steps = _packed(np.diff(place[hit], prepend=np.uint32(0)))
+                out.append((bucket, chunk, kind, steps, _packed(found.ravel()), int(hit.sum()).to_bytes(8, "little")))
     return pa.Table.from_arrays(_table(out, _PACKED), schema=_PACKED)
 
 
@@ -379,7 +381,9 @@ def _scorer(totals: list[float], left: list[float], contexts: float, rest: list[
                 may = np.unpackbits(np.frombuffer(b, np.uint8, offset=8 + 8 * texts), count=n).astype(bool)
                 code = _unpacked(c, np.uint32, n).astype(np.int64)
             else:
-                found[kind].append((np.frombuffer(a, np.uint32), _unpacked(b, np.float64, len(a) // 4 * (len(_VALUES) if kind == _WORD else 2))))
+                hits = int.from_bytes(c, "little")
+                place = np.cumsum(_unpacked(a, np.uint32, hits), dtype=np.uint32)
+                found[kind].append((place, _unpacked(b, np.float64, hits * (len(_VALUES) if kind == _WORD else 2))))
         word = np.tile(np.array(rest), (int(code.max()) + 1 if n else 0, 1))
         for place, values in found[_WORD]:
             word[place] = values.reshape(len(place), -1)
