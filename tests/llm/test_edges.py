@@ -115,6 +115,19 @@ def test_pipeline_stages(spark, tmp_path, labels, bench):
     assert corpus_pipeline.STAGES[0][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_stages_pass_clashing_columns_through(spark, tmp_path, labels, bench):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for c in ("n_lines", "n_removed", "score", "predicted", "item_id", "component_id", "toxic"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert {v for r in out.select(*docs.columns[5:]).collect() for v in r} == {"clash"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(ROWS)
+
+
 def test_pipeline_keeps_one_of_a_group_and_clean_documents(spark, tmp_path):
     clean = [(i, " ".join(f"c{i}w{k}" for k in range(40)), "en", "ab"[i % 2], 1) for i in range(20)]
     passage = " ".join(f"p{k}" for k in range(30))
