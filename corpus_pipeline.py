@@ -25,10 +25,15 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of three-line windows. Documents of which no line is left go."""
+    """Texts without later occurrences of three-line windows. Documents of which no line is left go.
+
+    Columns of ``docs`` that are named like the operator's own counts step aside while it runs.
+    """
     configure(spark)
-    cleaned = lines.dedup_lines(docs)
-    return cleaned.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns)
+    aside = {c: f"_own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    cleaned = lines.dedup_lines(docs.withColumnsRenamed(aside))
+    left = cleaned.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return left.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
