@@ -1,6 +1,7 @@
 """Plain versions of the corpus operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import unicodedata  # noqa: F401
 import zlib
@@ -220,3 +221,60 @@ def walked(text, classes, jumps, cycle):
         out.append(t)
         t += int(jumps[int(c) * cycle + t % cycle])
     return out, t
+
+
+def kneser_ney(texts):
+    """Two smoothed bigram models of (text, toxic) pairs, word by word; returns text -> log-likelihood ratios of its words."""
+    split = lambda text: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", text.lower())
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for text, toxic in texts:
+        w = split(text)
+        one[not toxic].update(w)
+        two[not toxic].update(zip(w, w[1:]))
+    one.append(one[0] + one[1])
+    two.append(two[0] + two[1])
+
+    def smaller(counter):
+        n = [sum(1 for c in counter.values() if c == k) for k in (1, 2, 3, 4)]
+        by = {k: k / 2 for k in (1, 2, 3)}
+        if all(n):
+            share = n[0] / (n[0] + 2 * n[1])
+            by = {k: min(max(k - (k + 1) * share * n[k] / n[k - 1], 0.1), 0.98 * k) for k in (1, 2, 3)}
+        return lambda c: c - by[min(c, 3)] if c else 0.0
+
+    less1, less2 = [smaller(c) for c in one], [smaller(c) for c in two]
+    total = [sum(c.values()) for c in one]
+    bin_of = lambda c: c if c < 4 else 4 + int(math.log2(c / 4))
+    mass, lost = Counter(), [Counter(), Counter()]
+    for w, c in one[2].items():
+        mass[bin_of(c)] += c
+        for k in (0, 1):
+            lost[k][bin_of(c)] += one[k][w] - less1[k](one[k][w])
+    contexts = Counter(b for _, b in two[2])
+    left = sum(c - less1[2](c) for c in one[2].values()) / total[2]
+    every = sum(contexts.values()) + 0.5 * (len(one[2]) + 1)
+
+    def tilt(k, w):
+        c = one[2][w]
+        if c == 0:
+            return 1.0
+        own = less1[k](one[k][w]) + (lost[k][bin_of(c)] + 0.5) / mass[bin_of(c)] * c
+        return own / total[k] / (c / total[2])
+
+    after = [Counter(), Counter(), Counter()]
+    for k in range(3):
+        for (a, _), c in two[k].items():
+            after[k][a] += less2[k](c)
+    spare = lambda k, w: max(1 - after[k][w] / one[k][w], 1e-6) if one[k][w] else 1.0
+
+    def likelihood(k, a, b):
+        shared = less1[2](one[2][b]) / total[2] + left * (contexts[b] + 0.5) / every
+        own = lambda j: less2[j](two[j][a, b]) / max(one[j][a], 1)
+        return own(k) + spare(k, a) * (own(2) + spare(2, a) * shared) * tilt(k, b)
+
+    def ratios(text):
+        w = split(text)
+        first = [math.log(tilt(0, w[0]) / tilt(1, w[0]))] if w else []
+        return first + [math.log(likelihood(0, a, b) / likelihood(1, a, b)) for a, b in zip(w, w[1:])]
+
+    return ratios

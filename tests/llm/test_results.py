@@ -1,5 +1,6 @@
 """Corpus operators against plain versions and check SQL."""
 
+import os
 import random
 import zlib
 from pathlib import Path
@@ -131,15 +132,23 @@ def test_toxicity_learns_nothing_from_held_out_labels(spark):
     assert runs[0] == runs[1]
 
 
-def test_probabilities_sum_to_one():
-    counts = np.array([[5, 9, 4, 7], [2, 0, 8, 11]])
-    bigrams = np.array([(1 << 32) | 2, (2 << 32) | 3, (3 << 32) | 1])
-    model = toxicity._model(np.array([1, 2, 3], np.uint64), counts, counts.sum(axis=1), np.array([3.0, 2, 2, 1]), bigrams, np.array([[2, 3, 1], [0, 4, 2]]))
-    assert np.allclose(model.word_p.sum(axis=1), 1)
-    for c in (0, 1):
-        for before in range(4):
-            own = sum(model.bigram_p[c][k] for k in range(3) if bigrams[k] >> 32 == before)
-            assert own + model.spare[c][before] == pytest.approx(1, abs=1e-5)
+def test_discounts_follow_counts_of_counts():
+    share = 40 / (40 + 2 * 10)
+    assert toxicity.discounts([40, 10, 6, 3]) == pytest.approx([0, 1 - 2 * share * 10 / 40, 2 - 3 * share * 6 / 10, 3 - 4 * share * 3 / 6])
+    assert all(0.1 <= d <= 0.98 * k for times in ([1, 50, 1, 50], [50, 1, 50, 1]) for k, d in enumerate(toxicity.discounts(times)) if k)
+    assert toxicity.discounts([5, 0, 2, 1]) == [0, 0.5, 1, 1.5]
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Rare toxic words, most of them seen a few times only, and texts that no model has seen."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no such tables")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = toxicity.toxicity_scores(spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id"), labels)
+    rows = scored.where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 5
 
 
 def test_token_counts(spark):
@@ -328,34 +337,29 @@ def test_toxicity_models_grow_with_the_texts(spark):
     assert model.entries.where("toxic + other = 4").count() > 2 * 2 * n
     odd = [(1, "x bad0 x"), (2, "x good7 x"), (3, f"x bad{n - 1} x"), (4, "x new x"), (None, None)]
     got = {r.doc_id: r.per_word for r in toxicity._with_features(spark.createDataFrame(odd, DOCS), model).collect()}
-    assert got[1] > 1 and got[3] > 1 and got[2] < -1 and abs(got[4]) < 0.5 and got[None] == 0
+    ratio = plain.kneser_ney([(text, i % 2) for i, text in docs])
+    for i, text in odd:
+        assert got[i] == pytest.approx(sum(ratio(text or "")) / 3, abs=1e-9)
+    assert min(got[1], got[3]) > 0.5 and got[2] < -0.5 and abs(got[4]) < 0.5 and got[None] == 0
 
 
-def test_toxicity_tables_against_arrays(spark, monkeypatch):
+def test_toxicity_against_plain_models(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_CHUNK", 500)
     rng = random.Random(12)
     vocabulary = [f"v{i}" for i in range(60)]
-    docs = [(i, " ".join(words(rng, rng.randint(0, 60), vocabulary + (["vile"] * 9 if i % 3 == 0 else [])))) for i in range(150)]
-    model = toxicity.fit_tables(spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in docs], "text string, toxic int"), 1)
-    every = [(Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), toxicity.BY_ALNUM).hashes, i % 3 != 0) for i, t in docs]
-    single, double = {}, {}
-    for hashes, c in every:
-        for k, h in enumerate(hashes.tolist()):
-            single.setdefault(h, [0, 0])[c] += 1
-            if k:
-                double.setdefault((int(hashes[k - 1]), h), [0, 0])[c] += 1
-    vocabulary = np.array(sorted(h for h, c in single.items() if sum(c) >= toxicity.LEAST), np.uint64)
-    place = {h: i + 1 for i, h in enumerate(vocabulary.tolist())}
-    counts, contexts = np.zeros((2, len(vocabulary) + 1)), np.zeros(len(vocabulary) + 1)
-    for h, c in single.items():
-        counts[:, place.get(h, 0)] += c
-    for _, h in double:
-        contexts[place.get(h, 0)] += 1
-    own = sorted(((place[a] << 32) | place[b], c) for (a, b), c in double.items() if sum(c) >= toxicity.LEAST)
-    plain_model = toxicity._model(vocabulary, counts, counts.sum(axis=1), contexts, np.array([k for k, _ in own]), np.array([c for _, c in own]).T)
-    got = {r.doc_id: (r.per_word, r.per_root, r.peak) for r in toxicity._with_features(spark.createDataFrame(docs, DOCS), model).collect()}
+    docs = [(i, " ".join(words(rng, rng.randint(0, 60), vocabulary + [f"once{i}"] + (["vile"] * 9 if i % 3 == 0 else [])))) for i in range(150)]
+    model = toxicity.fit_tables(spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in docs if i < 100], "text string, toxic int"), 1)
+    ratio = plain.kneser_ney([(t, i % 3 == 0) for i, t in docs if i < 100])
+    got = {r.doc_id: tuple(r)[1:] for r in toxicity._with_features(spark.createDataFrame(docs, DOCS), model).collect()}
+    assert len(got) == len(docs)
     for i, text in docs:
-        assert got[i] == pytest.approx(plain_model.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0].tolist(), abs=1e-9)
+        r = ratio(text)
+        want = (0, 0, 0, 0)
+        if r:
+            peak = max((r[k] + (r[k + 1] if k + 1 < len(r) else 0)) / 2 for k in range(len(r)))
+            want = (sum(r) / len(r), sum(r) / len(r) ** 0.5, peak, sum(max(x - 2, 0) for x in r) / len(r) ** 0.5)
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
 
 
 def test_leaks_finds_paraphrases(spark):

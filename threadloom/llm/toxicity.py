@@ -1,23 +1,28 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One bigram model is trained on labelled toxic texts and one on labelled ordinary texts. Both back off from bigrams to words by
-absolute discounting, and from there to one shared distribution: in how many different contexts a word stands, counted over both
-classes together. An expression that neither class has often is thus about equally likely under both and says little.
-A text is scored by its log-likelihood ratio: per word over the whole text, per square root of its length, and per word in its
-most suspicious short window. A logistic curve, fitted on labelled texts kept out of the counts, turns these into a score.
+One bigram model is trained on labelled toxic texts and one on labelled ordinary texts. Both are smoothed by discounts for counts of
+1, 2 and more that follow from their own counts of counts, and both back off to counts that they share: a bigram to the pooled
+bigrams of both classes, those to pooled words, and those to the number of contexts that a word stands in. What a class's words lose
+to discounts goes to the words that are about as frequent in both classes together (a bin of pooled counts), in proportion to their
+pooled counts. A rare expression so weighs about the same under both models, whichever of them has seen it, and says little; a word
+that was never seen says nothing.
+A text is scored by its log-likelihood ratio: per word over the whole text, per square root of its length, per word in its most
+suspicious short window, and what its words have beyond STRONG, per square root of the length. A logistic curve, fitted on labelled
+texts kept out of the counts, turns these into a score.
 
 The counts come from the texts of all labelled rows outside the folds HELD_OUT and CURVE. They stay in Spark tables, bucketed by
-hash, and grow with the corpus: every word and bigram that occurs LEAST times has a probability of its own, whatever the size; rarer
-words are one word together, which also stands for words never seen. Tasks add up their own counts before they are shuffled. To
-score, a task sends the distinct words and bigrams of a chunk of texts to their buckets, once each, and the counts come back to the
-chunk. No model is broadcast or collected, only a table of bits of fixed size: bigrams that it rules out have no entry and are not
-asked for. As it fills up, more is asked for; the results are the same.
+hash, and grow with the corpus: every word and bigram has a count of its own, whatever the size. Tasks add up their own counts before
+they are shuffled. To score, a task sends the distinct words and bigrams of a chunk of texts to their buckets, once each, and the
+counts come back to the chunk. Texts are scored in SLICES rounds, so that what waits on disk is that much smaller. No model is
+broadcast or collected, only a table of bits of fixed size: bigrams that it rules out have no entry and are not asked for. As it
+fills up, more is asked for; the results are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +35,17 @@ from threadloom.llm.words import BY_ALNUM, Words, _fmix, pieces
 
 # Labelled rows that the curve is fitted on, at most, and labelled rows that are broadcast to meet their texts; more are joined by shuffle.
 MAX_CURVE, MAX_BROADCAST = 50_000, 1_000_000
-# A word or bigram has a probability of its own if it occurs LEAST times.
-LEAST = 4
-DISCOUNT, WINDOW = 0.75, 2
+# Words of the window, and the log-likelihood ratio from which a word counts as strong evidence.
+WINDOW, STRONG = 2, 2.0
+SLICES = 4
 FOLDS, HELD_OUT, CURVE = 5, 0, 1
 _BUCKET_BYTES = 16 << 20
 
 # Words of texts that are scored together.
 _CHUNK = 3 << 19
 
-_COUNTS = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in ("keys", "before", "word", "toxic", "other"))])
-_COUNTS_SQL = "bucket long, keys binary, before binary, word binary, toxic binary, other binary"
+_COUNTS = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in ("words", "word_counts", "before", "after", "pair_counts"))])
+_COUNTS_SQL = "bucket long, words binary, word_counts binary, before binary, after binary, pair_counts binary"
 _SUMS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("before", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
 _SUMS_SQL = "kind int, key long, before long, toxic long, other long"
 _WORD, _BIGRAM, _CONTEXTS = 0, 1, 2
@@ -49,7 +54,9 @@ _PACKED_SQL = "bucket long, chunk long, kind int, a binary, b binary, c binary"
 _TEXTS = 2
 # The table of bits: its size and how many parts it is made in, as powers of two.
 _BITS, _BIT_PARTS = 27, 6
-_VALUES = ("toxic", "other", "contexts", "after_toxic", "after_other")
+_CLASSES = ("toxic", "other")
+_FEATURES = ("per_word", "per_root", "peak", "strong")
+_VALUES = ("toxic", "other", "contexts", "after_toxic", "after_other", "after_pooled")
 
 
 def fold(doc_id: Column) -> Column:
@@ -57,23 +64,6 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def word_ids(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place in the sorted vocabulary plus one, 0 for other words."""
-    if len(vocabulary) == 0:
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at + 1, 0)
-
-
-def _pairs(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the bigram that ends at each word, and which words begin a text and so end none."""
-    begins = np.zeros(len(ids), bool)
-    filled = words.bounds[:-1] < words.bounds[1:]
-    begins[words.bounds[:-1][filled]] = True
-    before = np.append(0, ids[:-1]) if len(ids) else ids
-    return (before << 32) | ids, begins
-
-
 def bigram_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _fmix(before * np.uint64(0xD6E8FEB86659FD93) + _fmix(word ^ np.uint64(0xA0761D6478BD642F)))
 
@@ -117,7 +107,12 @@ def _counter(buckets: int):
 
         def flush() -> pa.RecordBatch:
             ranked = _buckets_of(sums[0], buckets)  # sums are sorted by key, and so by bucket
-            rows = [(int(ranked[x]), *(c[x:y].tobytes() for c in sums)) for x, y in _cuts(ranked)]
+            rows = []
+            for x, y in _cuts(ranked):
+                keys, before, word, toxic, other = (c[x:y] for c in sums)
+                single, counts = keys == word, np.column_stack((toxic, other))
+                parts = (word[single].tobytes(), _packed(counts[single].ravel()), before[~single].tobytes(), word[~single].tobytes(), _packed(counts[~single].ravel()))
+                rows.append((int(ranked[x]), *parts))
             return pa.RecordBatch.from_arrays(_table(rows, _COUNTS), schema=_COUNTS)
 
         for batch in batches:
@@ -144,26 +139,28 @@ def _counter(buckets: int):
 
 
 def _add_bucket(group: pa.Table) -> pa.Table:
-    """Sums of a bucket: its words, its bigrams that occur LEAST times, and in how many contexts of the bucket a word stands."""
-    keys, before, word, toxic, other = (
-        np.frombuffer(b"".join(group.column(n).to_pylist()), t) for n, t in zip(_COUNTS.names[1:], (np.uint64, np.uint64, np.uint64, np.uint32, np.uint32), strict=True)
-    )
+    """Sums of a bucket: its words, its bigrams, and in how many contexts of the bucket a word stands."""
+    columns = [group.column(n).to_pylist() for n in _COUNTS.names[1:]]
+    one, before, after = (np.frombuffer(b"".join(columns[i]), np.uint64) for i in (0, 2, 3))
+    counts = [_unpacked(c, np.uint32, len(w) // 4) for i, j in ((0, 1), (2, 4)) for w, c in zip(columns[i], columns[j], strict=True)]
+    toxic, other = np.concatenate(counts).reshape(-1, 2).astype(np.int64).T
+    keys = np.concatenate((one, bigram_keys(before, after)))
+    before, word = np.concatenate((one, before)), np.concatenate((one, after))
     order = np.argsort(keys)
     ranked = keys[order]
     begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     keys, before, word = (x[order[begin]].view(np.int64) for x in (keys, before, word))
-    toxic, other = (np.add.reduceat(x[order].astype(np.int64), begin) for x in (toxic, other))
+    toxic, other = (np.add.reduceat(x[order], begin) for x in (toxic, other))
     single = keys == word
-    many = ~single & (toxic + other >= LEAST)
     words, contexts = np.unique(word[~single], return_counts=True)
-    out = [(np.full(x.sum(), kind), keys[x], before[x], toxic[x], other[x]) for kind, x in ((_WORD, single), (_BIGRAM, many))]
+    out = [(np.full(x.sum(), kind), keys[x], before[x], toxic[x], other[x]) for kind, x in ((_WORD, single), (_BIGRAM, ~single))]
     out.append((np.full(len(words), _CONTEXTS), words, words, contexts, np.zeros_like(contexts)))
     return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), _SUMS, strict=True)], schema=_SUMS)
 
 
 def text_features(ratios: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """[texts, 3]: ratio per word, per square root of the number of words, and per word in the highest window."""
-    out = np.zeros((len(bounds) - 1, 3))
+    """[texts, 4]: ratio per word, per square root of the number of words, per word in the highest window, and beyond STRONG."""
+    out = np.zeros((len(bounds) - 1, 4))
     if len(ratios) == 0:
         return out
     length = np.diff(bounds)
@@ -175,49 +172,45 @@ def text_features(ratios: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     at = np.arange(len(total) - 1)
     stop = np.minimum(at + WINDOW, np.repeat(bounds[1:], length))
     out[filled, 2] = np.maximum.reduceat((total[stop] - total[:-1]) / WINDOW, bounds[:-1][filled])
+    out[filled, 3] = np.add.reduceat(np.maximum(ratios - STRONG, 0), bounds[:-1][filled]) / np.sqrt(length[filled])
     return out
 
 
+def discounts(times: list[float]) -> list[float]:
+    """Discounts of counts of 0, 1, 2 and more, from how many things were counted 1, 2, 3 and 4 times; half a count if any is missing."""
+    if not all(times):
+        return [0.0, 0.5, 1.0, 1.5]
+    share = times[0] / (times[0] + 2 * times[1])
+    return [0.0, *(min(max(k - (k + 1) * share * times[k] / times[k - 1], 0.1), 0.98 * k) for k in (1, 2, 3))]
+
+
+def _less(count: Column, by: list[float]) -> Column:
+    """The count less its discount."""
+    return F.when(count == 0, 0.0).when(count == 1, 1 - by[1]).when(count == 2, 2 - by[2]).otherwise(count - by[3])
+
+
+def _remains(counts: np.ndarray, by: list[float]) -> np.ndarray:
+    return counts - np.array(by)[np.minimum(counts, 3).astype(np.int64)]
+
+
+def _bin(pooled: Column) -> Column:
+    return F.when(pooled < 4, pooled.cast("int")).otherwise((4 + F.floor(F.log2(pooled / 4))).cast("int"))
+
+
+def _bin_of(pooled: np.ndarray) -> np.ndarray:
+    return np.where(pooled < 4, pooled, 4 + np.floor(np.log2(np.maximum(pooled, 4) / 4))).astype(np.int64)
+
+
 @dataclass
-class Model:
-    """The models as sorted arrays, for what fits into memory; the tables hold the same by hash."""
-
-    vocabulary: np.ndarray
-    word_p: np.ndarray  # [2, words + 1]: probability by backoff under toxic, other
-    spare: np.ndarray  # [2, words + 1]: what is left for backoff after a word
-    bigrams: np.ndarray
-    bigram_p: np.ndarray  # [2, bigrams]: discounted share
-
-    def ratios(self, words: Words) -> np.ndarray:
-        ids = word_ids(self.vocabulary, words.hashes)
-        keys, begins = _pairs(words, ids)
-        before = keys >> 32
-        at = np.minimum(np.searchsorted(self.bigrams, keys), max(len(self.bigrams) - 1, 0))
-        hit = (self.bigrams[at] == keys) & ~begins if len(self.bigrams) else np.zeros(len(keys), bool)
-        log = []
-        for c in (0, 1):
-            p = self.word_p[c][ids] * np.where(begins, 1.0, self.spare[c][before])
-            p[hit] += self.bigram_p[c][at[hit]]
-            log.append(np.log(p))
-        return log[0] - log[1]
-
-    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """[texts, 3]: ratio per word, per square root of the number of words, and per word in the highest window."""
-        words = Words(data, offsets, BY_ALNUM)
-        return text_features(self.ratios(words), words.bounds)
-
-
-def _model(vocabulary: np.ndarray, word_counts: np.ndarray, totals: np.ndarray, contexts: np.ndarray, bigrams: np.ndarray, bigram_counts: np.ndarray) -> Model:
-    """``word_counts`` [2, words + 1] with other words at 0; ``contexts`` [words + 1]; ``bigram_counts`` [2, bigrams]."""
-    shared = (contexts + 0.5) / (contexts + 0.5).sum()
-    word_p, spare, share = np.empty(word_counts.shape), np.ones(word_counts.shape), np.empty(bigram_counts.shape)
-    for c in (0, 1):
-        own = np.maximum(word_counts[c] - DISCOUNT, 0) / max(totals[c], 1)
-        word_p[c] = own + (1 - own.sum()) * shared
-        before = bigrams >> 32
-        share[c] = np.maximum(bigram_counts[c] - DISCOUNT, 0) / np.maximum(word_counts[c][before], 1)
-        spare[c] = np.maximum(1 - np.bincount(before, share[c], len(spare[c])), 1e-6)
-    return Model(vocabulary, word_p, spare, bigrams, share)
+class Facts:
+    """What holds for all words: a few numbers, whatever the size of the corpus."""
+
+    totals: list[float]  # words by class, toxic and other
+    word_discounts: list[list[float]]  # toxic, other, pooled
+    pair_discounts: list[list[float]]
+    passed: np.ndarray  # [2, bins]: what a class's words of a bin lost to discounts, per pooled occurrence
+    left: float  # share of the pooled words left for contexts
+    contexts: float  # of all words, each with a half added
 
 
 @dataclass
@@ -226,55 +219,71 @@ class Tables:
 
     entries: DataFrame
     buckets: int
-    totals: list[float]  # words by class, toxic and other
-    left: list[float]  # share left for the common distribution, by class
-    contexts: float  # of all words, each with a half added
-    rest: list[float]  # values of the words that have no entry, as in _VALUES
-    bits: np.ndarray  # which bigrams can have an entry
+    facts: Facts
+    bits: np.ndarray  # which bigrams have an entry
 
 
 def fit_tables(labelled: DataFrame, total: int) -> Tables | None:
     """The models of ``text`` and ``toxic`` (0 or 1) for ``total`` bytes of texts to score; None if a class has no words."""
     buckets = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET_BYTES)
     sums = kept(labelled.mapInArrow(_counter(buckets), _COUNTS_SQL).groupBy("bucket").applyInArrow(_add_bucket, _SUMS_SQL), "toxic-counts")
+    pooled = F.col("toxic") + F.col("other")
+    count_of = {"toxic": F.col("toxic"), "other": F.col("other"), "pooled": pooled}
+    seen = sums.where(F.col("kind") != _CONTEXTS).groupBy("kind").agg(
+        *(F.count(F.when(c == k, 1)).alias(f"{n}{k}") for n, c in count_of.items() for k in (1, 2, 3, 4)), *(F.sum(n).alias(n) for n in _CLASSES)
+    )
+    seen = {row.kind: row for row in seen.collect()}
+    totals = [float(seen[_WORD][n]) for n in _CLASSES] if _WORD in seen else [0.0, 0.0]
+    if not all(totals):
+        return None
+    by = {kind: [discounts([row[f"{n}{k}"] for k in (1, 2, 3, 4)]) for n in count_of] for kind, row in seen.items()}
+    pair_by = by.get(_BIGRAM, [discounts([0, 0, 0, 0])] * 3)
+
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(F.lit(0))).cast("double")
-    less = lambda n: F.greatest(F.col(n) - F.lit(DISCOUNT), F.lit(0.0))
     words = sums.groupBy(F.when(F.col("kind") == _BIGRAM, F.col("before")).otherwise(F.col("key")).alias("key")).agg(
         of(_WORD, F.col("toxic")).alias("toxic"), of(_WORD, F.col("other")).alias("other"), of(_CONTEXTS, F.col("toxic")).alias("contexts"),
-        of(_BIGRAM, less("toxic")).alias("after_toxic"), of(_BIGRAM, less("other")).alias("after_other"),
+        *(of(_BIGRAM, _less(c, d)).alias(f"after_{n}") for (n, c), d in zip(count_of.items(), pair_by, strict=True)),
     )
     words = kept(words, "toxic-words")
-    own = F.col("toxic") + F.col("other") >= LEAST
-    known = words.where(own)
-    nothing = F.lit(0.0)
-    facts = words.agg(
-        *(F.coalesce(F.sum(n), nothing).alias(n) for n in ("toxic", "other", "contexts")),
-        *(F.coalesce(F.sum(F.when(~own, F.col(n))), nothing).alias(f"rest_{n}") for n in ("toxic", "other", "contexts")),
-        *(F.coalesce(F.sum(F.when(own, less(n))), nothing).alias(f"less_{n}") for n in ("toxic", "other")),
-        F.count(F.when(own, 1)).alias("n"),
-    ).first()
-    totals = [facts["toxic"], facts["other"]]
-    if not all(totals):
-        return None
-    left = [1 - (facts[f"less_{n}"] + max(facts[f"rest_{n}"] - DISCOUNT, 0)) / t for n, t in zip(("toxic", "other"), totals, strict=True)]
-    bigrams = sums.where(F.col("kind") == _BIGRAM).select("key", F.col("toxic").cast("double"), F.col("other").cast("double"), *(nothing.alias(n) for n in _VALUES[2:]))
+    lost = [F.sum(c - _less(c, d)).alias(f"lost_{n}") for (n, c), d in zip(count_of.items(), by[_WORD], strict=True)]
+    bins = words.groupBy(_bin(pooled).alias("bin")).agg(F.sum(pooled).alias("pooled"), F.sum("contexts").alias("contexts"), F.count(F.lit(1)).alias("n"), *lost).collect()
+    passed = np.ones((2, 1 + max(row.bin for row in bins)))
+    for row in bins:
+        # Half an occurrence more, so that no bin is empty for a class.
+        passed[:, row.bin] = [(row[f"lost_{n}"] + 0.5) / row.pooled for n in _CLASSES]
+    left = sum(row.lost_pooled for row in bins) / sum(totals)
+    contexts = sum(row.contexts + 0.5 * row.n for row in bins) + 0.5
+    facts = Facts(totals, by[_WORD], pair_by, passed, left, contexts)
+
+    bigrams = sums.where(F.col("kind") == _BIGRAM).select("key", *(F.col(n).cast("double") for n in _CLASSES), *(F.lit(0.0).alias(n) for n in _VALUES[2:]))
     bucket = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets), 32)
-    entries = known.select("key", *_VALUES).union(bigrams).select(bucket.cast("long").alias("bucket"), "key", *_VALUES)
-    rest = [facts["rest_toxic"], facts["rest_other"], facts["rest_contexts"], 0.0, 0.0]
-    return Tables(entries, buckets, totals, left, facts["contexts"] + 0.5 * (facts["n"] + 1), rest, _bits(bigrams))
+    entries = words.select("key", *_VALUES).union(bigrams).select(bucket.cast("long").alias("bucket"), "key", *_VALUES)
+    return Tables(entries, buckets, facts, _bits(bigrams.select("key")))
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of a task's keys, by part."""
+    parts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = np.array(batch.column("key"), np.int64).view(np.uint64) >> np.uint64(64 - _BITS)
+        part = (at >> np.uint64(_BITS - _BIT_PARTS)).astype(np.int64)
+        for p in np.unique(part).tolist():
+            bits = parts.setdefault(p, np.zeros(1 << _BITS - _BIT_PARTS, bool))
+            bits[(at[part == p] & np.uint64((1 << _BITS - _BIT_PARTS) - 1)).astype(np.int64)] = True
+    for p, bits in parts.items():
+        yield pa.record_batch([pa.array([p], pa.int32()), pa.array([_packed(np.packbits(bits))], pa.binary())], names=["part", "bits"])
 
 
-def _bit_part(group: pa.Table) -> pa.Table:
-    at = np.array(group.column("at"), np.int64) & ((1 << _BITS - _BIT_PARTS) - 1)
-    bits = np.zeros(1 << _BITS - _BIT_PARTS, np.uint8)
-    bits[at] = 1
-    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+def _one_part(group: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << _BITS - _BIT_PARTS - 3, np.uint8)
+    for packed in group.column("bits").to_pylist():
+        bits |= _unpacked(packed, np.uint8, len(bits))
+    return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
-def _bits(bigrams: DataFrame) -> np.ndarray:
+def _bits(keys: DataFrame) -> np.ndarray:
     """Table of bits by the first _BITS bits of a key, set for keys that have an entry."""
-    at = bigrams.select(F.shiftrightunsigned("key", 64 - _BITS).alias("at")).distinct()
-    parts = at.withColumn("part", F.shiftright("at", _BITS - _BIT_PARTS).cast("int")).groupBy("part").applyInArrow(_bit_part, "part int, bits binary").collect()
+    parts = keys.mapInArrow(_mark, "part int, bits binary").groupBy("part").applyInArrow(_one_part, "part int, bits binary").collect()
     bits = np.zeros((1 << _BIT_PARTS, 1 << _BITS - _BIT_PARTS - 3), np.uint8)
     for row in parts:
         bits[row.part] = np.frombuffer(row.bits, np.uint8)
@@ -368,7 +377,7 @@ def _answer(asked: pa.Table, entries: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(_table(out, _PACKED), schema=_PACKED)
 
 
-def _scorer(totals: list[float], left: list[float], contexts: float, rest: list[float]):
+def _scorer(facts: Facts):
     def score(group: pa.Table) -> pa.Table:
         """Features of the texts of a chunk."""
         found = {_WORD: [], _BIGRAM: []}
@@ -384,38 +393,52 @@ def _scorer(totals: list[float], left: list[float], contexts: float, rest: list[
                 hits = int.from_bytes(c, "little")
                 place = np.cumsum(_unpacked(a, np.uint32, hits), dtype=np.uint32)
                 found[kind].append((place, _unpacked(b, np.float64, hits * (len(_VALUES) if kind == _WORD else 2))))
-        word = np.tile(np.array(rest), (int(code.max()) + 1 if n else 0, 1))
+        # Per word: counts by class and pooled, and beside them what the models make of these.
+        word = np.zeros((int(code.max()) + 1 if n else 0, len(_VALUES)))
         for place, values in found[_WORD]:
             word[place] = values.reshape(len(place), -1)
-        begins = _begins(bounds, n)
-        ends = np.flatnonzero(~begins)
-        before = code[ends - 1]
+        pooled = word[:, 0] + word[:, 1]
+        total = sum(facts.totals)
+        shared = _remains(pooled, facts.word_discounts[2]) / total + facts.left * (word[:, 2] + 0.5) / facts.contexts
+        counts = [word[:, 0], word[:, 1], pooled]
+        spare = [np.where(c > 0, np.maximum(1 - word[:, 3 + k] / np.maximum(c, 1), 1e-6), 1.0) for k, c in enumerate(counts)]
+        # How much likelier a class has a word than both have it together.
+        bins = _bin_of(pooled)
+        tilt = []
+        for k in (0, 1):
+            own = _remains(counts[k], facts.word_discounts[k]) + facts.passed[k][bins] * pooled
+            tilt.append(np.where(pooled > 0, own / facts.totals[k] * total / np.maximum(pooled, 1), 1.0))
+        ratios = (np.log(tilt[0]) - np.log(tilt[1]))[code]
+        ends = np.flatnonzero(~_begins(bounds, n))
+        ratios[ends] += (np.log(spare[0]) - np.log(spare[1]))[code[ends - 1]]
         met = np.flatnonzero(may)
         pairs, pair = np.unique((code[met - 1] << 32) | code[met], return_inverse=True)
         bigram = np.zeros((len(pairs), 2))
         for place, values in found[_BIGRAM]:
-            bigram[place] = np.maximum(values.reshape(len(place), -1) - DISCOUNT, 0)
-        log = []
-        for k in (0, 1):
-            own = np.maximum(word[:, k] - DISCOUNT, 0) / totals[k] + left[k] * (word[:, 2] + 0.5) / contexts
-            times = np.maximum(word[:, k], 1)
-            spare = np.maximum(1 - word[:, 3 + k] / times, 1e-6)
-            p = own[code]
-            p[ends] *= spare[before]
-            p[met] += bigram[pair, k] / times[code[met - 1]]
-            log.append(np.log(p))
-        features = text_features(log[0] - log[1], bounds)
-        return pa.Table.from_arrays([ids, *map(pa.array, features.T.copy())], names=["doc_id", "per_word", "per_root", "peak"])
+            bigram[place] = values.reshape(len(place), -1)
+        before, after = pairs >> 32, pairs & 0xFFFFFFFF
+        times = [bigram[:, 0], bigram[:, 1], bigram.sum(axis=1)]
+        part = [_remains(t, d) / np.maximum(c[before], 1) for t, d, c in zip(times, facts.pair_discounts, counts, strict=True)]
+        back = part[2] + spare[2][before] * shared[after]
+        log = [np.log(part[k] + spare[k][before] * back * tilt[k][after]) for k in (0, 1)]
+        known = times[2] > 0  # the bits let some through that have no entry
+        ratios[met[known[pair]]] = (log[0] - log[1])[pair[known[pair]]]
+        features = text_features(ratios, bounds)
+        return pa.Table.from_arrays([ids, *map(pa.array, features.T.copy())], names=["doc_id", *_FEATURES])
 
     return score
 
 
 def _with_features(rows: DataFrame, model: Tables) -> DataFrame:
-    """Features of each of ``rows`` (``doc_id`` and ``text``)."""
-    asked = rows.mapInArrow(_asker(model.buckets, rows.sparkSession.sparkContext.broadcast(model.bits)), _PACKED_SQL)
-    answered = asked.groupBy("bucket").cogroup(model.entries.groupBy("bucket")).applyInArrow(_answer, _PACKED_SQL)
-    score = _scorer(model.totals, model.left, model.contexts, model.rest)
-    return answered.groupBy("chunk").applyInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, per_word double, per_root double, peak double")
+    """Features of each of ``rows`` (``doc_id`` and ``text``), written slice by slice."""
+    bits = rows.sparkSession.sparkContext.broadcast(model.bits)
+    schema = ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *(f"{n} double" for n in _FEATURES)])
+    out = []
+    for i in range(SLICES):
+        asked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == i).mapInArrow(_asker(model.buckets, bits), _PACKED_SQL)
+        answered = asked.groupBy("bucket").cogroup(model.entries.groupBy("bucket")).applyInArrow(_answer, _PACKED_SQL)
+        out.append(kept(answered.groupBy("chunk").applyInArrow(_scorer(model.facts), schema), "toxic-features"))
+    return reduce(DataFrame.union, out)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -456,16 +479,16 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = (fold(F.col("doc_id")) == HELD_OUT).alias("held_out")
     fitted = None
     if model is not None:
-        features = kept(_with_features(base, model), "toxic-features")
+        features = _with_features(base, model)
         found = features.join(F.broadcast(_evenly(known.where(F.col("fold") == CURVE), MAX_CURVE)), "doc_id").toArrow()
         y = np.array(found.column("toxic"), np.float64)
         if len(np.unique(y)) == 2:
-            fitted = _curve(np.column_stack([np.array(found.column(n)) for n in ("per_word", "per_root", "peak")]), y)
+            fitted = _curve(np.column_stack([np.array(found.column(n)) for n in _FEATURES]), y)
     if fitted is None:
         share = known.agg(F.avg("toxic")).first()[0] or 0.0
         score = F.lit(float(share))
         return base.select("doc_id", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
     w, mean, spread = fitted
-    line = F.lit(float(w[0])) + sum(((F.col(n) - float(m)) / float(s) * float(k) for n, m, s, k in zip(("per_word", "per_root", "peak"), mean, spread, w[1:], strict=True)), F.lit(0.0))
+    line = F.lit(float(w[0])) + sum(((F.col(n) - float(m)) / float(s) * float(k) for n, m, s, k in zip(_FEATURES, mean, spread, w[1:], strict=True)), F.lit(0.0))
     scored = features.withColumn("score", 1 / (1 + F.exp(-line)))
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
