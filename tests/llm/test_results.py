@@ -1,8 +1,10 @@
 """Corpus operators against plain versions and check SQL."""
 
+import math
 import os
 import random
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -328,6 +330,49 @@ def test_disclosing_terms_with_capitals(spark):
     assert cleaned[0] == "First\nİl Contact     at [EMAIL] Xray\nlast" and cleaned[100] == dict(rows)[100]
 
 
+def test_personal_data_of_long_texts_and_clashing_names(spark):
+    """Very many matches in one text, overlapping kinds among them, and columns with the names of what is found."""
+    n = 20_000
+    parts = [f"u{i}@x.de" if i % 3 else f"+49 30 {1000000 + i} 10.0.{i % 256}.1" for i in range(n)]
+    text = " é ".join(parts)
+    names = ["email", "ip", "card", "phone", "term", "_id", "__spans"]
+    docs = spark.createDataFrame([(1, text, *names), (2, None, *names)], f"{DOCS}, " + ", ".join(f"`{c}` string" for c in names))
+    row = docs.select("doc_id", *(privacy.base_spans(F.col("text"), k).alias(f"{k}_") for k in privacy.KINDS)).where("doc_id = 1").first()
+    want = plain.personal(text)
+    for kind in privacy.KINDS:
+        assert [f"{kind}:{s.start}:{s.stop}" for s in row[f"{kind}_"]] == [x for x in want if x.startswith(f"{kind}:")]
+    got = {r.doc_id: r for r in privacy.sanitised(docs).collect()}
+    assert got[1].text.count("[EMAIL]") == sum(i % 3 > 0 for i in range(n)) and "@" not in got[1].text
+    assert got[2].text is None and all(r[c] == c for r in got.values() for c in names)
+
+
+def test_disclosing_terms_against_counts(spark):
+    rng = random.Random(21)
+    lines = []
+    for _ in range(400):
+        near = rng.choice(["a@x.de", "b@x.de", "10.1.2.3", None])
+        bound = {"a@x.de": "alpha", "b@x.de": "beta", "10.1.2.3": "gamma"}.get(near, "none")
+        line = words(rng, 5, [f"w{i}" for i in range(12)]) + ([bound] if rng.random() < 0.7 else []) + ([near] if near else [])
+        lines.append(" ".join(line))
+    docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 4])) for i in range(0, 400, 4)], DOCS)
+    held = privacy.kept(privacy._entity_lines(docs), "test-lines")
+    got = {(r.entity, r.term): r.disclosed for r in privacy.disclosing_terms(docs, held, 0.3, 3).collect()}
+    one, term, both = Counter(), Counter(), Counter()
+    for line in lines:
+        found = {w for w in line.split() if "." in w}
+        rest = {w for w in line.split() if "." not in w}
+        kinds = [("email:" if "@" in e else "ip:") + e for e in found]
+        one.update(kinds)
+        term.update(rest)
+        both.update((e, w) for e in kinds for w in rest)
+    want = {}
+    for (e, w), n in both.items():
+        told = math.log(n * len(lines) / (one[e] * term[w])) / -math.log(one[e] / len(lines))
+        if n >= 3 and told >= 0.3:
+            want[e, w] = told
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_toxicity_models_grow_with_the_texts(spark):
     """More words and bigrams that occur often enough than 2 ** 18, each rare in the whole: all have their own probability."""
     n = 270_000

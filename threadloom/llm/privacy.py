@@ -12,6 +12,8 @@ cost a row per task. Texts are not shuffled: spans found by join come back to ro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"(?:[0-9
 # Words of text as it is; they are lower-cased one by one, so that both searches agree and offsets stay those of the text.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPANS = "array<struct<start:int,stop:int,value:string>>"
+# Elements of an array that are gone through one by one; blocks of them are gone through likewise.
+_BLOCK = 128
 
 
 def _digits(value: Column) -> Column:
@@ -60,17 +64,61 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where lambdas use it again and again."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(values: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(_BLOCK))
+    return F.transform(starts, lambda at: F.slice(values, at, F.lit(_BLOCK)))
+
+
+def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each integer what ``add`` (associative, 0 neutral) makes of all before it, block by block: growing an array by one element
+    copies it, so arrays that grow are short ones."""
+
+    def scan(items: Column, first: Column) -> Column:
+        state = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        grow = lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(items, state, grow)["out"]
+
+    def join(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda items: F.aggregate(items, F.lit(0), add))
+        return F.flatten(F.zip_with(blocks, scan(whole, F.lit(0)), scan))
+
+    return _once(values, lambda v: _once(_blocks(v), join))
+
+
+def _cut(text: Column, parts: Column) -> Column:
+    """The substrings from ``b`` to ``e`` of ascending ``parts``. A block's stretch of text is taken out first, as finding a place in a
+    string means going through it from its begin."""
+
+    def block(items: Column) -> Column:
+        low = items[0]["b"]
+        high = F.array_max(F.transform(items, lambda p: p["e"]))
+        return _once(
+            F.struct(low.alias("low"), F.substring(text, low + 1, high - low).alias("text")),
+            lambda t: F.transform(items, lambda p: F.substring(t["text"], p["b"] - t["low"] + 1, p["e"] - p["b"])),
+        )
+
+    return _once(parts, lambda v: F.flatten(F.transform(_blocks(v), lambda items: F.when(F.size(items) > 0, block(items)).otherwise(F.array().cast("array<string>")))))
+
+
 def _all_matches(text: Column, pattern: str) -> Column:
     """Matches with their offsets: what is between matches and the matches themselves, laid end to end."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"))
 
-    def add(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        stop = start + F.length(part["hit"])
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), part["hit"].alias("value")))).alias("out"))
+    def placed(p: Column) -> Column:
+        widths = F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["hit"]))
+
+        def span(x: Column, at: Column) -> Column:
+            start = at + F.length(x["gap"])
+            return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("stop"), x["hit"].alias("value"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), add)["out"]
+        return F.zip_with(p, _before(widths, lambda a, b: a + b), span)
+
+    return _once(_once(hits, lambda h: F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(h)).alias("gap"), h.alias("hit"))), placed)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -97,16 +145,15 @@ def _masked(line: Column, spans: Column) -> Column:
     """The line with spans blanked, as long as before. Spans are of one kind and so do not overlap."""
     starts = F.transform(spans, lambda s: s["start"])
     stops = F.transform(spans, lambda s: s["stop"])
-    begins = F.concat(F.array(F.lit(0)), stops)
-    ends = F.concat(starts, F.array(F.length(line)))
-    widths = F.concat(F.transform(spans, lambda s: s["stop"] - s["start"]), F.array(F.lit(0)))
-    parts = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e"), widths.alias("w")), lambda p: F.concat(F.substring(line, p["b"] + 1, p["e"] - p["b"]), F.repeat(F.lit(" "), p["w"])))
+    kept_parts = F.arrays_zip(F.concat(F.array(F.lit(0)), stops).alias("b"), F.concat(starts, F.array(F.length(line))).alias("e"))
+    blanks = F.concat(F.transform(spans, lambda s: F.repeat(F.lit(" "), s["stop"] - s["start"])), F.array(F.lit("")))
+    parts = F.zip_with(_cut(line, kept_parts), blanks, lambda text, blank: F.concat(text, blank))
     return F.when(F.size(spans) == 0, line).otherwise(F.array_join(parts, ""))
 
 
 def _entity_lines(documents: DataFrame) -> DataFrame:
-    """Lines that hold entities: key, place of the line's first character, the line without its entities, these (kind:value), and
-    ``copies``, how often the document is there.
+    """Lines that hold entities: key, place of the line's first character, the line without its entities, these (kind:value),
+    ``copies``, how often the document is there, and a number of their own, which holds once they are written.
 
     Only texts that may hold entities are looked at; they meet their copies, and a line's place is a running sum over its text.
     """
@@ -122,7 +169,7 @@ def _entity_lines(documents: DataFrame) -> DataFrame:
     possible = possible.withColumn("entities", F.array_distinct(F.concat(*map(_names, KINDS)))).where(F.size("entities") > 0)
     for kind in KINDS:
         possible = possible.withColumn("line", _masked(F.col("line"), F.col(kind)))
-    return possible.select("doc_id", "text_hash", "copies", "nth", "offset", "line", "entities")
+    return possible.select(F.monotonically_increasing_id().alias("line_id"), "doc_id", "text_hash", "copies", "offset", "line", "entities")
 
 
 def disclosing_terms(documents: DataFrame, entity_lines: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -130,20 +177,18 @@ def disclosing_terms(documents: DataFrame, entity_lines: DataFrame, disclosure:
     distinct_words = lambda line: F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)), F.lower))
     lines = documents.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     total = lines.count()
-    both = (
-        entity_lines.select("copies", F.explode("entities").alias("entity"), distinct_words(F.col("line")).alias("words"))
-        .select("copies", "entity", F.explode("words").alias("term"))
-        .groupBy("entity", "term")
-        .agg(F.sum("copies").alias("n_both"))
-        .where(F.col("n_both") >= support)
-    )
-    both = kept(both, "terms-by-entities")
     entities = entity_lines.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    # An entity in fewer contexts than ``support`` has no term in that many: it meets no words.
+    often = kept(entities.where(F.col("n_entity") >= support), "entities")
+    named = entity_lines.select("line_id", "copies", F.explode("entities").alias("entity")).join(often.select("entity"), "entity")
+    words = entity_lines.select("line_id", F.explode(distinct_words(F.col("line"))).alias("term"))
+    both = named.join(words, "line_id").groupBy("entity", "term").agg(F.sum("copies").alias("n_both")).where(F.col("n_both") >= support)
+    both = kept(both, "terms-by-entities")
     terms = lines.select(F.explode(distinct_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     information = -F.log(F.col("n_entity") / total)
     shared = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     return (
-        both.join(entities, "entity")
+        both.join(often, "entity")
         # All terms are added up in their tasks first; a semi-join would be moved below that and shuffle every occurrence.
         .join(terms.join(both.select("term").distinct(), "term"), "term")
         .where(information > 0)
@@ -154,14 +199,15 @@ def disclosing_terms(documents: DataFrame, entity_lines: DataFrame, disclosure:
 
 def term_spans(entity_lines: DataFrame, disclosing: DataFrame) -> DataFrame:
     """Where disclosing terms stand in contexts of their entity: ``doc_id``, ``text_hash``, ``start``, ``stop``."""
-    key = ["doc_id", "text_hash", "nth"]
+    asked = entity_lines.select("line_id", F.explode("entities").alias("entity")).join(disclosing, "entity").select("line_id", "term").distinct()
     words = F.regexp_extract_all(F.col("line"), F.lit(_WORD), F.lit(0))
     parts = F.arrays_zip(F.slice(F.split("line", _WORD, -1), 1, F.size(words)).alias("gap"), words.alias("word"))
-    rows = entity_lines.select(*key, "offset", "entities", F.posexplode(parts).alias("i", "part"))
-    upto = Window.partitionBy(*key).orderBy("i")
+    rows = entity_lines.join(asked.select("line_id").distinct(), "line_id", "left_semi")
+    rows = rows.select("line_id", "doc_id", "text_hash", "offset", F.posexplode(parts).alias("i", "part"))
+    upto = Window.partitionBy("line_id").orderBy("i")
     rows = rows.withColumn("stop", F.col("offset") + F.sum(F.length("part.gap") + F.length("part.word")).over(upto))
-    rows = rows.select("doc_id", "text_hash", "stop", F.length("part.word").alias("size"), F.lower("part.word").alias("term"), F.explode("entities").alias("entity"))
-    found = rows.join(disclosing, ["entity", "term"], "left_semi")
+    rows = rows.select("line_id", "doc_id", "text_hash", "stop", F.length("part.word").alias("size"), F.lower("part.word").alias("term"))
+    found = rows.join(asked, ["line_id", "term"], "left_semi")
     return found.select("doc_id", "text_hash", (F.col("stop") - F.col("size")).cast("int").alias("start"), F.col("stop").cast("int").alias("stop")).distinct()
 
 
@@ -195,16 +241,21 @@ def sanitised(documents: DataFrame, disclosure: float = DISCLOSURE, support: int
 
     Spans that overlap go as one, under the name of the first. All other columns pass through.
     """
-    found = personal_data(documents, disclosure, support).dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    rows = documents.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    spans = F.array_sort(F.concat(*map(_replaced, (*KINDS, TERM))))
-
-    def add(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), s["name"])).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), out.alias("out"))
-
-    end = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
-    text = F.concat(end["out"], F.substring(F.col("text"), end["at"] + 1, F.length("text")))
+    prefix = "_" * (1 + max([0, *(len(c) - len(c.lstrip("_")) for c in documents.columns)]))
+    of_id, of_hash, of_spans, own_hash = (prefix + n for n in ("id", "hash", "spans", "own"))
+    found = personal_data(documents, disclosure, support).dropDuplicates(["doc_id", "text_hash"])
+    found = found.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.array_sort(F.concat(*map(_replaced, (*KINDS, TERM)))).alias(of_spans))
+    rows = documents.withColumn(own_hash, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own_hash) == F.col(of_hash)), "left")
+    spans = F.col(of_spans)
+
+    def cleaned(all_spans: Column) -> Column:
+        upto = _before(F.transform(all_spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+        # Of spans that overlap the first one starts at or behind the end of all before it.
+        fresh = F.filter(F.zip_with(all_spans, upto, lambda s, at: F.struct(at.alias("b"), s["start"].alias("e"), s["name"].alias("name"))), lambda p: p["e"] >= p["b"])
+        last = F.array_max(F.transform(all_spans, lambda s: s["stop"]))
+        end = F.struct(last.alias("b"), F.length("text").alias("e"), F.lit("").alias("name"))
+        return _once(F.concat(fresh, F.array(end)), lambda parts: F.array_join(F.zip_with(_cut(F.col("text"), parts), parts, lambda text, p: F.concat(text, p["name"])), ""))
+
+    text = _once(spans, cleaned)
     return joined.withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text"))).select(*documents.columns)
