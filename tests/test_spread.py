@@ -49,9 +49,49 @@ def test_running_offsets(spark):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("least", [1, 10**6])
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
-def test_lookup_equals_plain_join(spark, skewed, how):
-    table = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("none", 4)], "key string, v int")
-    got = spread.lookup(skewed, table, ["key"], spread.hash_block("item", blocks=8), how)
-    want = skewed.join(table, "key", how)
-    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+def test_lookup_equals_plain_join(spark, skewed, how, least):
+    """Salted and unsalted, with null keys and blocks, and more than one table row of a key."""
+    rows = skewed.union(spark.createDataFrame([(None, "x"), ("hot", None)], skewed.schema))
+    table = spark.createDataFrame([("hot", 1), ("hot", 5), ("k1", 2), ("k2", 3), ("none", 4), (None, 6)], "key string, v int")
+    block = F.when(F.col("item").isNotNull(), spread.hash_block("item"))
+    got = spread.lookup(rows, table, ["key"], block, how, least)
+    want = rows.join(table, "key", how)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_heavy_keys(spark, skewed):
+    hot = spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]
+    assert spread.heavy_keys(skewed, ["key"], 1000) == [hot]
+    assert spread.heavy_keys(skewed, ["key"], 3001) == []
+    assert spread.heavy_keys(skewed.where("false"), ["key"], 1) == []
+    # 50,000 keys of one row each do not hide a key that owns 1 % of all rows, wherever its rows stand.
+    many = spark.range(50_000).selectExpr("IF(id % 100 = 7, 'warm', concat('k', id)) AS key")
+    warm = spark.range(1).select(F.xxhash64(F.lit("warm"))).first()[0]
+    assert warm in spread.heavy_keys(many, ["key"], 400)
+
+
+def test_lookup_reads_its_rows_once_and_spreads_a_hot_key(spark, skewed, tmp_path, capsys):
+    skewed.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    table = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, v int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for least in (1000, 10**6):
+            got = spread.lookup(rows, table, ["key"], spread.hash_block("item"), "left", least)
+            capsys.readouterr()
+            got.explain()
+            assert capsys.readouterr().out.count("FileScan parquet") == 1
+            sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+            if least == 1000:
+                spark.conf.set("spark.sql.adaptive.enabled", "false")
+                sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+                spark.conf.set("spark.sql.adaptive.enabled", "true")
+                assert len(sizes) == 4 and max(sizes) < 1.3 * 9000 / 4
+            assert sum(sizes) == 9000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -13,18 +13,40 @@ from threadloom.session import written
 
 # Pages per block when counting along a thread.
 PAGE_BLOCK = 1024
+# A key is heavy in a look-up if it owns this many rows and more than one row in HEAVY_SHARE: some times what one of a thousand tasks
+# should hold. Fewer than HEAVY_SHARE keys can be, so at most SALTS * HEAVY_SHARE table rows are copies.
+HEAVY_ROWS, HEAVY_SHARE, SALTS = 100_000, 200, 256
+# Keys that a sketch tracks. In its worst case it is off by 3.5 rows in this number, less than a heavy key's share.
+TRACKED = 1024
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], block: Column, how: str = "inner") -> DataFrame:
+def heavy_keys(rows: DataFrame, on: list[str], least: int = HEAVY_ROWS) -> list[int]:
+    """Hashes of the keys that own at least ``least`` rows and more than one row in HEAVY_SHARE.
+
+    One pass over the key columns: each task tracks its frequent keys in a sketch of some 16 kB, and only sketches are merged. Fewer than
+    2 * HEAVY_SHARE hashes come back. A key above both bounds is always among them; the sketch may add some below.
+    """
+    top = F.expr(f"approx_top_k(_key, {2 * HEAVY_SHARE}, {TRACKED})")
+    found = rows.select(F.xxhash64(*on).alias("_key")).agg(top.alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return sorted(k["item"] for k in found["top"] or [] if k["count"] >= least and k["count"] * HEAVY_SHARE > found["n"])
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], block: Column, how: str = "inner", least: int = HEAVY_ROWS) -> DataFrame:
     """Join ``rows`` to ``table``, which should hold one row or few per key.
 
-    ``block`` numbers the rows within a key (position // size, or a hash). The table row is copied once for each block
-    that its key really has, so the final join is on (key, block) and a hot key is spread over its blocks. A key with one
-    block costs one copy. ``how`` is inner, left or left_anti.
+    Keys that own a large share of ``rows`` are found first, by heavy_keys(). Only those are salted: their rows by ``block``, which
+    numbers the rows within a key (position // size, or a hash), and their few table rows by a copy for each of SALTS salts. All other
+    keys meet unsalted, so the plan reads ``rows`` once and is a plain join where no key is heavy. ``how`` is inner, left or left_anti.
     """
-    blocked = rows.withColumn("_block", block)
-    hits = blocked.select(*on, "_block").distinct().join(table, on, "inner")
-    return blocked.join(hits, [*on, "_block"], how).drop("_block")
+    heavy = heavy_keys(rows, on, least)
+    if not heavy:
+        return rows.join(table, on, how)
+    is_heavy = F.xxhash64(*on).isin(heavy)
+    salt = F.coalesce(F.pmod(block.cast("bigint"), F.lit(SALTS)), F.lit(0))
+    salted = rows.withColumn("_salt", F.when(is_heavy, salt).otherwise(0))
+    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = table.withColumn("_salt", F.explode(copies.cast("array<bigint>")))
+    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
 def running_offsets(
