@@ -297,7 +297,7 @@ def test_personal_data_base(spark):
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(400)] + [(900, None), (901, ""), (902, "1" * 20_000), (903, "a." * 20_000), (904, "1 " * 20_000)]
     for r in privacy.personal_data_summary(spark.createDataFrame(rows, DOCS)).collect():
         expected = plain.personal(dict(rows)[r.doc_id])
-        assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == expected
+        assert [s for s in r.spans.split(",") if s and not s.startswith(("term", "secret"))] == expected
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in expected) for k, _, _ in plain.KINDS]
 
 
@@ -316,6 +316,32 @@ def test_disclosing_terms(spark):
     assert cleaned[0] == "common words here\n lives by [EMAIL] common\nother words" and cleaned[100] == dict(one)[100]
 
 
+def test_secrets_by_the_words_before_them(spark):
+    """Runs behind a word that hardly ever stands without one are secrets; alike runs behind ordinary words are not."""
+    rng = random.Random(33)
+    run = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(36)) + "a1"
+    rows = [(i, f'é first\nsome words Token = "{run()}" and more') for i in range(30)]
+    rows += [(100 + i, f"the commit {run()} is old") for i in range(30)]
+    rows += [(200 + i, f"the commit of the words and more some\ncommit {i}") for i in range(300)]
+    rows += [(600, f"token {run()}\n{run()} token " + "x" * 60 + "1"), (601, "token " + "é " * 70 + run()), (602, f"rare {run()}")]
+    docs = spark.createDataFrame(rows, DOCS)
+    texts = dict(rows)
+    for r in privacy.personal_data_summary(docs).collect():
+        found = [s.split(":") for s in r.spans.split(",") if s.startswith("secret:")]
+        values = [texts[r.doc_id][int(a) : int(b)] for _, a, b in found]
+        want = []
+        if r.doc_id < 100:
+            want = [texts[r.doc_id].split('"')[1]]
+        elif r.doc_id == 600:
+            want = [texts[600].split()[1], texts[600].split()[4]]
+        assert values == want, r.doc_id
+    cleaned = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
+    assert cleaned[3] == 'é first\nsome words Token = "[SECRET]" and more' and cleaned[100] == texts[100]
+    # The same secret in many copies is one value: its neighbours give nothing away.
+    copies = spark.createDataFrame([(i, f"odd words {'a1' * 20}") for i in range(9)] + rows[60:], DOCS)
+    assert privacy.personal_data_summary(copies).where("spans LIKE '%secret%' AND doc_id < 100").isEmpty()
+
+
 def test_disclosing_terms_with_capitals(spark):
     line = "İl Contact Alice MCDONALD éva Éric at a@b.co Xray"
     rows = [(i, f"First\n{line}\nlast") for i in range(8)] + [(50, "ray of a@b.co"), (51, "ray of a@b.co"), (52, "ray of a@b.co")]
@@ -335,7 +361,7 @@ def test_personal_data_of_long_texts_and_clashing_names(spark):
     n = 20_000
     parts = [f"u{i}@x.de" if i % 3 else f"+49 30 {1000000 + i} 10.0.{i % 256}.1" for i in range(n)]
     text = " é ".join(parts)
-    names = ["email", "ip", "card", "phone", "term", "_id", "__spans"]
+    names = ["email", "ip", "card", "phone", "term", "secret", "_id", "__spans"]
     docs = spark.createDataFrame([(1, text, *names), (2, None, *names)], f"{DOCS}, " + ", ".join(f"`{c}` string" for c in names))
     row = docs.select("doc_id", *(privacy.base_spans(F.col("text"), k).alias(f"{k}_") for k in privacy.KINDS)).where("doc_id = 1").first()
     want = plain.personal(text)

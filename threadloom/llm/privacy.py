@@ -6,6 +6,10 @@ the term, the entity, and both, the pointwise mutual information of the two is c
 PMI = log p(e, t) / (p(e) p(t)) >= DISCLOSURE * -log p(e) means that the term gives away at least that part of the entity.
 Such terms, seen with the entity in SUPPORT contexts or more, are spans too, wherever they stand in a context of that entity.
 
+Secrets have no pattern of their own: keys, hashes and ids look alike. Every long run of letters and digits is a candidate, and "a candidate
+stands here" is one entity whose terms are the words just before it. A candidate is a secret where one of these words, seen before SUPPORT
+different candidates or more, gives away that a candidate follows, by the same measure.
+
 DataFrame operations only. Counts are added up in tasks before they are shuffled; entities and terms that very many contexts hold
 cost a row per task. Texts are not shuffled: spans found by join come back to rows of ids and offsets.
 """
@@ -18,10 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.store import kept
+from threadloom.operators.spread import hash_block, lookup
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+TERM, SECRET = "term", "secret"
 DISCLOSURE, SUPPORT = 0.8, 3
+# Words before a candidate that may give it away, within that many code points of its line.
+CUES, CUE_REACH = 3, 64
 
 # What the base kinds look like. A search does not begin inside a run that it has just failed on, unless the last
 # match ended there, and runs are not given back; both change no match, only the time that long runs take.
@@ -35,6 +42,8 @@ _PATTERNS = {
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"(?:[0-9][\x20-]?){16}", "phone": r"\+[0-9]"}
 # Words of text as it is; they are lower-cased one by one, so that both searches agree and offsets stay those of the text.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Whole runs of at least 20 characters that hold a digit and a letter.
+_CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]++"
 _SPANS = "array<struct<start:int,stop:int,value:string>>"
 # Elements of an array that are gone through one by one; blocks of them are gone through likewise.
 _BLOCK = 128
@@ -172,31 +181,69 @@ def _entity_lines(documents: DataFrame) -> DataFrame:
     return possible.select(F.monotonically_increasing_id().alias("line_id"), "doc_id", "text_hash", "copies", "offset", "line", "entities")
 
 
-def disclosing_terms(documents: DataFrame, entity_lines: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """``entity``, ``term``, and ``disclosed``: the part of the entity's information that the term gives away."""
-    distinct_words = lambda line: F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)), F.lower))
-    lines = documents.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    total = lines.count()
+def _distinct_words(line: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)), F.lower))
+
+
+def _pairs(entity_lines: DataFrame, support: int) -> DataFrame:
+    """(entity, term, n_both, n_entity): entities and the terms that share ``support`` contexts with them."""
     entities = entity_lines.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     # An entity in fewer contexts than ``support`` has no term in that many: it meets no words.
     often = kept(entities.where(F.col("n_entity") >= support), "entities")
     named = entity_lines.select("line_id", "copies", F.explode("entities").alias("entity")).join(often.select("entity"), "entity")
-    words = entity_lines.select("line_id", F.explode(distinct_words(F.col("line"))).alias("term"))
+    words = entity_lines.select("line_id", F.explode(_distinct_words(F.col("line"))).alias("term"))
     both = named.join(words, "line_id").groupBy("entity", "term").agg(F.sum("copies").alias("n_both")).where(F.col("n_both") >= support)
-    both = kept(both, "terms-by-entities")
-    terms = lines.select(F.explode(distinct_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    return both.join(often, "entity").select("entity", "term", "n_both", "n_entity")
+
+
+def _candidates(documents: DataFrame) -> DataFrame:
+    """Runs that may be secrets: ``doc_id``, ``text_hash``, ``start``, ``stop``, a hash of the run, and the words before it (``cues``)."""
+    runs = _all_matches(F.col("text"), _CANDIDATE)
+    reach = lambda s: F.struct(F.greatest(s["start"] - CUE_REACH, F.lit(0)).alias("b"), s["start"].alias("e"))
+    both = _once(runs, lambda r: F.arrays_zip(r.alias("run"), _cut(F.col("text"), F.transform(r, reach)).alias("before")))
+    rows = documents.where(F.col("text").rlike(_CANDIDATE)).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(both).alias("found"))
+    words = F.transform(F.regexp_extract_all(F.substring_index("found.before", "\n", -1), F.lit(_WORD), F.lit(0)), F.lower)
+    last = F.array_distinct(F.slice(F.reverse(words), 1, CUES))
+    return rows.select("doc_id", "text_hash", "found.run.start", "found.run.stop", F.xxhash64("found.run.value").alias("value"), last.alias("cues"))
+
+
+def _cue_pairs(candidates: DataFrame, support: int) -> DataFrame:
+    """As _pairs(), of the one entity SECRET and the words before candidates; ``support`` counts different candidates."""
+    n = candidates.count()
+    seen = candidates.select("value", F.explode("cues").alias("term")).groupBy("term", "value").agg(F.count(F.lit(1)).alias("n"))
+    terms = seen.groupBy("term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_values")).where(F.col("n_values") >= support)
+    return terms.select(F.lit(SECRET).alias("entity"), "term", "n_both", F.lit(n).cast("bigint").alias("n_entity"))
+
+
+def _disclosed(documents: DataFrame, pairs: DataFrame, disclosure: float) -> DataFrame:
+    """``entity``, ``term`` and ``disclosed`` of written ``pairs``; all lines of ``documents`` are counted, once."""
+    lines = documents.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    total = lines.count()
+    terms = lines.select(F.explode(_distinct_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     information = -F.log(F.col("n_entity") / total)
-    shared = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
+    # A line may hold more than one candidate.
+    shared = F.log(F.least("n_both", "n_term") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     return (
-        both.join(often, "entity")
         # All terms are added up in their tasks first; a semi-join would be moved below that and shuffle every occurrence.
-        .join(terms.join(both.select("term").distinct(), "term"), "term")
+        pairs.join(terms.join(pairs.select("term").distinct(), "term"), "term")
         .where(information > 0)
         .select("entity", "term", (shared / information).alias("disclosed"))
         .where(F.col("disclosed") >= disclosure)
     )
 
 
+def disclosing_terms(documents: DataFrame, entity_lines: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """``entity``, ``term``, and ``disclosed``: the part of the entity's information that the term gives away."""
+    return _disclosed(documents, kept(_pairs(entity_lines, support), "terms-by-entities"), disclosure)
+
+
+def secret_spans(candidates: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """The candidates that stand behind a term that discloses SECRET: ``doc_id``, ``text_hash``, ``start``, ``stop``."""
+    cues = candidates.select("doc_id", "text_hash", "start", "stop", F.explode("cues").alias("term"))
+    found = lookup(cues, disclosing.where(F.col("entity") == SECRET).select("term"), ["term"], hash_block("text_hash", "start"))
+    return found.select("doc_id", "text_hash", "start", "stop").distinct()
+
+
 def term_spans(entity_lines: DataFrame, disclosing: DataFrame) -> DataFrame:
     """Where disclosing terms stand in contexts of their entity: ``doc_id``, ``text_hash``, ``start``, ``stop``."""
     asked = entity_lines.select("line_id", F.explode("entities").alias("entity")).join(disclosing, "entity").select("line_id", "term").distinct()
@@ -212,7 +259,7 @@ def term_spans(entity_lines: DataFrame, disclosing: DataFrame) -> DataFrame:
 
 
 def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """Per document: ``doc_id``, ``text_hash``, a list of spans for each base kind, and ``term`` for what the method adds.
+    """Per document: ``doc_id``, ``text_hash``, a list of spans for each base kind, and ``term`` and ``secret`` for what the method adds.
 
     Null texts read as empty and have no spans. Rows that agree in id and text are one document in the counts' contexts as often
     as they occur, and get the same spans. Null ids are ids like others. An empty table gives an empty table; further columns are
@@ -221,30 +268,35 @@ def personal_data(documents: DataFrame, disclosure: float = DISCLOSURE, support:
     base = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = kept(base.select("doc_id", F.xxhash64("text").alias("text_hash"), *(base_spans(F.col("text"), k).alias(k) for k in KINDS)), "pii-base")
     lines = kept(_entity_lines(base), "pii-lines")
-    terms = term_spans(lines, disclosing_terms(base, lines, disclosure, support))
-    listed = terms.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(TERM))
+    candidates = kept(_candidates(base), "pii-candidates")
+    pairs = kept(_pairs(lines, support).unionByName(_cue_pairs(candidates, support)), "terms-by-entities")
+    disclosing = kept(_disclosed(base, pairs, disclosure), "pii-disclosing")
+    spans = term_spans(lines, disclosing).withColumn("kind", F.lit(TERM)).unionByName(secret_spans(candidates, disclosing).withColumn("kind", F.lit(SECRET)))
+    of_kind = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "stop"))))
+    listed = spans.groupBy("doc_id", "text_hash").agg(of_kind(TERM).alias(TERM), of_kind(SECRET).alias(SECRET))
     listed = listed.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     joined = found.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return joined.select("doc_id", "text_hash", *KINDS, F.coalesce(TERM, F.array().cast("array<struct<start:int,stop:int>>")).alias(TERM))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    return joined.select("doc_id", "text_hash", *KINDS, *(F.coalesce(k, none).alias(k) for k in (TERM, SECRET)))
 
 
 def personal_data_summary(documents: DataFrame) -> DataFrame:
     """Per document: counts of base kinds, a digest of their spans, and all spans as text."""
     found = personal_data(documents)
     base = F.array_join(F.concat(*(_listed(k, F.col(k)) for k in KINDS)), ",")
-    every = F.array_join(F.concat(*(_listed(k, F.col(k)) for k in (*KINDS, TERM))), ",")
+    every = F.array_join(F.concat(*(_listed(k, F.col(k)) for k in (*KINDS, TERM, SECRET))), ",")
     return found.select("doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
 def sanitised(documents: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """``documents`` with spans taken out of ``text``: base kinds are generalised to their kind, terms are removed.
+    """``documents`` with spans taken out of ``text``: base kinds and secrets are generalised to their kind, terms are removed.
 
     Spans that overlap go as one, under the name of the first. All other columns pass through.
     """
     prefix = "_" * (1 + max([0, *(len(c) - len(c.lstrip("_")) for c in documents.columns)]))
     of_id, of_hash, of_spans, own_hash = (prefix + n for n in ("id", "hash", "spans", "own"))
     found = personal_data(documents, disclosure, support).dropDuplicates(["doc_id", "text_hash"])
-    found = found.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.array_sort(F.concat(*map(_replaced, (*KINDS, TERM)))).alias(of_spans))
+    found = found.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.array_sort(F.concat(*map(_replaced, (*KINDS, TERM, SECRET)))).alias(of_spans))
     rows = documents.withColumn(own_hash, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own_hash) == F.col(of_hash)), "left")
     spans = F.col(of_spans)
