@@ -124,6 +124,23 @@ def test_a_batch_can_be_repeated(spark, tmp_path):
     assert ingest.newest_pages(spark, path).count() == 1
 
 
+def test_a_batch_of_one_file_is_parsed_by_all_cores(spark, tmp_path, monkeypatch):
+    source, path = str(tmp_path / "pages"), str(tmp_path / "store")
+    rows = [(str(i), 1, page([f"post {i}"], 1)) for i in range(40)]
+    spark.createDataFrame(rows, "tid string, page bigint, html string").coalesce(1).write.parquet(source)
+    parse, tasks = ingest.parse_pages, []
+
+    def counted(pages, *args, **options):
+        tasks.append(pages.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect())
+        return parse(pages, *args, **options)
+
+    monkeypatch.setattr(ingest, "parse_pages", counted)
+    ingest.ingest_batch(spark.read.parquet(source), 0, path)
+    monkeypatch.undo()
+    assert len(tasks[0]) >= 4 and max(tasks[0]) <= 20 and sum(tasks[0]) == 40
+    assert ingest.newest_pages(spark, path).count() == 40
+
+
 def commit_files(where):
     return sorted(p.name for p in Path(where).glob("commits/version=*"))
 

@@ -753,8 +753,10 @@ def ingest_pages_stream(spark, sf_dir):
     inputs.configure(spark)
     arriving, path, progress = (fresh_path(spark, name) for name in ("arriving", "store", "progress"))
     source = inputs.forum_pages(spark, sf_dir).select("tid", "page", "html")
-    source.repartition(3, "page").write.parquet(arriving)
-    run = ingest.ingest_pages_stream(spark, arriving, path, progress, max_files_per_trigger=2)
+    readers.dealt_out(source, "page", "tid").write.parquet(arriving)
+    # Two batches: two thirds of the files, then the rest.
+    files = len(spark.read.parquet(arriving).inputFiles())
+    run = ingest.ingest_pages_stream(spark, arriving, path, progress, max_files_per_trigger=max(1, -(-2 * files // 3)))
     run.awaitTermination()
     ingest.publish(spark, path, 0, inputs.timestamp(inputs.FALLBACK))
     return _published(spark, path)

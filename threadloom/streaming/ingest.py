@@ -19,6 +19,7 @@ from threadloom.page_profile import FORUM, PageProfile
 from threadloom.session import written
 from threadloom.sources import generations
 from threadloom.sources.generations import FANOUT, Part
+from threadloom.sources.readers import dealt_out
 from threadloom.sources.store import next_generation, store_threads
 
 # Fixed for the life of a store.
@@ -41,11 +42,13 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: str, profile: PageProfi
     """Parse arrived pages (tid, page, html) and keep them as generation ``batch_id`` of the page state.
 
     A thread's pages may come in different batches, so pages, not threads, are the state. A batch costs what its own
-    pages cost, whatever the state holds; its pages are shuffled once, to their buckets. Doing a batch twice writes the same files.
+    pages cost, whatever the state holds. Its pages are shuffled twice: dealt out before they are parsed, as the splits of a few files
+    are few and uneven and parsing a page costs many times its move, and then to their buckets. Doing a batch twice writes the same pages.
     """
     spark = batch.sparkSession
     part = generations.new_part(spark, _base(store), batch_id)
-    _write(parse_pages(batch.select("tid", "page", "html"), profile, with_markdown=True), store, part)
+    arrived = dealt_out(batch.select("tid", "page", "html"))
+    _write(parse_pages(arrived, profile, with_markdown=True), store, part)
     generations.add(spark, _base(store), part)
 
 
