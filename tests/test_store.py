@@ -90,6 +90,25 @@ def test_export_round_trip(spark, tmp_path, layout):
         store.export_threads(df, out, "pages")
 
 
+def test_files_are_laid_out_as_by_the_text_sink_without_a_process_each(spark, tmp_path):
+    odd = ["a/b", "é %x", "k=v:w?", "[{^}]'\"#*\\", "\n\t\x7f", "", None, " 1 "]
+    rows = [(t, p, f"{i} {p}\n\u00fc" if p else None) for i, t in enumerate(odd) for p in (0, 1, -2, None)]
+    df = spark.createDataFrame([*rows, *rows[:3]], "tid string, part bigint, markdown string").repartition(3)
+    out, plain = tmp_path / "out", tmp_path / "plain"
+    store.export_threads(df.limit(1), str(out), "files")
+    store.export_threads(df, f"file://{out}", "files")  # in place of the first
+    df.select(F.regexp_replace("markdown", r"\n\z", "").alias("value"), "tid", "part").repartition("tid", "part").write.partitionBy("tid", "part").text(str(plain))
+
+    def held(root):
+        return sorted((str(f.parent.relative_to(root)), f.read_bytes()) for f in root.rglob("part-*.txt"))
+
+    assert held(out) == held(plain) and (out / "_SUCCESS").exists()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out", "plain"]
+    # Hadoop's local file system would have left a checksum beside each.
+    assert not [f for f in out.rglob(".*") if f.name.startswith(".part")]
+    assert sorted(map(str, store.read_export(spark, str(out), "files").collect())) == sorted(map(str, store.read_export(spark, str(plain), "files").collect()))
+
+
 def arrivals(spark, source, *batches):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, "tid string, page bigint, html string").coalesce(1).write.mode("append").parquet(f"{source}")

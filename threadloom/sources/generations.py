@@ -84,7 +84,7 @@ def read(spark: SparkSession, base: str, table: str, schema: T.StructType, parts
     """
     parts = live_parts(spark, base) if parts is None else parts
     layout = T.StructType([*schema.fields, T.StructField("part", T.StringType()), *(extra or [])])
-    folder, files = _folder(spark, f"{base}/{table}")
+    folder, files = folder_of(spark, f"{base}/{table}")
     if parts and files.exists(folder):
         rows = spark.read.schema(layout).parquet(f"{base}/{table}").where(F.col("part").isin([p.name for p in parts]))
     else:
@@ -92,7 +92,7 @@ def read(spark: SparkSession, base: str, table: str, schema: T.StructType, parts
     return rows.withColumn("gen", _last("part")).drop("part")
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
     """The path and its file system."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -100,7 +100,7 @@ def _folder(spark: SparkSession, path: str):
 
 def clear(spark: SparkSession, base: str, table: str, part: Part) -> None:
     """Drop what an earlier try may have written of a table."""
-    folder, files = _folder(spark, f"{base}/{table}/part={part.name}")
+    folder, files = folder_of(spark, f"{base}/{table}/part={part.name}")
     files.delete(folder, True)
 
 
@@ -140,7 +140,7 @@ def expire(spark: SparkSession, base: str, tables: list[str]) -> list[str]:
     wanted = {f"part={p.name}" for p in parts} | {f"version={version}"}
     gone = []
     for table in [*tables, "commits"]:
-        folder, files = _folder(spark, f"{base}/{table}")
+        folder, files = folder_of(spark, f"{base}/{table}")
         for entry in files.listStatus(folder) if files.exists(folder) else []:
             name = entry.getPath().getName()
             if entry.isDirectory() and name.startswith(("part=", "version=")) and name not in wanted:

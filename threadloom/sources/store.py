@@ -8,6 +8,13 @@ a look-up of a few threads skip most row groups.
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,6 +205,63 @@ def export_stored(spark: SparkSession, store: str, out: str, wanted: DataFrame |
 
 
 EXPORT = "value string, tid string, part bigint"
+# What partitionBy() writes as % and two hexadecimal digits in a folder's name.
+_ESCAPED = re.compile(r"""[\x01-\x1F\x7F"#%'*/:=?\\{\[\]^]""")
+
+
+def _folder_name(column: str, value: str | None) -> str:
+    """As partitionBy() names it."""
+    return f"{column}=" + (_ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__")
+
+
+def _file_writer(root: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (tid, part) as files ``tid=<t>/part=<p>/part-<task>.txt``; a try that runs again replaces its files."""
+        context = TaskContext.get()
+        name = f"part-{context.partitionId():05d}.txt"
+        hidden, done, file, n = f".{name}.{context.taskAttemptId()}", None, None, 0
+        for batch in batches:
+            for value, tid, part in zip(*(batch.column(c).to_pylist() for c in ("value", "tid", "part")), strict=True):
+                folder = f"{root}/{_folder_name('tid', tid)}/{_folder_name('part', part)}"
+                if folder != done:
+                    if file:
+                        file.close()
+                        os.replace(file.name, f"{done}/{name}")
+                    os.makedirs(folder, exist_ok=True)
+                    file, done, n = open(f"{folder}/{hidden}", "wb"), folder, n + 1
+                file.write((value or b"") + b"\n")
+        if file:
+            file.close()
+            os.replace(file.name, f"{done}/{name}")
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n_files"])
+
+    return write
+
+
+def _write_files(rows: DataFrame, out: str) -> None:
+    """A folder and a file for each document part, in place of what ``out`` has.
+
+    On a mounted folder the tasks write the files themselves, beside ``out``, and the driver puts them in its place in one step when all
+    are there: Spark's sink goes through Hadoop's local file system, which starts a process for each folder, file and checksum it makes.
+    """
+    spark = rows.sparkSession
+    folder, files = generations.folder_of(spark, out)
+    if files.getScheme() != "file":
+        return rows.hint("rebalance", "tid", "part").write.mode("overwrite").partitionBy("tid", "part").text(out)
+    made, _ = generations.folder_of(spark, f"{out.rstrip('/')}-{uuid.uuid4().hex}")
+    files.mkdirs(made)
+    try:
+        # Null and empty share a folder, so they are one value before rows are sorted.
+        names = [F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("tid", "part")]
+        laid = rows.select(*names, F.col("value").cast("binary").alias("value")).hint("rebalance", "tid", "part")
+        laid.sortWithinPartitions("tid", "part").mapInArrow(_file_writer(made.toUri().getPath()), "n_files long").agg(F.sum("n_files")).collect()
+        files.create(made.suffix("/_SUCCESS")).close()
+        files.delete(folder, True)
+        if not files.rename(made, folder):
+            raise OSError(f"{made} cannot be renamed to {out}")
+    except BaseException:
+        files.delete(made, True)
+        raise
 
 
 def export_threads(rendered: DataFrame, out: str, layout: str = "shards") -> None:
@@ -210,7 +274,7 @@ def export_threads(rendered: DataFrame, out: str, layout: str = "shards") -> Non
     body = F.regexp_replace("markdown", r"\n\z", "").alias("value") if layout == "files" else F.col("markdown").alias("value")
     rows = rendered.select(body, "tid", "part")
     if layout == "files":
-        rows.hint("rebalance", "tid", "part").write.mode("overwrite").partitionBy("tid", "part").text(out)
+        _write_files(rows, out)
     elif layout == "shards":
         rows.hint("rebalance").sortWithinPartitions("tid", "part").write.mode("overwrite").parquet(out)
     else:
