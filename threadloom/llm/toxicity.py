@@ -37,12 +37,12 @@ from threadloom.llm.words import BY_ALNUM, Words, _fmix, pieces
 MAX_CURVE, MAX_BROADCAST = 50_000, 1_000_000
 # Words of the window, and the log-likelihood ratio from which a word counts as strong evidence.
 WINDOW, STRONG = 2, 2.0
-SLICES = 4
+SLICES = 6
 FOLDS, HELD_OUT, CURVE = 5, 0, 1
 _BUCKET_BYTES = 16 << 20
 
-# Words of texts that are scored together.
-_CHUNK = 3 << 19
+# Words of texts that are scored together, and of these words or bigrams that are looked at together.
+_CHUNK, _BLOCK = 3 << 19, 1 << 18
 
 _COUNTS = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in ("words", "word_counts", "before", "after", "pair_counts"))])
 _COUNTS_SQL = "bucket long, words binary, word_counts binary, before binary, after binary, pair_counts binary"
@@ -97,13 +97,23 @@ def _counter(buckets: int):
 
         def add() -> None:
             nonlocal sums, waiting, held
-            keys, before, word, toxic, other = (np.concatenate(c) for c in zip(sums, *waiting, strict=True))
+            # One column is joined at a time, and its parts are let go.
+            parts = [list(c) for c in zip(sums, *waiting, strict=True)]
+            sums, waiting, held = none, [], 0
+            keys = np.concatenate(parts[0])
+            parts[0] = []
             order = np.argsort(keys)
-            ranked = keys[order]
-            begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, np.int64)
-            first = order[begin]
-            counts = (np.add.reduceat(x[order], begin, dtype=np.uint32) if len(begin) else x for x in (toxic, other))
-            sums, waiting, held = [keys[first], before[first], word[first], *counts], [], 0
+            keys = keys[order]
+            begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+            keys, first, out = keys[begin], order[begin], []
+            for i in (1, 2):
+                out.append(np.concatenate(parts[i])[first])
+                parts[i] = []
+            for i in (3, 4):
+                x = np.concatenate(parts[i])
+                parts[i] = []
+                out.append(np.add.reduceat(x[order], begin, dtype=np.uint32) if len(begin) else x)
+            sums = [keys, *out]
 
         def flush() -> pa.RecordBatch:
             ranked = _buckets_of(sums[0], buckets)  # sums are sorted by key, and so by bucket
@@ -312,22 +322,32 @@ def _asker(buckets: int, shipped):
 
         def flush() -> pa.RecordBatch:
             words, code, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            hashes.clear()
             often = np.argsort(-times, kind="stable")
-            words, code = words[often], np.argsort(often)[code]
+            rank = np.empty(len(often), np.uint32)
+            rank[often] = np.arange(len(often), dtype=np.uint32)
+            words, code = words[often], rank[code]
             length = np.concatenate(lengths)
             may = ~_begins(np.append(0, np.cumsum(length)), len(code))
-            ends = np.flatnonzero(may)
-            place = bigram_keys(words[code[ends - 1]], words[code[ends]]) >> np.uint64(64 - _BITS)
-            may[ends] = (shipped.value[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1
-            ends = np.flatnonzero(may)
-            pairs = np.unique((code[ends - 1].astype(np.int64) << 32) | code[ends])
-            keys = bigram_keys(words[pairs >> 32], words[pairs & 0xFFFFFFFF])
+            # Bigrams in blocks: beside the chunk's words, only a block's values wait.
+            pairs = []
+            for x in range(0, len(code), _BLOCK):
+                ends = x + np.flatnonzero(may[x : x + _BLOCK])
+                place = bigram_keys(words[code[ends - 1]], words[code[ends]]) >> np.uint64(64 - _BITS)
+                may[ends] = (shipped.value[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1
+                ends = ends[may[ends]]
+                pairs.append(np.unique((code[ends - 1].astype(np.int64) << 32) | code[ends]))
+            pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+            keys = np.empty(len(pairs), np.uint64)
+            for x in range(0, len(pairs), _BLOCK):
+                block = pairs[x : x + _BLOCK]
+                keys[x : x + _BLOCK] = bigram_keys(words[block >> 32], words[block & 0xFFFFFFFF])
             sink = pa.BufferOutputStream()
             column = pa.chunked_array(ids)
             with pa.ipc.new_stream(sink, pa.schema([("doc_id", column.type)])) as stream:
                 stream.write_table(pa.table({"doc_id": column}))
             facts = np.append(len(length), length).astype(np.int64).tobytes() + np.packbits(may).tobytes()
-            rows = [(chunk % buckets, chunk, _TEXTS, sink.getvalue().to_pybytes(), facts, _packed(code.astype(np.uint32)))]
+            rows = [(chunk % buckets, chunk, _TEXTS, sink.getvalue().to_pybytes(), facts, _packed(code))]
             for kind, asked in ((_WORD, words), (_BIGRAM, keys)):
                 bucket = _buckets_of(asked, buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -409,20 +429,31 @@ def _scorer(facts: Facts):
             own = _remains(counts[k], facts.word_discounts[k]) + facts.passed[k][bins] * pooled
             tilt.append(np.where(pooled > 0, own / facts.totals[k] * total / np.maximum(pooled, 1), 1.0))
         ratios = (np.log(tilt[0]) - np.log(tilt[1]))[code]
-        ends = np.flatnonzero(~_begins(bounds, n))
-        ratios[ends] += (np.log(spare[0]) - np.log(spare[1]))[code[ends - 1]]
+        begins, alone = _begins(bounds, n), np.log(spare[0]) - np.log(spare[1])
+        for x in range(0, n, _BLOCK):
+            ends = x + np.flatnonzero(~begins[x : x + _BLOCK])
+            ratios[ends] += alone[code[ends - 1]]
         met = np.flatnonzero(may)
-        pairs, pair = np.unique((code[met - 1] << 32) | code[met], return_inverse=True)
+        pair = np.empty(len(met), np.int64)
+        for x in range(0, len(met), _BLOCK):
+            ends = met[x : x + _BLOCK]
+            pair[x : x + _BLOCK] = (code[ends - 1] << 32) | code[ends]
+        pairs, pair = np.unique(pair, return_inverse=True)
         bigram = np.zeros((len(pairs), 2))
         for place, values in found[_BIGRAM]:
             bigram[place] = values.reshape(len(place), -1)
-        before, after = pairs >> 32, pairs & 0xFFFFFFFF
-        times = [bigram[:, 0], bigram[:, 1], bigram.sum(axis=1)]
-        part = [_remains(t, d) / np.maximum(c[before], 1) for t, d, c in zip(times, facts.pair_discounts, counts, strict=True)]
-        back = part[2] + spare[2][before] * shared[after]
-        log = [np.log(part[k] + spare[k][before] * back * tilt[k][after]) for k in (0, 1)]
-        known = times[2] > 0  # the bits let some through that have no entry
-        ratios[met[known[pair]]] = (log[0] - log[1])[pair[known[pair]]]
+        found.clear()
+        apart, known = np.empty(len(pairs)), np.empty(len(pairs), bool)
+        for x in range(0, len(pairs), _BLOCK):
+            before, after = pairs[x : x + _BLOCK] >> 32, pairs[x : x + _BLOCK] & 0xFFFFFFFF
+            times = [bigram[x : x + _BLOCK, 0], bigram[x : x + _BLOCK, 1], bigram[x : x + _BLOCK].sum(axis=1)]
+            part = [_remains(t, d) / np.maximum(c[before], 1) for t, d, c in zip(times, facts.pair_discounts, counts, strict=True)]
+            back = part[2] + spare[2][before] * shared[after]
+            log = [np.log(part[k] + spare[k][before] * back * tilt[k][after]) for k in (0, 1)]
+            known[x : x + _BLOCK] = times[2] > 0  # the bits let some through that have no entry
+            apart[x : x + _BLOCK] = log[0] - log[1]
+        known = known[pair]
+        ratios[met[known]] = apart[pair[known]]
         features = text_features(ratios, bounds)
         return pa.Table.from_arrays([ids, *map(pa.array, features.T.copy())], names=["doc_id", *_FEATURES])
 
