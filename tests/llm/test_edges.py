@@ -1,6 +1,12 @@
 """Nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
+import time
+import tracemalloc
+from types import SimpleNamespace
+
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +144,30 @@ def test_pipeline_keeps_one_of_a_group_and_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {r[0] for r in clean} | {100}
+
+
+def test_a_long_item_costs_short_ones_nothing():
+    # Term 0 is the text's and no item's; 100 items of 10 words lie in its direction, the first passage of one of 4,000 in the other.
+    own = [[k] * 10 for k in range(1, 101)] + [list(range(101, 4101))]
+    terms = np.arange(1, 4102, dtype=np.uint64)
+    vectors = np.zeros((len(terms), 2), np.float32)
+    vectors[:101, 0] = vectors[101 : 101 + leaks.PASSAGE, 1] = 1
+    queries = np.array([[1, 0]] * 100 + [[0, 1]], np.float32)
+    items = leaks.Items(terms, list(range(101)), [terms[x] for x in own], np.ones(len(terms)), vectors, queries, list(range(101)), [0] * 101)
+    words = np.append(np.ones(1000 * leaks.STRIDE, items.code), np.arange(102, 4102).astype(items.code))
+    batch = pa.record_batch([pa.array([7]), pa.array([words.tobytes()], pa.binary())], names=["doc_id", "terms"])
+    begin = time.process_time()
+    found = [r for out in leaks._searcher(SimpleNamespace(value=vars(items)))(iter([batch])) for r in out.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in found] == [(7, 100, 1.0)]
+    assert time.process_time() - begin < 2
+
+
+def test_counting_words_holds_one_joined_column_at_a_time():
+    words = np.random.default_rng(3).integers(0, 1 << 20, 1_200_000)
+    texts = [" ".join(map("w{:x}".format, part.tolist())) for part in np.split(words, 400)]
+    batches = pa.table({"text": texts, "toxic": pa.array([1, 0] * 200, pa.int32())}).to_batches(max_chunksize=50)
+    tracemalloc.start()
+    rows = list(toxicity._counter(8)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r.num_rows for r in rows) and peak < 200 << 20, peak
