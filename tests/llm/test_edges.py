@@ -2,6 +2,7 @@
 
 import time
 import tracemalloc
+from collections import Counter
 from types import SimpleNamespace
 
 import corpus_pipeline
@@ -171,3 +172,20 @@ def test_counting_words_holds_one_joined_column_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(r.num_rows for r in rows) and peak < 200 << 20, peak
+
+
+def test_toxicity_tasks_find_words_and_add_them_up_in_small_parts():
+    words = np.random.default_rng(3).integers(0, 1 << 20, 1_200_000)
+    texts = [" ".join(map("w{:x}".format, part.tolist())) for part in np.split(words, 400)]
+    batches = pa.table({"text": texts, "toxic": pa.array([1, 0] * 200, pa.int32())}).to_batches()
+    tracemalloc.start()
+    held = [Counter() for _ in range(2)]
+    for out in toxicity._counter(8)(iter(batches)):
+        for row in out.to_pylist():
+            for k, (keys, counts) in enumerate((("words", "word_counts"), ("after", "pair_counts"))):
+                n = len(row[keys]) // 8
+                held[k].update(total=int(toxicity._unpacked(row[counts], np.uint32, 2 * n).sum()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [h["total"] for h in held] == [1_200_000, 1_200_000 - 400]
+    assert peak < 100 << 20, peak

@@ -414,6 +414,43 @@ def test_toxicity_models_grow_with_the_texts(spark):
     assert min(got[1], got[3]) > 0.5 and got[2] < -0.5 and abs(got[4]) < 0.5 and got[None] == 0
 
 
+def test_toxicity_counts_stay_packed_by_bucket(spark, monkeypatch):
+    """A bucket's bigrams meet the texts as one row, and no bigram's word is written beside its key."""
+    kept, written = toxicity.kept, {}
+
+    def keep(df, name):
+        out = kept(df, name)
+        written[name] = sum(Path(f.removeprefix("file://")).stat().st_size for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(toxicity, "kept", keep)
+    before = spark.conf.get(toxicity._BATCH_CONF)
+    rng = random.Random(8)
+    texts = [(" ".join(words(rng, 2000, [f"w{k}" for k in range(1000)])), i % 2) for i in range(150)]
+    model = toxicity.fit_tables(spark.createDataFrame(texts, "text string, toxic int"), 1)
+    want = [Counter(), Counter()]
+    for text, toxic in texts:
+        w = text.split()
+        for k, things in enumerate((w, list(zip(w, w[1:], strict=False)))):
+            for x in things:
+                want[k][x, toxic] += 1
+    pairs = [Counter((c[x, 1], c[x, 0]) for x in {x for x, _ in c}) for c in want]
+    got = [Counter(), Counter()]
+    for r in model.entries.collect():
+        got[r.kind][int(r.toxic), int(r.other)] += 1
+    assert got == pairs
+    assert spark.conf.get(toxicity._BATCH_CONF) == before
+    assert model.packed.count() <= 2 * model.buckets
+    assert written["toxic-counts"] < 14 * pairs[1].total(), written
+
+
+def test_toxicity_of_texts_of_one_word(spark):
+    model = toxicity.fit_tables(spark.createDataFrame([("vile", 1), ("vile", 1), ("kind", 0), ("", 0)], "text string, toxic int"), 1)
+    got = {r.doc_id: r.per_word for r in toxicity._with_features(spark.createDataFrame([(1, "vile"), (2, "kind"), (3, "vile kind"), (4, "new")], DOCS), model).collect()}
+    ratio = plain.kneser_ney([("vile", True), ("vile", True), ("kind", False), ("", False)])
+    assert all(got[i] == pytest.approx(sum(ratio(t)) / len(t.split()), abs=1e-9) for i, t in ((1, "vile"), (2, "kind"), (3, "vile kind"), (4, "new")))
+
+
 def test_toxicity_against_plain_models(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_CHUNK", 500)
     rng = random.Random(12)

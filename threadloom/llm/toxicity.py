@@ -12,7 +12,7 @@ texts kept out of the counts, turns these into a score.
 
 The counts come from the texts of all labelled rows outside the folds HELD_OUT and CURVE. They stay in Spark tables, bucketed by
 hash, and grow with the corpus: every word and bigram has a count of its own, whatever the size. Tasks add up their own counts before
-they are shuffled. To score, a task sends the distinct words and bigrams of a chunk of texts to their buckets, once each, and the
+they are shuffled. A bucket's bigrams are one row, packed in order of their keys, and so are its words. To score, a task sends the distinct words and bigrams of a chunk of texts to their buckets, once each, and the
 counts come back to the chunk. Texts are scored in SLICES rounds, so that what waits on disk is that much smaller. No model is
 broadcast or collected, only a table of bits of fixed size: bigrams that it rules out have no entry and are not asked for. As it
 fills up, more is asked for; the results are the same.
@@ -21,17 +21,18 @@ fills up, more is asked for; the results are the same.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.store import kept
-from threadloom.llm.words import BY_ALNUM, Words, _fmix, pieces
+from threadloom.llm.words import BY_ALNUM, PIECE, Words, _fmix, pieces
 
 # Labelled rows that the curve is fitted on, at most, and labelled rows that are broadcast to meet their texts; more are joined by shuffle.
 MAX_CURVE, MAX_BROADCAST = 50_000, 1_000_000
@@ -43,12 +44,22 @@ _BUCKET_BYTES = 16 << 20
 
 # Words of texts that are scored together, and of these words or bigrams that are looked at together.
 _CHUNK, _BLOCK = 3 << 19, 1 << 18
+# Bytes of text whose words are found together, and of rows that Spark hands to a task's Python at once. Words and bigrams that wait
+# to be added up, and sums of a task, from which these leave it.
+_PIECE, _BATCH_BYTES = PIECE >> 2, 4 << 20
+_WAITING, _HELD = 1 << 19, 1 << 20
 
 _COUNTS = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in ("words", "word_counts", "before", "after", "pair_counts"))])
 _COUNTS_SQL = "bucket long, words binary, word_counts binary, before binary, after binary, pair_counts binary"
-_SUMS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("before", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
-_SUMS_SQL = "kind int, key long, before long, toxic long, other long"
-_WORD, _BIGRAM, _CONTEXTS = 0, 1, 2
+# Of a bucket, a row for each word: how often it stands in either class and in how many contexts, and of the bigrams that it begins
+# how often they stand there and how many do so once, twice and more often. And a row for its bigrams; ``times`` is how many of these
+# were counted 1, 2, 3 and 4 times.
+_GROUPS = ("toxic", "other", "pooled")
+_BY_WORD = ("toxic", "other", "contexts", "begun_toxic", "begun_other", *(f"{n}{k}" for n in _GROUPS for k in (1, 2, 3)))
+_SUMS = pa.schema([*((n, pa.int64()) for n in ("bucket", "key", *_BY_WORD, "n")), ("keys", pa.binary()), ("counts", pa.binary()), ("times", pa.list_(pa.int64()))])
+_SUMS_SQL = ", ".join([*(f"{n} long" for n in ("bucket", "key", *_BY_WORD, "n")), "keys binary, counts binary, times array<long>"])
+_WORD, _BIGRAM = 0, 1
+_ENTRIES_SQL = "bucket long, kind int, n long, keys binary, counts binary"
 _PACKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _PACKED_SQL = "bucket long, chunk long, kind int, a binary, b binary, c binary"
 _TEXTS = 2
@@ -56,6 +67,7 @@ _TEXTS = 2
 _BITS, _BIT_PARTS = 27, 6
 _CLASSES = ("toxic", "other")
 _FEATURES = ("per_word", "per_root", "peak", "strong")
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _VALUES = ("toxic", "other", "contexts", "after_toxic", "after_other", "after_pooled")
 
 
@@ -127,7 +139,7 @@ def _counter(buckets: int):
 
         for batch in batches:
             flags = np.array(batch.column("toxic").cast(pa.int32())) == 1
-            for at, stop, data, offsets in pieces(batch.column("text")):
+            for at, stop, data, offsets in pieces(batch.column("text"), _PIECE):
                 words = Words(data, offsets, BY_ALNUM)
                 h = words.hashes
                 flag = np.repeat(flags[at:stop], np.diff(words.bounds)).astype(np.uint32)
@@ -135,9 +147,9 @@ def _counter(buckets: int):
                 waiting.append((h, h, h, flag, 1 - flag))
                 waiting.append((bigram_keys(h[ends - 1], h[ends]), h[ends - 1], h[ends], flag[ends], 1 - flag[ends]))
                 held += len(h) + len(ends)
-                if held > 1 << 20:
+                if held > _WAITING:
                     add()
-                    if len(sums[0]) > 2 << 20:
+                    if len(sums[0]) > _HELD:
                         yield flush()
                         sums = none
         if waiting:
@@ -149,7 +161,8 @@ def _counter(buckets: int):
 
 
 def _add_bucket(group: pa.Table) -> pa.Table:
-    """Sums of a bucket: its words, its bigrams, and in how many contexts of the bucket a word stands."""
+    """Sums of a bucket: a row for its bigrams, packed, and one for each of its words."""
+    bucket = group.column("bucket")[0].as_py()
     columns = [group.column(n).to_pylist() for n in _COUNTS.names[1:]]
     one, before, after = (np.frombuffer(b"".join(columns[i]), np.uint64) for i in (0, 2, 3))
     counts = [_unpacked(c, np.uint32, len(w) // 4) for i, j in ((0, 1), (2, 4)) for w, c in zip(columns[i], columns[j], strict=True)]
@@ -159,13 +172,28 @@ def _add_bucket(group: pa.Table) -> pa.Table:
     order = np.argsort(keys)
     ranked = keys[order]
     begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    keys, before, word = (x[order[begin]].view(np.int64) for x in (keys, before, word))
+    keys, before, word = (x[order[begin]] for x in (keys, before, word))
     toxic, other = (np.add.reduceat(x[order], begin) for x in (toxic, other))
     single = keys == word
-    words, contexts = np.unique(word[~single], return_counts=True)
-    out = [(np.full(x.sum(), kind), keys[x], before[x], toxic[x], other[x]) for kind, x in ((_WORD, single), (_BIGRAM, ~single))]
-    out.append((np.full(len(words), _CONTEXTS), words, words, contexts, np.zeros_like(contexts)))
-    return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), _SUMS, strict=True)], schema=_SUMS)
+    pairs = [toxic[~single], other[~single], (toxic + other)[~single]]
+
+    words, place = np.unique(np.concatenate((word[single], word[~single], before[~single])), return_inverse=True)
+    own, after, before = np.split(place, np.cumsum([single.sum(), (~single).sum()]))
+    by = {"key": words.view(np.int64)} | {n: np.zeros(len(words), np.int64) for n in _BY_WORD}
+    by["toxic"][own], by["other"][own] = toxic[single], other[single]
+    by["contexts"] += np.bincount(after, minlength=len(words))
+    for n, c in zip(_GROUPS, pairs, strict=True):
+        if n != "pooled":
+            np.add.at(by[f"begun_{n}"], before, c)
+        for k in (1, 2, 3):
+            by[f"{n}{k}"] += np.bincount(before[np.minimum(c, 3) == k], minlength=len(words))
+    out = [pa.table({f.name: pa.array(by[f.name], f.type) if f.name in by else pa.nulls(len(words), f.type) for f in _SUMS if f.name != "bucket"})]
+    times = [int((c == k).sum()) for c in pairs for k in (1, 2, 3, 4)]
+    packed = {"n": len(pairs[0]), "keys": _packed_keys(keys[~single]), "counts": _packed(np.concatenate(pairs[:2])), "times": times}
+    if len(pairs[0]):
+        out.append(pa.table({f.name: pa.array([packed.get(f.name)], f.type) for f in _SUMS if f.name != "bucket"}))
+    out = pa.concat_tables(out)
+    return out.add_column(0, _SUMS.field("bucket"), pa.array(np.full(out.num_rows, bucket)))
 
 
 def text_features(ratios: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -225,37 +253,64 @@ class Facts:
 
 @dataclass
 class Tables:
-    """The models in Spark: ``entries`` (bucket, key and counts of words and bigrams), and what holds for all words."""
+    """The models in Spark: ``packed`` (the words and the bigrams of a bucket, a row each), and what holds for all words."""
 
-    entries: DataFrame
+    packed: DataFrame
     buckets: int
     facts: Facts
     bits: np.ndarray  # which bigrams have an entry
 
+    @property
+    def entries(self) -> DataFrame:
+        """A row for each word and bigram."""
+        return self.packed.mapInArrow(_unfolded, "kind int, key long, toxic double, other double")
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys, columns = _entries_of(row["kind"], row["n"], row["keys"], row["counts"])
+            arrays = [np.full(len(keys), row["kind"], np.int32), keys.view(np.int64), *(c.astype(np.float64) for c in columns[:2])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["kind", "key", "toxic", "other"])
+
+
+def _pack_words(group: pa.Table) -> pa.Table:
+    keys = np.array(group.column("key"), np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    values = np.concatenate([np.array(group.column(n), np.float64)[order] for n in _VALUES])
+    row = {"bucket": group.column("bucket")[0].as_py(), "kind": _WORD, "n": len(keys), "keys": _packed_keys(keys[order]), "counts": _packed(values)}
+    return pa.table({n: pa.array([row[n]], kind) for n, kind in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+
+
+def _entries_of(kind: int, n: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys, and what belongs to them, a line for each of _VALUES or _CLASSES."""
+    values = _unpacked(counts, np.float64, len(_VALUES) * n) if kind == _WORD else _unpacked(counts, np.int64, 2 * n)
+    return _unpacked_keys(keys, n), values.reshape(-1, n)
+
 
 def fit_tables(labelled: DataFrame, total: int) -> Tables | None:
     """The models of ``text`` and ``toxic`` (0 or 1) for ``total`` bytes of texts to score; None if a class has no words."""
     buckets = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET_BYTES)
-    sums = kept(labelled.mapInArrow(_counter(buckets), _COUNTS_SQL).groupBy("bucket").applyInArrow(_add_bucket, _SUMS_SQL), "toxic-counts")
+    with _small_batches(labelled.sparkSession):
+        sums = kept(labelled.mapInArrow(_counter(buckets), _COUNTS_SQL).groupBy("bucket").applyInArrow(_add_bucket, _SUMS_SQL), "toxic-counts")
     pooled = F.col("toxic") + F.col("other")
     count_of = {"toxic": F.col("toxic"), "other": F.col("other"), "pooled": pooled}
-    seen = sums.where(F.col("kind") != _CONTEXTS).groupBy("kind").agg(
-        *(F.count(F.when(c == k, 1)).alias(f"{n}{k}") for n, c in count_of.items() for k in (1, 2, 3, 4)), *(F.sum(n).alias(n) for n in _CLASSES)
-    )
-    seen = {row.kind: row for row in seen.collect()}
-    totals = [float(seen[_WORD][n]) for n in _CLASSES] if _WORD in seen else [0.0, 0.0]
+    seen = sums.agg(
+        *(F.count(F.when(c == k, 1)).alias(f"word_{n}{k}") for n, c in count_of.items() for k in (1, 2, 3, 4)),
+        *(F.coalesce(F.sum(F.col("times")[4 * i + k - 1]), F.lit(0)).alias(f"pair_{n}{k}") for i, n in enumerate(_GROUPS) for k in (1, 2, 3, 4)),
+        *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _CLASSES),
+    ).first()
+    totals = [float(seen[n]) for n in _CLASSES]
     if not all(totals):
         return None
-    by = {kind: [discounts([row[f"{n}{k}"] for k in (1, 2, 3, 4)]) for n in count_of] for kind, row in seen.items()}
-    pair_by = by.get(_BIGRAM, [discounts([0, 0, 0, 0])] * 3)
-
-    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(F.lit(0))).cast("double")
-    words = sums.groupBy(F.when(F.col("kind") == _BIGRAM, F.col("before")).otherwise(F.col("key")).alias("key")).agg(
-        of(_WORD, F.col("toxic")).alias("toxic"), of(_WORD, F.col("other")).alias("other"), of(_CONTEXTS, F.col("toxic")).alias("contexts"),
-        *(of(_BIGRAM, _less(c, d)).alias(f"after_{n}") for (n, c), d in zip(count_of.items(), pair_by, strict=True)),
-    )
-    words = kept(words, "toxic-words")
-    lost = [F.sum(c - _less(c, d)).alias(f"lost_{n}") for (n, c), d in zip(count_of.items(), by[_WORD], strict=True)]
+    word_by, pair_by = ([discounts([seen[f"{of}_{n}{k}"] for k in (1, 2, 3, 4)]) for n in _GROUPS] for of in ("word", "pair"))
+
+    words = sums.where("key is not null").groupBy("key").agg(*(F.sum(n).cast("double").alias(n) for n in _BY_WORD))
+    begun = {"toxic": F.col("begun_toxic"), "other": F.col("begun_other"), "pooled": F.col("begun_toxic") + F.col("begun_other")}
+    # What the bigrams that a word begins have left after their discounts.
+    after = [(begun[n] - sum((F.col(f"{n}{k}") * d[k] for k in (1, 2, 3)), F.lit(0.0))).alias(f"after_{n}") for n, d in zip(_GROUPS, pair_by, strict=True)]
+    words = kept(words.select("key", *_VALUES[:3], *after), "toxic-words")
+    lost = [F.sum(c - _less(c, d)).alias(f"lost_{n}") for (n, c), d in zip(count_of.items(), word_by, strict=True)]
     bins = words.groupBy(_bin(pooled).alias("bin")).agg(F.sum(pooled).alias("pooled"), F.sum("contexts").alias("contexts"), F.count(F.lit(1)).alias("n"), *lost).collect()
     passed = np.ones((2, 1 + max(row.bin for row in bins)))
     for row in bins:
@@ -263,23 +318,35 @@ def fit_tables(labelled: DataFrame, total: int) -> Tables | None:
         passed[:, row.bin] = [(row[f"lost_{n}"] + 0.5) / row.pooled for n in _CLASSES]
     left = sum(row.lost_pooled for row in bins) / sum(totals)
     contexts = sum(row.contexts + 0.5 * row.n for row in bins) + 0.5
-    facts = Facts(totals, by[_WORD], pair_by, passed, left, contexts)
+    facts = Facts(totals, word_by, pair_by, passed, left, contexts)
 
-    bigrams = sums.where(F.col("kind") == _BIGRAM).select("key", *(F.col(n).cast("double") for n in _CLASSES), *(F.lit(0.0).alias(n) for n in _VALUES[2:]))
     bucket = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets), 32)
-    entries = words.select("key", *_VALUES).union(bigrams).select(bucket.cast("long").alias("bucket"), "key", *_VALUES)
-    return Tables(entries, buckets, facts, _bits(bigrams.select("key")))
+    words = kept(words.select(bucket.cast("long").alias("bucket"), "key", *_VALUES).groupBy("bucket").applyInArrow(_pack_words, _ENTRIES_SQL), "toxic-entries")
+    bigrams = sums.where("key is null").select("bucket", F.lit(_BIGRAM).alias("kind"), "n", "keys", "counts")
+    return Tables(words.union(bigrams), buckets, facts, _bits(bigrams))
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start in here hand their rows to Python in batches of _BATCH_BYTES: each waits on both sides, outside the heap."""
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(_BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bits of a task's keys, by part."""
     parts: dict[int, np.ndarray] = {}
     for batch in batches:
-        at = np.array(batch.column("key"), np.int64).view(np.uint64) >> np.uint64(64 - _BITS)
-        part = (at >> np.uint64(_BITS - _BIT_PARTS)).astype(np.int64)
-        for p in np.unique(part).tolist():
-            bits = parts.setdefault(p, np.zeros(1 << _BITS - _BIT_PARTS, bool))
-            bits[(at[part == p] & np.uint64((1 << _BITS - _BIT_PARTS) - 1)).astype(np.int64)] = True
+        for n, packed in zip(batch.column("n").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+            at = _unpacked_keys(packed, n) >> np.uint64(64 - _BITS)
+            # Keys ascend, and so do their parts.
+            for x, y in _cuts(at >> np.uint64(_BITS - _BIT_PARTS)):
+                bits = parts.setdefault(int(at[x] >> np.uint64(_BITS - _BIT_PARTS)), np.zeros(1 << _BITS - _BIT_PARTS, bool))
+                bits[(at[x:y] & np.uint64((1 << _BITS - _BIT_PARTS) - 1)).astype(np.int64)] = True
     for p, bits in parts.items():
         yield pa.record_batch([pa.array([p], pa.int32()), pa.array([_packed(np.packbits(bits))], pa.binary())], names=["part", "bits"])
 
@@ -291,9 +358,9 @@ def _one_part(group: pa.Table) -> pa.Table:
     return pa.table({"part": group.column("part").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
+def _bits(packed: DataFrame) -> np.ndarray:
     """Table of bits by the first _BITS bits of a key, set for keys that have an entry."""
-    parts = keys.mapInArrow(_mark, "part int, bits binary").groupBy("part").applyInArrow(_one_part, "part int, bits binary").collect()
+    parts = packed.select("n", "keys").mapInArrow(_mark, "part int, bits binary").groupBy("part").applyInArrow(_one_part, "part int, bits binary").collect()
     bits = np.zeros((1 << _BIT_PARTS, 1 << _BITS - _BIT_PARTS - 3), np.uint8)
     for row in parts:
         bits[row.part] = np.frombuffer(row.bits, np.uint8)
@@ -314,6 +381,15 @@ def _unpacked(data: bytes, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, n).T).view(kind).ravel()
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their steps, whose first bytes are zero where there are many."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64, n), dtype=np.uint64)
+
+
 def _asker(buckets: int, shipped):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks of texts: their ids and words by number, and their distinct words and bigrams, packed by bucket."""
@@ -358,7 +434,7 @@ def _asker(buckets: int, shipped):
             return pa.RecordBatch.from_arrays(_table(rows, _PACKED), schema=_PACKED)
 
         for batch in batches:
-            for at, stop, data, offsets in pieces(batch.column("text")):
+            for at, stop, data, offsets in pieces(batch.column("text"), _PIECE):
                 words = Words(data, offsets, BY_ALNUM)
                 ids.append(batch.column("doc_id").slice(at, stop - at))
                 hashes.append(words.hashes)
@@ -376,21 +452,19 @@ def _asker(buckets: int, shipped):
 
 def _answer(asked: pa.Table, entries: pa.Table) -> pa.Table:
     """What a bucket has of the words and bigrams that it is asked for, back to their chunks. Texts pass through."""
-    keys = np.array(entries.column("key"), np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    values = np.column_stack([np.array(entries.column(n), np.float64)[order] for n in _VALUES])
+    held = {row["kind"]: _entries_of(**row) for row in entries.select(["kind", "n", "keys", "counts"]).to_pylist()}
     out = []
     for row in zip(*(asked.column(n).to_pylist() for n in _PACKED.names), strict=True):
         bucket, chunk, kind, a, b, _ = row
         if kind == _TEXTS:
             out.append(row)
-        elif len(keys):
+        elif kind in held:
+            keys, values = held[kind]
             wanted, place = np.frombuffer(a, np.uint64), np.cumsum(_unpacked(b, np.uint32, len(a) // 8), dtype=np.uint32)
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             hit = keys[at] == wanted
             if hit.any():
-                found = values[at[hit], : len(_VALUES) if kind == _WORD else 2]
+                found = np.column_stack([c[at[hit]].astype(np.float64) for c in values])
                 # Places ascend within a bucket, so their steps are small.
                 steps = _packed(np.diff(place[hit], prepend=np.uint32(0)))
                 out.append((bucket, chunk, kind, steps, _packed(found.ravel()), int(hit.sum()).to_bytes(8, "little")))
@@ -467,8 +541,9 @@ def _with_features(rows: DataFrame, model: Tables) -> DataFrame:
     out = []
     for i in range(SLICES):
         asked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == i).mapInArrow(_asker(model.buckets, bits), _PACKED_SQL)
-        answered = asked.groupBy("bucket").cogroup(model.entries.groupBy("bucket")).applyInArrow(_answer, _PACKED_SQL)
-        out.append(kept(answered.groupBy("chunk").applyInArrow(_scorer(model.facts), schema), "toxic-features"))
+        answered = asked.groupBy("bucket").cogroup(model.packed.groupBy("bucket")).applyInArrow(_answer, _PACKED_SQL)
+        with _small_batches(rows.sparkSession):
+            out.append(kept(answered.groupBy("chunk").applyInArrow(_scorer(model.facts), schema), "toxic-features"))
     return reduce(DataFrame.union, out)
 
 
