@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, edits, jaccard, leaks, licenses, lines, merkle, mixing, periods, privacy, tokens, toxicity, vectors
+from threadloom.llm import chat, edits, jaccard, leaks, licenses, lines, merkle, mixing, periods, privacy, store, tokens, toxicity, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 997}" for i in range(60_000))
@@ -189,3 +189,27 @@ def test_toxicity_tasks_find_words_and_add_them_up_in_small_parts():
     tracemalloc.stop()
     assert [h["total"] for h in held] == [1_200_000, 1_200_000 - 400]
     assert peak < 100 << 20, peak
+
+
+def test_few_files_for_features_of_texts(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    files, kept = [], toxicity.kept
+
+    def keep(df, name):
+        out = kept(df, name)
+        if name == "toxic-features":
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(toxicity, "kept", keep)
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} word{i % 9} and{i % 5}") for i in range(800)], "doc_id long, text string").repartition(16)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = toxicity.toxicity_scores(store.kept(docs, "docs"), spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, toxic int")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in got) == list(range(800)) and all(r.predicted == r.doc_id % 2 for r in got)
+    assert len(files) == toxicity.SLICES and max(files) <= 3, files

@@ -21,17 +21,17 @@ fills up, more is asked for; the results are the same.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.store import kept
+from threadloom.llm.store import BATCH_CONF as _BATCH_CONF  # noqa: F401
+from threadloom.llm.store import kept, small_batches
 from threadloom.llm.words import BY_ALNUM, PIECE, Words, _fmix, pieces
 
 # Labelled rows that the curve is fitted on, at most, and labelled rows that are broadcast to meet their texts; more are joined by shuffle.
@@ -39,14 +39,17 @@ MAX_CURVE, MAX_BROADCAST = 50_000, 1_000_000
 # Words of the window, and the log-likelihood ratio from which a word counts as strong evidence.
 WINDOW, STRONG = 2, 2.0
 SLICES = 6
+# Buckets for each file that a slice's features are written to. They are a few numbers per text, and on a mounted folder Hadoop starts
+# processes for each file.
+_FILE_BUCKETS = 16
 FOLDS, HELD_OUT, CURVE = 5, 0, 1
 _BUCKET_BYTES = 16 << 20
 
 # Words of texts that are scored together, and of these words or bigrams that are looked at together.
 _CHUNK, _BLOCK = 3 << 19, 1 << 18
-# Bytes of text whose words are found together, and of rows that Spark hands to a task's Python at once. Words and bigrams that wait
-# to be added up, and sums of a task, from which these leave it.
-_PIECE, _BATCH_BYTES = PIECE >> 2, 4 << 20
+# Bytes of text whose words are found together. Words and bigrams that wait to be added up, and sums of a task, from which these
+# leave it.
+_PIECE = PIECE >> 2
 _WAITING, _HELD = 1 << 19, 1 << 20
 
 _COUNTS = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in ("words", "word_counts", "before", "after", "pair_counts"))])
@@ -67,7 +70,6 @@ _TEXTS = 2
 _BITS, _BIT_PARTS = 27, 6
 _CLASSES = ("toxic", "other")
 _FEATURES = ("per_word", "per_root", "peak", "strong")
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _VALUES = ("toxic", "other", "contexts", "after_toxic", "after_other", "after_pooled")
 
 
@@ -291,7 +293,7 @@ def _entries_of(kind: int, n: int, keys: bytes, counts: bytes) -> tuple[np.ndarr
 def fit_tables(labelled: DataFrame, total: int) -> Tables | None:
     """The models of ``text`` and ``toxic`` (0 or 1) for ``total`` bytes of texts to score; None if a class has no words."""
     buckets = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // _BUCKET_BYTES)
-    with _small_batches(labelled.sparkSession):
+    with small_batches(labelled.sparkSession):
         sums = kept(labelled.mapInArrow(_counter(buckets), _COUNTS_SQL).groupBy("bucket").applyInArrow(_add_bucket, _SUMS_SQL), "toxic-counts")
     pooled = F.col("toxic") + F.col("other")
     count_of = {"toxic": F.col("toxic"), "other": F.col("other"), "pooled": pooled}
@@ -321,20 +323,10 @@ def fit_tables(labelled: DataFrame, total: int) -> Tables | None:
     facts = Facts(totals, word_by, pair_by, passed, left, contexts)
 
     bucket = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets), 32)
-    words = kept(words.select(bucket.cast("long").alias("bucket"), "key", *_VALUES).groupBy("bucket").applyInArrow(_pack_words, _ENTRIES_SQL), "toxic-entries")
     bigrams = sums.where("key is null").select("bucket", F.lit(_BIGRAM).alias("kind"), "n", "keys", "counts")
-    return Tables(words.union(bigrams), buckets, facts, _bits(bigrams))
-
-
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs that start in here hand their rows to Python in batches of _BATCH_BYTES: each waits on both sides, outside the heap."""
-    before = spark.conf.get(_BATCH_CONF)
-    spark.conf.set(_BATCH_CONF, str(_BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_CONF, before)
+    with small_batches(labelled.sparkSession):
+        words = kept(words.select(bucket.cast("long").alias("bucket"), "key", *_VALUES).groupBy("bucket").applyInArrow(_pack_words, _ENTRIES_SQL), "toxic-entries")
+        return Tables(words.union(bigrams), buckets, facts, _bits(bigrams))
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -542,8 +534,9 @@ def _with_features(rows: DataFrame, model: Tables) -> DataFrame:
     for i in range(SLICES):
         asked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == i).mapInArrow(_asker(model.buckets, bits), _PACKED_SQL)
         answered = asked.groupBy("bucket").cogroup(model.packed.groupBy("bucket")).applyInArrow(_answer, _PACKED_SQL)
-        with _small_batches(rows.sparkSession):
-            out.append(kept(answered.groupBy("chunk").applyInArrow(_scorer(model.facts), schema), "toxic-features"))
+        with small_batches(rows.sparkSession):
+            features = answered.groupBy("chunk").applyInArrow(_scorer(model.facts), schema)
+            out.append(kept(features.repartition(1 + model.buckets // _FILE_BUCKETS), "toxic-features"))
     return reduce(DataFrame.union, out)
 
 
