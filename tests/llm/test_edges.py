@@ -191,6 +191,43 @@ def test_toxicity_tasks_find_words_and_add_them_up_in_small_parts():
     assert peak < 100 << 20, peak
 
 
+def test_leaks_tasks_find_words_in_small_parts():
+    texts = [" ".join(f"w{(i * 7919 + k) % 30011}" for k in range(400)) for i in range(1500)]
+    batch = pa.record_batch([pa.array(range(1500), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    items = leaks.read_items([SimpleNamespace(item_id=1, text="w5 w6 w7 and some others"), SimpleNamespace(item_id=2, text=None)])
+    tracemalloc.start()
+    got = 0
+    for out in leaks._encoder(SimpleNamespace(value=vars(items)))(iter([batch])):
+        for row in out.to_pylist():
+            codes = np.frombuffer(row["terms"], items.code)
+            assert len(codes) == 400
+            got += int((codes > 0).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == sum(t.split().count(f"w{k}") for t in texts for k in (5, 6, 7))
+    assert peak < 50 << 20, peak
+
+
+def test_texts_go_to_python_in_small_batches(spark, bench, monkeypatch):
+    """Steps that hand out whole texts or sets do so in small batches, and no Python list takes part in what they return."""
+    asked, before = {}, spark.conf.get(store.BATCH_CONF)
+    for operator in (leaks, jaccard, toxicity):
+        def keep(df, name, kept=operator.kept):
+            asked[name] = int(spark.conf.get(store.BATCH_CONF))
+            return kept(df, name)
+
+        monkeypatch.setattr(operator, "kept", keep)
+    docs = spark.createDataFrame([(i, f"{LONG[: 300 + i % 7]} bad{i % 2}") for i in range(200)], "doc_id long, text string")
+    docs = store.kept(docs, "few")
+    found = leaks.leaks(docs, store.kept(bench, "bench"))
+    sets = jaccard.jaccard_components(docs)
+    toxicity.toxicity_scores(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    assert {n for n, size in asked.items() if size <= 4 << 20} >= {"benchmark-terms", "ngram-sets", "verified", "toxic-counts", "toxic-entries", "toxic-features"}
+    assert spark.conf.get(store.BATCH_CONF) == before
+    for df in (found, sets):
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString()
+
+
 def test_few_files_for_features_of_texts(spark, monkeypatch):
     held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in held}

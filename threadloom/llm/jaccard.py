@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.graph import components
-from threadloom.llm.store import kept
+from threadloom.llm.store import empty, kept, small_batches
 from threadloom.llm.words import BY_SPACE, Words, grams, pieces
 
 WORDS, PERCENT = 5, 75
@@ -41,6 +41,7 @@ _PACKED_SQL = "key long, chunk long, kind int, a binary, b binary, c binary"
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), *((f"q{i}", pa.int32()) for i in range(_PARTS)), ("own", pa.int32()), ("central", pa.float64()), ("hashes", pa.list_(pa.int64()))]
 )
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 _SETS_SQL = "doc_id long, node binary, n int, " + ", ".join(f"q{i} int" for i in range(_PARTS)) + ", own int, central double, hashes array<long>"
 
 
@@ -179,7 +180,8 @@ def ngram_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = rows.mapInArrow(_emitter(size, buckets), _PACKED_SQL)
     shared = packed.groupBy("key").applyInArrow(_count_bucket, _PACKED_SQL)
-    return kept(shared.groupBy("chunk").applyInArrow(_collector(percent), _SETS_SQL), "ngram-sets")
+    with small_batches(documents.sparkSession):
+        return kept(shared.groupBy("chunk").applyInArrow(_collector(percent), _SETS_SQL), "ngram-sets")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
     joined = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
     checked = joined.mapInArrow(_verify, "a binary, b binary, na int, nb int, both int")
     linked = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
-    return kept(checked.select("a", "b", linked.alias("linked")), name)
+    with small_batches(sets.sparkSession):
+        return kept(checked.select("a", "b", linked.alias("linked")), name)
 
 
 def _matcher(percent: int):
@@ -279,8 +282,8 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     prefix = F.expr(f"slice(hashes, 1, n - CAST(ceil(n * {percent} / 100.0D - 1e-9) AS INT) + 1 - own)")
     members = sets.where("own < n").select(F.posexplode(prefix).alias("pos", "h"), "node", "n", "own", *fields[3:])
     members = members.withColumn("pos", F.col("own") + F.col("pos")).withColumn("comp", F.col("node")).select("h", "comp", *fields)
-    links = spark.createDataFrame([], "a binary, b binary")
-    done = spark.createDataFrame([], "a binary, b binary, linked boolean")
+    links = empty(spark, _LINKS)
+    done = empty(spark, _LINKS.append(pa.field("linked", pa.bool_())))
     for nth in range(LEADER_PASSES + 1):
         mixed = members.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
         members = kept(members.join(mixed, "h"), "postings")

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.store import kept
-from threadloom.llm.words import BY_ALNUM, Words, pieces
+from threadloom.llm.store import empty, kept, small_batches
+from threadloom.llm.words import BY_ALNUM, PIECE, Words, pieces
 
 # Words of a passage and from one passage to the next.
 PASSAGE, STRIDE = 24, 12
@@ -36,6 +36,8 @@ COVERED, PARAPHRASED, ANSWERED = 0.75, 0.6, 0.75
 ANSWER_SHARE, SHORT = 4, 8
 # Benchmark text that one pass over the corpus looks for, in bytes.
 BLOCK_BYTES = 1 << 20
+# Bytes of text whose words are found together.
+_PIECE = PIECE >> 2
 
 _HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("coverage", pa.float64()), ("answer", pa.float64()), ("first_word", pa.int64())])
 _HITS_SQL = "doc_id long, item_id long, cosine double, coverage double, answer double, first_word long"
@@ -99,7 +101,7 @@ def _encoder(shipped):
         """Texts as the number of each word's term, plus one; 0 for words that are not in the benchmark."""
         items = Items(**shipped.value)
         for batch in batches:
-            for at, stop, data, offsets in pieces(batch.column("text")):
+            for at, stop, data, offsets in pieces(batch.column("text"), _PIECE):
                 words = Words(data, offsets, BY_ALNUM)
                 codes = (items.find(words.hashes) + 1).astype(items.code)
                 cuts = pa.array(words.bounds * codes.itemsize, pa.int64())
@@ -327,13 +329,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: in
     wanted = kept(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "benchmark")
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-total // BLOCK_BYTES)
-    found = spark.createDataFrame([], _HITS_SQL)
+    found = empty(spark, _HITS)
     for block in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES of text
         items = read_items(sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text or "")))
         if items.ids:
             # Texts are read once; what follows reads the terms.
-            coded = kept(docs.mapInArrow(_encoder(spark.sparkContext.broadcast(vars(items))), "doc_id long, terms binary"), "benchmark-terms")
+            with small_batches(spark):
+                coded = kept(docs.mapInArrow(_encoder(spark.sparkContext.broadcast(vars(items))), "doc_id long, terms binary"), "benchmark-terms")
             items = _prepare(items, coded, rank, seed)
             found = found.union(coded.mapInArrow(_searcher(spark.sparkContext.broadcast(vars(items))), _HITS_SQL))
     return found

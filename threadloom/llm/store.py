@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.session import fresh_path
@@ -39,5 +40,10 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_CONF, before)
 
 
+def empty(spark: SparkSession, schema: pa.Schema) -> DataFrame:
+    """No rows. From a Python list, Spark would start Python workers for them that stay beside those of the operators."""
+    return spark.createDataFrame(schema.empty_table())
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
